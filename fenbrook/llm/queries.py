@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .langid import identify_languages
 from .minhash import near_duplicates
 from .packing import pack
 from .quality_qda import quality_scores
 from .quality_rules import quality_rules
 from .sharding import shuffle_into_shards
+from .toxicity import toxicity_scores
 from .wordpiece import token_counts
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +36,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), VOCABULARY, capacity=2048, end_id=0)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +52,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op4_minhash_near_dedup, op5_best_fit_packing, op8_quality_rules, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op4_minhash_near_dedup, op5_best_fit_packing, op6_language_id, op7_toxicity, op8_quality_rules, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
