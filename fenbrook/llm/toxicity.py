@@ -147,20 +147,24 @@ def fit_weights(counts: np.ndarray, y: np.ndarray, pull: float = 0.5, steps: int
     return w
 
 
-def learn_stems(sample: DataFrame, min_docs: int = 4, min_odds: float = 30.0) -> frozenset[str]:
+def learn_stems(sample: DataFrame, min_docs: int = 5, min_share: float = 0.02, min_odds: float = 30.0) -> frozenset[str]:
     """Word beginnings of 4 to 8 letters that mark toxic rows of ``sample`` (text, y) and hardly any other.
 
-    Spark counts, for each beginning, the documents of either class that have it; the driver sees
-    those that pass both bounds. A longer one that adds nothing to a shorter one is left out.
+    Copies and near copies count once: rows with equal minima of three hashes of their long words are one.
+    Spark counts, for each beginning, the rows of either class that have it; the driver sees those in
+    ``min_docs`` toxic rows and ``min_share`` of them at least. A longer one is left out if a shorter one is in.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
-    stems = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.filter(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[-1])), lambda n: n <= F.length(w)), lambda n: F.substring(w, F.lit(1), n)))))
-    n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    least = lambda k: F.array_min(F.transform(F.filter("words", lambda w: F.length(w) >= 7), lambda w: F.xxhash64(F.lit(k), w)))
+    alone = sample.select("y", "text", words.alias("words")).select("y", "words", F.coalesce(F.xxhash64(least(1), least(2), least(3)), F.xxhash64("text")).alias("sketch"))
+    alone = stage(alone.where(F.size("words") > 0).dropDuplicates(["y", "sketch"]).select("y", "words"))
+    n = {r["y"]: r["n"] for r in alone.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
         return frozenset()
+    stems = F.array_distinct(F.flatten(F.transform("words", lambda w: F.transform(F.filter(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[-1])), lambda n: n <= F.length(w)), lambda n: F.substring(w, F.lit(1), n)))))
     odds = ((F.col("a") + 0.5) / (n[1] + 1)) / ((F.col("b") + 0.5) / (n[0] + 1))
-    counted = sample.select("y", F.explode(stems).alias("s")).groupBy("s").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    rows = counted.where((F.col("a") >= min_docs) & (odds >= min_odds) & (F.col("a") >= 20 * F.col("b"))).collect()
+    counted = alone.select("y", F.explode(stems).alias("s")).groupBy("s").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    rows = counted.where((F.col("a") >= max(min_docs, min_share * n[1])) & (odds >= min_odds)).collect()
     best: set[str] = set()
     for r in sorted(rows, key=lambda r: (len(r["s"]), r["s"])):
         if not any(r["s"][:k] in best for k in range(STEMS[0], len(r["s"]))):
