@@ -14,6 +14,7 @@ from .packing import pack
 from .quality_qda import quality_scores
 from .quality_rules import quality_rules
 from .sharding import shuffle_into_shards
+from .suffix_dedup import cut_repeats
 from .toxicity import toxicity_scores
 from .wordpiece import token_counts
 
@@ -28,6 +29,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op4_minhash_near_dedup, op5_best_fit_packing, op6_language_id, op7_toxicity, op8_quality_rules, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_suffix_array_dedup, op4_minhash_near_dedup, op5_best_fit_packing, op6_language_id, op7_toxicity, op8_quality_rules, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
