@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import decontaminate
 from .langid import identify_languages
 from .minhash import near_duplicates
 from .packing import pack
@@ -53,10 +54,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_suffix_array_dedup, op4_minhash_near_dedup, op5_best_fit_packing, op6_language_id, op7_toxicity, op8_quality_rules, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_suffix_array_dedup, op4_minhash_near_dedup, op5_best_fit_packing, op6_language_id, op7_toxicity, op8_quality_rules, op9_benchmark_decontamination, op10_token_counts)}
 
 ORACLE: dict[str, str] = {}
