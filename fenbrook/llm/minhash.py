@@ -30,6 +30,11 @@ ROWS_PER_BAND = 4
 #: The expected share of equal registers of unrelated sets is this over 2**MANTISSA.
 CHANCE = 0.1699
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+#: Registers of the estimate, of eight bits each: 0 for an empty bucket.
+FINE_BITS = 8
+FINE = 1 << FINE_BITS
+#: Shingles of either side that a block comparison holds on average.
+BLOCK = 600_000
 _CACHE_WORDS = 1_000_000
 
 
@@ -77,15 +82,20 @@ def _borrow_order(tries: int = 2048) -> np.ndarray:
 _BORROW = _borrow_order()
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """128 compressed registers of a non-empty sorted set: leading zeros and mantissa of each bucket's minimum."""
-    edges = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
+def _minima(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of 2**bits buckets, whether it has a hash, and its minimum as leading zeros and mantissa."""
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
     at = np.searchsorted(hashes, edges)
     full = np.diff(np.append(at, len(hashes))) > 0
-    rest = hashes[np.minimum(at, len(hashes) - 1)] << np.uint64(BUCKET_BITS)
+    rest = hashes[np.minimum(at, len(hashes) - 1)] << np.uint64(bits)
     zeros = np.where(rest == 0, 62, 64 - np.frexp(rest.astype(np.float64))[1]).clip(0, 62).astype(np.uint64)
     mantissa = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
-    out = ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
+    return full, ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
+
+
+def registers(hashes: np.ndarray) -> np.ndarray:
+    """128 compressed registers of a non-empty sorted set; empty buckets borrow from full ones."""
+    full, out = _minima(hashes, BUCKET_BITS)
     if full.all():
         return out
     empty = np.flatnonzero(~full)
@@ -96,27 +106,48 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of rows of registers, less what unrelated sets would share."""
-    share = (a == b).mean(axis=1)
-    e = CHANCE / (1 << MANTISSA)
-    return (share - e) / (1 - e)
+def fine_registers(hashes: np.ndarray) -> np.ndarray:
+    """256 registers for the estimate: the compressed minimum folded to 1..255, or 0 if the bucket is empty."""
+    full, out = _minima(hashes, FINE_BITS)
+    return np.where(full, 1 + ((out.astype(np.uint32) * np.uint32(40503)) >> np.uint32(4)) % np.uint32(255), 0).astype(np.uint8)
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard estimates of rows of fine registers, less what unrelated minima would share, and the buckets that they rest on."""
+    used = ((a | b) > 0).sum(axis=-1).clip(1)
+    both = ((a > 0) & (b > 0)).sum(axis=-1)
+    equal = ((a == b) & (a > 0)).sum(axis=-1)
+    e = CHANCE / (1 << MANTISSA) + 1 / 255
+    return ((equal - e * both) / (1 - e) / used), used
+
+
+def hopeful(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a pair may reach the threshold: sizes allow it, and the estimate lies at most six deviations below.
+
+    The buckets sample the union without replacement, so the deviation falls to 0 as they come to hold it whole.
+    """
+    share, used = estimate(a, b)
+    t = percent / 100
+    union = (n_a + n_b) / (1 + t)
+    deviation = np.sqrt(t * (1 - t) * np.maximum(0, 1 / used - 1 / np.maximum(union, used)))
+    return (share >= t - 0.015 - 6 * deviation) & (n_a * percent <= n_b * 100) & (n_b * percent <= n_a * 100)
 
 
 def sketch(docs: DataFrame, k: int = 4) -> DataFrame:
-    """(doc_id, n, set_hash, sig): size of the shingle set, its hash and registers; both null if it is empty."""
+    """(doc_id, n, set_hash, sig, fine): size of the shingle set, its hash and registers; null if it is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, sigs = [], [], []
+            n, keys, sigs, fine = [], [], [], []
             for t in batch.column("text"):
                 s = shingle_set(t.as_py(), k)
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "set_hash", "sig"])
+                fine.append(fine_registers(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, sigs, fine))], ["doc_id", "n", "set_hash", "sig", "fine"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n bigint, set_hash binary, sig binary")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, n bigint, set_hash binary, sig binary, fine binary")
 
 
 def band_keys(sigs: DataFrame) -> DataFrame:
@@ -163,22 +194,82 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     return stage(met.select("a", "b", "s", "t").mapInArrow(compare, "a bigint, b bigint"))
 
 
-def _worth_testing(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose estimate lies six deviations under the threshold, or whose sizes rule it out."""
-    side = lambda x: sigs.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+def _worth_testing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that may reach the threshold."""
+    side = lambda x: classes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"f_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("sig_a", "sig_b"))
-            n = np.minimum(*(batch.column(c).to_numpy() for c in ("n_a", "n_b"))).clip(1, BUCKETS)
-            keep = estimate(x, y) >= percent / 100 - 6 * 0.4 / np.sqrt(n)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FINE) for c in ("f_a", "f_b"))
+                keep = hopeful(x, y, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    close = F.col("n_a") * percent <= F.col("n_b") * 100
-    close = close & (F.col("n_b") * percent <= F.col("n_a") * 100)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(close).mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "f_a", "f_b").mapInArrow(run, "a bigint, b bigint")
+
+
+_CELL = "a bigint, i int, j int, b bigint, c bigint, as_x boolean, as_y boolean, s binary"
+
+
+def _across(met: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links (a, b) between different components among the documents that share a centre, by full sets.
+
+    Of each centre, the documents outside its component are compared with all. Both sides are dealt into blocks of
+    about ``BLOCK`` shingles; a task holds two blocks, and gives one link for each document and component that it meets.
+    """
+    named = labels.select(F.col("node"), "component")
+    member = met.union(met.select("a", F.col("a").alias("b")).distinct())
+    own = member.join(named, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("c"))
+    own = own.join(named, F.col("a") == F.col("node"), "left").select("a", "b", "c", (F.col("c") != F.coalesce("component", "a")).alias("is_x"))
+    own = own.join(classes.select(F.col("doc_id").alias("b"), "n"), "b")
+    groups = own.groupBy("a").agg(F.count("*").alias("g"), F.sum("n").alias("y"), F.sum(F.when(F.col("is_x"), F.col("n"))).alias("x")).where("g > 2 and x > 0")
+    groups = groups.select("a", *(F.ceil(F.col(v) / BLOCK).cast("int").alias(f"n{v}") for v in "xy"))
+    block = lambda n, seed: F.pmod(F.xxhash64("b", F.lit(seed)), F.col(n)).cast("int")
+    mixed = own.join(groups, "a").select("a", "b", "c", "is_x", block("nx", 1).alias("i"), block("ny", 2).alias("j"), "nx", "ny")
+    # A document stands in each (i, j) where it is of x-block i, or of y-block j.
+    cells = F.expr("""concat(
+        transform(sequence(0, nx - 1), r -> named_struct('a', a, 'i', r, 'j', j, 'c', c, 'as_x', is_x and r = i, 'as_y', true)),
+        if(is_x, transform(filter(sequence(0, ny - 1), r -> r <> j), r -> named_struct('a', a, 'i', i, 'j', r, 'c', c, 'as_x', true, 'as_y', false)), array()))""")
+    need = mixed.select("b", F.explode(cells).alias("o")).groupBy(F.col("b").alias("doc_id")).agg(F.collect_list("o").alias("cells"))
+    names = [x.split()[0] for x in _CELL.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for r in batch.to_pylist():
+                blob = shingle_set(r["text"], k).tobytes()
+                for o in r["cells"]:
+                    rows.append((o["a"], o["i"], o["j"], r["doc_id"], o["c"], o["as_x"], o["as_y"], blob))
+                    held += len(blob) + 100
+                if held > 16_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    def compare(table: pa.Table) -> pa.Table:
+        doc, comp, as_x, as_y = (table.column(c).to_numpy() for c in ("b", "c", "as_x", "as_y"))
+        each = [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()]
+        size = np.array([len(s) for s in each])
+        ids = np.split(np.unique(np.concatenate(each), return_inverse=True)[1], np.cumsum(size)[:-1])
+        y = np.flatnonzero(as_y)
+        mark = np.zeros(int(size.sum()), bool)
+        a, b = [], []
+        if len(y):
+            all_y, at = np.concatenate([ids[i] for i in y]), np.cumsum(size[y]) - size[y]
+            for x in np.flatnonzero(as_x).tolist():
+                mark[ids[x]] = True
+                common = np.add.reduceat(mark[all_y], at, dtype=np.int64)
+                mark[ids[x]] = False
+                hit = np.flatnonzero((100 * common >= percent * (size[x] + size[y] - common)) & (comp[y] != comp[x]))
+                for t in hit[np.unique(comp[y[hit]], return_index=True)[1]].tolist():
+                    a.append(min(doc[x], doc[y[t]]))
+                    b.append(max(doc[x], doc[y[t]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    held = texts.join(need, "doc_id").select("doc_id", "text", "cells").mapInArrow(sets, _CELL)
+    return held.groupBy("a", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 4) -> DataFrame:
@@ -193,26 +284,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 4) -> DataFrame
     ship(docs.sparkSession)
     sketched = stage(sketch(docs, k))
     linked = sketched.where(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
-    classes = stage(linked.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n", "sig")).alias("r")).select("set_hash", "r.*"))
+    classes = stage(linked.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n", "sig", "fine")).alias("r")).select("set_hash", "r.*"))
     bands = band_keys(classes)
-    groups = stage(bands.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("g")).where("g > 1").select("key", "a"))
-    members = stage(bands.join(groups, "key").select("key", "a", F.col("doc_id").alias("b")))
-    pairs = stage(_worth_testing(members.where("a <> b").select("a", "b").distinct(), classes, percent))
+    sizes = stage(bands.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"))
+    # Compared first with the member of each band that meets most others over all its bands: the centre of a cluster of copies.
+    members = stage(bands.join(sizes, "key").select("key", "g", F.col("doc_id").alias("b")))
+    degrees = members.groupBy("b").agg(F.sum("g").alias("degree"))
+    members = stage(members.drop("g").join(degrees, "b"))
+    centres = members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("b")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("a"))
+    met = stage(members.join(centres, "key").where("a <> b").select("a", "b").distinct())
+    pairs = stage(_worth_testing(met, classes, percent))
     near = members.select(F.col("b").alias("doc_id")).distinct()
     texts = stage(docs.select(F.col("doc_id").cast("bigint"), "text").join(near, "doc_id", "left_semi"))
     edges = _verified(pairs, texts, percent, k)
     labels = stage(components(edges))
-
-    # Bands that still join several components: test across them, largest component against the rest.
-    own = members.join(labels, F.col("b") == F.col("node"), "left").select("key", "b", F.coalesce("component", "b").alias("c"))
-    counted = own.groupBy("key", "c").agg(F.count("*").alias("n"))
-    largest = counted.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("m")).where("parts > 1").select("key", F.col("m.c").alias("main"))
-    mixed = stage(own.join(largest, "key"))
-    x = mixed.where("c <> main").select("key", F.col("b").alias("x"), F.col("c").alias("cx"))
-    y = mixed.select("key", F.col("b").alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("is_main"))
-    across = x.join(y, "key").where("cx <> cy and (is_main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = stage(_worth_testing(across.join(pairs, ["a", "b"], "left_anti"), classes, percent))
-    more = _verified(across, texts, percent, k)
+    more = stage(_across(met, labels, classes, texts, percent, k))
     if more.take(1):
         labels = stage(components(edges.union(more)))
     named = classes.join(labels, F.col("doc_id") == F.col("node"), "left").select("set_hash", F.coalesce("component", "doc_id").alias("component_id"))
