@@ -183,7 +183,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     base = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     known = labels.where(F.col("toxic").isin(0, 1) & (fold("doc_id", 5) != 0)).select("doc_id", F.col("toxic").cast("bigint").alias("y"))
     marked = bounded_sample(known.where("y = 1"), "doc_id", bound, 71).union(bounded_sample(known.where("y = 0"), "doc_id", bound, 72))
-    sample = stage(base.join(marked, "doc_id"))
+    # At most about 2 * bound ids: small enough to send everywhere, so that no text is shuffled.
+    sample = stage(base.join(F.broadcast(marked), "doc_id"))
     grammar = Grammar(learn_stems(sample))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
