@@ -111,10 +111,11 @@ def _version_log(s, d):
     return read(s, d, "events").groupBy(F.col("event_type").alias("table_name"), F.to_date("ts").alias("day"), op.alias("operation")).agg(F.max("ts").alias("at"), F.max("event_id").cast("string").alias("version"), F.count("*").alias("rows"))
 
 
-_LOG = "log as (select event_type as table_name, cast(ts as date) as day, case event_type when 'error' then 'reject' when 'view' then 'stage' else 'publish' end as operation, max(ts) as "at", cast(max(event_id) as varchar) as version, count(*) as rows from events group by 1, 2, 3)"
+_LOG = """log as (select event_type as table_name, cast(ts as date) as day, case event_type when 'error' then 'reject' when 'view' then 'stage' else 'publish' end as operation,
+    max(ts) as "at", cast(max(event_id) as varchar) as version, count(*) as rows from events group by 1, 2, 3)"""
 
 
-@query(f"with {_LOG} select table_name, arg_max(version, "at") as version, max("at") as "at", arg_max(rows, "at") as rows from log where operation = 'publish' group by 1")
+@query(f"""with {_LOG} select table_name, arg_max(version, "at") as version, max("at") as "at", arg_max(rows, "at") as rows from log where operation = 'publish' group by 1""")
 def current_version(s, d):
     log = _version_log(s, d).where("operation = 'publish'")
     return log.groupBy("table_name").agg(F.max_by("version", "at").alias("version"), F.max("at").alias("at"), F.max_by("rows", "at").alias("rows"))
@@ -142,15 +143,12 @@ def _changes(s, d):
     return cdc.parse_changes(shapes.change_stream(s, d), {"limits": "customer_id"})
 
 
-_CASTS = {
-    "credit_limit": F.expr("try_cast(credit_limit as decimal(18,2))"),
-    "as_of_day": F.expr("date_add(date '1970-01-01', as_of_day)"),
-}
 _SCHEMA = "customer_id string, credit_limit string, as_of_day int, state string"
 
 
 def _typed(s, d):
-    return cdc.type_changes(_changes(s, d), _SCHEMA, _CASTS)
+    casts = {"credit_limit": F.expr("try_cast(credit_limit as decimal(18,2))"), "as_of_day": F.expr("date_add(date '1970-01-01', as_of_day)")}
+    return cdc.type_changes(_changes(s, d), _SCHEMA, casts)
 
 
 @query("select 'limits' as entity, op, customer_id as record_key, lsn as source_lsn, cast(floor(epoch_us(ts) / 1000) as bigint) as source_ms from changes")
