@@ -29,7 +29,7 @@ UNITS = frozenset(
 PLAIN, NUMBER, UNIT, CAPITAL, EMPTY = range(5)
 _SLOT = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F], dtype=np.uint64)  # of numbers, units, names
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 300_000
 _MAX_INDEX = 4_000_000  # window hashes that documents are filtered by on the spot; beyond, all windows are joined
 
 
@@ -42,11 +42,10 @@ class _Words:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.plain: list[str] = []
-        self.table = (np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, bool))
-        self.new: list[tuple[int, int, bool]] = []
+        self.table = (np.empty(1024, np.uint64), np.empty(1024, np.int8), np.empty(1024, bool))
 
     def add(self, raw: str) -> int:
-        bare = "".join(c for c in raw if c.isalnum())
+        bare = raw if raw.isalnum() else raw[:-1] if raw[:-1].isalnum() else "".join(c for c in raw if c.isalnum())
         low = bare.lower()
         if not bare:
             kind = EMPTY
@@ -58,7 +57,10 @@ class _Words:
             kind = CAPITAL if bare[0].isupper() and not (len(bare) > 1 and bare.isupper()) else PLAIN
         self.index[raw] = i = len(self.plain)
         self.plain.append(low)
-        self.new.append((xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")), kind, raw[-1] in ".!?:\"'" if raw else False))
+        if i >= len(self.table[0]):
+            self.table = tuple(np.resize(t, 2 * len(t)) for t in self.table)
+        hashes, kinds, ends = self.table
+        hashes[i], kinds[i], ends[i] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")), kind, raw[-1] in ".!?:\"'"
         return i
 
     def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,9 +68,6 @@ class _Words:
             self.clear()
         get, add = self.index.get, self.add
         ids = np.array([i if (i := get(w)) is not None else add(w) for w in text.split()], np.int64)
-        if self.new:
-            self.table = tuple(np.concatenate([t, np.array([x[k] for x in self.new], t.dtype)]) for k, t in enumerate(self.table))
-            self.new = []
         return ids, *(t[ids] for t in self.table)
 
 
