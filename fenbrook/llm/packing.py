@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .common import ship, stage
 
-_CACHE_CHUNKS = 1_200_000
+_CACHE_CHUNKS = 500_000
 _PUNCTUATION = frozenset(".,;:!?")
 
 
@@ -44,6 +44,17 @@ class ChunkTokenizer:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in _PUNCTUATION}
+        # Byte-level vocabularies write bytes that are not printable as characters from 256 on.
+        odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
+        self.printed = {b: 256 + i for i, b in enumerate(odd)}
+
+    def word(self, core: str) -> bytes:
+        """Ids of a word of Latin-1 letters, straight from the model: it is one pre-token and its own normal form but for case."""
+        low = core.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self.printed)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(low)], "<u4").tobytes()
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -55,12 +66,14 @@ class ChunkTokenizer:
             self.known = {"": b""}
         plain, sizes, odd = [], [], []
         for c in chunks:
-            if c.isalpha():
-                plain.append(c)
-                sizes.append(1)
-            elif c[-1] in _PUNCTUATION and c[:-1].isalpha():
-                plain.append(c)
-                sizes.append(2)
+            core, mark = (c[:-1], c[-1]) if c[-1] in _PUNCTUATION else (c, "")
+            if core.isalpha():
+                if core.isascii() or max(core) < "\u0100":
+                    ids = self.known.get(core) or self.word(core)
+                    self.known[c] = ids + self.marks[mark] if mark else ids
+                else:
+                    plain.append(c)
+                    sizes.append(2 if mark else 1)
             else:
                 odd.append(c)
         for k in range(0, len(plain), 5000):

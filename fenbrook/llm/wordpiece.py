@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 END = 256
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 500_000
 
 
 def _byte_of_char() -> dict[str, int]:
