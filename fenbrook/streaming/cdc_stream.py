@@ -105,7 +105,7 @@ def run_available(source: DataFrame, applier: ChangeApplier, checkpoint: str, cl
 
 
 def caught_up(progress: dict | None) -> bool:
-    """Whether the last progress has read all that its sources had."""
+    """Whether the last progress has read all that its sources had; a source that reports no latest offset has."""
     if not progress or not progress.get("sources"):
         return False
-    return all(s.get("latestOffset") is None or s.get("latestOffset") == s.get("endOffset") for s in progress["sources"])
+    return all(s.get("latestOffset") in (None, "None", "null") or s.get("latestOffset") == s.get("endOffset") for s in progress["sources"])
