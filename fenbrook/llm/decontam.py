@@ -74,14 +74,14 @@ class _Words:
 _WORDS = _Words()
 
 
-def canonical(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text's words: the words, their hashes, those of the template, and the slot type (0: none).
+def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's words: their numbers, their hashes, those of the template, and the slot type (0: none).
 
     Punctuation is dropped and case folded. A number begins with a digit; a unit follows a number; a name has a
     capital first letter only and does not open a sentence.
     """
     if not text:
-        return [], np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8)
     ids, h, kind, ends = _WORDS.read(text)
     real = kind != EMPTY
     # Marks that stand alone end a sentence as marks on a word do.
@@ -94,6 +94,11 @@ def canonical(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.n
     return ids, h, np.where(slot > 0, _SLOT[slot], h), slot
 
 
+def spelled(ids: np.ndarray) -> list[str]:
+    """The words of ``canonical``'s numbers, while the text is at hand."""
+    return [_WORDS.plain[i] for i in ids.tolist()]
+
+
 def _combine(h: np.ndarray, k: int, salt: int) -> np.ndarray:
     out = np.full(len(h) - k + 1, salt, np.uint64)
     for i in range(k):
@@ -143,7 +148,7 @@ def _windows(key: str, k: int, index: np.ndarray | None):
                     keys += [name] * len(at)
                     pos += at.tolist()
                     hashes.append(own[at])
-                    slots += [[_WORDS.plain[ids[i]] for i in range(p, p + k) if slot[i]] for p in at.tolist()]
+                    slots += [spelled(ids[p : p + k][slot[p : p + k] > 0]) for p in at.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array(np.concatenate(hashes).view(np.int64) if hashes else [], pa.int64()), pa.array(slots, pa.list_(pa.string()))], [key, "pos", "h", "slots"]
                 )
