@@ -46,7 +46,7 @@ class LongestMatch:
     def __init__(self, pieces: list[tuple[int, ...]]):
         self.next: list[dict[int, int]] = [{}]
         final = [False]
-        for p in pieces:
+        for p in {*pieces, (END,)}:
             at = 0
             for c in p:
                 if c not in self.next[at]:
@@ -61,7 +61,7 @@ class LongestMatch:
         while level:
             for parent, c, v in level:
                 if final[v]:
-                    self.fail[v], self.popped[v] = 0, 1
+                    self.fail[v], self.popped[v] = 0, int(parent > 0 or c != END)
                     continue
                 z, popped = self.fail[parent], self.popped[parent]
                 while z >= 0 and c not in self.next[z]:
@@ -107,6 +107,12 @@ class _Counts(dict):
 _COUNTS: dict[str, _Counts] = {}
 
 
+def counts_of(path: str) -> _Counts:
+    if path not in _COUNTS:
+        _COUNTS[path] = _Counts(path)
+    return _COUNTS[path]
+
+
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """One row per document: doc_id, n_words, n_pieces, max_word_pieces (0 without words).
 
@@ -117,9 +123,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _COUNTS:
-            _COUNTS[vocabulary] = _Counts(vocabulary)
-        get = _COUNTS[vocabulary].__getitem__
+        get = counts_of(vocabulary).__getitem__
         for batch in batches:
             words, pieces, most = [], [], []
             for t in batch.column("text"):
