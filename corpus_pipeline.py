@@ -21,17 +21,18 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    return docs.join(verdicts.where(keep).select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """Verdicts grow with the documents, so their ids are merged in at every size, never sent everywhere."""
+    return docs.join(verdicts.where(keep).select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned rules keep."""
+    """Documents that the base rules and the learned rules keep. Rows without an id go: no verdict can name them."""
     return _kept(docs, quality_rules(docs, table(spark, sf_dir, "labels")), "kept")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
-    return _kept(docs, near_duplicates(docs), "kept")
+    """One document of each group of near-duplicates, that of the smallest id; of rows that repeat an id, one."""
+    return _kept(docs, near_duplicates(docs), "kept").dropDuplicates(["doc_id"])
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
