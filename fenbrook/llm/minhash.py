@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 4) -> DataFrame
     centres = members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("b")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("a"))
     met = stage(members.join(centres, "key").where("a <> b").select("a", "b").distinct())
     pairs = stage(_worth_testing(met, classes, percent))
-    near = members.select(F.col("b").alias("doc_id")).distinct()
+    near = members.select(F.col("b").alias("doc_id")).distinct().hint("merge")  # grows with the documents
     texts = stage(docs.select(F.col("doc_id").cast("bigint"), "text").join(near, "doc_id", "left_semi"))
     edges = _verified(pairs, texts, percent, k)
     labels = stage(components(edges))

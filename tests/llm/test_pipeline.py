@@ -42,6 +42,24 @@ def test_pipeline_against_brute_force(spark):
     assert sorted(map(tuple, p.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packed)
 
 
+def test_stages_take_awkward_rows(spark):
+    """Repeated rows, nulls in any column, other columns and no rows at all."""
+    import corpus_pipeline as p
+    from .test_contracts import prose, random
+
+    rng = random.Random(1)
+    text = prose(80, rng)
+    rows = [(1, text, None, None, None, "x"), (1, text, None, None, None, "x"), (None, text, "en", "s", 1, None), (2, None, "en", "s", None, "y"), (3, "", None, "s", 0, "y"), (4, prose(5000, rng), "en", "s", 0, "z")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    for some, want in ((rows, {1, 4}), ([], set())):
+        docs = spark.createDataFrame(some, schema)
+        for _, step in p.STAGES[:-1]:
+            docs = step(spark, docs, SF).persist()
+            assert docs.columns == list(p.COLUMNS)
+        assert sorted(r["doc_id"] for r in docs.collect()) == sorted(want)
+        assert {r["doc_id"] for r in p.STAGES[-1][1](spark, docs, SF).collect()} == want
+
+
 def test_entry_works_without_this_part(tmp_path):
     for f in ROOT.rglob("*.py"):
         rel = f.relative_to(ROOT)
