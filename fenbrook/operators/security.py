@@ -26,6 +26,7 @@ class Entitlements:
 
 
 def bank_entitlements() -> Entitlements:
+    # Users, personas, tags and scoped tables of the bank.
     people = {"first_name": "pii.name", "last_name": "pii.name", "date_of_birth": "pii.dob", "email": "pii.contact", "phone": "pii.contact", "postcode": "pii.location", "vulnerability_flag": "special_category"}
     shared = frozenset({"gold", "silver"})
     return Entitlements(

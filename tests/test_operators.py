@@ -142,6 +142,12 @@ def test_signals_read_customers_only(spark):
     assert (b["full_name"], b["postcode"], b["amounts"], b["intents"]) == (None, None, [], [])
 
 
+def test_words_that_are_no_names(spark):
+    df = spark.createDataFrame([("I'm Just Calling About a card",), ("it's Sarah Jones",), ("my name is Dr Not Amy Pond",), ("born on the twenty-first of May 1980",)], "text string").withColumn("speaker", F.lit("customer"))
+    assert [r["full_name"] for r in text.extract_signals(df).collect()] == [None, "Sarah Jones", "Amy Pond", None]
+    assert text.redact(df, "text").collect()[3]["text"] == "born on [date]"
+
+
 def test_bm25_counts_repeated_terms(spark):
     docs = spark.createDataFrame([(1, "red fish"), (2, "blue fish fish"), (3, "green bird")], "doc_id int, text string")
     score = {r["query_id"]: r["score"] for r in text.bm25(spark.createDataFrame([(1, "red"), (2, "red red"), (3, "the of")], "query_id int, text string"), docs, 1).collect()}
