@@ -12,6 +12,8 @@ among pieces of its length.
 
 from __future__ import annotations
 
+import string
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -24,87 +26,57 @@ from pyspark.sql.window import Window
 
 from .common import ship, stage
 
-_CACHE_CHUNKS = 500_000
-_PUNCTUATION = frozenset(".,;:!?")
+_CACHE_CHUNKS = 700_000
 
 
-class ChunkTokenizer:
+class ChunkTokenizer(dict):
     """Token ids of whole texts, with the ids of chunks between blanks kept for reuse up to a bound.
 
     The tokenizer splits at white space before anything else, so a text's ids are its
-    chunks' ids in a row. Only ASCII blanks split here; others stay inside a chunk.
+    chunks' ids in a row. Only ASCII blanks split here; others stay inside a chunk. A word of Latin-1 letters is one
+    pre-token and, but for case, its own normal form, so the model alone encodes it; marks after it are the next one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.marks = {m: np.array(self.tokenizer.encode(m, add_special_tokens=False).ids, "<u4").tobytes() for m in _PUNCTUATION}
+        self.model = self.tokenizer.model
         # Byte-level vocabularies write bytes that are not printable as characters from 256 on.
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
         self.printed = {b: 256 + i for i, b in enumerate(odd)}
 
+    def __missing__(self, chunk: str) -> bytes:
+        core = chunk.rstrip(string.punctuation)
+        if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+            ids = self.get(core) or self.word(core)
+            if len(core) < len(chunk):
+                ids += self[chunk[len(core) :]]
+        else:
+            ids = _bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        if len(chunk) <= 64:
+            if len(self) > _CACHE_CHUNKS:
+                self.clear()
+                self[""] = b""
+            self[chunk] = ids
+        return ids
+
     def word(self, core: str) -> bytes:
-        """Ids of a word of Latin-1 letters, straight from the model: it is one pre-token and its own normal form but for case."""
         low = core.lower()
         if not low.isascii():
             low = low.encode().decode("latin-1").translate(self.printed)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(low)], "<u4").tobytes()
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-
-    def learn(self, chunks: list[str]) -> None:
-        """Encode new chunks: plain words in one call, cut at word ends; others one by one."""
-        if len(self.known) > _CACHE_CHUNKS:
-            self.known = {"": b""}
-        plain, sizes, odd = [], [], []
-        for c in chunks:
-            core, mark = (c[:-1], c[-1]) if c[-1] in _PUNCTUATION else (c, "")
-            if core.isalpha():
-                if core.isascii() or max(core) < "\u0100":
-                    ids = self.known.get(core) or self.word(core)
-                    self.known[c] = ids + self.marks[mark] if mark else ids
-                else:
-                    plain.append(c)
-                    sizes.append(2 if mark else 1)
-            else:
-                odd.append(c)
-        for k in range(0, len(plain), 5000):
-            some, need = plain[k : k + 5000], np.cumsum(sizes[k : k + 5000])
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != need[-1]:
-                odd += some
-                continue
-            at = [0, *(4 * cuts[need - 1]).tolist()]
-            raw = ids.tobytes()
-            self.known.update(zip(some, (raw[a:b] for a, b in zip(at, at[1:], strict=False)), strict=True))
-        for c, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
+        return _bytes([t.id for t in self.model.tokenize(low)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [self.chunks(t) for t in texts]
-        new: set[str] = set()
-        for c in split:
-            new |= set(c).difference(self.known)
-        if new:
-            self.learn(sorted(new))
-        return [b"".join(map(self.known.__getitem__, c)) if new.issuperset(c) or all(map(self.known.__contains__, c)) else self._again(c) for c in split]
-
-    def _again(self, chunks: list[str]) -> bytes:
-        """The chunks of a text some of which were forgotten meanwhile."""
-        self.learn(sorted(set(chunks).difference(self.known)))
-        if not all(map(self.known.__contains__, chunks)):
-            return b"".join(np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False))
-        return b"".join(map(self.known.__getitem__, chunks))
+        get = self.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
