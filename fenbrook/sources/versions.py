@@ -67,9 +67,31 @@ class VersionStore:
         staged = self.read(table, version)
         results = run_checks(staged, list(checks)).collect() if checks else []
         failed = [r["check_name"] for r in results if not r["passed"]]
+        self.record_checks(table, run_id, results)
         self.record(table, version, "reject" if failed else "publish", run_id, staged.count(), summary)
         return PublishResult(version, not failed, failed)
 
+    def record_checks(self, table: str, run_id: str, results: list) -> None:
+        if results:
+            rows = self.spark.createDataFrame([(run_id, table, r["check_name"], r["passed"], r["observed"]) for r in results], "run_id string, table_name string, check_name string, passed boolean, observed double")
+            rows.withColumn("checked_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/_checks")
+
+    def check_log(self) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.root}/_checks") if self._exists(f"{self.root}/_checks") else None
+
+    def audit(self, checks: dict[str, list[Check]], run_id: str, seen: dict[str, str]) -> dict[str, str]:
+        """Check the tables that stand at another version than ``seen`` says; gives what was seen now.
+
+        The first audit, with nothing seen, checks all; a batch without new rows still records its checks so.
+        """
+        now = dict(seen)
+        for table, own in checks.items():
+            version = self.current(table)
+            if version and version != seen.get(table):
+                self.record_checks(table, run_id, run_checks(self.read(table, version), own).collect())
+                now[table] = version
+        return now
+
     def restore(self, table: str, version: str, run_id: str) -> None:
         """Make an older version, or one replayed beside the live one, current again."""
         self.record(table, version, "publish", run_id, self.read(table, version).count(), {"restored": "true"})

@@ -174,3 +174,26 @@ def test_versions(spark, tmp_path):
     assert store.append_once(spark.range(5), "log", "b2") and store.read_appended("log").count() == 7
     store.publish(spark.range(100).repartition(6), "u", "r5")
     assert store.compact("u", "r6", 1) and not store.compact("u", "r7", 1) and store.read("u").count() == 100
+
+
+def test_audit_looks_at_changed_tables_only(spark, tmp_path):
+    store = VersionStore(spark, f"file://{tmp_path}/store")
+    checks = {"t": [dq.Check("rows", F.count("*"), 5)]}
+    store.publish(spark.range(3), "t", "r1")
+    seen = store.audit(checks, "a1", {})
+    assert store.audit(checks, "a2", seen) == seen
+    store.publish(spark.range(4), "t", "r2")
+    assert store.audit(checks, "a3", seen) != seen
+    assert sorted(r["run_id"] for r in store.check_log().collect()) == ["a1", "a3"]
+
+
+def test_append_partitioned(spark, tmp_path):
+    from fenbrook.sources.feeds import append_partitioned, incremental
+
+    events = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 10)), (2, dt.datetime(2024, 1, 2, 10))], "k int, ts timestamp_ntz")
+    path = f"file://{tmp_path}/bronze"
+    append_partitioned(events.where("k = 1"), path, "ts")
+    new = incremental(events, spark.read.parquet(path), "ts", "10 MINUTES", "r", "2024-01-03")
+    assert sorted(r["k"] for r in new.collect()) == [1, 2]  # the overlap reads the newest row again
+    append_partitioned(new.select("k", "ts"), path, "ts")
+    assert spark.read.parquet(path).where("ingest_date = date '2024-01-02'").count() == 1

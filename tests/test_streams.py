@@ -86,3 +86,27 @@ def test_late_payment_join_plans(spark):
     claims = spark.createDataFrame([("c", "x", 5.0, t)], "claim_id string, customer_id string, amount double, ts timestamp")
     pays = spark.createDataFrame([("t1", "x", 5.0, t + dt.timedelta(seconds=8)), ("t2", "x", 5.0, t + dt.timedelta(seconds=30))], "txn_id string, customer_id string, amount double, ts timestamp")
     assert [r["txn_id"] for r in late_payment_matches(claims, pays).collect()] == ["t1"]
+
+
+def test_progress_has_observed_counts(spark, tmp_path):
+    from fenbrook.operators.cdc import parse_changes
+    from fenbrook.streaming.progress import Progress, observed
+
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    _put(feed, "a", [_msg("parents", 1, "c", {"id": "p1"}), _msg("parents", 2, "d", {"id": "p1"})])
+    listener = Progress()
+    spark.streams.addListener(listener)
+    try:
+        stream = observed(parse_changes(_source(spark, feed), {"parents": "id"}))
+        stream.writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
+        import time
+
+        for _ in range(50):
+            if listener.batches:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    seen = [b["observed"]["changes"] for b in listener.batches if b["rows"]]
+    assert seen and seen[0]["events"] == 2 and seen[0]["op_d"] == 1
