@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import ship, stage
 
-_CACHE_CHUNKS = 700_000
+_CACHE_CHUNKS = 400_000
 
 
 class ChunkTokenizer(dict):
