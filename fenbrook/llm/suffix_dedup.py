@@ -266,7 +266,8 @@ def _send(length: int, bits: int):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 lo, hi, g = runs(np.frombuffer(raw, np.uint8), length)
                 ours = np.unique(np.frombuffer(found.as_py(), np.uint32))
-                ours = ours[ours < len(lo)]
+                # The first pass names one run of each gram in a document; a repeat may stand at any of them.
+                ours = np.flatnonzero(np.isin(g, g[ours[ours < len(lo)]]))
                 id_ = doc.as_py()
                 for a, b, gram in zip(lo[ours].tolist(), hi[ours].tolist(), g[ours].tolist(), strict=True):
                     segment = raw[a - 1 : b + length - 1] if a else b"\xff" + raw[: b + length - 1]

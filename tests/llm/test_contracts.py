@@ -161,6 +161,20 @@ def test_cut_repeats_without_rows_or_ids(spark, empty):
     assert {(r["doc_id"], r["n_removed"]) for r in rows} == {(None, 0), (1, 0), (2, 0)}
 
 
+def test_cut_repeats_at_later_places_of_a_document(spark):
+    """Passages that stand twice in a document and whose partner is in another partition."""
+    rng = random.Random(12)
+    passage = [prose(40, rng) for _ in range(20)]
+    rows = [(i, f"{prose(20, rng)} {p} {prose(20, rng)}") for i, p in enumerate(passage)]
+    rows += [(100 + i, f"{prose(20, rng)} {p} {prose(20, rng)} {p} {prose(20, rng)} {p[40:120]}") for i, p in enumerate(passage)]
+    # The later place of the smaller document is the one that repeats; its first has the same gram only in part.
+    rows += [(200 + i, f"{p[:60]} {prose(20, rng)} {p} {prose(20, rng)}") for i, p in enumerate(prose(40, rng) for _ in range(20))]
+    rows += [(300 + i, f"{prose(20, rng)} {t.split(' ', 40)[-1]}") for i, t in list(rows) if i >= 200]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 10), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in cut_repeats(docs).collect()}
+    assert got == brute_cut(rows)
+
+
 def test_enhanced_suffix_array_and_intervals():
     data = np.frombuffer(b"abracadabra" * 3 + b"xyz", np.uint8)
     starts = np.arange(len(data))
