@@ -2,10 +2,12 @@
 
 Numbers, names and units become typed placeholders, so a question asked again with other
 values has the same template. Windows of five words, as templates and as they stand, are
-hash-joined between benchmark items and documents. Matches are gathered along each
-alignment of a document with an item; windows with slots count only if each value of the
-item always became the same value of the document. A document is contaminated by an item
-of whose words such windows cover four fifths.
+hash-joined between benchmark items and documents. A template window with too few plain
+words is widened to either side until it has enough. A capital word that opens a sentence
+may be a name or not, so windows over it are templates in both ways. Matches are gathered
+along each alignment of a document with an item; windows with slots count only if each
+value of the item always became the same value of the document. A document is contaminated
+by an item of whose words such windows cover four fifths.
 """
 
 from __future__ import annotations
@@ -74,14 +76,15 @@ class _Words:
 _WORDS = _Words()
 
 
-def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text's words: their numbers, their hashes, those of the template, and the slot type (0: none).
+def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text's words: their numbers, their hashes, those of the template, the slot type (0: none), and whether
+    it may be a name that opens a sentence.
 
     Punctuation is dropped and case folded. A number begins with a digit; a unit follows a number; a name has a
     capital first letter only and does not open a sentence.
     """
     if not text:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, bool)
     ids, h, kind, ends = _WORDS.read(text)
     real = kind != EMPTY
     # Marks that stand alone end a sentence as marks on a word do.
@@ -91,7 +94,7 @@ def canonical(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     slot[kind == NUMBER] = 1
     slot[(kind == UNIT) & np.append(False, kind[:-1] == NUMBER)[: len(kind)]] = 2
     slot[(kind == CAPITAL) & ~opens] = 3
-    return ids, h, np.where(slot > 0, _SLOT[slot], h), slot
+    return ids, h, np.where(slot > 0, _SLOT[slot], h), slot, (kind == CAPITAL) & opens
 
 
 def spelled(ids: np.ndarray) -> list[str]:
@@ -107,9 +110,46 @@ def _combine(h: np.ndarray, k: int, salt: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as many as were asked for."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            base = int(_A[5])
+            self.up, self.down = (np.append(np.uint64(1), np.cumprod(np.full(2 * n, x, np.uint64))) for x in (base, pow(base, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+
+_POWERS = _Powers()
+
+
+def _templates(t: np.ndarray, slot: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, size and hash of the template windows with one slot at least. Those of ``k`` words stand if most
+    are plain; others are widened, once to the right and once to the left, until ``k // 2 + 1`` are."""
+    before = np.append(0, np.cumsum(slot > 0))
+    n = before[k:] - before[:-k]
+    first = np.flatnonzero((n > 0) & (2 * n < k))
+    size, own = np.full(len(first), k), _combine(t, k, 2)[first]
+    dense, plain, need = np.flatnonzero(2 * n >= k), np.flatnonzero(slot == 0), k // 2 + 1
+    if not len(dense) or len(plain) < need:
+        return first, size, own
+    right, left = np.searchsorted(plain, dense) + need - 1, np.searchsorted(plain, dense + k) - need
+    a = np.concatenate([dense[right < len(plain)], plain[left[left >= 0]]])
+    b = np.concatenate([plain[right[right < len(plain)]] + 1, (dense + k)[left >= 0]])
+    a, b = np.divmod(np.unique(a * (len(t) + 1) + b), len(t) + 1)
+    up, down = _POWERS.of(len(t))
+    sums = np.append(np.uint64(0), np.cumsum(t * up))
+    h = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _A[6]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return np.append(first, a), np.append(size, b - a), np.append(own, h ^ (h >> np.uint64(29)))
+
+
 def _windows(key: str, k: int, index: np.ndarray | None):
-    """Rows (key, pos, h, slots) of windows as they stand (no slots) and as templates with one slot at least and
-    more words than slots; of those in ``index`` only, if it is given."""
+    """Rows (key, pos, size, h, slots, loose) of windows as they stand (no slots) and as templates, of those in
+    ``index`` only, if it is given. Loose windows take a capital word that opens a sentence for a name."""
     if index is not None and len(index):
         bits = int(np.ceil(np.log2(len(index) * 64)))
         near = np.zeros(1 << bits, bool)
@@ -128,9 +168,9 @@ def _windows(key: str, k: int, index: np.ndarray | None):
         for batch in batches:
             for c in range(0, batch.num_rows, 500):
                 part = batch.slice(c, 500)
-                keys, pos, hashes, slots = [], [], [], []
+                keys, pos, sizes, hashes, slots, loose = [], [], [], [], [], []
                 for name, text in zip(part.column(key).to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids, h, t, slot = canonical(text)
+                    ids, h, t, slot, opener = canonical(text)
                     if name is None or len(h) < k:
                         continue
                     own = _combine(h, k, 1)
@@ -138,20 +178,32 @@ def _windows(key: str, k: int, index: np.ndarray | None):
                     keys += [name] * len(at)
                     pos += at.tolist()
                     hashes.append(own[at])
+                    sizes += [k] * len(at)
                     slots += [[]] * len(at)
-                    if not slot.any():
-                        continue
-                    n = np.convolve(slot > 0, np.ones(k, np.int64), "valid")
-                    own = _combine(t, k, 2)
-                    at = pick(own)
-                    at = at[(n[at] > 0) & (2 * n[at] < k)]
-                    keys += [name] * len(at)
-                    pos += at.tolist()
-                    hashes.append(own[at])
-                    slots += [spelled(ids[p : p + k][slot[p : p + k] > 0]) for p in at.tolist()]
+                    loose += [False] * len(at)
+                    for names in (False, True):
+                        if names and opener.any():
+                            t, slot = np.where(opener, _SLOT[3], t), np.where(opener, np.int8(3), slot)
+                        elif names or not slot.any():
+                            continue
+                        first, size, own = _templates(t, slot, k)
+                        at = pick(own)
+                        if names:
+                            before = np.append(0, np.cumsum(opener))
+                            at = at[before[first[at] + size[at]] > before[first[at]]]
+                        keys += [name] * len(at)
+                        pos += first[at].tolist()
+                        sizes += size[at].tolist()
+                        hashes.append(own[at])
+                        slots += [spelled(ids[p : p + n][slot[p : p + n] > 0]) for p, n in zip(first[at].tolist(), size[at].tolist(), strict=True)]
+                        loose += [names] * len(at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array(np.concatenate(hashes).view(np.int64) if hashes else [], pa.int64()), pa.array(slots, pa.list_(pa.string()))], [key, "pos", "h", "slots"]
-                )
+                    [
+                        pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(hashes).view(np.int64) if hashes else [], pa.int64()),
+                        pa.array(slots, pa.list_(pa.string())), pa.array(loose, pa.bool_()),
+                    ],
+                    [key, "pos", "size", "h", "slots", "loose"],
+                )
 
     return run
 
@@ -163,7 +215,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, least:
     Items of fewer than ``k`` words, rows without an id and null texts match nothing. Items with equal ids are one.
     """
     ship(docs.sparkSession)
-    schema = "{} bigint, pos int, h bigint, slots array<string>"
+    schema = "{} bigint, pos int, size int, h bigint, slots array<string>, loose boolean"
     items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
     items = stage(items.mapInArrow(_windows("item_id", k, None), schema.format("item_id")))
     n_items = items.groupBy("item_id").agg((F.max("pos") + k).alias("n_item"))
@@ -172,14 +224,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, least:
     if hashes.count() <= _MAX_INDEX:
         index = np.sort(np.array([r["h"] for r in hashes.collect()], np.int64).view(np.uint64))
     seen = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_windows("doc_id", k, index), schema.format("doc_id"))
-    met = stage(seen.join(items.select("item_id", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots")), "h").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots"))
-    # Along an alignment each value of the item must have become one value of the document.
-    values = met.where(F.size("slots") > 0).select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("v")).distinct()
-    each = values.groupBy("doc_id", "item_id", "shift", F.col("v.item_slots").alias("was")).agg(F.count("*").alias("n"), F.max(F.col("v.slots") != F.col("v.item_slots")).alias("other"))
-    slots = each.groupBy("doc_id", "item_id", "shift").agg((F.max("n") == 1).alias("consistent"), F.max("other").alias("other"))
-    kept = met.join(slots, ["doc_id", "item_id", "shift"], "left").where((F.size("slots") == 0) | F.col("consistent"))
-    words = F.array_distinct(F.flatten(F.collect_set(F.sequence("item_pos", F.col("item_pos") + (k - 1)))))
-    covered = kept.groupBy("doc_id", "item_id").agg(F.size(words).alias("n"), F.coalesce(F.max(F.when(F.size("slots") > 0, F.col("other"))), F.lit(False)).alias("changed"))
+    theirs = items.select("item_id", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), F.col("loose").alias("item_loose"))
+    met = stage(seen.join(theirs, "h").select("doc_id", "item_id", "item_pos", "size", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots", (F.col("loose") | F.col("item_loose")).alias("loose")))
+    # Along an alignment each value of the item must have become one value of the document; of loose windows, also together with the others.
+    values = met.where(F.size("slots") > 0).select("doc_id", "item_id", "shift", "loose", F.explode(F.arrays_zip("item_slots", "slots")).alias("v"))
+    values = values.groupBy("doc_id", "item_id", "shift", F.col("v.item_slots").alias("was"), F.col("v.slots").alias("now")).agg(F.min("loose").alias("loose"))
+    other = F.col("now") != F.col("was")
+    each = values.groupBy("doc_id", "item_id", "shift", "was").agg(F.count("*").alias("n"), F.count_if(~F.col("loose")).alias("n_strict"), F.max(other).alias("other"), F.max(other & ~F.col("loose")).alias("other_strict"))
+    slots = each.groupBy("doc_id", "item_id", "shift").agg((F.max("n") == 1).alias("all_consistent"), (F.max("n_strict") <= 1).alias("strict_consistent"), F.max("other").alias("other"), F.max("other_strict").alias("other_strict"))
+    consistent = F.when(F.col("loose"), F.col("all_consistent")).otherwise(F.col("strict_consistent"))
+    changed = F.when(F.size("slots") > 0, F.when(F.col("loose"), F.col("other")).otherwise(F.col("other_strict")))
+    kept = met.join(slots, ["doc_id", "item_id", "shift"], "left").where((F.size("slots") == 0) | consistent)
+    words = F.array_distinct(F.flatten(F.collect_set(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1))))
+    covered = kept.groupBy("doc_id", "item_id").agg(F.size(words).alias("n"), F.coalesce(F.max(changed), F.lit(False)).alias("changed"))
     share = F.col("n") / F.col("n_item")
     return covered.join(n_items, "item_id").where(share >= least).select("doc_id", "item_id", share.alias("coverage"), "changed")
 

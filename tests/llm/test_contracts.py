@@ -397,6 +397,28 @@ def test_one_value_must_stay_one_value(spark):
     assert found[1] == 1.0 and found[2] < 0.8
 
 
+def test_dense_items_and_names_that_open_sentences(spark):
+    items = [
+        (1, "A train covers 12 km in 3 hours and 18 km in 4 hours how far"),
+        (2, "Alice has 5 apples in a basket. Bob has 7 pears in a box. Who has more fruit in the end?"),
+        (3, "17 kg 12 km of rope cost 40 euros 25 cents per 3 m 2 cm"),
+    ]
+    texts = [
+        (1, "A train covers 95 km in 6 hours and 41 km in 2 hours how far"),
+        (2, "Carol has 6 apples in a basket. Dave has 8 pears in a box. Who has more fruit in the end?"),
+        (3, "88 kg 31 km of rope cost 70 euros 99 cents per 5 m 4 cm"),
+        (4, "A boat covers 95 km in 6 hours but 41 km in 2 hours was slow"),
+        (5, "Carol has 6 apples in a basket. Carol has 8 pears in a box. Who has 3 plums of that kind?"),
+        (6, "17 kg 12 km 40 euros 25 cents 3 m 2 cm"),
+    ]
+    rng = random.Random(6)
+    rows = [(i, f"{prose(30, rng)} 4 5. {t} 9 8 {prose(30, rng)}") for i, t in texts] + [(10 + i, t) for i, t in texts]
+    found = {(r["doc_id"], r["item_id"]): r for r in find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(found) == {(i, i % 10) for i in (1, 2, 3, 11, 12, 13)}
+    # "5. A train" reads as five amperes.
+    assert all(r["coverage"] == (15 / 16 if k == (1, 1) else 1.0) and r["changed"] for k, r in found.items())
+
+
 def test_decontaminate_without_rows(spark, empty, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(empty, none).count() == 0
