@@ -197,3 +197,10 @@ def test_append_partitioned(spark, tmp_path):
     assert sorted(r["k"] for r in new.collect()) == [1, 2]  # the overlap reads the newest row again
     append_partitioned(new.select("k", "ts"), path, "ts")
     assert spark.read.parquet(path).where("ingest_date = date '2024-01-02'").count() == 1
+
+
+def test_ungrounded_transaction_ids_and_transcript(spark):
+    df = spark.createDataFrame([(1, "T0123456789AB of £5.00 by C0000001", "5.00", "it is C0000001"), (2, "T0123456789AB", "T0123456789AB", None)], "i int, text string, evidence string, transcript string")
+    got = {r["i"]: r["missing"] for r in text.ungrounded(df, "text", "evidence", "transcript").collect()}
+    assert got == {1: ["T0123456789AB"], 2: []}
+    assert text.ungrounded(df.where("i = 1"), "text", "evidence").first()["missing"] == ["T0123456789AB", "C0000001"]
