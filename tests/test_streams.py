@@ -1,10 +1,13 @@
 import datetime as dt
 import json
+import os
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from fenbrook.sources.versions import VersionStore
-from fenbrook.streaming.calls import late_payment_matches, live_cards
+from fenbrook.streaming.calls import call_events, late_payment_matches, live_cards
 from fenbrook.streaming.cdc_stream import ChangeApplier, Entity, caught_up, run_available
 
 PARENT = Entity("parents", "id", "id string, name string", {}, lambda: {"name_missing": F.col("name").isNotNull()}, lambda df, store: df, ("id", "name", "source_lsn"))
@@ -41,19 +44,19 @@ def test_late_parents_quarantine_and_deletes(spark, tmp_path):
 
     _put(feed, "a", [_msg("children", 1, "c", {"id": "c1", "parent": "p1"}), _msg("parents", 2, "c", {"id": "p0", "name": None}), _msg("children", 3, "c", {"id": "c2", "parent": "p9"})])
     q = go()
-    q.awaitTermination(120)
+    _ended(q)
     assert caught_up(q.lastProgress), [(type(s), s["latestOffset"], s["endOffset"]) for s in q.lastProgress["sources"]]
     assert applier.results[-1].parked == 2 and applier.results[-1].quarantined == {"parents": 1, "children": 0}
     assert store.read("children").count() == 0
 
     now[0] = "2024-01-01 00:20:00"
     _put(feed, "b", [_msg("parents", 4, "c", {"id": "p1", "name": "one"})])
-    go().awaitTermination(120)
+    _ended(go())
     assert [r["id"] for r in store.read("children").collect()] == ["c1"]
     assert applier.results[-1].parked == 0 and applier.results[-1].quarantined["children"] == 1  # c2 waited too long
 
     _put(feed, "c", [_msg("parents", 5, "u", {"id": "p1", "name": "new"}), _msg("parents", 3, "u", {"id": "p1", "name": "old"}), _msg("children", 6, "d", {"id": "c1", "parent": "p1"})])
-    go().awaitTermination(120)
+    _ended(go())
     assert [r["name"] for r in store.read("parents").collect()] == ["new"]
     assert store.read("children").count() == 0
 
@@ -69,19 +72,80 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
         assert store.read_appended("changelog").count() == 2
 
 
-def test_live_cards_come_once_in_order(spark, tmp_path):
-    feed = tmp_path / "calls"
-    feed.mkdir()
-    schema = "call_id bigint, seq bigint, labels array<string>"
-    for k, lines in enumerate([[(1, 2, ["b"]), (1, 1, ["a"])], [(1, 3, ["a", "c"]), (2, 1, ["a"])]]):
-        (feed / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("call_id", "seq", "labels"), x, strict=True))) for x in lines))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"file://{feed}")
-    q = live_cards(stream).writeStream.format("memory").queryName("cards").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(tuple(r) for r in spark.table("cards").collect()) == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "a")]
+def _ended(query):
+    assert query.awaitTermination(120), query.status
+    assert query.exception() is None
+
+
+def _lines(folder, name, lines):
+    """Lines of calls (call, seq, second, labels, ended) as a file that the stream reads in the order of names."""
+    f = folder / f"{name}.json"
+    f.write_text("\n".join(json.dumps({"call_id": c, "seq": s, "ts": f"2024-01-01T00:{t // 60:02}:{t % 60:02}Z", "labels": x, "done": e}) for c, s, t, x, e in lines))
+    os.utime(f, (1_700_000_000 + 60 * name,) * 2)
+
+
+def _calls(spark, folder):
+    return spark.readStream.schema("call_id bigint, seq bigint, ts timestamp, labels array<string>, done boolean").option("maxFilesPerTrigger", 1).json(f"file://{folder}")
 
 
-def test_late_payment_join_plans(spark):
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_live_cards_come_once_in_order(spark, tmp_path, order):
+    """Lines of a call over several micro-batches, in any order of their files."""
+    feed = tmp_path / "calls"
+    feed.mkdir()
+    parts = [
+        [(1, 2, 2, ["b"], False), (1, 1, 1, ["a"], False)],
+        [(1, 3, 3, ["a", "c"], False), (2, 1, 1, ["a"], True), (3, 4, 20, ["d"], False)],
+        [(1, 4, 4, ["c", "d"], False), (1, 3, 3, ["a", "c"], False), (2, 2, 2, None, False)],
+    ]
+    for at, k in enumerate(order):
+        _lines(feed, at, parts[k])
+    name = "cards" + "".join(map(str, order))
+    q = live_cards(_calls(spark, feed), ended="done").writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+    _ended(q)
+    rows = [tuple(r) for r in spark.table(name).collect()]
+    assert [r for r in rows if r[0] == 1] == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (1, 4, "d")]
+    assert [r for r in rows if r[0] != 1] == [(2, 1, "a")]  # the fourth line of call 3 waits for the others
+
+
+def test_open_gaps_and_idle_calls_time_out(spark, tmp_path):
+    """A gap that nobody fills is passed over, a call that was idle or has ended starts anew; events carry JSON."""
+    feed = tmp_path / "calls"
+    feed.mkdir()
+    go = lambda: call_events(live_cards(_calls(spark, feed), idle_ms=600_000, ended="done")).writeStream.format("json").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start(f"file://{tmp_path}/out")
+    seen = lambda: sorted((r["key"], *json.loads(r["value"]).values()) for r in spark.read.json(f"file://{tmp_path}/out").collect())
+    _lines(feed, 0, [(1, 1, 1, ["a"], False), (1, 3, 3, ["c"], False), (5, 1, 3, ["z"], True)])
+    _ended(go())
+    assert seen() == [("1", 1, 1, "a"), ("5", 5, 1, "z")]
+    _lines(feed, 1, [(9, 1, 300, [], False), (5, 1, 300, ["z"], False)])  # moves the watermark past the gap; call 5 again
+    _ended(go())
+    assert seen() == [("1", 1, 1, "a"), ("1", 1, 3, "c"), ("5", 5, 1, "z"), ("5", 5, 1, "z")]
+    _lines(feed, 2, [(9, 2, 2000, [], False)])
+    _ended(go())
+    _lines(feed, 3, [(1, 1, 2001, ["a"], False)])  # idle for over ten minutes: forgotten
+    _ended(go())
+    assert seen().count(("1", 1, 1, "a")) == 2
+
+
+def test_late_payments_as_streams(spark, tmp_path):
+    """A payment that becomes visible in time is matched; a claim without one says so once its wait is over."""
+    t = dt.datetime(2024, 1, 1)
+    feeds = {n: tmp_path / n for n in ("claims", "pays")}
+    for f in feeds.values():
+        f.mkdir()
+    put = lambda n, k, rows: (feeds[n] / f"{k}.json").write_text("\n".join(json.dumps(x) for x in rows))
+    at = lambda s: (t + dt.timedelta(seconds=s)).isoformat()
+    put("claims", 0, [{"claim_id": "c1", "customer_id": "x", "amount": 5.0, "ts": at(0)}, {"claim_id": "c2", "customer_id": "y", "amount": 5.0, "ts": at(0)}, {"claim_id": "c3", "customer_id": "x", "amount": 5.0, "ts": at(600)}])
+    put("pays", 0, [{"txn_id": "t1", "customer_id": "x", "amount": 5.0, "ts": at(8)}, {"txn_id": "t2", "customer_id": "y", "amount": 5.0, "ts": at(30)}, {"txn_id": "t3", "customer_id": "z", "amount": 5.0, "ts": at(600)}])
+    claims = spark.readStream.schema("claim_id string, customer_id string, amount double, ts timestamp").json(f"file://{feeds['claims']}")
+    pays = spark.readStream.schema("txn_id string, customer_id string, amount double, ts timestamp").json(f"file://{feeds['pays']}")
+    q = late_payment_matches(claims, pays).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+    _ended(q)
+    assert {("c1", "t1"), ("c2", None)} <= {(r["claim_id"], r["txn_id"]) for r in spark.table("late").collect()}
+    assert ("c2", "t2") not in {(r["claim_id"], r["txn_id"]) for r in spark.table("late").collect()}
+
+
+def test_late_payment_join_as_batch(spark):
     t = dt.datetime(2024, 1, 1)
     claims = spark.createDataFrame([("c", "x", 5.0, t)], "claim_id string, customer_id string, amount double, ts timestamp")
     pays = spark.createDataFrame([("t1", "x", 5.0, t + dt.timedelta(seconds=8)), ("t2", "x", 5.0, t + dt.timedelta(seconds=30))], "txn_id string, customer_id string, amount double, ts timestamp")
@@ -99,9 +163,8 @@ def test_progress_has_observed_counts(spark, tmp_path):
     spark.streams.addListener(listener)
     try:
         stream = observed(parse_changes(_source(spark, feed), {"parents": "id"}))
-        stream.writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
-        import time
-
+        q = stream.writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+        _ended(q)
         for _ in range(50):
             if listener.batches:
                 break
