@@ -73,3 +73,10 @@ def schema_drift(df: DataFrame, declared: StructType) -> DataFrame:
     both = side(declared, "declared").join(side(df.schema, "live"), "column_name", "full_outer")
     problem = F.when(F.col("live").isNull(), "missing").when(F.col("declared").isNull(), "extra").when(F.col("live") != F.col("declared"), "type")
     return both.select("column_name", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def value_drift(df: DataFrame, declared: dict[str, str]) -> DataFrame:
+    """column_name, declared, unfit, rows: how many values do not convert to the declared type, in one pass."""
+    unfit = lambda c, t: F.count_if(F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` as {t})").isNull())
+    rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("declared"), unfit(c, t).alias("unfit"), F.count("*").alias("rows")) for c, t in declared.items()))
+    return df.agg(rows.alias("r")).select(F.inline("r"))

@@ -52,7 +52,7 @@ def breakdown(auths: DataFrame, dim: str) -> DataFrame:
 
 def compacted_latest(topic: DataFrame, key: str, offset: str) -> DataFrame:
     """What a compacted topic keeps: the value of the highest offset of each key."""
-    return latest_per_key(topic, [key], [F.col(offset).desc()])
+    return latest_per_key(topic, [key], [offset])
 
 
 def fx_convert(amounts: DataFrame, rates: DataFrame, amount: str, currency: str) -> DataFrame:

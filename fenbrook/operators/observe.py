@@ -9,11 +9,22 @@ from pyspark.sql.window import Window
 FAILED = ("unavailable", "error")
 
 
-def nearest_rank(df: DataFrame, by: str, value: str) -> DataFrame:
-    """p50 and p95 by rank, not interpolated: the sorted values at n // 2 and min(n - 1, int(0.95 n))."""
-    ranked = df.select(by, value, F.row_number().over(Window.partitionBy(by).orderBy(value)).alias("rn"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    at = lambda i: F.max(F.when(F.col("rn") == i + 1, F.col(value)))
-    return ranked.groupBy(by).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).alias("p95"))
+def nearest_rank(df: DataFrame, by: str, value: str, cuts: int = 64) -> DataFrame:
+    """p50 and p95 by rank, not interpolated: the sorted values at n // 2 and min(n - 1, int(0.95 n)). Null values do not count.
+
+    Equal values are counted first; ``cuts`` approximate quantiles of each ``by`` deal the distinct values into
+    ranges, so that a window holds one range of one ``by``, and the counts of the ranges say where each begins.
+    """
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(by, value).agg(F.count("*").alias("c"))
+    edges = known.groupBy(by).agg(F.percentile_approx(value, [i / cuts for i in range(1, cuts)], 1000).alias("_edges"), F.count("*").alias("n"))
+    ranged = counts.join(edges, by).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
+    up_to = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ranged.groupBy(by, "_range").agg(F.sum("c").alias("r")).select(by, "_range", F.coalesce(F.sum("r").over(up_to), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(begins, [by, "_range"]).withColumn("_to", F.col("_before") + F.sum("c").over(inside))
+    at = lambda i: F.max(F.when((F.col("_to") - F.col("c") <= i) & (i < F.col("_to")), F.col(value)))
+    return placed.groupBy(by).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))).alias("p95"))
 
 
 def histogram_quantile(df: DataFrame, value: str, bounds: list[float], q: float) -> DataFrame:
@@ -35,33 +46,47 @@ def error_ratio(calls: DataFrame, *by: str) -> DataFrame:
     return calls.groupBy(*by).agg(n.alias("calls"), bad.alias("errors"), F.round(bad / F.greatest(n, F.lit(1)), 6).alias("error_ratio"), F.round(1 - bad / F.greatest(n, F.lit(1)), 6).alias("availability"))
 
 
-def burn_rate(calls: DataFrame, by: str, windows: dict[str, int], budget: float) -> DataFrame:
-    """Per call: the error ratio of each window before it, and whether the fast or the slow burn alert fires.
+def burn_rate(calls: DataFrame, windows: dict[str, int], budget: float, hold: tuple[int, int] = (120, 900), look_back: int = 300) -> DataFrame:
+    """Per second with calls: the error ratio of each window up to it, and whether the fast or the slow burn alert fires.
 
-    ``by`` splits the log (a day, a tool): a window frame runs in one task for each value.
+    An alert fires once its condition has held at all seconds with calls of its hold time (fast, slow), and at the last of
+    the ``look_back`` seconds before that. Time is dealt into slots as long as the longest window, each with the seconds before
+    it that its windows reach, so no window ends at a slot's edge and none holds more than a few hours of seconds.
     """
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000)
     bad = F.when(F.col("outcome").isin(*FAILED), 1).otherwise(0)
-    per_second = calls.withColumn("sec", at).groupBy(by, "sec").agg(F.count("*").alias("n"), F.sum(bad).alias("bad"))
-    out = per_second
+    per_second = calls.groupBy(at.alias("sec")).agg(F.count("*").alias("n"), F.sum(bad).alias("bad"))
+    length = max(windows.values())
+    reach = length + max(hold) + look_back
+    slots = F.sequence(F.floor(F.col("sec") / length), F.floor((F.col("sec") + reach) / length))
+    out = per_second.withColumn("slot", F.explode(slots))
+    w = Window.partitionBy("slot").orderBy("sec")
     for name, seconds in windows.items():
-        w = Window.partitionBy(by).orderBy("sec").rangeBetween(-seconds, 0)
-        out = out.withColumn(name, F.sum("bad").over(w) / F.sum("n").over(w))
-    fast = (F.col("h1") > 14.4 * budget) & (F.col("m5") > 14.4 * budget)
-    slow = (F.col("h6") > 6 * budget) & (F.col("m30") > 6 * budget)
-    return out.select(by, "sec", "n", *(F.round(n, 6).alias(n) for n in windows), fast.alias("fast_burn"), slow.alias("slow_burn"))
+        past = w.rangeBetween(-seconds, 0)
+        out = out.withColumn(name, F.sum("bad").over(past) / F.sum("n").over(past))
+    out = out.withColumns({"_fast": (F.col("h1") > 14.4 * budget) & (F.col("m5") > 14.4 * budget), "_slow": (F.col("h6") > 6 * budget) & (F.col("m30") > 6 * budget)})
+    held = lambda c, s: F.bool_and(c).over(w.rangeBetween(-s, 0)) & F.coalesce(F.last(c).over(w.rangeBetween(-s - look_back, -s)), F.lit(False))
+    out = out.withColumns({"fast_burn": held("_fast", hold[0]), "slow_burn": held("_slow", hold[1])}).where(F.col("slot") == F.floor(F.col("sec") / length))
+    return out.select("sec", "n", *(F.round(n, 6).alias(n) for n in windows), "fast_burn", "slow_burn")
 
 
-def spend_daily(usage: DataFrame, prices: DataFrame, cap: float) -> DataFrame:
-    """Cost of each day and whether it passed the cap; prices are per million tokens, by the longest model prefix or 'default'."""
+def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
+    """``usage`` with its cost: prices are per million tokens, of the first prefix by ``position`` that the model's name
+    starts with, or else of 'default'. ``prices`` is a short fixed list; it meets the distinct models only."""
     fallback = prices.where("prefix = 'default'").select(F.col("price_in").alias("d_in"), F.col("price_out").alias("d_out"))
     named = prices.where("prefix <> 'default'")
     models = usage.select("model").distinct()
-    best = models.join(F.broadcast(named), models["model"].startswith(named["prefix"]), "left").groupBy("model").agg(F.max_by(F.struct("price_in", "price_out"), F.length("prefix")).alias("p"))
-    priced = usage.join(best, "model").join(F.broadcast(fallback))
+    first = models.join(F.broadcast(named), models["model"].startswith(named["prefix"]), "left").groupBy("model").agg(F.min_by(F.struct("price_in", "price_out"), "position").alias("p"))
+    met = usage.join(first, "model").join(F.broadcast(fallback))
     p_in, p_out = F.coalesce("p.price_in", "d_in"), F.coalesce("p.price_out", "d_out")
     cost = (p_in * (F.col("tokens_in") + 0.1 * F.col("cache_read") + 1.25 * F.col("cache_write")) + p_out * F.col("tokens_out")) / 1e6
-    return priced.groupBy("day").agg(F.round(F.sum(cost), 6).alias("cost"), F.count("*").alias("uses")).withColumn("over_cap", F.col("cost") > cap)
+    return met.withColumn("cost", cost).select(*usage.columns, "cost")
+
+
+def spend_daily(usage: DataFrame, prices: DataFrame, cap: float) -> DataFrame:
+    """Cost of each day, summed in whole units of 1e-8 so that the order of rows does not matter, and whether it passed the cap."""
+    total = F.sum(F.round(F.col("cost") * 1e8).cast("bigint")) / 1e8
+    return priced(usage, prices).groupBy("day").agg(total.alias("cost"), F.count("*").alias("uses")).withColumn("over_cap", F.col("cost") > cap)
 
 
 def running_spend(usage: DataFrame) -> DataFrame:
@@ -74,13 +99,19 @@ def rate_by_outcome(calls: DataFrame) -> DataFrame:
     return calls.groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute"), "outcome").agg(F.count("*").alias("calls"))
 
 
-def ingest_rate(log: DataFrame, by: str) -> DataFrame:
-    """Rows a minute: the slope of the running count over each ten minutes."""
-    sec = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    slot = F.floor(sec / 600).cast("bigint")
-    counted = log.withColumn("sec", sec).withColumn("slot", slot)
-    n = F.row_number().over(Window.partitionBy(by, "slot").orderBy("sec"))
-    return counted.withColumn("n", n).groupBy(by, "slot").agg(F.count("*").alias("rows"), F.round(F.regr_slope("n", "sec") * 60, 4).alias("per_minute")).where("rows > 2")
+def ingest_rate(log: DataFrame, by: str, window: int = 600, step: int = 60) -> DataFrame:
+    """Rows a minute at each ``step``: the slope of the running count over the ``window`` seconds before it, which slides.
+
+    The count is scraped once a step: samples of a window are the counts at its steps. Windows with fewer than two
+    samples have no slope.
+    """
+    scrape = F.ceil(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / step) * step
+    seen = log.groupBy(by, scrape.cast("bigint").alias("sec")).agg(F.count("*").alias("c"))
+    # A running count of months is not needed for a slope: each window starts counting at its first step.
+    samples = seen.withColumn("at", F.explode(F.sequence(F.col("sec"), F.col("sec") + window - step, F.lit(step))))
+    ordered = Window.partitionBy(by, "at").orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
+    run = samples.withColumn("n", F.sum("c").over(ordered))
+    return run.groupBy(by, "at").agg(F.sum("c").alias("rows"), F.count("*").alias("samples"), F.round(F.regr_slope("n", (F.col("sec") - F.col("at")).cast("double")) * 60, 4).alias("per_minute")).where("samples > 1")
 
 
 def ingest_lag(topic: DataFrame, table: DataFrame, on: str) -> DataFrame:
@@ -91,6 +122,23 @@ def ingest_lag(topic: DataFrame, table: DataFrame, on: str) -> DataFrame:
     return both.select(on, "messages", "records", lag.alias("lag"), F.when(F.col("records").isNull(), "absent").when(lag < 0, "duplicates").when(lag > 0, "behind").otherwise("even").alias("state"))
 
 
+def backlog(lags: DataFrame, group: str) -> DataFrame:
+    """Messages that each group of consumers is behind, over all its topics; topics that hold too many do not offset others."""
+    return lags.groupBy(group).agg(F.sum(F.greatest("lag", F.lit(0))).alias("backlog"), F.count_if(F.col("lag") > 0).alias("topics_behind"))
+
+
+def fleet_summary(watched: DataFrame, as_of: str) -> DataFrame:
+    """One row of all watched tables: observed, unreadable (there, but not observed), duplicated, the worst lag, and the
+    minutes since the oldest of the last commits. ``watched`` has exists, observed, committed_at, records, topic_records."""
+    lag = F.when(F.col("observed"), F.col("topic_records") - F.col("records"))
+    now = F.lit(as_of).cast("timestamp_ntz").cast("timestamp")
+    age = (F.unix_micros(now) - F.unix_micros(F.col("committed_at").cast("timestamp"))) / 60e6
+    return watched.agg(
+        F.count_if("observed").alias("observed"), F.count_if(~F.col("observed") & F.col("exists")).alias("unreadable"), F.count_if(~F.col("exists")).alias("absent"),
+        F.count_if(lag < 0).alias("duplicated"), F.coalesce(F.max(lag), F.lit(0)).alias("worst_lag"), F.round(F.max(F.when(F.col("observed"), age)), 3).alias("minutes_since_commit"),
+    )
+
+
 def freshness_state(age: Column, limit: Column) -> Column:
     return F.when(age.isNull() | limit.isNull(), "unknown").when(age <= limit, "fresh").when(age <= 2 * limit, "late").otherwise("stale")
 

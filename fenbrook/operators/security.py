@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fenbrook.sources.shared import ship
+
 
 @dataclass(frozen=True)
 class Persona:
@@ -87,6 +93,40 @@ def secure_view(df: DataFrame, table: str, user: str, e: Entitlements) -> DataFr
     return df.withColumns(masks) if masks else df
 
 
+def explain_policy(table: str, user: str, columns: list[str], e: Entitlements) -> dict:
+    """What holds for ``user`` on these columns of a table: the brands that rows are kept of, and the tag of each masked column."""
+    name, brands = e.users.get(user, ("", ()))
+    persona = e.personas.get(name)
+    scoped = table in e.brand_scoped and "*" not in brands
+    tags = {c: t for c, t in e.tags.get(table, {}).items() if c in columns}
+    masked = {c: t for c, t in tags.items() if persona and mask(t, c, "string", persona.pii, persona.special_category) is not None}
+    return {"row_filter": {"brand": list(brands)} if scoped else None, "masked": masked}
+
+
+def governed_answer(store, table: str, user: str, e: Entitlements, ask: Callable[[DataFrame], DataFrame], maintained_by: str, queried_at: dt.datetime) -> tuple[list[dict], dict]:
+    """The rows of a lookup (a small answer) on the version that is current now, as ``user`` may see them, and where they come from.
+
+    The record has the table and what maintains it, the version, its commit, its age at the query and its run, who
+    asked, how many rows came back, and the filter and masks that held. ``store`` is a VersionStore.
+    """
+    facts = store.facts(table)
+    source = store.read(table, facts["version"]) if facts else None
+    if source is None:
+        raise LookupError(f"{table} has no version")
+    out = ask(secure_view(source, table, user, e))
+    rows = [r.asDict(recursive=True) for r in out.collect()]
+    snapshot = {
+        "id": facts["version"],
+        "committed_at": facts["at"].isoformat(),
+        "committed_seconds_before_query": round((queried_at - facts["at"]).total_seconds(), 1),
+        "committed_by": facts["run_id"],
+        "operation": facts["operation"],
+        "summary": facts["summary"],
+    }
+    asked = {"as_user": user, "pinned_to_snapshot": True, "rows": len(rows)}
+    return rows, {"table": table, "maintained_by": maintained_by, "snapshot": snapshot, "query": asked, "policy": explain_policy(table, user, out.columns, e)}
+
+
 def check_derived(columns: list[str], table: str, e: Entitlements) -> None:
     """A derived view may not select a tagged column."""
     if tagged := sorted(set(columns) & set(e.tags.get(table, {}))):
@@ -108,27 +148,75 @@ def _row_text(columns: list[str]) -> Column:
     return F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
 
 
-def append_chain(df: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:
-    """Adds prev_hash and row_hash: sha256 of the previous hash and the row, along ``seq`` of each ``key``.
+GENESIS = "genesis"
 
-    A chain is sequential, so the key bounds the work of a task: one log of a day, say.
-    """
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq), _row_text(columns).alias("text"), F.struct(*df.columns).alias("row")))).alias("rows"))
-    folded = F.aggregate(
-        "rows",
-        F.struct(F.lit("genesis").alias("last"), F.array().cast("array<struct<prev_hash:string,row_hash:string>>").alias("out")),
-        lambda s, r: F.struct(
-            F.sha2(F.concat(s["last"], F.lit("|"), r["text"]), 256).alias("last"),
-            F.concat(s["out"], F.array(F.struct(s["last"].alias("prev_hash"), F.sha2(F.concat(s["last"], F.lit("|"), r["text"]), 256).alias("row_hash")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return rows.select(F.explode(F.arrays_zip("rows", folded.alias("hashes"))).alias("z")).select("z.rows.row.*", "z.hashes.prev_hash", "z.hashes.row_hash")
+
+def _sha(*parts: str) -> str:
+    return hashlib.sha256("|".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _segmented(df: DataFrame, key: str, seq: str, columns: list[str], segment: int) -> DataFrame:
+    return df.withColumns({"_segment": F.floor(F.col(seq) / segment).cast("bigint"), "_text": _row_text(columns)})
 
 
-def verify_chain(df: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:
-    """key, rows, first_broken: the first seq whose hashes do not follow, or null."""
-    w = Window.partitionBy(key).orderBy(seq)
-    before = F.coalesce(F.lag("row_hash").over(w), F.lit("genesis"))
-    good = (F.col("prev_hash") == before) & (F.col("row_hash") == F.sha2(F.concat(F.col("prev_hash"), F.lit("|"), _row_text(columns)), 256))
-    return df.withColumn("_ok", F.coalesce(good, F.lit(False))).groupBy(key).agg(F.count("*").alias("rows"), F.min(F.when(~F.col("_ok"), F.col(seq))).alias("first_broken"))
+def _heads(rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """(key, segment, head): the hash that the first row of each segment follows.
+
+    A key's first segment follows the genesis; any other sha256(head of the segment before | its digest), where the digest is
+    the sha256 of the segment's row hashes in order. Heads are one small row for each segment.
+    """
+    ship(rows.sparkSession)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq), F.sha2("_text", 256).alias("h"))))
+    digests = rows.groupBy(key, "_segment").agg(F.sha2(F.array_join(F.transform(ordered, lambda r: r["h"]), ""), 256).alias("digest"))
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, head = object(), ""
+        for batch in batches:
+            out = []
+            for k, digest in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if k != last:
+                    last, head = k, GENESIS
+                out.append(head)
+                head = _sha(head, digest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], [key, "_segment", "head"])
+
+    kind = dict(rows.dtypes)[key]
+    return digests.repartition(key).sortWithinPartitions(key, "_segment").mapInArrow(chain, f"{key} {kind}, _segment bigint, head string")
+
+
+def append_chain(df: DataFrame, key: str, seq: str, columns: list[str], segment: int = 10_000) -> DataFrame:
+    """Adds prev_hash and row_hash: sha256 of the previous hash and the row, along the number ``seq`` of each ``key``.
+
+    A chain is sequential, so it is cut into segments of ``segment`` numbers, which are chained in tasks of their own, row
+    by row; the first row of each follows the segment's head (``_heads``). A key whose numbers lie in one segment is one plain
+    chain from the genesis. Rows of a key with equal numbers are ordered by their text.
+    """
+    rows = _segmented(df, key, seq, columns, segment)
+    joined = rows.join(_heads(rows, key, seq), [key, "_segment"])
+
+    own = df.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, prev = object(), ""
+        for batch in batches:
+            before, after = [], []
+            for k, s, text, head in zip(*(batch.column(c).to_pylist() for c in (key, "_segment", "_text", "head")), strict=True):
+                if (k, s) != last:
+                    last, prev = (k, s), head
+                before.append(prev)
+                prev = _sha(prev, text)
+                after.append(prev)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(before, pa.string()), pa.array(after, pa.string())], [*own, "prev_hash", "row_hash"])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*df.dtypes, ("prev_hash", "string"), ("row_hash", "string")])
+    return joined.repartition(key, "_segment").sortWithinPartitions(key, "_segment", seq, "_text").mapInArrow(fold, schema)
+
+
+def verify_chain(df: DataFrame, key: str, seq: str, columns: list[str], segment: int = 10_000) -> DataFrame:
+    """key, rows, first_broken: the first seq whose hashes do not follow, or null. A window holds one segment."""
+    rows = _segmented(df, key, seq, columns, segment)
+    w = Window.partitionBy(key, "_segment").orderBy(seq, "_text")
+    before = F.coalesce(F.lag("row_hash").over(w), F.col("head"))
+    good = (F.col("prev_hash") == before) & (F.col("row_hash") == F.sha2(F.concat(F.col("prev_hash"), F.lit("|"), "_text"), 256))
+    checked = rows.join(_heads(rows, key, seq), [key, "_segment"]).withColumn("_ok", F.coalesce(good, F.lit(False)))
+    return checked.groupBy(key).agg(F.count("*").alias("rows"), F.min(F.when(~F.col("_ok"), F.col(seq))).alias("first_broken"))

@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 
 from fenbrook.operators import cdc, contract, dq, gold, lookups, markets, observe, security, text
 from fenbrook.sources import feeds, versions
+from fenbrook.streaming import calls
 
-from . import shapes
+from . import lake, shapes
 from .shapes import BANK_DAY, BRANDS, CURRENCIES, EVENT_DAY, STATUSES, read, twin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +37,7 @@ def customers_checked(s: SparkSession, d: str) -> DataFrame:
 
 
 def customers(s: SparkSession, d: str) -> DataFrame:
-    return contract.split(customers_checked(s, d))[0]
+    return lake.table(s, d, "silver.customers", lambda s, d: contract.split(customers_checked(s, d))[0])
 
 
 def accounts_checked(s: SparkSession, d: str) -> DataFrame:
@@ -44,12 +45,11 @@ def accounts_checked(s: SparkSession, d: str) -> DataFrame:
 
 
 def accounts(s: SparkSession, d: str) -> DataFrame:
-    return contract.split(accounts_checked(s, d))[0]
+    return lake.table(s, d, "silver.accounts", lambda s, d: contract.split(accounts_checked(s, d))[0])
 
 
 def transactions(s: SparkSession, d: str) -> DataFrame:
-    order = [F.col(c).desc() for c in ("txn_ts", "amount", "version", "tie")]
-    return contract.latest_per_key(shapes.raw_transactions(s, d), ["txn_id"], order).drop("version", "tie")
+    return contract.latest_per_key(shapes.raw_transactions(s, d), ["txn_id"], ["txn_ts", "amount", "version", "tie"]).drop("version", "tie")
 
 
 def transactions_checked(s: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def transactions_checked(s: SparkSession, d: str) -> DataFrame:
 
 
 def txns(s: SparkSession, d: str) -> DataFrame:
-    return contract.split(transactions_checked(s, d))[0]
+    return lake.table(s, d, "silver.transactions", lambda s, d: contract.split(transactions_checked(s, d))[0])
 
 
 def complaints_checked(s: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,7 @@ def complaints_checked(s: SparkSession, d: str) -> DataFrame:
 
 
 def complaints(s: SparkSession, d: str) -> DataFrame:
-    return contract.split(complaints_checked(s, d))[0]
+    return lake.table(s, d, "silver.complaints", lambda s, d: contract.split(complaints_checked(s, d))[0])
 
 
 def _double(df: DataFrame, *columns: str) -> DataFrame:
@@ -78,12 +78,12 @@ def _double(df: DataFrame, *columns: str) -> DataFrame:
 
 
 @query(
-    """select event_id, user_id, event_type from events where ts > (select max(ts) from events where event_id % 3 = 0 and ts < timestamp '2024-01-20') - interval 10 minutes"""
+    """select event_id, user_id, event_type, 'run-1' as _run_id, 'events' as _source from events where ts > (select max(ts) from events where event_id % 3 = 0 and ts < timestamp '2024-01-20') - interval 10 minutes"""
 )
 def bronze_incremental(s, d):
     e = read(s, d, "events")
     done = e.where("event_id % 3 = 0 and ts < timestamp_ntz '2024-01-20'")
-    return feeds.incremental(e, done, "ts", "10 MINUTES", "run-1", EVENT_DAY).select("event_id", "user_id", "event_type")
+    return feeds.incremental(e, done, "ts", "10 MINUTES", "run-1", EVENT_DAY, "events").select("event_id", "user_id", "event_type", "_run_id", "_source")
 
 
 @query("select product, ts, cast(price as double) as price, cast(size as bigint) as size from trades")
@@ -143,11 +143,11 @@ def _changes(s, d):
     return cdc.parse_changes(shapes.change_stream(s, d), {"limits": "customer_id"})
 
 
-_SCHEMA = "customer_id string, credit_limit string, as_of_day int, state string"
+_SCHEMA = "customer_id string, credit_limit string, as_of_day int, state string, updated_ms bigint"
 
 
 def _typed(s, d):
-    casts = {"credit_limit": F.expr("try_cast(credit_limit as decimal(18,2))"), "as_of_day": F.expr("date_add(date '1970-01-01', as_of_day)")}
+    casts = {"credit_limit": F.expr("try_cast(credit_limit as decimal(18,2))"), "as_of_day": F.expr("date_add(date '1970-01-01', as_of_day)"), "updated_at": F.timestamp_millis("updated_ms").cast("timestamp_ntz")}
     return cdc.type_changes(_changes(s, d), _SCHEMA, casts)
 
 
@@ -175,7 +175,7 @@ def cdc_lag(s, d):
 
 
 def _latest_change(s, d):
-    return contract.latest_per_key(_typed(s, d), ["customer_id"], [F.col("source_lsn").desc(), F.col("offset").desc()])
+    return contract.latest_per_key(_typed(s, d), ["customer_id"], ["source_lsn", "offset"])
 
 
 _NEWEST = "newest as (select * exclude (rn) from (select *, row_number() over (partition by customer_id order by lsn desc) as rn from changes) where rn = 1)"
@@ -214,55 +214,63 @@ def cdc_work_set(s, d):
     return both.agg(F.count("*").alias("rows"), F.count("first_seen_at").alias("parked"))
 
 
-@query("""select 'changelog' as stage, lsn as n, op as detail from changes where customer_id = 'C0000008'
-    union all select 'quarantine', lsn, case when state is null then 'state_missing' else 'limit_unreadable' end from changes where customer_id = 'C0000008' and (state is null or credit_limit is null)""")
+_TRACED = "customer_id in ('C0000008', 'C0000083', 'C0000166')"
+
+
+@query(
+    f"""with seen as (select lsn, op, customer_id, ts, brand, list_filter([case when brand is null then 'orphan_customer' end, case when state is null then 'state_missing' end, case when credit_limit is null then 'limit_unreadable' end], lambda x: x is not null) as why
+        from changes left join customers using (customer_id) where {_TRACED})
+    select customer_id, 1 as step, 'changelog' as stage, lsn as n, op as detail from seen
+    union all select customer_id, 2, 'quarantine', lsn, array_to_string(why, ',') from seen where len(why) > 0 and not (why = ['orphan_customer'] and ts > timestamp '{EVENT_DAY}' - interval 15 days)
+    union all select customer_id, 3, 'pending', lsn, cast(cast(ts as date) as varchar) from seen where why = ['orphan_customer'] and ts > timestamp '{EVENT_DAY}' - interval 15 days"""
+)
 def trace_key(s, d):
-    c = _checked_changes(s, d).where("customer_id = 'C0000008'")
-    first = F.get(F.filter("_violations", lambda v: v != "orphan_customer"), 0)
-    log = c.select(F.lit("changelog").alias("stage"), F.col("source_lsn").alias("n"), F.col("op").alias("detail"))
-    return log.union(c.select(F.lit("quarantine"), "source_lsn", first).where(first.isNotNull()))
+    """What became of a key's changes, in order: they arrived, were rejected, or wait for their parent since when."""
+    seen = _checked_changes(s, d).where(_TRACED).join(read(s, d, "events").select(F.col("event_id").alias("source_lsn"), "ts"), "source_lsn")
+    pending = contract.waiting(seen, "ts", EVENT_DAY, "15 DAYS")
+    rejected = seen.where(F.size("_violations") > 0).join(pending.select("source_lsn"), "source_lsn", "left_anti")
+    part = lambda df, step, stage, detail: df.select("customer_id", F.lit(step).alias("step"), F.lit(stage).alias("stage"), F.col("source_lsn").alias("n"), detail.alias("detail"))
+    return cdc.union_all([part(seen, 1, "changelog", F.col("op")), part(rejected, 2, "quarantine", F.array_join("_violations", ",")), part(pending, 3, "pending", F.to_date("ts").cast("string"))])
 
 
 def _limits(s, d):
-    """The table before a batch: what every third customer had."""
-    return read(s, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("C"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("customer_id"), F.col("c_acctbal").alias("credit_limit"), (F.col("c_custkey") * 50).alias("lsn"))
+    """The table before a batch: what every third customer had, as of some day."""
+    at = F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(cast(c_custkey * 7 % 30 as int))")
+    return read(s, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("C"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("customer_id"), F.col("c_acctbal").alias("credit_limit"), at.alias("updated_at"))
 
 
-_BEFORE = "before as (select 'C' || lpad(cast(c_custkey as varchar), 7, '0') as customer_id, c_acctbal as credit_limit, c_custkey * 50 as lsn from customer where c_custkey % 3 = 0)"
+_BEFORE = "before as (select 'C' || lpad(cast(c_custkey as varchar), 7, '0') as customer_id, c_acctbal as credit_limit, timestamp '2024-01-01' + to_days(cast(c_custkey * 7 % 30 as int)) as updated_at from customer where c_custkey % 3 = 0)"
 
 
-@query(
-    f"""with {_NEWEST}, {_BEFORE} select coalesce(b.customer_id, n.customer_id) as customer_id,
-        case when n.lsn is not null and (b.lsn is null or n.lsn >= b.lsn) then cast(n.credit_limit as double) else b.credit_limit end as credit_limit,
-        case when n.lsn is not null and (b.lsn is null or n.lsn >= b.lsn) then n.lsn else b.lsn end as lsn
-    from before b full join newest n on b.customer_id = n.customer_id"""
-)
+def _merged_sql(source: str, newer: str, columns: dict[str, str]) -> str:
+    """After a merge: the newer of the two where a change is there, and no row that a change deletes."""
+    take = f"n.customer_id is not null and (b.customer_id is null or n.updated_at {newer} b.updated_at)"
+    return "select coalesce(b.customer_id, n.customer_id) as customer_id, " + ", ".join(f"case when {take} then {n} else b.{c} end as {c}" for c, n in columns.items()) + f" from before b full join {source} n on b.customer_id = n.customer_id"
+
+
+_LIMIT = {"credit_limit": "cast(n.credit_limit as double)", "updated_at": "n.updated_at"}
+
+
+@query(f"with {_NEWEST}, {_BEFORE} {_merged_sql('newest', '>=', _LIMIT)}")
 def merge_batch(s, d):
-    source = _double(_latest_change(s, d), "credit_limit").withColumnRenamed("source_lsn", "lsn")
-    return cdc.merge(_limits(s, d), source, "customer_id", "lsn")
+    return cdc.merge(_limits(s, d), _double(_latest_change(s, d), "credit_limit"), "customer_id", "updated_at")
 
 
-@query(
-    f"""with {_NEWEST}, {_BEFORE} select coalesce(b.customer_id, n.customer_id) as customer_id,
-        case when n.lsn is not null and (b.lsn is null or n.lsn > b.lsn) then cast(n.credit_limit as double) else b.credit_limit end as credit_limit,
-        case when n.lsn is not null and (b.lsn is null or n.lsn > b.lsn) then n.lsn else b.lsn end as lsn
-    from before b full join newest n on b.customer_id = n.customer_id where n.op is null or n.op <> 'd'"""
-)
+@query(f"with {_NEWEST}, {_BEFORE} {_merged_sql('newest', '>', _LIMIT)} where n.op is null or n.op <> 'd'")
 def merge_cdc(s, d):
-    source = _double(_latest_change(s, d), "credit_limit").withColumnRenamed("source_lsn", "lsn")
-    upserts, gone = source.where("op <> 'd'"), source.where("op = 'd'").select("customer_id", "lsn", "op")
-    return cdc.merge(_limits(s, d), cdc.union_all([upserts.select("customer_id", "credit_limit", "lsn", "op"), gone]), "customer_id", "lsn", inclusive=False, op="op")
+    source = _double(_latest_change(s, d), "credit_limit")
+    upserts, gone = source.where("op <> 'd'"), source.where("op = 'd'").select("customer_id", "op")
+    return cdc.merge(_limits(s, d), cdc.union_all([upserts.select("customer_id", "credit_limit", "updated_at", "op"), gone]), "customer_id", "updated_at", inclusive=False, op="op")
 
 
 @query(
     f"""with {_NEWEST}, {_BEFORE}, good as (select n.* from newest n left join customers c using (customer_id) where n.op = 'd' or (c.brand is not null and n.state is not null and n.credit_limit is not null))
-    select coalesce(b.customer_id, n.customer_id) as customer_id, case when n.lsn is not null and (b.lsn is null or n.lsn > b.lsn) then n.lsn else b.lsn end as lsn
-    from before b full join good n on b.customer_id = n.customer_id where n.op is null or n.op <> 'd'"""
+    {_merged_sql('good', '>', {"updated_at": "n.updated_at"})} where n.op is null or n.op <> 'd'"""
 )
 def cdc_end_to_end(s, d):
-    checked = contract.latest_per_key(_checked_changes(s, d), ["customer_id"], [F.col("source_lsn").desc()]).withColumnRenamed("source_lsn", "lsn")
+    checked = contract.latest_per_key(_checked_changes(s, d), ["customer_id"], ["source_lsn"])
     good = checked.where("op = 'd'").union(checked.where((F.col("op") != "d") & (F.size("_violations") == 0)))
-    return cdc.merge(_limits(s, d), _double(good, "credit_limit").select("customer_id", "credit_limit", "lsn", "op"), "customer_id", "lsn", inclusive=False, op="op").select("customer_id", "lsn")
+    return cdc.merge(_limits(s, d), _double(good, "credit_limit").select("customer_id", "credit_limit", "updated_at", "op"), "customer_id", "updated_at", inclusive=False, op="op").select("customer_id", "updated_at")
 
 
 # --- contract and quarantine ---
@@ -302,14 +310,15 @@ def contract_violations(s, d):
 
 @query("select txn_id, customer_id, brand, cast(amount as double) as amount from txns")
 def silver_good(s, d):
-    return _double(txns(s, d), "amount").select("txn_id", "customer_id", "brand", "amount")
+    return _double(contract.split(transactions_checked(s, d))[0], "amount").select("txn_id", "customer_id", "brand", "amount")
 
 
-@query(f"select entity, record_key, reasons from ({_ALL_CHECKED}) where reasons <> ''")
+@query(f"select entity, record_key, reasons, md5(record_key) as payload_key from ({_ALL_CHECKED}) where reasons <> ''")
 def quarantine_rows(s, d):
     parts = ((customers_checked, "customers", "customer_id"), (accounts_checked, "accounts", "account_id"), (transactions_checked, "transactions", "txn_id"), (complaints_checked, "complaints", "complaint_id"))
     rows = [contract.quarantine_rows(contract.split(f(s, d))[1], entity, key, "run-1", BANK_DAY) for f, entity, key in parts]
-    return cdc.union_all(rows).select("entity", "record_key", F.array_join("reasons", ",").alias("reasons"))
+    own = F.coalesce(*(F.when(F.col("entity") == entity, F.get_json_object("payload", f"$.{key}")) for _, entity, key in parts))
+    return cdc.union_all(rows).select("entity", "record_key", F.array_join("reasons", ",").alias("reasons"), F.md5(own.cast("binary")).alias("payload_key"))
 
 
 @query("select count(*) as rows, count(*) filter (where reasons <> '') as bad, round(count(*) filter (where reasons <> '') / count(*), 6) as rate from transactions_checked")
@@ -358,10 +367,15 @@ def last_complaint(s, d):
     return gold.complaint_history(complaints(s, d)).drop("open_complaints", "total_complaints", "fos_referrals")
 
 
-def _gold(s, d):
+def _built_gold(s, d):
     return gold.customer_360(customers(s, d), accounts(s, d), txns(s, d), complaints(s, d), BANK_DAY)
 
 
+def _gold(s, d):
+    """The published product, hash-partitioned and sorted by its key."""
+    return lake.table(s, d, "gold.customer_360", lambda s, d: gold.laid_out(_built_gold(s, d), "customer_id"))
+
+
 _GOLD = f"""select c.customer_id, brand, first_name, last_name, date_of_birth, email, phone, postcode, region, segment, vulnerability_flag, customer_since,
     products_held, coalesce(open_accounts, 0) as open_accounts, deposit_balance, lending_balance, has_frozen_account, coalesce(txn_count_30d, 0) as txn_count_30d, spend_30d,
     coalesce(reversed_txn_30d, 0) as reversed_txn_30d, last_txn_ts, coalesce(open_complaints, 0) as open_complaints, coalesce(total_complaints, 0) as total_complaints, coalesce(fos_referrals, 0) as fos_referrals,
@@ -371,13 +385,13 @@ _GOLD = f"""select c.customer_id, brand, first_name, last_name, date_of_birth, e
 
 @query(_GOLD)
 def customer_360(s, d):
-    return _double(_held(_gold(s, d)), "spend_30d")
+    return _double(_held(_built_gold(s, d)), "spend_30d")
 
 
 @query()
 def gold_layout_stats(s, d):
-    """Rows and key range of each partition of the laid-out product: what a lookup can skip by."""
-    laid = gold.laid_out(_gold(s, d).select("customer_id"), "customer_id").withColumn("part", F.spark_partition_id())
+    """Rows and key range of each file of the published product: what a lookup can skip by."""
+    laid = _gold(s, d).select("customer_id", F.regexp_extract(F.input_file_name(), r"part-0*(\d+)", 1).cast("int").alias("part"))
     return laid.groupBy("part").agg(F.count("*").alias("rows"), F.min("customer_id").alias("first"), F.max("customer_id").alias("last"))
 
 
@@ -386,9 +400,10 @@ def point_lookup(s, d):
     return _gold(s, d).where("customer_id = 'C0000004'").select("customer_id", "brand", "region", "open_accounts", "total_complaints")
 
 
-@query("select (select count(*) from customers) as silver_rows, (select count(*) from customers) as gold_rows, true as equal")
+@query("""select (select count(*) from customers) as silver_rows, (select count(distinct c.customer_id) from customers c left join accounts a using (customer_id) left join complaints p on p.customer_id = c.customer_id) as gold_rows,
+    (select count(*) from customers) = (select count(distinct customer_id) from customers) as equal""")
 def row_count_match(s, d):
-    a, b = customers(s, d).agg(F.count("*").alias("silver_rows")), _gold(s, d).agg(F.count("*").alias("gold_rows"))
+    a, b = customers(s, d).agg(F.count("*").alias("silver_rows")), _built_gold(s, d).agg(F.count("*").alias("gold_rows"))
     return a.join(F.broadcast(b)).withColumn("equal", F.col("silver_rows") == F.col("gold_rows"))  # one row each
 
 
@@ -494,13 +509,20 @@ def relational_tests(s, d):
     )
 
 
-@query("select * from (values ('o_totalprice', 'type'), ('o_comment', 'missing'), ('o_orderpriority', 'extra')) t(column_name, problem) where exists (select 1 from orders)")
+@query("""select column_name, problem, (select count(*) from orders) as rows from (values ('o_totalprice', 'type'), ('o_comment', 'missing'), ('o_orderpriority', 'extra')) t(column_name, problem)""")
 def schema_drift(s, d):
     from pyspark.sql.types import DataType
 
     orders = read(s, d, "orders")
     declared = DataType.fromDDL("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice decimal(18,2), o_orderdate timestamp_ntz, o_comment string")
-    return dq.schema_drift(orders, declared)
+    return dq.schema_drift(orders, declared).join(F.broadcast(orders.agg(F.count("*").alias("rows"))))  # one row
+
+
+@query("""select 'o_orderkey' as column_name, 'int' as declared, count(*) filter (where try_cast(o_orderkey as int) is null) as unfit, count(*) as rows from orders
+    union all select 'o_orderpriority', 'int', count(*) filter (where try_cast(o_orderpriority as int) is null), count(*) from orders
+    union all select 'o_totalprice', 'decimal(8,2)', count(*) filter (where try_cast(o_totalprice as decimal(8,2)) is null), count(*) from orders""")
+def value_drift(s, d):
+    return dq.value_drift(read(s, d, "orders"), {"o_orderkey": "int", "o_orderpriority": "int", "o_totalprice": "decimal(8,2)"})
 
 
 # --- governance ---
@@ -540,20 +562,21 @@ def mask_then_filter(s, d):
     return v.agg(F.count_if(F.col("postcode") == "AB3 3CD").alias("exact"), F.count_if(F.col("postcode") == "AB3").alias("outward"))
 
 
-def _access_sql() -> str:
-    """Unpivots the same configuration in SQL."""
-    personas = ", ".join(f"('{n}', '{p.pii}', {str(p.special_category).lower()}, {sorted(p.schemas)!r})" for n, p in E_BANK.personas.items())
-    tags = ", ".join(f"('{t}', '{c}', '{g}')" for t, cs in E_BANK.tags.items() for c, g in cs.items())
-    return f"""select persona, table_name, column_name, case when not list_contains(schemas, split_part(table_name, '.', 1)) then 'unreadable'
-        when (tag = 'special_category' and not special) or (pii = 'none' and tag in ('pii.contact', 'pii.dob', 'pii.raw_record')) or (tag = 'pii.raw_record' and pii <> 'full') then 'hidden'
-        when tag = 'special_category' or pii = 'full' or (tag = 'pii.name' and pii = 'partial') then 'visible' else 'masked' end as access,
-        (select count(*) from customers) as customers from (values {personas}) p(persona, pii, special, schemas), (values {tags}) t(table_name, column_name, tag)"""
+# What each persona gets to see of the customers' columns, written out: cells that are visible, masked and hidden.
+_CELLS = """select persona, column_name, access, case when persona = 'contact_centre' then m else n end as cells from (
+    select (select count(*) from customers) as n, (select count(*) from customers where brand = 'Meridian') as m) c, (values
+    ('analyst', 'date_of_birth', 'hidden'), ('analyst', 'email', 'hidden'), ('analyst', 'first_name', 'masked'), ('analyst', 'last_name', 'masked'), ('analyst', 'phone', 'hidden'), ('analyst', 'postcode', 'masked'), ('analyst', 'vulnerability_flag', 'hidden'),
+    ('contact_centre', 'date_of_birth', 'masked'), ('contact_centre', 'email', 'masked'), ('contact_centre', 'first_name', 'visible'), ('contact_centre', 'last_name', 'visible'), ('contact_centre', 'phone', 'masked'), ('contact_centre', 'postcode', 'masked'), ('contact_centre', 'vulnerability_flag', 'visible'),
+    ('platform_admin', 'date_of_birth', 'visible'), ('platform_admin', 'email', 'visible'), ('platform_admin', 'first_name', 'visible'), ('platform_admin', 'last_name', 'visible'), ('platform_admin', 'phone', 'visible'), ('platform_admin', 'postcode', 'visible'), ('platform_admin', 'vulnerability_flag', 'visible')) a(persona, column_name, access)"""
 
 
-@query(_access_sql())
+@query(_CELLS)
 def access_matrix(s, d):
-    n = customers(s, d).agg(F.count("*").alias("customers"))
-    return security.access_matrix(s, E_BANK).join(F.broadcast(n))  # one row
+    """The matrix of the product's tagged columns, with the cells that a user of each persona reads through the view."""
+    matrix = security.access_matrix(s, E_BANK).where("table_name = 'gold.customer_360'")
+    users = {"analyst": "carol", "contact_centre": "alice", "platform_admin": "ops_admin"}
+    cells = cdc.union_all([_view(s, d, user).agg(F.count("*").alias("cells")).select(F.lit(p).alias("persona"), "cells") for p, user in users.items()])
+    return matrix.join(F.broadcast(cells), "persona").select("persona", "column_name", "access", "cells")  # a row for each persona
 
 
 _CHAIN = ["event_id", "event_type", "user_id"]
@@ -564,7 +587,17 @@ def _chain(s, d):
     return security.append_chain(log, "day", "event_id", _CHAIN)
 
 
-@query()
+#: The chain hash by hash, with the heads of its segments, as recursive SQL.
+_CHAIN_SQL = """with recursive e as (select cast(cast(ts as date) as varchar) as day, event_id, event_type, user_id, event_id || '|' || event_type || '|' || user_id as txt, event_id // 10000 as seg from events),
+    g as (select day, seg, sha256(string_agg(sha256(txt), '' order by event_id)) as digest, row_number() over (partition by day order by seg) as k from e group by 1, 2),
+    h as (select day, seg, k, 'genesis' as head, digest from g where k = 1 union all select g.day, g.seg, g.k, sha256(h.head || '|' || h.digest), g.digest from h join g on g.day = h.day and g.k = h.k + 1),
+    r as (select *, row_number() over (partition by day, seg order by event_id) as i from e),
+    c as (select r.day, r.seg, r.i, r.event_id, h.head as prev_hash, sha256(h.head || '|' || r.txt) as row_hash from r join h using (day, seg) where i = 1
+        union all select r.day, r.seg, r.i, r.event_id, c.row_hash, sha256(c.row_hash || '|' || r.txt) from c join r on r.day = c.day and r.seg = c.seg and r.i = c.i + 1)
+    select c.day, c.event_id, e.event_type, e.user_id, prev_hash, row_hash from c join e using (event_id)"""
+
+
+@query(_CHAIN_SQL)
 def audit_chain(s, d):
     return _chain(s, d)
 
@@ -619,17 +652,32 @@ def _signals(s, d):
 def _final_state(s, d):
     """What a call knows at its end."""
     state = text.call_state(_signals(s, d))
-    return contract.latest_per_key(state, ["call_id"], [F.col("seq").desc()])
+    return contract.latest_per_key(state, ["call_id"], ["seq"])
+
+
+def _rx(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _labels_sql(patterns: dict[str, str]) -> str:
+    return "list_filter([" + ", ".join(f"case when regexp_matches(text, {_rx(p)}) then '{n}' end" for n, p in patterns.items()) + "], lambda x: x is not null)"
 
 
-_NAMES = """said as (select *, speaker = 'customer' as mine, nullif(regexp_extract(text, '(?:my name is) ([A-Z][a-z]+ [A-Z][a-z]+)', 1), '') as full_name,
-    nullif(upper(regexp_extract(text, 'postcode (ab[0-9]+) [0-9]cd', 1)), '') as outward from transcripts)"""
+#: Lines with what they say, by the same patterns in the other engine's regular expressions.
+_SAID = f"""said as (select *, case when mine and len(name_words) > 1 then array_to_string(name_words, ' ') end as full_name,
+    case when mine and regexp_matches(text, {_rx(text.POSTCODE)}) then upper(regexp_extract(text, {_rx(text.POSTCODE)}, 1) || ' ' || regexp_extract(text, {_rx(text.POSTCODE)}, 2)) end as postcode
+    from (select *, speaker = 'customer' as mine,
+        list_filter(string_split_regex(regexp_extract(text, {_rx(text.NAME)}, 1), '\\s+'), lambda w: w <> '' and w not in ({", ".join(map(_rx, text.NOT_NAMES))})) as name_words from transcripts))"""
+_LABELLED = f"""{_SAID}, lab as (select *, case when mine then {_labels_sql(text.INTENTS)} else [] end as intents, case when mine then {_labels_sql(text.VULNERABILITIES)} else [] end as vulnerabilities,
+    case when mine then {_labels_sql(text.RISKS)} else [] end as risks from said),
+    each as (select call_id, seq, label, place from (select call_id, seq, unnest(list_concat(list_concat(intents, vulnerabilities), risks)) as label, generate_subscripts(list_concat(list_concat(intents, vulnerabilities), risks), 1) as place from lab)),
+    firsts as (select call_id, label, arg_min(seq, seq * 100 + place) as seq, arg_min(place, seq * 100 + place) as place from each group by 1, 2)"""
 
 
 @query(
-    f"""with {_NAMES}, known as (select call_id, arg_min(full_name, seq) filter (where mine and full_name is not null) as full_name, arg_min(outward, seq) filter (where mine and outward is not null) as outward from said group by 1),
+    f"""with {_SAID}, known as (select call_id, arg_min(full_name, seq) filter (where full_name is not null) as full_name, split_part(arg_min(postcode, seq) filter (where postcode is not null), ' ', 1) as outward from said group by 1),
     met as (select k.call_id, c.customer_id, lower(split_part(k.full_name, ' ', 1)) = lower(c.first_name) as same from known k
-        left join customers c on lower(split_part(k.full_name, ' ', 2)) = lower(c.last_name) and lower(k.outward) = lower(split_part(c.postcode, ' ', 1)))
+        left join customers c on lower(string_split(k.full_name, ' ')[-1]) = lower(c.last_name) and lower(k.outward) = lower(split_part(c.postcode, ' ', 1)))
     select call_id, case when count(customer_id) > 1 and count(*) filter (where same) > 0 then count(*) filter (where same) else count(customer_id) end as matches,
         case when count(customer_id) = 1 then min(customer_id) when count(*) filter (where same) = 1 then min(customer_id) filter (where same) end as customer_id from met group by 1"""
 )
@@ -638,12 +686,12 @@ def identify_caller(s, d):
 
 
 def _claims(s, d):
-    """Claims about payments: the sizes of some of a customer's transactions."""
-    mine = txns(s, d).where("txn_ts >= timestamp_ntz '2001-10-20' and abs(hash(txn_id)) >= 0").select("txn_id", "customer_id", F.abs("amount").alias("size"), F.split("txn_id", "-")[1].cast("int").alias("line"))
-    return mine.where("line in (1, 3)").select(F.col("txn_id").alias("claim_id"), "customer_id", F.array("size", F.lit(1).cast("decimal(18,2)")).alias("amounts"))
+    """Claims about payments: the size of each transaction of the last weeks, and an amount that was misheard."""
+    mine = txns(s, d).where("txn_ts >= timestamp_ntz '2001-10-01'")
+    return mine.select(F.col("txn_id").alias("claim_id"), "customer_id", F.array(F.abs("amount"), F.lit(1).cast("decimal(18,2)")).alias("amounts"))
 
 
-_CLAIMS = "claims as (select txn_id as claim_id, customer_id, abs(amount) as size from txns where txn_ts >= timestamp '2001-10-20' and split_part(txn_id, '-', 2) in ('1', '3'))"
+_CLAIMS = "claims as (select txn_id as claim_id, customer_id, abs(amount) as size from txns where txn_ts >= timestamp '2001-10-01')"
 
 
 @query(f"with {_CLAIMS} select claim_id, txn_id, txn_ts, cast(size as double) as claimed from claims c join txns t on c.customer_id = t.customer_id and (abs(t.amount) = c.size) where txn_ts >= timestamp '{BANK_DAY}' - interval 10 days")
@@ -663,21 +711,11 @@ def payment_trace(s, d):
 
 # --- text ---
 
-_LABELLED = r"""lab as (select call_id, seq, speaker, text, speaker = 'customer' as mine,
-    list_filter([case when regexp_matches(text, '(?i)\bstolen') then 'card_fraud' end, case when regexp_matches(text, '(?i)\bcomplaint\b.*\b(weeks?|nothing|still)') then 'complaint_chase' end,
-        case when regexp_matches(text, '(?i)\bnot arrived') then 'payment_missing' end, case when regexp_matches(text, '(?i)\bbalance') then 'balance_query' end,
-        case when regexp_matches(text, '(?i)\bi want to make a complaint') then 'new_complaint' end], lambda x: x is not null) as intents,
-    list_filter([case when regexp_matches(text, '(?i)\bpassed away') then 'bereavement' end, case when regexp_matches(text, '(?i)\bcan''t pay') then 'financial_difficulty' end,
-        case when regexp_matches(text, '(?i)\bhospital') then 'health' end, case when regexp_matches(text, '(?i)\bconfus\w+') then 'capability' end], lambda x: x is not null) as vulnerabilities,
-    list_filter([case when regexp_matches(text, '(?i)\bignore previous instructions') then 'instruction_injection' end, case when regexp_matches(text, '(?i)\bthe pin\b') then 'sensitive_data' end], lambda x: x is not null) as risks
-    from transcripts)"""
-
 
 @query(
-    rf"""with {_LABELLED} select call_id, seq, case when mine then nullif(regexp_extract(text, 'my name is ([A-Z][a-z]+ [A-Z][a-z]+)', 1), '') end as full_name,
-    case when mine then nullif(upper(regexp_extract(text, 'postcode (ab[0-9]+ [0-9]cd)', 1)), '') end as postcode, case when mine then nullif(regexp_extract(text, '\b(C\d{{7}})\b', 1), '') end as customer_id,
-    case when mine then array_to_string(list_transform(regexp_extract_all(text, '£([0-9,]+(?:\.\d+)?)', 1), lambda x: printf('%.2f', cast(replace(x, ',', '') as double))), ',') else '' end as amounts,
-    case when mine then array_to_string(intents, ',') else '' end as intents, case when mine then array_to_string(vulnerabilities, ',') else '' end as vulnerabilities, case when mine then array_to_string(risks, ',') else '' end as risks from lab"""
+    rf"""with {_LABELLED} select call_id, seq, full_name, postcode, case when mine then nullif(regexp_extract(text, {_rx(text.CUSTOMER_ID)}, 1), '') end as customer_id,
+    case when mine then array_to_string(list_transform(regexp_extract_all(text, {_rx(text.MONEY)}, 1), lambda x: printf('%.2f', cast(replace(x, ',', '') as double))), ',') else '' end as amounts,
+    array_to_string(intents, ',') as intents, array_to_string(vulnerabilities, ',') as vulnerabilities, array_to_string(risks, ',') as risks from lab"""
 )
 def signals(s, d):
     joined = lambda c: F.array_join(c, ",").alias(c)
@@ -704,7 +742,8 @@ def _stop_sql() -> str:
 
 
 @query(
-    f"""with tok as (select item_id as doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as t from benchmark), terms as (select doc_id, t, count(*) as f from tok where t not in ({_stop_sql()}) group by 1, 2),
+    f"""with procedures as (select item_id as doc_id, array_to_string(string_split(text, ' ')[1:4], ' ') as title, 'topic' || (item_id % 7) as tags, text as body from benchmark),
+    tok as (select doc_id, unnest(regexp_extract_all(lower(title || ' ' || title || ' ' || tags || ' ' || tags || ' ' || body), '[a-z0-9_]+')) as t from procedures), terms as (select doc_id, t, count(*) as f from tok where t not in ({_stop_sql()}) group by 1, 2),
     len as (select doc_id, sum(f) as len from terms group by 1), df as (select t, count(*) as df from terms group by 1), n as (select (select count(*) from benchmark) as n_docs, (select sum(len) from len) as total),
     q as (select query_id, t, count(*) as q from (select conv_id * 1000 + turn as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as t from conversations where role = 'user') where t not in ({_stop_sql()}) group by 1, 2),
     scored as (select query_id, doc_id, round(sum(q * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * f * 2.4 / (f + 1.4 * (0.25 + 0.75 * len * n_docs / total))), 6) as score from q join terms using (t) join df using (t) join len using (doc_id), n group by 1, 2)
@@ -712,7 +751,8 @@ def _stop_sql() -> str:
 )
 def bm25_topk(s, d):
     asked = read(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    return text.bm25(asked, read(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), 3).withColumn("rank", F.col("rank").cast("bigint"))
+    procedures = read(s, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("title"), F.concat(F.lit("topic"), F.col("item_id") % 7).alias("tags"), F.col("text").alias("body"))
+    return text.bm25(asked, procedures.select("doc_id", text.procedure_text("title", "tags", "body").alias("text")), 3).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
@@ -725,46 +765,98 @@ def complaint_deadline(s, d):
     return text.with_deadline(complaints(s, d), "opened_at", "category", EVENT_DAY).select("complaint_id", "deadline", "days_left", "overdue", "escalate")
 
 
-@query(f"with {_LABELLED} select call_id, label, min(seq) as seq from (select call_id, seq, unnest(list_concat(list_concat(intents, vulnerabilities), risks)) as label from lab where mine) group by 1, 2")
+@query(f"with {_LABELLED} select call_id, label, seq from firsts")
 def first_signal_per_call(s, d):
-    return text.first_signals(_signals(s, d))
+    return text.first_signals(_signals(s, d)).drop("place")
 
 
-@query(
-    f"""with {_LABELLED}, first as (select call_id, label, min(seq) as seq from (select call_id, seq, unnest(list_concat(list_concat(intents, vulnerabilities), risks)) as label from lab where mine) group by 1, 2),
-    g as (select * from (values {", ".join(f"('{k}', '{c}', {p}, '{r}')" for k, (c, p, r) in text.GUIDANCE.items())}) g(label, card, priority, procedure))
-    select call_id, label, seq, card, priority, procedure, cast(row_number() over (partition by call_id order by priority, seq, label) as int) as position from first join g using (label)"""
-)
+def _lookups(s, d):
+    """What was looked up during calls: at each line of a colleague a tool, which may have failed."""
+    n = F.col("conv_id") * 7 + F.col("turn")
+    tool = shapes.pick(("get_accounts", "get_complaints", "get_recent_transactions"), n % 3)
+    outcome = F.when(n % 9 == 0, "unavailable").when(n % 11 == 0, "denied").otherwise("ok")
+    return read(s, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("seq"), tool.alias("tool"), outcome.alias("outcome"))
+
+
+def _cards(s, d):
+    urgent = read(s, d, "conversations").where("conv_id % 4 = 1").select(F.col("conv_id").alias("call_id"))
+    return text.guidance_cards(_signals(s, d), _lookups(s, d), urgent)
+
+
+#: The policy of the cards written out case by case, apart from the library's table of them.
+_CARDS_SQL = f"""{_LABELLED}, looked as (select conv_id as call_id, turn as seq, ['get_accounts', 'get_complaints', 'get_recent_transactions'][(conv_id * 7 + turn) % 3 + 1] as tool,
+        case when (conv_id * 7 + turn) % 9 = 0 then 'unavailable' when (conv_id * 7 + turn) % 11 = 0 then 'denied' else 'ok' end as outcome from conversations where role = 'assistant'),
+    shown as (select call_id, label, seq, case when label like '%request' or label = 'instruction_injection' then 'guard' when label in ('bereavement', 'financial_difficulty', 'health', 'capability') then 'compliance'
+            when label in ('card_fraud', 'payment_missing', 'new_complaint') or call_id % 4 = 1 and label = 'complaint_chase' then 'action' else 'insight' end as card,
+            case label when 'third_party_request' then 'Third-party request' when 'instruction_injection' then 'Caller tried to instruct the assistant' when 'sensitive_data_request' then 'Sensitive data mentioned' when 'bereavement' then 'Bereavement disclosed'
+            when 'financial_difficulty' then 'Possible financial difficulty' when 'health' then 'Health circumstances mentioned' when 'capability' then 'Caller may need more support' when 'card_fraud' then 'Possible card fraud'
+            when 'complaint_chase' then 'Complaint deadline' when 'payment_missing' then 'Payment status' when 'balance_query' then 'Live balances' when 'new_complaint' then 'Log a complaint' end as title,
+            case when label = 'third_party_request' then 'DATA-3P-01' when label in ('instruction_injection', 'sensitive_data_request') then 'SAFETY-01' when label = 'bereavement' then 'VULN-BEREAVEMENT-01' when label = 'financial_difficulty' then 'VULN-FINDIFF-01'
+            when label in ('health', 'capability') then 'VULN-HEALTH-01' when label = 'card_fraud' then 'CARD-FRAUD-01' when label in ('complaint_chase', 'new_complaint') then 'COMPLAINTS-DISP-01' when label = 'payment_missing' then 'PAYMENTS-FPS-01' end as procedure from firsts
+        union all select call_id, 'identity', greatest(min(seq) filter (where full_name is not null), min(seq) filter (where postcode is not null)), 'identity', 'Verify the caller', 'IDV-01' from lab group by 1 having count(full_name) > 0 and count(postcode) > 0
+        union all select call_id, 'summary', max(seq), 'summary', 'Draft call note (check before saving)', null from lab group by 1
+        union all select call_id, 'fail:' || outcome, min(seq), 'status', arg_min(tool, seq) || ': ' || outcome, null from looked where outcome <> 'ok' group by call_id, outcome),
+    ranked as (select *, case card when 'guard' then 0 when 'compliance' then 1 when 'action' then 2 when 'identity' then 3 when 'insight' then 4 when 'status' then 5 else 6 end as priority from shown)"""
+
+
+@query(f"with {_CARDS_SQL} select call_id, label, seq, card, title, procedure, priority, cast(row_number() over (partition by call_id order by priority, seq, label) as int) as position from ranked")
 def call_cards(s, d):
-    return text.guidance_cards(_signals(s, d))
+    return _cards(s, d)
+
+
+@query(f"""with {_CARDS_SQL} select cast(call_id as varchar) as key, '{{"call_id":' || call_id || ',"seq":' || seq || ',"card":"' || card || '","priority":' || priority || '}}' as value from ranked""")
+def call_events(s, d):
+    return calls.call_events(_cards(s, d).select("call_id", "seq", "card", "priority")).select("key", "value")
 
 
 @query(
-    f"""with {_NAMES}, s as (select call_id, seq, case when mine then full_name end as n, case when mine then outward end as o from said)
-    select call_id, seq, arg_min(n, seq) filter (where n is not null) over w as full_name, arg_min(o, seq) filter (where o is not null) over w as outward
-    from s window w as (partition by call_id order by seq rows between unbounded preceding and current row)"""
+    f"""with {_LABELLED} select l.call_id, l.seq, arg_min(full_name, seq) filter (where full_name is not null) over w as full_name, arg_min(postcode, seq) filter (where postcode is not null) over w as postcode,
+        coalesce((select string_agg(f.label, ',' order by f.seq, f.place) from firsts f where f.call_id = l.call_id and f.seq <= l.seq), '') as labels
+    from lab l window w as (partition by l.call_id order by l.seq rows between unbounded preceding and current row)"""
 )
 def call_state(s, d):
-    return text.call_state(_signals(s, d)).select("call_id", "seq", "full_name", F.split_part("postcode", F.lit(" "), F.lit(1)).alias("outward"))
+    return text.call_state(_signals(s, d)).select("call_id", "seq", "full_name", "postcode", F.array_join("labels", ",").alias("labels"))
 
 
 @query(
-    f"""with {_LABELLED}, l as (select call_id, case when mine then intents else [] end as i, case when mine then vulnerabilities else [] end as v from lab)
-    select call_id, array_to_string(list_sort(list_distinct(flatten(list(i)))), ', ') as reasons, array_to_string(list_sort(list_distinct(flatten(list(v)))), ', ') as disclosed, count(*) as lines from l group by 1"""
+    f"""with {_CARDS_SQL}, r as (select call_id, string_agg(replace(label, '_', ' '), ', ' order by seq, place) filter (where label in ('card_fraud', 'complaint_chase', 'payment_missing', 'balance_query', 'new_complaint')) as reasons,
+        string_agg(replace(label, '_', ' '), ', ' order by seq, place) filter (where label in ('bereavement', 'financial_difficulty', 'health', 'capability')) as disclosed from firsts group by 1),
+    g as (select call_id, string_agg(title, '; ' order by seq, priority, title) as guidance from ranked where card in ('guard', 'compliance', 'action') group by 1),
+    k as (select call_id, count(*) filter (where outcome = 'ok') as lookups from looked group by 1), n as (select call_id, count(*) as lines from lab group by 1)
+    select call_id, coalesce(reasons, 'general enquiry') as reasons, coalesce(disclosed, '') as disclosed, coalesce(guidance, '') as guidance, coalesce(lookups, 0) as lookups, lines from n left join r using (call_id) left join g using (call_id) left join k using (call_id)"""
 )
 def call_note(s, d):
-    return text.call_note(_signals(s, d))
+    return text.call_note(_signals(s, d), _cards(s, d), _lookups(s, d))
+
+
+def _expected(s, d):
+    """What the lines should be labelled as: true labels of the planted phrases, some of them wrong."""
+    n = (F.col("call_id") * 7 + F.col("seq")) % 11
+    some = lambda *labels: F.array_compact(F.array(*(F.when(n.isin(*k), name) for name, k in labels)))
+    lines = _signals(s, d).where("speaker = 'customer'")
+    name = F.when(n % 2 == 0, F.concat(shapes.pick(shapes.FIRST, F.col("call_id") % 8), F.lit(" "), shapes.pick(shapes.LAST, F.col("call_id") % 11)))
+    code = F.concat(F.lit("AB"), (F.col("call_id") % 20 + 1).cast("string"), F.lit(" "), (F.col("call_id") % 9 + 1).cast("string"), F.lit("CD"))
+    return lines.withColumns({"want_intents": some(("card_fraud", (0,)), ("complaint_chase", (1,)), ("payment_missing", (2, 9))), "want_vulnerabilities": some(("bereavement", (5,)), ("health", (7, 8))), "want_risks": some(("instruction_injection", (9,)), ("sensitive_data_request", (9, 10))), "want_name": name, "want_postcode": code})
 
 
 @query(
-    f"""with {_LABELLED}, p as (select intents as found, list_filter([case when (call_id * 7 + seq) % 11 = 0 then 'card_fraud' end, case when (call_id * 7 + seq) % 11 = 1 then 'complaint_chase' end, case when (call_id * 7 + seq) % 11 in (2, 9) then 'payment_missing' end], lambda x: x is not null) as gold from lab where mine),
-    c as (select cast(sum(len(list_intersect(gold, found))) as bigint) as tp, cast(sum(len(list_filter(found, lambda x: not list_contains(gold, x)))) as bigint) as fp, cast(sum(len(list_filter(gold, lambda x: not list_contains(found, x)))) as bigint) as fn from p)
-    select tp, fp, fn, round(tp / greatest(tp + fp, 1), 6) as precision, round(tp / greatest(tp + fn, 1), 6) as recall, round(tp / greatest(tp + fp, 1), 6) >= 0.5 and round(tp / greatest(tp + fn, 1), 6) >= 0.5 as passed from c"""
+    f"""with {_LABELLED}, p as (select *, (call_id * 7 + seq) % 11 as n from lab where mine),
+    w as (select 'intents' as field, intents as have, list_filter([case when n = 0 then 'card_fraud' end, case when n = 1 then 'complaint_chase' end, case when n in (2, 9) then 'payment_missing' end], lambda x: x is not null) as want from p
+        union all select 'vulnerabilities', vulnerabilities, list_filter([case when n = 5 then 'bereavement' end, case when n in (7, 8) then 'health' end], lambda x: x is not null) from p
+        union all select 'risks', risks, list_filter([case when n = 9 then 'instruction_injection' end, case when n in (9, 10) then 'sensitive_data_request' end], lambda x: x is not null) from p),
+    c as (select field, cast(sum(len(list_intersect(want, have))) as bigint) as tp, cast(sum(len(list_filter(have, lambda x: not list_contains(want, x)))) as bigint) as fp, cast(sum(len(list_filter(want, lambda x: not list_contains(have, x)))) as bigint) as fn from w group by 1)
+    select field, tp, fp, fn, round(tp / greatest(tp + fp, 1), 3) as precision, round(tp / greatest(tp + fn, 1), 3) as recall, round(tp / greatest(tp + fp, 1), 3) >= 0.3 and round(tp / greatest(tp + fn, 1), 3) >= 0.3 as passed from c"""
 )
 def label_quality(s, d):
-    n = (F.col("call_id") * 7 + F.col("seq")) % 11
-    gold_labels = F.array_compact(F.array(F.when(n == 0, "card_fraud"), F.when(n == 1, "complaint_chase"), F.when(n.isin(2, 9), "payment_missing")))
-    return text.label_quality(_signals(s, d).where("speaker = 'customer'").withColumn("gold", gold_labels), "gold", "intents", (0.5, 0.5))
+    return text.label_quality(_expected(s, d), {f: (f"want_{f}", f) for f in ("intents", "vulnerabilities", "risks")}, (0.3, 0.3))
+
+
+@query(
+    f"""with {_LABELLED}, p as (select *, {shapes._list(shapes.FIRST)}[call_id % 8 + 1] || ' ' || {shapes._list(shapes.LAST)}[call_id % 11 + 1] as n, 'AB' || (call_id % 20 + 1) || ' ' || (call_id % 9 + 1) || 'CD' as c from lab where mine and (call_id * 7 + seq) % 11 % 2 = 0)
+    select count(*) as labelled, count(*) filter (where full_name is not distinct from n and postcode is not distinct from c) as right, round(count(*) filter (where full_name is not distinct from n and postcode is not distinct from c) / greatest(count(*), 1), 3) as rate from p"""
+)
+def identity_capture(s, d):
+    return text.identity_capture(_expected(s, d), "want_name", "want_postcode")
 
 
 @query("""with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) <= interval 30 minutes then 0 else 1 end as new from events),
@@ -807,16 +899,26 @@ def error_ratio(s, d):
     return observe.error_ratio(_calls(s, d), "tool")
 
 
+def _over(seconds: int) -> str:
+    return f"over (order by sec range between {seconds} preceding and current row)"
+
+
+def _ratio(seconds: int) -> str:
+    return f"sum(bad) {_over(seconds)} / sum(n) {_over(seconds)}"
+
+
+def _held_sql(c: str, hold: int) -> str:
+    return f"bool_and({c}) {_over(hold)} and coalesce(last_value({c}) over (order by sec range between {hold + 300} preceding and {hold} preceding), false)"
+
+
 @query(
-    f"""with {_CALLS}, p as (select day, cast(floor(epoch_us(ts) / 1000000) as bigint) as sec, count(*) as n, cast(sum(case when outcome in ('unavailable', 'error') then 1 else 0 end) as bigint) as bad from calls group by 1, 2),
-    w as (select day, sec, n, sum(bad) over (partition by day order by sec range between 300 preceding and current row) / sum(n) over (partition by day order by sec range between 300 preceding and current row) as m5,
-        sum(bad) over (partition by day order by sec range between 1800 preceding and current row) / sum(n) over (partition by day order by sec range between 1800 preceding and current row) as m30,
-        sum(bad) over (partition by day order by sec range between 3600 preceding and current row) / sum(n) over (partition by day order by sec range between 3600 preceding and current row) as h1,
-        sum(bad) over (partition by day order by sec range between 21600 preceding and current row) / sum(n) over (partition by day order by sec range between 21600 preceding and current row) as h6 from p)
-    select day, sec, n, round(m5, 6) as m5, round(m30, 6) as m30, round(h1, 6) as h1, round(h6, 6) as h6, h1 > 14.4 * 0.02 and m5 > 14.4 * 0.02 as fast_burn, h6 > 6 * 0.02 and m30 > 6 * 0.02 as slow_burn from w"""
+    f"""with {_CALLS}, p as (select cast(floor(epoch_us(ts) / 1000000) as bigint) as sec, count(*) as n, cast(sum(case when outcome in ('unavailable', 'error') then 1 else 0 end) as bigint) as bad from calls group by 1),
+    w as (select sec, n, {_ratio(300)} as m5, {_ratio(1800)} as m30, {_ratio(3600)} as h1, {_ratio(21600)} as h6 from p),
+    c as (select *, h1 > 14.4 * 0.005 and m5 > 14.4 * 0.005 as fast, h6 > 6 * 0.005 and m30 > 6 * 0.005 as slow from w)
+    select sec, n, round(m5, 6) as m5, round(m30, 6) as m30, round(h1, 6) as h1, round(h6, 6) as h6, {_held_sql('fast', 120)} as fast_burn, {_held_sql('slow', 900)} as slow_burn from c"""
 )
 def burn_rate(s, d):
-    return observe.burn_rate(_calls(s, d), "day", {"m5": 300, "m30": 1800, "h1": 3600, "h6": 21600}, 0.02)
+    return observe.burn_rate(_calls(s, d), {"m5": 300, "m30": 1800, "h1": 3600, "h6": 21600}, 0.005)
 
 
 @query(f"with {_CALLS} select date_trunc('minute', ts) as minute, outcome, count(*) as calls from calls group by 1, 2")
@@ -825,8 +927,9 @@ def rate_by_outcome(s, d):
 
 
 @query(
-    """with x as (select event_type as tool, epoch_us(ts) / 1e6 as sec, cast(floor(epoch_us(ts) / 1e6 / 600) as bigint) as slot from events), y as (select *, row_number() over (partition by tool, slot order by sec) as n from x)
-    select tool, slot, count(*) as rows, round(regr_slope(n, sec - 1.7e9) * 60, 4) as per_minute from y group by 1, 2 having count(*) > 2"""
+    """with x as (select event_type as tool, cast(ceil(epoch_us(ts) / 1e6 / 60) * 60 as bigint) as sec, count(*) as c from events group by 1, 2),
+    w as (select *, unnest(generate_series(sec, sec + 540, 60)) as "at" from x), y as (select *, sum(c) over (partition by tool, "at" order by sec) as n from w)
+    select tool, "at", cast(sum(c) as bigint) as rows, count(*) as samples, round(regr_slope(n, sec - "at") * 60, 4) as per_minute from y group by 1, 2 having count(*) > 1"""
 )
 def ingest_rate(s, d):
     return observe.ingest_rate(read(s, d, "events").select(F.col("event_type").alias("tool"), "ts"), "tool")
@@ -841,24 +944,30 @@ def _usage(s, d):
     )
 
 
-_PRICES = [("small", 1.0, 4.0), ("small-2", 2.0, 5.0), ("large", 10.0, 40.0), ("default", 3.0, 9.0)]
+#: In the order of the list; the first prefix that fits counts, so the second is never reached.
+_PRICES = [(1, "small", 1.0, 4.0), (2, "small-2", 2.0, 5.0), (3, "large", 10.0, 40.0), (4, "default", 3.0, 9.0)]
+
+
+def _price_list(s):
+    return s.createDataFrame(_PRICES, "position int, prefix string, price_in double, price_out double")
+
+
+
 _USAGE = """usage as (select conv_id * 1000 + turn as use_id, date '2024-01-01' + cast(conv_id % 7 as int) as day, ['small-1', 'small-2-fast', 'large-1', 'other'][conv_id % 4 + 1] as model,
     length(text) as tokens_in, length(text) % 97 as tokens_out, length(text) % 13 as cache_read, length(text) % 7 as cache_write from conversations),
-    prices as (select * from (values ('small-1', 1.0, 4.0), ('small-2-fast', 2.0, 5.0), ('large-1', 10.0, 40.0), ('other', 3.0, 9.0)) p(model, price_in, price_out)),
+    prices as (select * from (values ('small-1', 1.0, 4.0), ('small-2-fast', 1.0, 4.0), ('large-1', 10.0, 40.0), ('other', 3.0, 9.0)) p(model, price_in, price_out)),
     cost as (select use_id, day, (price_in::double * (tokens_in + 0.1::double * cache_read + 1.25::double * cache_write) + price_out::double * tokens_out) / 1e6 as cost from usage join prices using (model))"""
 
 
-@query(f"with {_USAGE} select day, round(sum(cost), 6) as cost, count(*) as uses, round(sum(cost), 6) > 0.05 as over_cap from cost group by 1")
+@query(f"with {_USAGE} select day, sum(cast(round(cost * 1e8) as bigint)) / 1e8::double as cost, count(*) as uses, sum(cast(round(cost * 1e8) as bigint)) / 1e8::double > 0.05 as over_cap from cost group by 1")
 def spend_daily(s, d):
-    return observe.spend_daily(_usage(s, d), s.createDataFrame(_PRICES, "prefix string, price_in double, price_out double"), 0.05)
+    return observe.spend_daily(_usage(s, d), _price_list(s), 0.05)
 
 
 @query(f"with {_USAGE} select use_id, day, cast(coalesce(sum(cast(round(cost * 1e8) as bigint)) over (partition by day order by use_id rows between unbounded preceding and 1 preceding), 0) as bigint) as spent_before from cost")
 def spend_cost(s, d):
-    price = F.create_map(*(F.lit(x) for x in ("small-1", 1.0, "small-2-fast", 2.0, "large-1", 10.0, "other", 3.0)))
-    out = F.create_map(*(F.lit(x) for x in ("small-1", 4.0, "small-2-fast", 5.0, "large-1", 40.0, "other", 9.0)))
-    cost = (F.element_at(price, F.col("model")) * (F.col("tokens_in") + 0.1 * F.col("cache_read") + 1.25 * F.col("cache_write")) + F.element_at(out, F.col("model")) * F.col("tokens_out")) / 1e6
-    uses = _usage(s, d).select("use_id", "day", F.col("use_id").alias("at"), F.round(cost * 1e8).cast("bigint").alias("cost"))
+    cost = observe.priced(_usage(s, d), _price_list(s))
+    uses = cost.select("use_id", "day", F.col("use_id").alias("at"), F.round(F.col("cost") * 1e8).cast("bigint").alias("cost"))
     return observe.running_spend(uses).select("use_id", "day", "spent_before")
 
 
@@ -897,10 +1006,29 @@ def freshness_state(s, d):
     return e.join(limits, "table_name").select("table_name", observe.freshness_state(age, F.col("seconds")).alias("state"))
 
 
-@query(f"with {_LAG} select count(records) as observed, count(*) - count(records) as absent, count(*) filter (where records > messages) as duplicated, max(messages - records) as worst_lag from t left join b using (topic)")
-def fleet_summary(s, d):
+@query(
+    f"""with {_LAG} select ['console', 'archive'][1 + (ascii(topic) % 2)] as consumer_group, cast(sum(greatest(messages - coalesce(records, 0), 0)) as bigint) as backlog, count(*) filter (where messages > coalesce(records, 0)) as topics_behind from t left join b using (topic) group by 1"""
+)
+def consumer_backlog(s, d):
     lag = observe.ingest_lag(read(s, d, "events").select(F.col("event_type").alias("topic")), _arrived(s, d), "topic")
-    return lag.agg(F.count("records").alias("observed"), F.count_if(F.col("state") == "absent").alias("absent"), F.count_if(F.col("state") == "duplicates").alias("duplicated"), F.max("lag").alias("worst_lag"))
+    groups = lag.select(shapes.pick(("console", "archive"), F.ascii("topic") % 2).alias("consumer_group"), F.coalesce("lag", "messages").alias("lag"))
+    return observe.backlog(groups, "consumer_group")
+
+
+_WATCHED = """watched as (select event_type as topic, event_type <> 'view' as there, event_type not in ('view', 'signup') as observed, count(*) as topic_records,
+    count(*) filter (where not (event_type = 'click' and event_id % 4 = 1)) + count(*) filter (where event_type = 'error' and event_id % 10 = 0) as records, max(ts) filter (where not (event_type = 'click' and event_id % 4 = 1)) as committed_at from events group by event_type)"""
+
+
+@query(
+    f"""with {_WATCHED} select count(*) filter (where observed) as observed, count(*) filter (where not observed and there) as unreadable, count(*) filter (where not there) as absent, count(*) filter (where observed and topic_records < records) as duplicated,
+    coalesce(max(topic_records - records) filter (where observed), 0) as worst_lag, round(max(date_diff('microsecond', committed_at, timestamp '{EVENT_DAY}') / 60e6) filter (where observed), 3) as minutes_since_commit from watched"""
+)
+def fleet_summary(s, d):
+    arrived = ~((F.col("event_type") == "click") & (F.col("event_id") % 4 == 1))
+    twice = (F.col("event_type") == "error") & (F.col("event_id") % 10 == 0)
+    facts = read(s, d, "events").groupBy("event_type").agg(F.count("*").alias("topic_records"), (F.count_if(arrived) + F.count_if(twice)).alias("records"), F.max(F.when(arrived, F.col("ts"))).alias("committed_at"))
+    watched = facts.withColumns({"exists": F.col("event_type") != "view", "observed": ~F.col("event_type").isin("view", "signup")})
+    return observe.fleet_summary(watched, EVENT_DAY)
 
 
 @query(

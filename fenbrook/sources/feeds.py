@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def incremental(source: DataFrame, target: DataFrame, ts: str, overlap: str, run_id: str, as_of: str) -> DataFrame:
+def incremental(source: DataFrame, target: DataFrame, ts: str, overlap: str, run_id: str, as_of: str, name: str) -> DataFrame:
     """Rows of ``source`` newer than what ``target`` has, less an overlap; with lineage columns."""
     mark = target.agg(F.coalesce(F.max(ts).cast("timestamp_ntz"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("_mark"))  # one row
     new = source.join(F.broadcast(mark), F.col(ts) > F.col("_mark") - F.expr(f"INTERVAL {overlap}")).drop("_mark")
-    return new.withColumns({"_ingested_at": F.lit(as_of).cast("timestamp_ntz"), "_run_id": F.lit(run_id), "_source": F.lit(ts)})
+    return new.withColumns({"_ingested_at": F.lit(as_of).cast("timestamp_ntz"), "_run_id": F.lit(run_id), "_source": F.lit(name)})
 
 
 def append_partitioned(df: DataFrame, path: str, day: str) -> None:

@@ -16,7 +16,8 @@ from fenbrook.sources.versions import VersionStore
 
 @dataclass(frozen=True)
 class Entity:
-    """One table of the stream. ``prepare`` brings what the rules need (a parent's columns)."""
+    """One table of the stream. ``prepare`` brings what the rules need (a parent's columns); of a key that the
+    table has, a change counts if its ``version`` is above the table's."""
 
     name: str
     key: str
@@ -25,6 +26,8 @@ class Entity:
     rules: Callable[[], Rules]
     prepare: Callable[[DataFrame, VersionStore], DataFrame]
     columns: tuple[str, ...]
+    version: str = "updated_at"
+    buckets: int = 64
 
 
 @dataclass
@@ -49,8 +52,9 @@ class ChangeApplier:
         self.results: list[BatchResult] = []
 
     def apply(self, raw: DataFrame, batch_id: int, now: str) -> BatchResult:
-        result = BatchResult(batch_id)
+        result, held = BatchResult(batch_id), []
         changes = parse_changes(raw, {e.name: e.key for e in self.entities}).withColumn("first_seen_at", F.lit(now).cast("timestamp_ntz")).persist()
+        held.append(changes)
         try:
             result.changes = changes.count()
             if not result.changes:
@@ -60,43 +64,55 @@ class ChangeApplier:
             work = changes.select(*(c.split()[0] for c in _PARKED.split(", ")))
             if parked is not None:
                 work = union_all([work, parked])
-            still = [self._entity(e, work.where(F.col("entity") == e.name), batch_id, now, result) for e in self.entities]
-            self.store.publish(union_all(still), "parked", f"stream:{batch_id}")
-            result.parked = self.store.read("parked").count()
+            waiting = union_all([self._entity(e, work.where(F.col("entity") == e.name), batch_id, now, result, held) for e in self.entities])
+            # All changes of a key that waits are kept, not the newest alone, with the time when each was first seen.
+            still = work.join(waiting, ["entity", "record_key"], "left_semi").select(*work.columns)
+            self.store.publish(still, "parked", f"stream:{batch_id}")
+            result.parked = waiting.count()
             return result
         finally:
-            changes.unpersist()
+            for df in held:
+                df.unpersist()
             self.results.append(result)
 
-    def _entity(self, e: Entity, work: DataFrame, batch_id: int, now: str, result: BatchResult) -> DataFrame:
-        newest = latest_per_key(work.withColumn("_first", F.col("first_seen_at")), ["record_key"], [F.col("source_lsn").desc(), F.col("offset").desc()])
+    def _entity(self, e: Entity, work: DataFrame, batch_id: int, now: str, result: BatchResult, held: list[DataFrame]) -> DataFrame:
+        """Merge one entity's newest changes, quarantine bad ones; gives the keys that wait for a parent."""
+        newest = latest_per_key(work, ["record_key"], ["source_lsn", "offset"])
         typed = type_changes(newest.withColumn("_payload", F.col("payload")), e.schema, e.casts)
         checked = with_violations(e.prepare(typed, self.store), e.rules()).persist()
-        try:
-            gone = checked.where("op = 'd'")
-            alive = checked.where("op <> 'd'")
-            waits = only_orphan() & F.coalesce(F.col("first_seen_at") > F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {self.grace}"), F.lit(False))
-            bad = alive.where((F.size("_violations") > 0) & ~waits)
-            result.quarantined[e.name] = bad.count()
-            if result.quarantined[e.name]:
-                rows = bad.select(F.lit(e.name).alias("entity"), "record_key", F.col("_violations").alias("reasons"), F.col("_payload").alias("payload"))
-                self.store.append_once(rows, f"quarantine_{e.name}", str(batch_id))
-            good = alive.where(F.size("_violations") == 0)
-            upserts = union_all([good.select(*e.columns, "op"), gone.select(F.col("record_key").alias(e.key), "source_lsn", "op")])
-            target = self.store.read(e.name)
-            if target is None:
-                target = good.select(*e.columns).where(F.lit(False))
-            merged = merge(target, upserts, e.key, "source_lsn", inclusive=False, op="op")
-            self.store.publish(merged, e.name, f"stream:{batch_id}")
-            waiting = alive.where(waits).select(*("_payload" if c.split()[0] == "payload" else c.split()[0] for c in _PARKED.split(", "))).withColumnRenamed("_payload", "payload")
-            return self.spark.read.schema(waiting.schema).parquet(self._kept(waiting, e, batch_id))
-        finally:
-            checked.unpersist()
-
-    def _kept(self, waiting: DataFrame, e: Entity, batch_id: int) -> str:
-        path = f"{self.store.root}/_waiting/{e.name}/{batch_id}"
-        waiting.write.mode("overwrite").parquet(path)
-        return path
+        held.append(checked)
+        gone = checked.where("op = 'd'")
+        alive = checked.where("op <> 'd'")
+        waits = only_orphan() & F.coalesce(F.col("first_seen_at") > F.lit(now).cast("timestamp_ntz") - F.expr(f"INTERVAL {self.grace}"), F.lit(False))
+        bad = alive.where((F.size("_violations") > 0) & ~waits)
+        result.quarantined[e.name] = bad.count()
+        if result.quarantined[e.name]:
+            rows = bad.select(F.lit(e.name).alias("entity"), "record_key", F.col("_violations").alias("reasons"), F.col("_payload").alias("payload"))
+            self.store.append_once(rows, f"quarantine_{e.name}", str(batch_id))
+        good = alive.where(F.size("_violations") == 0)
+        upserts = union_all([good.select(*e.columns, "op"), gone.select(F.col("record_key").alias(e.key), "op")])
+        self.store.publish_merge(upserts, e.name, e.key, e.version, list(e.columns), f"stream:{batch_id}", e.buckets, op="op")
+        return alive.where(waits).select("entity", "record_key")
+
+
+def kafka_options(servers: str, topics: str, cap: int = 100_000) -> dict[str, str]:
+    """Options of a change source: topics by pattern, all that is kept at first, at most ``cap`` messages a batch, and no silent loss."""
+    return {"kafka.bootstrap.servers": servers, "subscribePattern": topics, "startingOffsets": "earliest", "maxOffsetsPerTrigger": str(cap), "failOnDataLoss": "true"}
+
+
+def change_source(spark: SparkSession, topics: str, servers: str | None = None, folder: str | None = None, cap: int = 100_000, files: int = 1) -> DataFrame:
+    """Streams topic, offset, value of the topics that match a pattern: from brokers, or from JSON files of messages in
+    a folder, ``files`` of them a batch."""
+    if servers:
+        raw = spark.readStream.format("kafka").options(**kafka_options(servers, topics, cap)).load()
+        return raw.select("topic", "offset", F.col("value").cast("string"))
+    raw = spark.readStream.schema("topic string, offset bigint, value string").option("maxFilesPerTrigger", files).json(folder)
+    return raw.where(F.col("topic").rlike(f"^(?:{topics})$"))
+
+
+def run_live(source: DataFrame, applier: ChangeApplier, checkpoint: str, clock: Callable[[], str], every: str = "10 seconds") -> StreamingQuery:
+    """A batch at each interval, until it is stopped."""
+    return source.writeStream.foreachBatch(lambda df, i: applier.apply(df, i, clock()) and None).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def run_available(source: DataFrame, applier: ChangeApplier, checkpoint: str, clock: Callable[[], str]) -> StreamingQuery:

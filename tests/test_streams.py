@@ -10,7 +10,7 @@ from fenbrook.sources.versions import VersionStore
 from fenbrook.streaming.calls import call_events, late_payment_matches, live_cards
 from fenbrook.streaming.cdc_stream import ChangeApplier, Entity, caught_up, run_available
 
-PARENT = Entity("parents", "id", "id string, name string", {}, lambda: {"name_missing": F.col("name").isNotNull()}, lambda df, store: df, ("id", "name", "source_lsn"))
+PARENT = Entity("parents", "id", "id string, name string, updated_at bigint", {}, lambda: {"name_missing": F.col("name").isNotNull()}, lambda df, store: df, ("id", "name", "updated_at"), buckets=4)
 
 
 def _with_parent(df, store):
@@ -19,10 +19,11 @@ def _with_parent(df, store):
     return df.join(known, "parent", "left")
 
 
-CHILD = Entity("children", "id", "id string, parent string", {}, lambda: {"orphan_parent": F.col("known").isNotNull()}, _with_parent, ("id", "parent", "source_lsn"))
+CHILD = Entity("children", "id", "id string, parent string, updated_at bigint", {}, lambda: {"orphan_parent": F.col("known").isNotNull()}, _with_parent, ("id", "parent", "updated_at"), buckets=4)
 
 
 def _msg(topic, offset, op, row):
+    row = {"updated_at": offset, **row}
     return {"topic": f"bank.public.{topic}", "offset": offset, "value": json.dumps({"op": op, "before": row if op == "d" else None, "after": None if op == "d" else row, "source": {"lsn": offset, "ts_ms": 1000 * offset}})}
 
 
@@ -61,6 +62,42 @@ def test_late_parents_quarantine_and_deletes(spark, tmp_path):
     assert store.read("children").count() == 0
 
 
+def test_all_changes_of_a_waiting_key_are_kept_and_updates_go_by_time(spark, tmp_path):
+    store = VersionStore(spark, f"file://{tmp_path}/store")
+    applier = ChangeApplier(spark, store, [PARENT, CHILD])
+    feed = lambda m: spark.createDataFrame([(x["topic"], x["offset"], x["value"]) for x in m], "topic string, offset bigint, value string")
+    applier.apply(feed([_msg("children", 1, "c", {"id": "c1", "parent": "p1"}), _msg("children", 2, "u", {"id": "c1", "parent": "p1"}), _msg("parents", 3, "c", {"id": "p0", "name": "x"})]), 0, "2024-01-01 00:00:00")
+    assert applier.results[-1].parked == 1 and sorted(r["source_lsn"] for r in store.read("parked").collect()) == [1, 2]
+    files = set(store.read("parents").inputFiles())
+    # A later change that carries an older time than the table has does not count.
+    applier.apply(feed([_msg("parents", 9, "u", {"id": "p0", "name": "late", "updated_at": 1}), _msg("parents", 8, "c", {"id": "p1", "name": "one"})]), 1, "2024-01-01 00:01:00")
+    assert {r["id"]: r["name"] for r in store.read("parents").collect()} == {"p0": "x", "p1": "one"}
+    assert [r["updated_at"] for r in store.read("children").collect()] == [2] and store.read("parked").count() == 0 and files
+
+
+def test_sources_take_topics_by_pattern_and_run_at_intervals(spark, tmp_path):
+    from fenbrook.streaming.cdc_stream import change_source, kafka_options, run_live
+
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    other = {**_msg("parents", 2, "c", {"id": "p2", "name": "no"}), "topic": "other.parents"}
+    _put(feed, "a", [_msg("parents", 1, "c", {"id": "p1", "name": "one"}), other])
+    store = VersionStore(spark, f"file://{tmp_path}/store")
+    q = run_live(change_source(spark, r"bank\.public\..*", folder=f"file://{feed}"), ChangeApplier(spark, store, [PARENT]), f"file://{tmp_path}/ck", lambda: "2024-01-01 00:00:00", "1 second")
+    try:
+        for name, want in ((None, {"p1"}), ("b", {"p1", "p3"})):
+            if name:
+                _put(feed, name, [_msg("parents", 3, "c", {"id": "p3", "name": "three"})])
+            for _ in range(300):
+                if store.current("parents") and {r["id"] for r in store.read("parents").collect()} == want:
+                    break
+                time.sleep(0.2)
+            assert {r["id"] for r in store.read("parents").collect()} == want
+    finally:
+        q.stop()
+    assert kafka_options("h:9092", "bank.*", 5) == {"kafka.bootstrap.servers": "h:9092", "subscribePattern": "bank.*", "startingOffsets": "earliest", "maxOffsetsPerTrigger": "5", "failOnDataLoss": "true"}
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     store = VersionStore(spark, f"file://{tmp_path}/store")
     applier = ChangeApplier(spark, store, [PARENT, CHILD])
