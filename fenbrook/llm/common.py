@@ -1,57 +1,82 @@
-"""What the operators share: staged tables, code for Python workers, folds."""
+"""What the operators share: staged tables, code for Python workers, folds, joins with hot keys."""
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
+import contextlib
 import uuid
-import zipfile
-from pathlib import Path
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
+from fenbrook.sources.shared import remove, shared_dir, ship
 
+__all__ = ["bounded_sample", "fold", "release", "shared_dir", "ship", "spread_join", "stage", "table", "uniform"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests on one machine) a local folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="fenbrook-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_CLEANED: set[str] = set()
 
 
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder as Parquet and return a reader of it.
 
-    Cuts lineage, so each text scan runs once, and survives the loss of executors.
+    Cuts lineage, so each text scan runs once, and survives the loss of executors. ``release`` deletes a table that is
+    not read any more; what an operator's result still reads goes with the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fenbrook/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/fenbrook/{spark.sparkContext.applicationId}"
+    if folder not in _CLEANED:
+        _CLEANED.add(folder)
+        atexit.register(_forget, spark._jvm, spark._jsc.hadoopConfiguration(), folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's code to the Python workers, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="fenbrook-code-"), "fenbrook_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"{root.name}/{f.relative_to(root)}")
-    spark.sparkContext.addPyFile(target)
-    _SHIPPED.add(app)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def _forget(jvm, conf, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the application may have ended already, or its store be gone
+        p = jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in staged:
+        if path := _PATHS.pop(df, None):
+            remove(df.sparkSession, path)
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, weight: str, how: str = "inner", parts: int = 2000) -> DataFrame:
+    """``big`` joined with ``small``, one row a key, whose column ``weight`` says how many rows of ``big`` have the key.
+
+    Keys with more than one in ``parts`` of all rows, fewer than ``parts`` of them whatever the size, are sent
+    everywhere; their rows of ``big`` stay where they are or are dealt at random. All other keys are joined as Spark
+    sees fit. ``weight`` is not in the result.
+    """
+    names = [c for c in small.columns if c not in (key, weight)]
+    one = small.agg(F.sum(weight).alias("all"), F.max(weight).alias("most")).first()
+    if not one["all"] or one["most"] * parts <= one["all"]:
+        return big.join(small.drop(weight), key, how)
+    value = F.struct(F.lit(1).alias("_"), *names)
+    hot = F.col(weight) * parts > one["all"]
+    kind = dict(big.dtypes)[key]
+    first = big.join(F.broadcast(small.where(hot).select(F.col(key).alias("_key"), value.alias("_hot"))), F.col(key) == F.col("_key"), "left").drop("_key")
+    # Rows of hot keys have found theirs: they go on under random keys that no row of the other side has.
+    other = F.xxhash64(F.lit("spread"), F.monotonically_increasing_id())
+    dealt = first.withColumn("_has", F.col("_hot").isNotNull()).withColumn("_on", F.when(F.col("_has"), other).otherwise(F.xxhash64(key)))
+    rest = small.where(~hot).select(F.col(key).alias("_key"), F.xxhash64(key).alias("_at"), value.alias("_rest"))
+    met = dealt.join(rest, (F.col("_on") == F.col("_at")) & (F.col(key) == F.col("_key")) & ~F.col("_has"), "left")
+    found = F.coalesce("_hot", "_rest")
+    met = met if how == "left" else met.where(found.isNotNull())
+    own = [c for c in big.columns if c != key]
+    out = met.select(key, *own, *(found[c].alias(c) for c in names))
+    return out.withColumn(key, F.col(key).cast(kind))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -64,4 +64,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_suffix_array_dedup, op4_minhash_near_dedup, op5_best_fit_packing, op6_language_id, op7_toxicity, op8_quality_rules, op9_benchmark_decontamination, op10_token_counts)}
 
-ORACLE: dict[str, str] = {}
+#: Each 50-byte string with the smallest document where it starts; starts at most 50 bytes apart are one removed run.
+_OP3_SQL = """with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+    w as (select doc_id, i, substr(h, cast(2 * i + 1 as bigint), 100) as s from (select doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) as i from d)),
+    first as (select s, min(doc_id) as least from w group by 1),
+    hit as (select w.doc_id, i from w join first using (s) where least < w.doc_id),
+    new as (select *, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as opens from hit),
+    run as (select doc_id, min(i) as a, max(i) + 50 as b from (select *, sum(opens) over (partition by doc_id order by i) as k from new) group by doc_id, k),
+    rest as (select r.doc_id, a, b, substr(h, cast(2 * b + 1 as bigint), cast(2 * (coalesce(lead(a) over (partition by r.doc_id order by a), len(h) // 2) - b) as bigint)) as tail, h from run r join d using (doc_id)),
+    cut as (select doc_id, sum(b - a) as n, count(*) as k, substr(any_value(h), 1, cast(2 * min(a) as bigint)) || string_agg(tail, '' order by a) as kept from rest group by 1)
+    select d.doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n, 0) as bigint) as n_removed, coalesce(k, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join cut using (doc_id)"""
+#: Distinct 4-word shingles, all pairs of documents that share one, and what is reachable by links.
+_OP4_SQL = """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+    sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) end as s from w),
+    classes as (select min(doc_id) as c, len(k) as n, k from (select doc_id, list_sort(s) as k from sets) where len(k) > 0 group by k),
+    items as (select c, n, unnest(k) as x from classes),
+    links as (select a.c as a, b.c as b from items a join items b on a.x = b.x and a.c <> b.c group by a.c, b.c, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+    top as (select a, min(b) as least from reach group by 1)
+    select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(least(t.least, c.c), s.doc_id) as component_id, s.doc_id = coalesce(least(t.least, c.c), s.doc_id) as kept
+    from sets s left join classes c on list_sort(s.s) = c.k left join top t on t.a = c.c"""
+#: The other operators draw, learn, tokenize or pack: tests hold them against brute force.
+ORACLE: dict[str, str] = {"op3_suffix_array_dedup": _OP3_SQL, "op4_minhash_near_dedup": _OP4_SQL}

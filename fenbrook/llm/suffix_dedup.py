@@ -3,28 +3,31 @@
 The suffixes of the corpus are dealt into independent suffix arrays by content: any 50
 bytes contain a 20-byte gram of least hash, and all places of equal 50 bytes have the same
 one. Neighbouring starts with the same least gram form a run. A first pass finds, from four
-bytes of hash a run, which grams occur in two documents. A second pass sends the
-bytes of those runs only, equal ones of a task once, to the bucket of their gram. There the
-distinct runs form an enhanced suffix array (order, common prefixes, left bytes) whose
-common-prefix intervals a stack scan reads off: an interval of at least 50 bytes is a
-string with all its places, and it is maximal if its places have different left
-neighbours. A place is removed if its interval also starts in a document with a smaller id.
+bytes of hash a run, which grams occur in two documents. A second pass sends the bytes of those
+runs, equal ones of a flush once, to the bucket of their gram. There all runs form enhanced
+suffix arrays (order, common prefixes, left bytes) whose common-prefix intervals a stack
+scan reads off: an interval of at least 50 bytes is a string with all its places. Where
+its left neighbours are diverse a group begins, a repeat with all its places, which
+runs on as long as the places stay the same. The groups go back to the flushes that have the places, and a
+place loses its group's bytes if the group also starts in a document with a smaller id.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import release, ship, stage
 
 GRAM = 20
 _BLOCK = 1 << 18
@@ -104,49 +107,59 @@ def _by_group(key: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 # --- first pass: which runs have a gram that another document has ---
+#
+# A flush is what a task holds at a time. Documents have numbers in their flush; one row of each flush tells their ids
+# and the hashes of their texts, by which rows that repeat an id are told apart.
 
-_OF_DOCS = "part int, docs binary, sizes binary, data binary"
-_GRAMS = "bucket int, grams binary, known binary, docs binary, counts binary, steps binary, first bigint, part int, docs_found binary, sizes binary, data binary"
+_GRAMS = "bucket int, flush bigint, grams binary, known binary, docs binary, counts binary, steps binary, first bigint, sizes binary, data binary, ids binary, keys binary"
+_OF_FLUSH = "flush bigint, docs binary, sizes binary, data binary, ids binary, keys binary"
 
 
-def _of_docs(doc: np.ndarray, items: np.ndarray, bits: int) -> list[tuple]:
-    """Items (rows of bytes) of documents as rows by part of the documents: a row for a part, not for a document."""
-    part = (_mix(doc.astype(np.uint64) * _A[1]) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(doc), np.int64)
-    order = np.lexsort((doc, part))
-    doc, part, items = doc[order], part[order], items[order]
-    rows = []
-    for a, b in _by_group(part):
-        cuts = np.flatnonzero(np.append(True, doc[a + 1 : b] != doc[a : b - 1]))
-        rows.append((int(part[a]), _pack(doc[a:b][cuts]), _pack(np.diff(cuts, append=b - a).astype(np.int32)), _pack(items[a:b])))
-    return rows
+def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    columns = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(columns)], [n for n, _ in columns])
 
 
-def _table_of_docs(rows: list[tuple]) -> pa.Table:
-    return pa.table({n: pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i, n in enumerate(("part", "docs", "sizes", "data"))})
+def _of_flush(flush: int, doc: np.ndarray, items: np.ndarray) -> tuple:
+    """Items (rows of bytes) of a flush's documents as one row."""
+    order = np.argsort(doc, kind="stable")
+    doc, items = doc[order], items[order]
+    cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
+    return (flush, _pack(doc[cuts].astype(np.int32)), _pack(np.diff(cuts, append=len(doc)).astype(np.int32)), _pack(items), None, None)
+
+
+def _items(rows: list[dict], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document numbers and items of all rows of a flush in the order of documents, and the flush's ids and keys."""
+    doc, data, ids, keys = [np.empty(0, np.int32)], [np.empty((0, width), np.uint8)], np.empty(0, np.int64), np.empty(0, np.int64)
+    for r in rows:
+        if r["ids"] is not None:
+            ids, keys = _unpack(r["ids"], np.int64), _unpack(r["keys"], np.int64)
+        else:
+            doc.append(np.repeat(_unpack(r["docs"], np.int32), _unpack(r["sizes"], np.int32)))
+            data.append(_unpack(r["data"], np.uint8).reshape(-1, width))
+    doc, data = np.concatenate(doc), np.concatenate(data)
+    order = np.argsort(doc, kind="stable")
+    return doc[order], data[order], ids, keys
 
 
 def _by_doc(width: int):
-    """Of a part of the documents: one row for each, with all its items."""
+    """Of a flush: one row for each document that has items, with all of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, data = [], []
-        for r in table.to_pylist():
-            doc.append(np.repeat(_unpack(r["docs"], np.int64), _unpack(r["sizes"], np.int32)))
-            data.append(_unpack(r["data"], np.uint8).reshape(-1, width))
-        doc, data = np.concatenate(doc), np.concatenate(data)
-        order = np.argsort(doc, kind="stable")
-        doc, data = doc[order], data[order]
+        doc, data, ids, keys = _items(table.to_pylist(), width)
         cuts = list(_by_group(doc))
-        return pa.table({"doc_id": pa.array([int(doc[a]) for a, _ in cuts], pa.int64()), "items": pa.array([data[a:b].tobytes() for a, b in cuts], pa.binary())})
+        at = doc[[a for a, _ in cuts]] if cuts else doc
+        return pa.table({"doc_id": pa.array(ids[at], pa.int64()), "key": pa.array(keys[at], pa.int64()), "items": pa.array([data[a:b].tobytes() for a, b in cuts], pa.binary())})
 
     return run
 
 
 def _grams_of(length: int, bits: int):
-    """Rows of two kinds: grams for a bucket, one for each distinct gram of the documents at hand; and
-    what is found on the spot, runs of a gram that two documents at hand have."""
+    """Rows of three kinds: grams for a bucket, each distinct one of a flush once; what is found on the spot, runs
+    of a gram that two documents of the flush have; and the flush's documents."""
 
-    def flush(docs: list[int], counts: list[int], grams: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(number: int, docs: list[int], keys: list[int], counts: list[int], grams: list[np.ndarray]) -> pa.RecordBatch:
         g = np.concatenate(grams) if grams else np.empty(0, np.uint64)
         n = np.array(counts, np.int64)
         ends = np.cumsum(n)
@@ -157,11 +170,10 @@ def _grams_of(length: int, bits: int):
         last = np.append(first[1:], len(s)) - 1
         shared = doc[order[first]] != doc[order[last]] if len(s) else np.empty(0, bool)
         member = order[np.repeat(shared, last - first + 1)]
-        ids = np.array(docs, np.int64)
         at = np.sort(order[first])
         known = np.zeros(len(g), bool)
         known[order[first[shared]]] = True
-        bucket = (g[at] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(at), np.int64)
+        bucket = (g[at] >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         at, bucket = at[order], bucket[order]
         low = ((g[at] >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -171,96 +183,100 @@ def _grams_of(length: int, bits: int):
             d = doc[own]
             cuts = np.flatnonzero(np.diff(d, prepend=-1))
             run = (own - (ends - n)[d]).astype(np.uint32)
-            rows.append((int(bucket[a]), _pack(low[a:b]), _pack(np.packbits(known[own])), _pack(np.diff(ids[d[cuts]], prepend=0)), _pack(_planes(np.diff(cuts, append=b - a).astype(np.uint32))), _pack(_planes(np.diff(run, prepend=run[:1]))), int(run[0]), None, None, None, None))
-        found = _of_docs(ids[doc[member]], (member - (ends - n)[doc[member]]).astype(np.uint32).view(np.uint8).reshape(-1, 4), bits)
-        rows += [(r[0], *[None] * 6, *r) for r in found]
-        kinds = [pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int32(), *[pa.binary()] * 3]
-        names = [x.split()[0] for x in _GRAMS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+            rows.append((int(bucket[a]), number, _pack(low[a:b]), _pack(np.packbits(known[own])), _pack(_planes(np.diff(d[cuts], prepend=0))), _pack(_planes(np.diff(cuts, append=b - a).astype(np.uint32))), _pack(_planes(np.diff(run, prepend=run[:1]))), int(run[0]), None, None, None, None))
+        found = _of_flush(number, doc[member], (member - (ends - n)[doc[member]]).astype(np.uint32).view(np.uint8).reshape(-1, 4))
+        home = number % (1 << bits)
+        rows.append((home, number, None, None, found[1], None, None, None, found[2], found[3], None, None))
+        rows.append((home, number, *[None] * 8, _pack(np.array(docs, np.int64)), _pack(np.array(keys, np.int64))))
+        return _rows(_GRAMS, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, counts, grams, held = [], [], [], 0
+        docs, keys, counts, grams, held, number = [], [], [], [], 0, TaskContext.get().partitionId() << 20
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+            for doc, key, text in zip(batch.column("doc_id"), batch.column("key"), batch.column("text"), strict=True):
                 b = _array(text.as_py())
                 if len(b) < length or not doc.is_valid:
                     continue
                 g = runs(b, length)[2]
                 docs.append(doc.as_py())
+                keys.append(key.as_py())
                 counts.append(len(g))
                 grams.append(g)
                 held += len(g)
                 if held >= _FLUSH_RUNS:
-                    yield flush(docs, counts, grams)
-                    docs, counts, grams, held = [], [], [], 0
+                    yield flush(number, docs, keys, counts, grams)
+                    docs, keys, counts, grams, held, number = [], [], [], [], 0, number + 1
         if docs:
-            yield flush(docs, counts, grams)
+            yield flush(number, docs, keys, counts, grams)
 
     return run
 
 
-def _meet(bits: int):
-    return lambda table: _met(table, bits)
-
-
-def _met(table: pa.Table, bits: int) -> pa.Table:
-    """Of one bucket: runs whose gram came from two tasks or more and that are not known to be shared yet;
-    and, as they are, the runs that were found on the spot."""
-    is_found = table.column("grams").is_null()
-    found = table.filter(is_found).select(["part", "docs_found", "sizes", "data"]).rename_columns(["part", "docs", "sizes", "data"])
-    table = table.filter(pc.invert(is_found))
-    if not len(table):
-        return found
-    low, doc, run, known = [], [], [], []
-    for r in table.select(["grams", "known", "docs", "counts", "steps", "first"]).to_pylist():
+def _met(table: pa.Table) -> pa.Table:
+    """Of one bucket: runs whose gram came from two flushes or more and that are not known to be shared yet, by
+    flush; and, as they are, the rows of other kinds."""
+    is_other = table.column("grams").is_null()
+    other = table.filter(is_other).select([x.split()[0] for x in _OF_FLUSH.split(", ")])
+    rows = table.filter(pc.invert(is_other)).select(["flush", "grams", "known", "docs", "counts", "steps", "first"]).to_pylist()
+    if not rows:
+        return other
+    low, flush, doc, run, known = [], [], [], [], []
+    for r in rows:
         g = _unpack(r["grams"], np.uint32)
         low.append(g)
-        doc.append(np.repeat(np.cumsum(_unpack(r["docs"], np.int64)), _whole(_unpack(r["counts"], np.uint8))))
+        flush.append(np.full(len(g), r["flush"]))
+        doc.append(np.repeat(np.cumsum(_whole(_unpack(r["docs"], np.uint8)), dtype=np.int64), _whole(_unpack(r["counts"], np.uint8))))
         run.append((np.cumsum(_whole(_unpack(r["steps"], np.uint8)), dtype=np.uint32) + np.uint32(r["first"])).astype(np.int64))
         known.append(np.unpackbits(_unpack(r["known"], np.uint8), count=len(g)).astype(bool))
-    low, doc, run, known = (np.concatenate(x) for x in (low, doc, run, known))
+    low, flush, doc, run, known = (np.concatenate(x) for x in (low, flush, doc, run, known))
     order = np.argsort(low, kind="stable")
     s = low[order]
     same = s[1:] == s[:-1]
     met = np.append(same, False) | np.append(False, same)
     pick = order[met]
     pick = pick[~known[pick]]
-    rows = _of_docs(doc[pick], run[pick].astype(np.uint32).view(np.uint8).reshape(-1, 4), bits)
-    return pa.concat_tables([found, _table_of_docs(rows)])
+    pick = pick[np.argsort(flush[pick], kind="stable")]
+    items = run[pick].astype(np.uint32).view(np.uint8).reshape(-1, 4)
+    found = [_of_flush(int(flush[pick[a]]), doc[pick[a:b]], items[a:b]) for a, b in _by_group(flush[pick])]
+    return pa.concat_tables([other, pa.Table.from_batches([_rows(_OF_FLUSH, found)])])
 
 
-# --- second pass: bytes of those runs, to buckets ---
+# --- second pass: bytes of those runs, to buckets; their places stay with the flush ---
 
-_SENT = "bucket int, grams binary, sizes binary, data binary, members binary, docs binary, starts binary"
+_SENT = "flush bigint, bucket int, grams binary, sizes binary, data binary, least binary, most binary, counts binary, docs binary, doc_ids binary, starts binary, ids binary, keys binary"
 
 
 def _send(length: int, bits: int):
-    """Distinct runs of the documents at hand, each with the places where it stands, by bucket.
+    """Distinct runs of the documents at hand by bucket, each with its number of places and their least and largest document; and
+    the places, which only the flush itself reads again, so a run with any number of places is one entry of its bucket.
 
     A run's bytes begin with the byte before it (0xFF at the start of a text)."""
 
-    def flush(seen: dict[bytes, int], grams: list[int], places: list[list[tuple[int, int]]]) -> pa.RecordBatch:
-        g = np.array(grams, np.uint64)
-        bucket = (g >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(g), np.int64)
-        order = np.argsort(bucket, kind="stable")
-        segments = list(seen)
-        rows = []
+    def flush(seen: dict[bytes, int], grams: list[int], places: list[list[tuple[int, int]]], ids: list[int], keys: list[int]) -> pa.RecordBatch:
+        number = uuid.uuid4().int >> 65
+        g, id_of = np.array(grams, np.uint64), np.array(ids, np.int64)
+        bucket = (g >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.lexsort((g, bucket))
+        segments, rows = list(seen), []
         for a, b in _by_group(bucket[order]):
             own = order[a:b]
-            where = [p for i in own for p in places[i]]
+            where = np.array([p for i in own for p in places[i]], np.int64).reshape(-1, 2)
+            n = np.array([len(places[i]) for i in own], np.int64)
+            of = id_of[where[:, 0]]
+            first = np.cumsum(n) - n
             rows.append(
                 (
-                    int(bucket[own[0]]), _pack(g[own]), _pack(np.array([len(segments[i]) for i in own], np.int32)), _pack(b"".join(segments[i] for i in own)),
-                    _pack(np.array([len(places[i]) for i in own], np.int32)), _pack(np.array([p[0] for p in where], np.int64)), _pack(np.array([p[1] for p in where], np.int64)),
+                    number, int(bucket[own[0]]), _pack(g[own]), _pack(np.array([len(segments[i]) for i in own], np.int32)), _pack(b"".join(segments[i] for i in own)),
+                    _pack(np.minimum.reduceat(of, first)), _pack(np.maximum.reduceat(of, first)), _pack(n.astype(np.int32)), _pack(where[:, 0].astype(np.int32)), _pack(of), _pack(where[:, 1].copy()), None, None,
                 )
             )
-        names = [x.split()[0] for x in _SENT.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(len(names))], names)
+        rows.append((number, -1, *[None] * 9, _pack(id_of), _pack(np.array(keys, np.int64))))
+        return _rows(_SENT, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, grams, places, held = {}, [], [], 0
+        seen, grams, places, ids, keys, held = {}, [], [], [], [], 0
         for batch in batches:
-            for doc, text, found in zip(batch.column("doc_id"), batch.column("text"), batch.column("found"), strict=True):
+            for doc, key, text, found in zip(*(batch.column(c) for c in ("doc_id", "key", "text", "found")), strict=True):
                 if not found.is_valid or not text.is_valid:
                     continue
                 raw = text.as_py().encode("utf-8", "surrogatepass")
@@ -268,7 +284,9 @@ def _send(length: int, bits: int):
                 ours = np.unique(np.frombuffer(found.as_py(), np.uint32))
                 # The first pass names one run of each gram in a document; a repeat may stand at any of them.
                 ours = np.flatnonzero(np.isin(g, g[ours[ours < len(lo)]]))
-                id_ = doc.as_py()
+                n = len(ids)
+                ids.append(doc.as_py())
+                keys.append(key.as_py())
                 for a, b, gram in zip(lo[ours].tolist(), hi[ours].tolist(), g[ours].tolist(), strict=True):
                     segment = raw[a - 1 : b + length - 1] if a else b"\xff" + raw[: b + length - 1]
                     i = seen.setdefault(segment, len(grams))
@@ -276,13 +294,13 @@ def _send(length: int, bits: int):
                         grams.append(gram)
                         places.append([])
                         held += len(segment) + 350
-                    places[i].append((id_, a))
+                    places[i].append((n, a))
                     held += 120
                 if held >= _FLUSH_BYTES:
-                    yield flush(seen, grams, places)
-                    seen, grams, places, held = {}, [], [], 0
+                    yield flush(seen, grams, places, ids, keys)
+                    seen, grams, places, ids, keys, held = {}, [], [], [], [], 0
         if grams:
-            yield flush(seen, grams, places)
+            yield flush(seen, grams, places, ids, keys)
 
     return run
 
@@ -290,22 +308,21 @@ def _send(length: int, bits: int):
 # --- in a bucket: enhanced suffix array and its intervals ---
 
 
-DEPTH = 56
-
-
-def enhanced_suffix_array(data: np.ndarray, starts: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def enhanced_suffix_array(data: np.ndarray, starts: np.ndarray, room: np.ndarray, depth: int = 56) -> tuple[np.ndarray, np.ndarray]:
     """The ``starts`` in the order of their suffixes and the common prefix of each with the one before.
 
-    Suffixes are sorted as big-endian words, to 56 bytes or to the ``room`` that a start has.
+    Suffixes are sorted as big-endian words, to ``depth`` bytes (a multiple of 8) or to the ``room`` that a start has.
     """
-    words = np.append(data, np.zeros(DEPTH + 8, np.uint8)).astype(np.uint64)
+    words = np.append(data, np.zeros(depth + 8, np.uint8)).astype(np.uint64)
     for k in (1, 2, 4):
         words = (words[:-k] << np.uint64(8 * k)) | words[k:]
     keys = []
-    for k in range(0, DEPTH, 8):
-        beyond = np.uint64(8) * (8 - np.clip(room - k, 0, 8)).astype(np.uint64)
+    for k in range(0, depth, 8):
         w = words[starts + k]
-        keys.append(np.where(beyond >= 64, np.uint64(0), (w >> np.minimum(beyond, np.uint64(63))) << np.minimum(beyond, np.uint64(63))))
+        if len(room) and int(room.min()) < k + 8:
+            beyond = np.uint64(8) * (8 - np.clip(room - k, 0, 8)).astype(np.uint64)
+            w = np.where(beyond >= 64, np.uint64(0), (w >> np.minimum(beyond, np.uint64(63))) << np.minimum(beyond, np.uint64(63)))
+        keys.append(w)
     order = np.lexsort(keys[::-1])
     common, going = np.zeros(max(len(order) - 1, 0), np.int64), np.ones(max(len(order) - 1, 0), bool)
     for w in keys:
@@ -339,13 +356,24 @@ def intervals(common: np.ndarray, least: int) -> list[tuple[int, int, int, bool]
     return out
 
 
+_VERDICT = "flush bigint, bucket int, frags binary, offsets binary, windows binary, least binary, counts binary, joins binary, names binary"
+_CHUNK = 400_000
+
+
 class Bucket:
-    """The distinct runs of one bucket with their places; the enhanced suffix array of those that share a gram."""
+    """The runs of one bucket and the enhanced suffix arrays of all their starts, a few grams at a time.
+
+    An interval of ``length`` bytes or more is a string and all its places: those of each run that has it. A run that
+    stands at several places is such a string by itself at each of its starts. Along a run, a start opens a new group
+    if its string has diverse left neighbours or another number of places than the start before; the starts
+    after it that do not are the same places one byte further, so a group is a repeat with all its places.
+    """
 
     def __init__(self, table: pa.Table, length: int):
         self.length = length
         index: dict[bytes, int] = {}
-        gram, run, doc, start = [], [], [], []
+        gram, self.rows = [], []
+        least, most, counts = [], [], []
         for r in table.to_pylist():
             data = zstandard.ZstdDecompressor().decompress(r["data"])
             at, own = 0, []
@@ -355,75 +383,128 @@ class Bucket:
                     gram.append(g)
                 own.append(i)
                 at += size
-            run.append(np.repeat(np.array(own, np.int64), _unpack(r["members"], np.int32)))
-            doc.append(_unpack(r["docs"], np.int64))
-            start.append(_unpack(r["starts"], np.int64))
-        self.run, self.doc, self.start = (np.concatenate(x) for x in (run, doc, start))
+            self.rows.append((r["flush"], r["bucket"], np.array(own, np.int64)))
+            least.append(_unpack(r["least"], np.int64))
+            most.append(_unpack(r["most"], np.int64))
+            counts.append(_unpack(r["counts"], np.int32))
+        run = np.concatenate([own for _, _, own in self.rows])
+        n = len(gram)
         self.segments = list(index)
-        n = len(self.segments)
-        self.windows = np.array([len(s) for s in self.segments], np.int64) - length
-        self.least_doc = np.full(n, np.iinfo(np.int64).max)
-        np.minimum.at(self.least_doc, self.run, self.doc)
-        _, inverse, counts = np.unique(np.array(gram, np.uint64), return_inverse=True, return_counts=True)
-        self.many = counts[inverse] > 1
-        # The smallest document of each start of each distinct run: that of the run itself, unless runs share a gram.
-        self.at = np.cumsum(self.windows) - self.windows
-        self.least = np.repeat(self.least_doc, self.windows)
-        picked = np.flatnonzero(self.many)
-        self.nodes: list[tuple[int, int, int, bool]] = []
-        if not len(picked):
-            return
+        windows = np.array([len(s) for s in self.segments], np.int64) - length
+        low, high, count = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min), np.zeros(n, np.int64)
+        np.minimum.at(low, run, np.concatenate(least))
+        np.maximum.at(high, run, np.concatenate(most))
+        np.add.at(count, run, np.concatenate(counts))
+        self.at = np.cumsum(windows) - windows
+        self.of = np.repeat(np.arange(n), windows)
+        self.low, self.high, self.count = low[self.of], high[self.of], count[self.of]
+        self.diverse = np.zeros(len(self.of), bool)
+        ordered = np.argsort(np.array(gram, np.uint64), kind="stable")
+        begins = np.flatnonzero(np.append(True, np.diff(np.array(gram, np.uint64)[ordered]) != 0)) if n else np.empty(0, np.int64)
+        upto, a = np.cumsum(windows[ordered]), 0
+        while a < n:  # whole grams, as equal strings have one gram
+            over = np.searchsorted(upto, (upto[a - 1] if a else 0) + _CHUNK, "right")
+            k = np.searchsorted(begins, max(over, a + 1), "left")
+            b = int(begins[k]) if k < len(begins) else n
+            self._scan(ordered[a:b], windows)
+            a = b
+        head = np.zeros(len(self.of), bool)
+        head[self.at] = True
+        same = np.append(False, self.count[1:] == self.count[:-1])
+        self.first = np.flatnonzero(head | self.diverse | ~same)
+        self.long = np.diff(self.first, append=len(self.of))
+
+    def _scan(self, picked: np.ndarray, windows: np.ndarray) -> None:
+        """The interval tree of the starts of some runs: what its outermost intervals say of their starts."""
         data = np.frombuffer(bytes([_BETWEEN]).join(self.segments[i] for i in picked), np.uint8)
-        sizes = self.windows[picked] + length
+        w = windows[picked]
+        sizes = w + self.length
         base = np.cumsum(sizes + 1) - sizes - 1
-        inside = np.arange(int(self.windows[picked].sum())) - np.repeat(np.cumsum(self.windows[picked]) - self.windows[picked], self.windows[picked])
-        starts = np.repeat(base, self.windows[picked]) + 1 + inside
-        slot = np.repeat(self.at[picked], self.windows[picked]) + inside
-        order, common = enhanced_suffix_array(data, starts, np.repeat(base + sizes, self.windows[picked]) - starts)
-        self.slot, self.left = slot[order], data[starts[order] - 1]
-        self.nodes = intervals(common, length)
-        ranked = self.least[self.slot]
-        for _, a, b, outermost in self.nodes:
-            if outermost:
-                self.least[self.slot[a : b + 1]] = ranked[a : b + 1].min()
-
-    def covered(self, bits: int) -> pa.Table:
-        """Bytes from..to that a repeated string covers in documents which are not its first, by part of the documents."""
-        n = self.windows[self.run]
-        lowest, highest = (np.array([f(self.least[a : a + w]) for a, w in zip(self.at, self.windows, strict=True)], np.int64) for f in (np.min, np.max))
-        whole = highest[self.run] < self.doc
-        doc, a, b = [self.doc[whole]], [self.start[whole]], [(self.start + n)[whole]]
-        for i in np.flatnonzero(~whole & (lowest[self.run] < self.doc)).tolist():
-            r = self.run[i]
-            hit = np.flatnonzero(np.diff(np.concatenate([[0], (self.least[self.at[r] : self.at[r] + n[i]] < self.doc[i]).astype(np.int8), [0]])))
-            doc.append(np.repeat(self.doc[i], len(hit) // 2))
-            a.append(self.start[i] + hit[::2])
-            b.append(self.start[i] + hit[1::2])
-        doc, a, b = (np.concatenate(x) for x in (doc, a, b))
-        pairs = np.column_stack([a, b + self.length - 1]).astype(np.int64)
-        return _table_of_docs(_of_docs(doc, pairs.view(np.uint8).reshape(-1, 16), bits))
-
-    def maximal(self) -> pa.Table:
-        """(repeat, length, doc_id, start): all places of each interval whose left neighbours differ."""
-        places: dict[int, list[int]] = {}
-        for i, r in enumerate(self.run.tolist()):
-            places.setdefault(r, []).append(i)
-        repeat, size, doc, start = [], [], [], []
-        for depth, a, b, _ in self.nodes:
-            left = self.left[a : b + 1]
-            if (left == left[0]).all() and left[0] != _START:
-                continue
-            slots = self.slot[a : b + 1]
-            own = np.searchsorted(self.at, slots, "right") - 1
-            o = int(slots[0] - self.at[own[0]]) + 1
-            name = hashlib.sha256(self.segments[own[0]][o : o + depth]).hexdigest()[:32]
-            for s, r in zip(slots.tolist(), own.tolist(), strict=True):
-                for i in places[r]:
-                    repeat.append(name)
-                    size.append(depth)
-                    doc.append(int(self.doc[i]))
-                    start.append(int(self.start[i] + s - self.at[r]))
-        return pa.table({"repeat": pa.array(repeat, pa.string()), "length": pa.array(size, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64())})
+        inside = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        starts = np.repeat(base, w) + 1 + inside
+        slot = np.repeat(self.at[picked], w) + inside
+        order, common = enhanced_suffix_array(data, starts, np.repeat(base + sizes, w) - starts, -(-self.length // 8) * 8)
+        slot, left = slot[order], data[starts[order] - 1]
+        self.diverse[slot] = left == _START
+        outer = np.array(sorted((a, b) for _, a, b, outermost in intervals(common, self.length) if outermost), np.int64).reshape(-1, 2)
+        if not len(outer):
+            return
+        n = outer[:, 1] - outer[:, 0] + 1
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) - np.repeat(first - outer[:, 0], n)
+        mine, left = slot[at], left[at]
+        self.low[mine] = np.repeat(np.minimum.reduceat(self.low[mine], first), n)
+        self.high[mine] = np.repeat(np.maximum.reduceat(self.high[mine], first), n)
+        self.count[mine] = np.repeat(np.add.reduceat(self.count[mine], first), n)
+        least, most = np.minimum.reduceat(left, first), np.maximum.reduceat(left, first)
+        self.diverse[mine] = np.repeat((least != most) | (most == _START), n)
+
+    def groups(self, named: bool) -> pa.Table:
+        """Of each run that was sent, the groups of two documents or more: where they begin and how many starts they have, their least
+        document, and, if ``named``, their number of places, whether the run before may go on here, and their name."""
+        keep = self.low[self.first] < self.high[self.first]
+        first, long = self.first[keep], self.long[keep]
+        own, out = self.of[first], []
+        offset = first - self.at[own]
+        upto = np.searchsorted(own, np.arange(len(self.segments) + 1))
+        names = np.zeros((len(first), 16), np.uint8)
+        if named:
+            for i, (r, o) in enumerate(zip(own.tolist(), offset.tolist(), strict=True)):
+                names[i] = np.frombuffer(hashlib.sha256(self.segments[r][o + 1 : o + 1 + self.length]).digest()[:16], np.uint8)
+        for flush, bucket, run in self.rows:
+            n = upto[run + 1] - upto[run]
+            at = np.repeat(upto[run] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            extra = (_pack(self.count[first[at]]), _pack(((offset == 0) & ~self.diverse[first])[at]), _pack(names[at])) if named else (None,) * 3
+            out.append((flush, bucket, _pack(n.astype(np.int32)), _pack(offset[at].astype(np.int32)), _pack(long[at].astype(np.int32)), _pack(self.low[first[at]]), *extra))
+        return pa.Table.from_batches([_rows(_VERDICT, out)])
+
+
+def _places(length: int, named: bool):
+    """Places of runs with the groups of those: spans in documents that are not the group's first, or, if ``named``, all with
+    the group's number of places, whether it goes on from before, and its name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                n, m = _unpack(r["frags"], np.int32).astype(np.int64), _unpack(r["counts"], np.int32).astype(np.int64)
+                each = np.repeat(n, m)  # groups of each place
+                place = np.repeat(np.arange(len(each)), each)
+                group = np.repeat(np.repeat(np.cumsum(n) - n, m) - np.cumsum(each) + each, each) + np.arange(len(place))
+                least = _unpack(r["least"], np.int64)
+                if not named:
+                    hit = least[group] < _unpack(r["doc_ids"], np.int64)[place]
+                    place, group = place[hit], group[hit]
+                if not len(place):
+                    continue
+                a = _unpack(r["starts"], np.int64)[place] + _unpack(r["offsets"], np.int32)[group]
+                b = a + _unpack(r["windows"], np.int32)[group]
+                item = np.column_stack([a, b + (0 if named else length - 1)]).astype(np.int64).view(np.uint8).reshape(-1, 16)
+                if named:
+                    more = np.column_stack([_unpack(r["n_places"], np.int64)[group], _unpack(r["joins"], bool)[group].astype(np.int64)]).astype(np.int64).view(np.uint8).reshape(-1, 16)
+                    item = np.column_stack([item, more, _unpack(r["names"], np.uint8).reshape(-1, 16)[group]])
+                out.append(_of_flush(r["flush"], _unpack(r["docs"], np.int32)[place], item))
+            if out:
+                yield _rows(_OF_FLUSH, out)
+
+    return run
+
+
+def _chained(length: int):
+    """Of a flush: groups that follow one another in a document at the same places are one repeat."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, data, ids, _ = _items(table.to_pylist(), 48)
+        number = np.ascontiguousarray(data[:, :32]).view(np.int64)
+        a, b, count, joins = (number[:, i] for i in range(4))
+        order = np.lexsort((a, doc))
+        doc, a, b, count, joins, names = doc[order], a[order], b[order], count[order], joins[order], data[order, 32:]
+        on = np.append(False, (doc[1:] == doc[:-1]) & (a[1:] == b[:-1]) & (count[1:] == count[:-1]) & (joins[1:] == 1)) if len(doc) else np.empty(0, bool)
+        first = np.flatnonzero(~on)
+        last = np.append(first[1:], len(doc)) - 1 if len(first) else first
+        return pa.table({"repeat": pa.array([names[i].tobytes().hex() for i in first], pa.string()), "length": pa.array(b[last] - a[first] + length - 1, pa.int64()), "doc_id": pa.array(ids[doc[first]], pa.int64()), "start": pa.array(a[first], pa.int64())})
+
+    return run
 
 
 def _bits(docs: DataFrame, text_mb: int = 6) -> int:
@@ -432,64 +513,77 @@ def _bits(docs: DataFrame, text_mb: int = 6) -> int:
     return max(3, min(31, math.ceil(math.log2(max(1, total / (text_mb * 1e6))))))
 
 
-def _shared_runs(docs: DataFrame, length: int, bits: int) -> DataFrame:
-    found = docs.mapInArrow(_grams_of(length, bits), _GRAMS).groupBy("bucket").applyInArrow(_meet(bits), _OF_DOCS)
-    return stage(found.groupBy("part").applyInArrow(_by_doc(4), "doc_id bigint, items binary"))
-
-
 def _sent(docs: DataFrame, length: int, bits: int) -> DataFrame:
-    found = _shared_runs(docs, length, bits)
-    return docs.join(found, "doc_id", "left").select("doc_id", "text", F.col("items").alias("found")).mapInArrow(_send(length, bits), _SENT)
-
-
-def _prepared(docs: DataFrame) -> DataFrame:
+    """The staged runs, as ``_send`` makes them, of grams that two documents have."""
+    base = docs.select("doc_id", "key", "text")
+    met = base.mapInArrow(_grams_of(length, bits), _GRAMS).groupBy("bucket").applyInArrow(_met, _OF_FLUSH)
+    found = stage(met.groupBy("flush").applyInArrow(_by_doc(4), "doc_id bigint, key bigint, items binary"))
+    # Rows that repeat both id and text have the same runs, so any of theirs will do.
+    one = found.groupBy("doc_id", "key").agg(F.max("items").alias("found"))
+    sent = stage(base.join(one, ["doc_id", "key"]).mapInArrow(_send(length, bits), _SENT))
+    release(found)
+    return sent
+
+
+def _located(sent: DataFrame, length: int, named: bool) -> DataFrame:
+    """Rows of ``_OF_FLUSH``: the places that groups have in the documents of each flush, and these documents."""
+    verdicts = sent.where("bucket >= 0").select("flush", "bucket", "grams", "sizes", "data", "least", "most", "counts").groupBy("bucket").applyInArrow(lambda t: Bucket(t, length).groups(named), _VERDICT)
+    verdicts = verdicts.withColumnRenamed("counts", "n_places")
+    held = sent.where("bucket >= 0").select("flush", "bucket", "counts", "docs", "doc_ids", "starts").join(verdicts, ["flush", "bucket"]).mapInArrow(_places(length, named), _OF_FLUSH)
+    return held.union(sent.where("bucket < 0").select("flush", "docs", "sizes", F.lit(None).cast("binary").alias("data"), "ids", "keys"))
+
+
+def _prepared(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"), *keep)
 
 
 def maximal_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(repeat, length, doc_id, start): every place of each maximal repeat of at least ``length`` bytes.
+    """(repeat, length, doc_id, start): every place of each repeat of at least ``length`` bytes in two documents or more.
 
-    ``repeat`` names the string. Lengths above 56 are given as 56 at most: a longer repeat is the chain of its
-    places. Repeats inside one document only are not listed.
+    A repeat is as long as all its ``length``-byte strings have the same places: it cannot grow to either side without losing
+    a place or meeting others. A passage inside it that stands elsewhere too is a repeat of its own between its
+    two other parts, which reach ``length`` - 1 bytes into it. ``repeat`` names its first ``length`` bytes. Null, empty and
+    short texts and rows without an id have none.
     """
     base = _prepared(docs)
-    return _sent(base, length, _bits(base)).groupBy("bucket").applyInArrow(lambda t: Bucket(t, length).maximal(), "repeat string, length bigint, doc_id bigint, start bigint")
+    sent = _sent(base, length, _bits(base))
+    return _located(sent, length, True).groupBy("flush").applyInArrow(_chained(length), "repeat string, length bigint, doc_id bigint, start bigint")
 
 
-def cut_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the rest as kept_text.
+def cut_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, with ``keep_text`` the rest as kept_text, and the columns ``keep``.
 
     Removed is each byte that lies in a string of ``length`` bytes which also starts in a document of smaller
     id, judged on the input. Null text is empty; empty and short texts lose nothing. Rows without an id are
-    kept whole and are not compared. Rows that repeat an id do not shorten each other. kept_text drops a
-    character of which only part is left. Other columns are ignored.
+    kept whole and are not compared. Rows that repeat an id do not shorten each other, and each loses its own
+    passages. kept_text drops a character of which only part is left. Other columns are ignored.
     """
-    base = _prepared(docs)
-    bits = _bits(base)
-    covered = _sent(base, length, bits).groupBy("bucket").applyInArrow(lambda t: Bucket(t, length).covered(bits), _OF_DOCS)
-    covered = covered.groupBy("part").applyInArrow(_by_doc(16), "doc_id bigint, items binary")
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if keep_text else "")
+    base = _prepared(docs, keep)
+    covered = _located(_sent(base, length, _bits(base)), length, False).groupBy("flush").applyInArrow(_by_doc(16), "doc_id bigint, key bigint, items binary")
+    covered = covered.groupBy("doc_id", "key").agg(F.max("items").alias("_spans"))
+    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
+    kinds = dict(base.dtypes)
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if keep_text else "") + "".join(f", `{c}` {kinds[c]}" for c in keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part, out = batch.slice(k, 2000), []
-                for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+                for text, spans in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist(), strict=True):
                     b = (text or "").encode("utf-8", "surrogatepass")
                     kept, removed, n = b, 0, 0
                     if spans:
                         edge = np.zeros(len(b) + 1, np.int32)
                         pairs = np.frombuffer(spans, np.int64).reshape(-1, 2)
-                        pairs = pairs[pairs[:, 1] <= len(b)]
                         np.add.at(edge, pairs[:, 0], 1)
                         np.add.at(edge, pairs[:, 1], -1)
                         gone = np.cumsum(edge[:-1]) > 0
                         removed, n = int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
                     out.append((len(b), removed, n, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text and text is not None else None))
-                names = schema.replace("bigint", "").replace("string", "").replace(" ", "").split(",")
-                columns = [part.column("doc_id"), *(pa.array([r[i] for r in out], pa.int64() if i < 3 else pa.string()) for i in range(len(names) - 1))]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                columns = [part.column("doc_id"), *(pa.array([r[i] for r in out], pa.int64() if i < 3 else pa.string()) for i in range(len(own))), *(part.column(c) for c in keep)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", *own, *keep])
 
-    return base.join(covered, "doc_id", "left").select("doc_id", "text", F.col("items").alias("spans")).mapInArrow(cut, schema)
+    return base.join(covered, ["doc_id", "key"], "left").select("doc_id", "text", "_spans", *keep).mapInArrow(cut, schema)

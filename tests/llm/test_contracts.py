@@ -19,11 +19,14 @@ from fenbrook.llm.minhash import estimate, fine_registers, near_duplicates
 from fenbrook.llm.packing import best_fit, pack, pack_histogram
 from fenbrook.llm.quality_qda import quality_scores
 from fenbrook.llm.quality_rules import quality_rules
+from fenbrook.llm.queries import ORACLE, QUERIES
 from fenbrook.llm.sharding import communication_matrix, shuffle_into_shards
 from fenbrook.llm.suffix_dedup import cut_repeats, maximal_repeats
 from fenbrook.llm.toxicity import toxicity_scores
 from fenbrook.llm.wordpiece import token_counts
 
+from ..conftest import SF
+
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, key string"
 RNG = random.Random(4)
@@ -175,6 +178,57 @@ def test_cut_repeats_at_later_places_of_a_document(spark):
     assert got == brute_cut(rows)
 
 
+def test_rows_that_repeat_an_id_lose_their_own_passages(spark):
+    rng = random.Random(3)
+    x, z = prose(60, rng)[:300], prose(60, rng)[:300]
+    rows = [(1, x), (2, x), (2, z), (2, x), (3, z), (None, x), (3, z[:60] + x[:60])]
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in cut_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == sorted([(1, 300, 0), (2, 300, 300), (2, 300, 0), (2, 300, 300), (3, 300, 300), (0, 300, 0), (3, 120, 120)])
+
+
+def test_other_columns_go_through_the_cut(spark):
+    rows = [(1, "a" * 60, "en", "x"), (2, "a" * 70, "de", "y"), (3, None, None, "z")]
+    got = {r["doc_id"]: (r["kept_text"], r["lang"]) for r in cut_repeats(spark.createDataFrame(rows, "doc_id long, text string, lang string, items string"), keep_text=True, keep=("lang",)).collect()}
+    assert got == {1: ("a" * 60, "en"), 2: ("", "de"), 3: (None, None)}
+
+
+def brute_repeats(rows, n=50):
+    """Each repeat with its length and all its places: strings of n bytes whose places are the same, byte after byte, are one."""
+    places = defaultdict(set)
+    text = {i: (t or "").encode() for i, t, *_ in rows}
+    for i, b in text.items():
+        for p in range(len(b) - n + 1):
+            places[b[p : p + n]].add((i, p))
+    shared = {s: w for s, w in places.items() if len({i for i, _ in w}) > 1}
+    goes_on = lambda a, b: a in shared and b in shared and {(i, p + 1) for i, p in shared[a]} == shared[b]
+    out = set()
+    for s, w in shared.items():
+        i, p = min(w)
+        b = text[i]
+        if p and goes_on(b[p - 1 : p - 1 + n], s):
+            continue
+        k = p
+        while goes_on(b[k : k + n], b[k + 1 : k + 1 + n]):
+            k += 1
+        out.add((k - p + n, frozenset(w)))
+    return out
+
+
+def _repeats(df):
+    groups = defaultdict(set)
+    for r in maximal_repeats(df).collect():
+        groups[r["repeat"], r["length"]].add((r["doc_id"], r["start"]))
+    return {(n, frozenset(w)) for (_, n), w in groups.items()}
+
+
+def test_maximal_repeats_are_all_there(spark, docs):
+    assert _repeats(docs) == brute_repeats(documents())
+    rng = random.Random(5)
+    long, core = prose(400, rng), prose(20, rng)
+    rows = [(1, long), (2, long), (3, core + long[200:900] + core), (4, prose(30, rng) + core + core), (5, "ab" * 200), (6, "x" + "ab" * 90), (7, "ab" * 20), (8, None)]
+    assert _repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute_repeats(rows)
+
+
 def test_enhanced_suffix_array_and_intervals():
     data = np.frombuffer(b"abracadabra" * 3 + b"xyz", np.uint8)
     starts = np.arange(len(data))
@@ -202,6 +256,22 @@ def test_maximal_repeats_have_all_their_places(docs):
         assert {(d, m.start()) for d, b in text.items() for m in re.finditer(b"(?=" + re.escape(s) + b")", b)} == places
 
 
+# --- SQL twins ---
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql_twin(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "labels", "benchmark"):
+        db.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = db.sql(ORACLE[name])
+    df = QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(want.columns)
+    assert sorted(map(repr, (tuple(r[c] for c in want.columns) for r in df.collect()))) == sorted(map(repr, want.fetchall()))
+
+
 # --- near duplicates ---
 
 
