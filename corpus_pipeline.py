@@ -14,37 +14,45 @@ from fenbrook.llm.common import stage, table
 from fenbrook.llm.decontam import decontaminate
 from fenbrook.llm.minhash import near_duplicates
 from fenbrook.llm.packing import pack
-from fenbrook.llm.quality_rules import quality_rules
+from fenbrook.llm.quality_rules import pass_rules
 from fenbrook.llm.suffix_dedup import cut_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    """Verdicts grow with the documents, so their ids are merged in at every size, never sent everywhere."""
-    return docs.join(verdicts.where(keep).select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+def _without(docs: DataFrame, verdicts: DataFrame, gone: str) -> DataFrame:
+    """Rows whose id no verdict names; Spark picks the join by size. Rows without an id stay."""
+    return docs.join(verdicts.where(gone).select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned rules keep. Rows without an id go: no verdict can name them."""
-    return _kept(docs, quality_rules(docs, table(spark, sf_dir, "labels")), "kept")
+    """Documents that the base rules and the learned rules keep; each row is judged by itself."""
+    return pass_rules(docs, table(spark, sf_dir, "labels"), COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id; of rows that repeat an id, one."""
-    return _kept(docs, near_duplicates(docs), "kept").dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates (five-word shingles, 0.8), that of the smallest id. Rows without an id
+    stay. Rows that repeat an id are one document: the one with the least text stays, in the order of texts."""
+    verdicts = stage(near_duplicates(docs, k=5))
+    left = _without(docs, verdicts, "not kept")
+    twice = stage(verdicts.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not twice.take(1):
+        return left
+    once = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 bytes or more that a document of smaller id has; those of which no word is left go."""
-    rest = cut_repeats(docs, length=50, keep_text=True).select("doc_id", "kept_text", "n_removed")
-    joined = docs.drop("text", "n_chars").join(rest, "doc_id").where((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    return joined.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("bigint").alias("n_chars"))
+    rest = cut_repeats(docs, length=50, keep_text=True, keep=("lang", "source", "n_chars"))
+    whole = F.col("n_removed") == 0
+    n_chars = F.when(whole, F.col("n_chars")).otherwise(F.length("kept_text").cast("bigint"))
+    return rest.where(whole | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _kept(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")), "not contaminated")
+    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")), "contaminated")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,11 +3,15 @@
 Numbers, names and units become typed placeholders, so a question asked again with other
 values has the same template. Windows of five words, as templates and as they stand, are
 hash-joined between benchmark items and documents. A template window with too few plain
-words is widened to either side until it has enough. A capital word that opens a sentence
-may be a name or not, so windows over it are templates in both ways. Matches are gathered
+words is widened to either side until it has enough; an item of fewer words is one window. A capital word that opens a
+sentence may be a name or not, so windows over it are templates in both ways. Matches are gathered
 along each alignment of a document with an item; windows with slots count only if each
 value of the item always became the same value of the document. A document is contaminated
 by an item of whose words such windows cover four fifths.
+
+Documents keep only windows that pass a bit map of the benchmark's hashes, of a fixed size at most, which is
+sent to every worker. Windows that many items share name no candidates: an item that they cannot cover by themselves has
+a rarer one in every document that holds it, and they are looked up for those documents only.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import release, ship, spread_join, stage
 
 # Units of measure.
 UNITS = frozenset(
@@ -32,7 +36,8 @@ PLAIN, NUMBER, UNIT, CAPITAL, EMPTY = range(5)
 _SLOT = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F], dtype=np.uint64)  # of numbers, units, names
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 _CACHE_WORDS = 300_000
-_MAX_INDEX = 4_000_000  # window hashes that documents are filtered by on the spot; beyond, all windows are joined
+MAP_BITS = 27  # of the bit map that windows of documents must pass: 16 MB at most, whatever the benchmark's size
+COMMON = 64  # items that share a window which names no candidates
 
 
 class _Words:
@@ -147,56 +152,74 @@ def _templates(t: np.ndarray, slot: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.append(first, a), np.append(size, b - a), np.append(own, h ^ (h >> np.uint64(29)))
 
 
-def _windows(key: str, k: int, index: np.ndarray | None):
-    """Rows (key, pos, size, h, slots, loose) of windows as they stand (no slots) and as templates, of those in
-    ``index`` only, if it is given. Loose windows take a capital word that opens a sentence for a name."""
-    if index is not None and len(index):
-        bits = int(np.ceil(np.log2(len(index) * 64)))
-        near = np.zeros(1 << bits, bool)
-        near[index >> np.uint64(64 - bits)] = True
+def _whole_templates(t: np.ndarray, slot: np.ndarray, m: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of windows as long as an item of fewer than ``k`` words: they need as many plain words as others."""
+    before = np.append(0, np.cumsum(slot > 0))
+    n = before[m:] - before[:-m]
+    first = np.flatnonzero((n > 0) & (m - n >= k // 2 + 1))
+    return first, np.full(len(first), m), _combine(t, m, 2 + 4 * m)[first]
+
+
+def bit_map(hashes: DataFrame) -> tuple[bytes, int]:
+    """Which leading bits the hashes (h) have, eight to a byte: built in tasks, and never over 2**MAP_BITS bits."""
+    bits = min(MAP_BITS, max(16, int(np.ceil(np.log2(max(1, hashes.count())))) + 8))
+    number = F.shiftrightunsigned("h", 64 - bits) + 1
+    parts = hashes.select(F.bitmap_bucket_number(number).alias("b"), F.bitmap_bit_position(number).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
+    out = bytearray((1 << bits) // 8)
+    for r in parts:
+        out[(r["b"] - 1) * len(r["m"]) : r["b"] * len(r["m"])] = r["m"][: len(out)]
+    return bytes(out), bits
+
 
-    def pick(h: np.ndarray) -> np.ndarray:
-        if index is None:
-            return np.arange(len(h))
-        if not len(index):
-            return np.empty(0, np.int64)
-        at = np.flatnonzero(near[h >> np.uint64(64 - bits)])
-        found = np.minimum(np.searchsorted(index, h[at]), len(index) - 1)
-        return at[index[found] == h[at]]
+def _windows(key: str, k: int, short: list[int] | None = None, shared=None, bits: int = 0):
+    """Rows (key, pos, size, h, slots, loose) of windows as they stand (no slots) and as templates: of all items, whose
+    text is one window if it is shorter, or of documents, those of ``k`` and of ``short`` words that pass the shared bit map.
+    Loose windows take a capital word that opens a sentence for a name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.frombuffer(shared.value, np.uint8) if shared is not None else None
+
+        def pick(h: np.ndarray) -> np.ndarray:
+            if near is None:
+                return np.arange(len(h))
+            i = (h >> np.uint64(64 - bits)).astype(np.int64)
+            return np.flatnonzero((near[i >> 3] >> (i & 7)) & 1)
+
         for batch in batches:
             for c in range(0, batch.num_rows, 500):
                 part = batch.slice(c, 500)
                 keys, pos, sizes, hashes, slots, loose = [], [], [], [], [], []
+
+                def put(name: int, at: np.ndarray, size: np.ndarray, h: np.ndarray, said: list, names: bool) -> None:
+                    keys.extend([name] * len(at))
+                    pos.extend(at.tolist())
+                    sizes.extend(size.tolist())
+                    hashes.append(h)
+                    slots.extend(said)
+                    loose.extend([names] * len(at))
+
                 for name, text in zip(part.column(key).to_pylist(), part.column("text").to_pylist(), strict=True):
                     ids, h, t, slot, opener = canonical(text)
-                    if name is None or len(h) < k:
+                    if name is None or not len(h):
                         continue
-                    own = _combine(h, k, 1)
-                    at = pick(own)
-                    keys += [name] * len(at)
-                    pos += at.tolist()
-                    hashes.append(own[at])
-                    sizes += [k] * len(at)
-                    slots += [[]] * len(at)
-                    loose += [False] * len(at)
+                    widths = ([k] if len(h) >= k else [len(h)]) if short is None else [m for m in (*short, k) if m <= len(h)]
+                    for m in widths:
+                        own = _combine(h, m, 1 + 4 * m)
+                        at = pick(own)
+                        put(name, at, np.full(len(at), m), own[at], [[]] * len(at), False)
                     for names in (False, True):
                         if names and opener.any():
                             t, slot = np.where(opener, _SLOT[3], t), np.where(opener, np.int8(3), slot)
                         elif names or not slot.any():
                             continue
-                        first, size, own = _templates(t, slot, k)
-                        at = pick(own)
-                        if names:
-                            before = np.append(0, np.cumsum(opener))
-                            at = at[before[first[at] + size[at]] > before[first[at]]]
-                        keys += [name] * len(at)
-                        pos += first[at].tolist()
-                        sizes += size[at].tolist()
-                        hashes.append(own[at])
-                        slots += [spelled(ids[p : p + n][slot[p : p + n] > 0]) for p, n in zip(first[at].tolist(), size[at].tolist(), strict=True)]
-                        loose += [names] * len(at)
+                        before = np.append(0, np.cumsum(opener))
+                        for m in widths:
+                            first, size, own = _templates(t, slot, k) if m == k else _whole_templates(t, slot, m, k)
+                            at = pick(own)
+                            if names:
+                                at = at[before[first[at] + size[at]] > before[first[at]]]
+                            said = [spelled(ids[p : p + n][slot[p : p + n] > 0]) for p, n in zip(first[at].tolist(), size[at].tolist(), strict=True)]
+                            put(name, first[at], size[at], own[at], said, names)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys, pa.int64()), pa.array(pos, pa.int32()), pa.array(sizes, pa.int32()), pa.array(np.concatenate(hashes).view(np.int64) if hashes else [], pa.int64()),
@@ -211,21 +234,33 @@ def _windows(key: str, k: int, index: np.ndarray | None):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, item_id, coverage, changed): pairs of a document and an item of which it has at least ``least``.
 
-    coverage: the share of the item's words in matched windows; changed: whether a slot has another value.
-    Items of fewer than ``k`` words, rows without an id and null texts match nothing. Items with equal ids are one.
+    coverage: the share of the item's words in matched windows; changed: whether a slot has another value. An item of fewer
+    than ``k`` words must be there whole, and has other values only if ``k // 2 + 1`` of its words are plain.
+    Rows without an id and null texts match nothing. Items with equal ids are one.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     schema = "{} bigint, pos int, size int, h bigint, slots array<string>, loose boolean"
     items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
-    items = stage(items.mapInArrow(_windows("item_id", k, None), schema.format("item_id")))
-    n_items = items.groupBy("item_id").agg((F.max("pos") + k).alias("n_item"))
-    hashes = items.select("h").distinct()
-    index = None
-    if hashes.count() <= _MAX_INDEX:
-        index = np.sort(np.array([r["h"] for r in hashes.collect()], np.int64).view(np.uint64))
-    seen = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_windows("doc_id", k, index), schema.format("doc_id"))
-    theirs = items.select("item_id", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"), F.col("loose").alias("item_loose"))
-    met = stage(seen.join(theirs, "h").select("doc_id", "item_id", "item_pos", "size", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots", (F.col("loose") | F.col("item_loose")).alias("loose")))
+    items = stage(items.mapInArrow(_windows("item_id", k), schema.format("item_id")))
+    n_items = stage(items.groupBy("item_id").agg(F.max(F.col("pos") + F.col("size")).alias("n_item")))
+    short = sorted(r["n_item"] for r in n_items.where(F.col("n_item") < k).select("n_item").distinct().collect())  # fewer than k numbers
+    found, bits = bit_map(items.select("h").distinct())
+    seen = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_windows("doc_id", k, short, spark.sparkContext.broadcast(found), bits), schema.format("doc_id"))
+    seen = stage(seen.join(items.select("h").distinct(), "h", "left_semi"))
+    shared = items.groupBy("h").agg((F.count_distinct("item_id") > COMMON).alias("common"))
+    theirs = items.join(shared, "h").select("item_id", F.col("pos").alias("item_pos"), F.col("size").alias("item_size"), "h", F.col("slots").alias("item_slots"), F.col("loose").alias("item_loose"), "common")
+    reach = F.array_distinct(F.flatten(F.collect_set(F.sequence("item_pos", F.col("item_pos") + F.col("item_size") - 1))))
+    wide = theirs.where("common").groupBy("item_id").agg(F.size(reach).alias("w")).join(n_items, "item_id").where(F.col("w") >= least * F.col("n_item")).select("item_id", F.lit(True).alias("wide"))
+    theirs = stage(theirs.join(wide, "item_id", "left").withColumn("names", ~F.col("common") | F.coalesce("wide", F.lit(False))).drop("common", "wide"))
+    one = F.struct("item_id", "item_pos", "item_slots", "item_loose")
+    named = theirs.where("names").groupBy("h").agg(F.collect_list(one).alias("items")).join(seen.groupBy("h").agg(F.count("*").alias("weight")), "h")
+    pair = lambda df: df.select("doc_id", "item_id", "item_pos", "size", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots", (F.col("loose") | F.col("item_loose")).alias("loose"))
+    met = stage(pair(spread_join(seen, named, "h", "weight").withColumn("i", F.explode("items")).select("doc_id", "pos", "size", "slots", "loose", "i.*")))
+    if theirs.where("not names").take(1):
+        more = met.select("doc_id", "item_id").distinct().join(theirs.where("not names"), "item_id").join(seen, ["doc_id", "h"])
+        met = stage(met.union(pair(more)))
+    release(items)
     # Along an alignment each value of the item must have become one value of the document; of loose windows, also together with the others.
     values = met.where(F.size("slots") > 0).select("doc_id", "item_id", "shift", "loose", F.explode(F.arrays_zip("item_slots", "slots")).alias("v"))
     values = values.groupBy("doc_id", "item_id", "shift", F.col("v.item_slots").alias("was"), F.col("v.slots").alias("now")).agg(F.min("loose").alias("loose"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import release, ship, spread_join, stage
 from .graph import components
 
 BUCKET_BITS = 7
@@ -180,7 +180,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
     blobs = texts.join(need, "doc_id").select("doc_id", "text", "partners", "first").mapInArrow(sets, "a bigint, b bigint, s binary")
     # Each set goes once to each first member that it is compared with; that one's own set has a = b.
     blobs = stage(blobs)
-    met = blobs.where("a <> b").join(blobs.where("a = b").select("a", F.col("s").alias("t")), "a")
+    fan = pairs.groupBy("a").agg(F.count("*").alias("w"))
+    # The sets of at most a few hundred centres that very many documents are compared with go everywhere.
+    met = spread_join(blobs.where("a <> b"), blobs.where("a = b").select("a", F.col("s").alias("t")).join(fan, "a"), "a", "w", parts=200)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +193,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
                 keep.append(bool(common) and 100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stage(met.select("a", "b", "s", "t").mapInArrow(compare, "a bigint, b bigint"))
+    out = stage(met.select("a", "b", "s", "t").mapInArrow(compare, "a bigint, b bigint"))
+    release(blobs)
+    return out
 
 
 def _worth_testing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -205,7 +209,8 @@ def _worth_testing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
                 keep = hopeful(x, y, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "f_a", "f_b").mapInArrow(run, "a bigint, b bigint")
+    centres = side("a").join(pairs.groupBy("a").agg(F.count("*").alias("w")), "a")
+    return spread_join(pairs, centres, "a", "w").join(side("b"), "b").select("a", "b", "n_a", "n_b", "f_a", "f_b").mapInArrow(run, "a bigint, b bigint")
 
 
 _CELL = "a bigint, i int, j int, b bigint, c bigint, as_x boolean, as_y boolean, s binary"
@@ -214,18 +219,18 @@ _CELL = "a bigint, i int, j int, b bigint, c bigint, as_x boolean, as_y boolean,
 def _across(met: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
     """Links (a, b) between different components among the documents that share a centre, by full sets.
 
-    Of each centre, the documents outside its component are compared with all. Both sides are dealt into blocks of
+    Of each centre, the documents outside its component are compared with all, by the estimate first. Both sides are dealt into blocks of
     about ``BLOCK`` shingles; a task holds two blocks, and gives one link for each document and component that it meets.
     """
     named = labels.select(F.col("node"), "component")
     member = met.union(met.select("a", F.col("a").alias("b")).distinct())
-    own = member.join(named, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("c"))
-    own = own.join(named, F.col("a") == F.col("node"), "left").select("a", "b", "c", (F.col("c") != F.coalesce("component", "a")).alias("is_x"))
-    own = own.join(classes.select(F.col("doc_id").alias("b"), "n"), "b")
+    own = member.join(named, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("component", "b").alias("c")).join(classes.select(F.col("doc_id").alias("b"), "n"), "b")
+    centres = stage(member.groupBy("a").agg(F.count("*").alias("w")).join(named, F.col("a") == F.col("node"), "left").select("a", F.coalesce("component", "a").alias("c_a"), "w"))
+    own = stage(spread_join(own, centres, "a", "w").select("a", "b", "c", "n", (F.col("c") != F.col("c_a")).alias("is_x")))
     groups = own.groupBy("a").agg(F.count("*").alias("g"), F.sum("n").alias("y"), F.sum(F.when(F.col("is_x"), F.col("n"))).alias("x")).where("g > 2 and x > 0")
-    groups = groups.select("a", *(F.ceil(F.col(v) / BLOCK).cast("int").alias(f"n{v}") for v in "xy"))
+    groups = stage(groups.select("a", "g", *(F.ceil(F.col(v) / BLOCK).cast("int").alias(f"n{v}") for v in "xy")))
     block = lambda n, seed: F.pmod(F.xxhash64("b", F.lit(seed)), F.col(n)).cast("int")
-    mixed = own.join(groups, "a").select("a", "b", "c", "is_x", block("nx", 1).alias("i"), block("ny", 2).alias("j"), "nx", "ny")
+    mixed = spread_join(own, groups, "a", "g").select("a", "b", "c", "is_x", block("nx", 1).alias("i"), block("ny", 2).alias("j"), "nx", "ny")
     # A document stands in each (i, j) where it is of x-block i, or of y-block j.
     cells = F.expr("""concat(
         transform(sequence(0, nx - 1), r -> named_struct('a', a, 'i', r, 'j', j, 'c', c, 'as_x', is_x and r = i, 'as_y', true)),
@@ -253,19 +258,24 @@ def _across(met: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFr
         each = [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()]
         size = np.array([len(s) for s in each])
         ids = np.split(np.unique(np.concatenate(each), return_inverse=True)[1], np.cumsum(size)[:-1])
+        fine = np.stack([fine_registers(s) for s in each])
         y = np.flatnonzero(as_y)
         mark = np.zeros(int(size.sum()), bool)
         a, b = [], []
-        if len(y):
-            all_y, at = np.concatenate([ids[i] for i in y]), np.cumsum(size[y]) - size[y]
-            for x in np.flatnonzero(as_x).tolist():
-                mark[ids[x]] = True
-                common = np.add.reduceat(mark[all_y], at, dtype=np.int64)
-                mark[ids[x]] = False
-                hit = np.flatnonzero((100 * common >= percent * (size[x] + size[y] - common)) & (comp[y] != comp[x]))
-                for t in hit[np.unique(comp[y[hit]], return_index=True)[1]].tolist():
-                    a.append(min(doc[x], doc[y[t]]))
-                    b.append(max(doc[x], doc[y[t]]))
+        for x in np.flatnonzero(as_x).tolist() if len(y) else ():
+            # The estimate leaves few to be compared in full.
+            other = y[comp[y] != comp[x]]
+            other = other[hopeful(fine[x], fine[other], size[x], size[other], percent)]
+            mark[ids[x]] = True
+            linked: set[int] = set()
+            for t in other.tolist():
+                if comp[t] not in linked:
+                    common = int(np.count_nonzero(mark[ids[t]]))
+                    if 100 * common >= percent * (size[x] + size[t] - common):
+                        linked.add(comp[t])
+                        a.append(min(doc[x], doc[t]))
+                        b.append(max(doc[x], doc[t]))
+            mark[ids[x]] = False
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     held = texts.join(need, "doc_id").select("doc_id", "text", "cells").mapInArrow(sets, _CELL)
@@ -278,29 +288,34 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 4) -> DataFrame
     Documents are linked when 100 * intersection >= ``percent`` * union of their ``k``-word shingle
     sets (words lower-cased in A-Z only); component_id is the smallest id reachable. Null, empty and
     wordless texts have n_shingles 0 and link with nothing. Equal sets are one class, represented by the smallest
-    id. Rows without an id are never linked, are kept and have a null component. Rows that repeat an id are
+    id; a hot one is split. Rows without an id are never linked, are kept and have a null component. Rows that repeat an id are
     one node. Other columns are ignored.
     """
     ship(docs.sparkSession)
     sketched = stage(sketch(docs, k))
     linked = sketched.where(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
-    classes = stage(linked.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n", "sig", "fine")).alias("r")).select("set_hash", "r.*"))
+    classes = stage(linked.groupBy("set_hash").agg(F.min(F.struct("doc_id", "n", "sig", "fine")).alias("r"), F.count("*").alias("copies")).select("set_hash", "copies", "r.*"))
     bands = band_keys(classes)
     sizes = stage(bands.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"))
     # Compared first with the member of each band that meets most others over all its bands: the centre of a cluster of copies.
-    members = stage(bands.join(sizes, "key").select("key", "g", F.col("doc_id").alias("b")))
+    members = stage(spread_join(bands, sizes.withColumn("w", F.col("g")), "key", "w").select("key", "g", F.col("doc_id").alias("b")))
     degrees = members.groupBy("b").agg(F.sum("g").alias("degree"))
-    members = stage(members.drop("g").join(degrees, "b"))
-    centres = members.groupBy("key").agg(F.max(F.struct("degree", (-F.col("b")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("a"))
-    met = stage(members.join(centres, "key").where("a <> b").select("a", "b").distinct())
+    ranked = stage(members.drop("g").join(degrees, "b"))
+    release(members, sizes)
+    centres = stage(ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("b")).alias("minus"))).alias("m"), F.count("*").alias("w")).select("key", (-F.col("m.minus")).alias("a"), "w"))
+    met = stage(spread_join(ranked, centres, "key", "w").where("a <> b").select("a", "b").distinct())
     pairs = stage(_worth_testing(met, classes, percent))
-    near = members.select(F.col("b").alias("doc_id")).distinct().hint("merge")  # grows with the documents
-    texts = stage(docs.select(F.col("doc_id").cast("bigint"), "text").join(near, "doc_id", "left_semi"))
+    near = ranked.select(F.col("b").alias("doc_id")).distinct()
+    texts = stage(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(near, "doc_id", "left_semi"))
+    release(ranked, centres)
     edges = _verified(pairs, texts, percent, k)
     labels = stage(components(edges))
     more = stage(_across(met, labels, classes, texts, percent, k))
     if more.take(1):
         labels = stage(components(edges.union(more)))
-    named = classes.join(labels, F.col("doc_id") == F.col("node"), "left").select("set_hash", F.coalesce("component", "doc_id").alias("component_id"))
-    out = sketched.join(named, "set_hash", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = classes.join(labels, F.col("doc_id") == F.col("node"), "left").select("set_hash", "copies", F.coalesce("component", "doc_id").alias("component_id"))
+    named = stage(named)
+    release(met, pairs, texts, edges, more, labels, classes)
+    out = spread_join(sketched.select("doc_id", "n", "set_hash"), named, "set_hash", "copies", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

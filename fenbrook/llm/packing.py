@@ -5,13 +5,16 @@ size whatever the number of documents. A configuration is a multiset of lengths
 one sequence. Multiplicative weights solve the covering program approximately: lengths
 covered less than their share get higher prices, a knapsack dynamic program over the
 capacity prices the best completion for each length that lags, and the configurations get
-mass. The masses are rounded to whole numbers that the histogram allows, and what is left
-is filled by the same dynamic program. Spark then gives each piece its place by its rank
-among pieces of its length.
+mass; the prices bound what any solution needs. Masses are rounded down to whole uses; where they are below one, the largest are used once as far as lengths are
+left. What is left then is a smaller histogram, whose program is solved again, until no
+sequence can be filled; the few last lengths are packed by best fit with a small share of the plan. Best fit
+decreasing alone is the measure: if it ever needs fewer sequences, its plan is taken. Spark then gives each piece its
+place by its rank among pieces of its length.
 """
 
 from __future__ import annotations
 
+import math
 import string
 import struct
 import zlib
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ship, stage
+from .common import release, ship, stage
 
 _CACHE_CHUNKS = 400_000
 
@@ -42,7 +45,6 @@ class ChunkTokenizer(dict):
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         # Byte-level vocabularies write bytes that are not printable as characters from 256 on.
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
@@ -115,84 +117,138 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -
     return pieces.withColumn("part", F.spark_partition_id())
 
 
-def _best_fill(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the best value within each capacity and the last length taken (0: none)."""
-    n = len(price)
-    best, last = np.zeros(n), np.zeros(n, np.int64)
-    for c in range(1, n):
-        v = price[1 : c + 1] + best[c - 1 :: -1] if c > 1 else price[1:2] + best[0:1]
-        k = int(v.argmax())
-        if v[k] > best[c - 1]:
-            best[c], last[c] = v[k], k + 1
-        else:
-            best[c], last[c] = best[c - 1], -1
-    return best, last
-
-
-def _trace(last: np.ndarray, c: int) -> list[int]:
-    out = []
-    while c > 0 and (k := last[c]):
-        if k > 0:
-            out.append(int(k))
-        c -= int(k) if k > 0 else 1
-    return out
-
-
-def _counted(lengths: list[int]) -> tuple[tuple[int, int], ...]:
-    values, counts = np.unique(lengths, return_counts=True)
-    return tuple(zip(values.tolist()[::-1], counts.tolist()[::-1], strict=True))
-
-
-def configuration_masses(histogram: dict[int, int], capacity: int, rounds: int = 24, eta: float = 4.0) -> dict[tuple, float]:
-    """Approximate masses of configurations that together cover each length its count of times.
-
-    In round r of ``rounds`` each length is brought to the share r / rounds of its count. Prices are
-    a length's share of the capacity times exp(eta * (target - covered share)).
+class Knapsack:
+    """Best values within each capacity, with at most as many copies of a length as there are."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, capacity: int):
+        self.size, self.of = [], []
+        for i, (s, n) in enumerate(zip(lengths.tolist(), counts.tolist(), strict=True)):
+            left, k = min(n, capacity // s), 1
+            while left > 0:  # copies in powers of two and a rest
+                k = min(k, left)
+                self.size.append(s * k)
+                self.of.append((i, k))
+                left, k = left - k, 2 * k
+        self.capacity = capacity
+
+    def solve(self, price: np.ndarray) -> np.ndarray:
+        """The best value within each capacity at these prices of lengths; the choices are kept for ``filled``."""
+        best = np.zeros(self.capacity + 1)
+        self.last = np.full((len(self.size) + 1, self.capacity + 1), -1, np.int16)
+        for j, (w, (i, k)) in enumerate(zip(self.size, self.of, strict=True)):
+            with_ = best[: self.capacity + 1 - w] + k * price[i]
+            take = with_ > best[w:] + 1e-12
+            row = self.last[j + 1]
+            row[:] = self.last[j]
+            row[w:][take] = j
+            best[w:] = np.where(take, with_, best[w:])
+        return best
+
+    def filled(self, room: int) -> dict[int, int]:
+        """How many copies of each length (by its number) the best filling of ``room`` has."""
+        out: dict[int, int] = {}
+        j = int(self.last[-1, room])
+        while j >= 0:
+            i, k = self.of[j]
+            out[i] = out.get(i, 0) + k
+            room -= self.size[j]
+            j = int(self.last[j, room])
+        return out
+
+
+def configuration_masses(histogram: dict[int, int], capacity: int, rounds: int = 24, eta: float = 4.0) -> tuple[dict[tuple, float], float]:
+    """Masses of configurations that together cover each length its count of times at least, and a lower bound of such a sum.
+
+    In round r of ``rounds`` each length is brought to the share r / rounds of its count. Prices are a length's
+    share of the capacity times exp(eta * (target - covered share)); those of a round, over the best value of a sequence,
+    bound the sum from below. Lengths that lag in one round fill up with the same dear ones, so short lengths are covered
+    more than once; whole uses take them only as far as there are any, and what is left is priced again.
     """
     lengths = np.array(sorted(histogram, reverse=True))
     need = np.array([histogram[s] for s in lengths], float)
-    where = {int(s): i for i, s in enumerate(lengths)}
-    covered = np.zeros(len(lengths))
+    covered, bound = np.zeros(len(lengths)), 0.0
+    knapsack = Knapsack(lengths, need.astype(np.int64), capacity)
     masses: dict[tuple, float] = {}
     for r in range(1, rounds + 1):
         target = r / rounds
-        price = np.full(capacity + 1, -np.inf)
-        price[lengths] = lengths / capacity * np.exp(eta * (target - covered / need))
-        _, last = _best_fill(price)
-        for i, s in enumerate(lengths):
+        price = lengths / capacity * np.exp(eta * (target - covered / need))
+        bound = max(bound, float(need @ price) / float(knapsack.solve(price)[capacity]))
+        for i, s in enumerate(lengths.tolist()):
             lag = target * need[i] - covered[i]
             if lag <= 1e-9:
                 continue
-            c = _counted([int(s), *_trace(last, capacity - int(s))])
-            at, k = [where[x] for x, _ in c], np.array([n for _, n in c], float)
-            t = lag / k[at.index(i)]
-            covered[at] += t * k
+            fill = knapsack.filled(capacity - s)
+            fill[i] = fill.get(i, 0) + 1
+            c = tuple(sorted(((int(lengths[j]), k) for j, k in fill.items()), reverse=True))
+            t = lag / fill[i]
+            for j, k in fill.items():
+                covered[j] += t * k
             masses[c] = masses.get(c, 0) + t
-    return masses
+    return masses, bound
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Configurations, each with how often it is used, that use up the histogram exactly."""
+Plan = list[tuple[tuple[tuple[int, int], ...], int]]
+
+
+def program_plan(histogram: dict[int, int], capacity: int, passes: int = 40) -> tuple[Plan, dict[int, int]]:
+    """Configurations of the program, each with how often it is used, and what of the histogram is left."""
     left = {int(s): int(n) for s, n in histogram.items() if n}
-    out: list[tuple[tuple, int]] = []
+    plan: dict[tuple, int] = {}
 
     def use(c: tuple, most: int) -> int:
         m = min(most, *(left.get(s, 0) // n for s, n in c))
         if m > 0:
-            out.append((c, m))
+            plan[c] = plan.get(c, 0) + m
             for s, n in c:
                 left[s] -= n * m
                 if not left[s]:
                     del left[s]
         return m
 
-    for c, x in sorted(configuration_masses(left, capacity).items(), key=lambda x: (-x[1], x[0])) if left else []:
-        if sum(s * n for s, n in c) == capacity:  # others are better filled from what is left over
-            use(c, int(x))
-    return out + best_fit(left, capacity)
-
-
-def best_fit(left: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
+    fills = lambda c: sum(s * n for s, n in c) == capacity
+    for k in range(passes):
+        if not left or sum(s * n for s, n in left.items()) <= capacity:
+            break
+        masses, _ = configuration_masses(left, capacity, 24 if k == 0 or len(left) < 500 else 8)
+        # Only full sequences are used: lengths of others are priced again with what is left, or go where they fit best.
+        ranked = sorted((x for x in masses.items() if fills(x[0])), key=lambda x: (-x[1], x[0]))
+        used = sum(use(c, int(x)) for c, x in ranked if x >= 1)
+        if not used:
+            # Half of the fractional mass at most, so that the next prices see what lags.
+            budget = max(1, int(0.5 * sum(masses.values())))
+            for c, _ in ranked:
+                used += use(c, 1)
+                if used >= budget:
+                    break
+        if not used:
+            break
+    return list(plan.items()), left
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int) -> Plan:
+    """Configurations, each with how often it is used, that use up the histogram exactly."""
+    plan, left = program_plan(histogram, capacity)
+    ours = mended(plan, left, capacity)
+    plain = best_fit({int(s): int(n) for s, n in histogram.items() if n}, capacity)
+    return min(ours, plain, key=lambda p: sum(m for _, m in p))
+
+
+def mended(plan: Plan, left: dict[int, int], capacity: int, share: float = 0.05) -> Plan:
+    """The plan with what is left: large lengths alone would waste their room, so they are packed by best fit together with
+    the lengths of those of the plan's sequences that have the most pieces, a small share of it."""
+    pool, kept, taken = dict(left), [], 0
+    budget = math.ceil(share * sum(m for _, m in plan)) if left else 0
+    for c, m in sorted(plan, key=lambda x: (-sum(n for _, n in x[0]), x)):
+        k = min(m, budget - taken)
+        for s, n in c if k else ():
+            pool[s] = pool.get(s, 0) + n * k
+        taken += k
+        if m > k:
+            kept.append((c, m - k))
+    return kept + best_fit(pool, capacity)
+
+
+def best_fit(left: dict[int, int], capacity: int) -> Plan:
     """Best fit decreasing by counts: open sequences with the same room and content move as one class."""
     rooms: list[int] = []  # sorted rooms that have open sequences
     open_: dict[int, list[tuple[tuple, int]]] = {}
@@ -248,8 +304,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0
 
     A document is its token ids and then ``end_id``; only one longer than ``capacity`` is cut, into pieces
     of that length and a rest. Null and empty texts are one piece of length 1. Repeated rows and null ids are
-    packed like others. No rows give no rows. Other columns are ignored. The plan has at most a configuration
-    for each priced length and round and one for each length used up, so its size is bounded by the capacity.
+    packed like others. No rows give no rows. Other columns are ignored. Special tokens in a text are what the tokenizer as
+    loaded makes of them. The plan has at most a configuration for each priced length, round and pass, so its size is
+    bounded by the capacity.
     """
     ship(docs.sparkSession)
     pieces = stage(token_pieces(docs, vocabulary, capacity, end_id))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, stage, uniform
+from .common import bounded_sample, fold, release, stage, uniform
 from .textstats import ratio, with_text_stats
 
 
@@ -99,6 +99,7 @@ def learn_decision_list(rows: DataFrame, names: list[str], bins: int = 32, max_r
             break
         rules.append(rule)
         left = left & ~_all(rule)
+    release(rows)
     return rules
 
 
@@ -130,6 +131,29 @@ def apply_decision_list(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
+def _judged(docs: DataFrame, labels: DataFrame, bound: int, min_words: int, max_repeat_percent: int) -> DataFrame:
+    """``docs`` (with doc_id) without their text, with its statistics, base_failed, rule and kept: one pass over all texts.
+
+    The rules are learned before, from the statistics of the labelled sample alone.
+    """
+    own = features()
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+
+    def seen(df: DataFrame) -> DataFrame:
+        # A row of one struct is a step of its own, so that what reads a statistic more than once does not count it anew.
+        stats = with_text_stats(df)
+        stats = stats.select(F.inline(F.array(F.struct(*stats.columns))))
+        return stats.select("*", *(c.alias(n) for n, c in own.items()), failed.alias("base_failed"))
+
+    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).select(F.col("doc_id").alias("_id"), (1 - F.col("quality")).alias("bad"))
+    # At most about ``bound`` ids: small enough to send everywhere, so that no text is shuffled.
+    marked = F.broadcast(bounded_sample(marked, "_id", bound, 8))
+    sample = stage(seen(docs.select("doc_id", "text").join(marked, F.col("doc_id") == F.col("_id"))).where(~F.col("base_failed")).select("doc_id", "bad", *own))
+    rule = apply_decision_list(learn_decision_list(sample, list(own)))
+    release(sample)
+    return seen(docs).withColumn("rule", rule).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, bound: int = 20_000, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, rule (0: none), kept.
 
@@ -139,14 +163,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, bound: int = 20_000, min_w
     counts of 0 and fail the base rule; without labels nothing but the base rule rejects. Repeated
     rows each give a row. Other columns are ignored.
     """
-    stats = stage(with_text_stats(docs.select("doc_id", "text")))
-    own = features()
-    seen = stats.select("*", *(c.alias(n) for n, c in own.items()), ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))).alias("base_failed"))
-    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).select("doc_id", (1 - F.col("quality")).alias("bad"))
-    marked = bounded_sample(marked, "doc_id", bound, 8)
-    rules = learn_decision_list(seen.where(~F.col("base_failed")).join(marked, "doc_id").select("doc_id", "bad", *own), list(own))
-    rule = apply_decision_list(rules)
-    return seen.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        rule.alias("rule"), (~F.col("base_failed") & (rule == 0)).alias("kept"),
-    )
+    judged = _judged(docs.select("doc_id", "text"), labels, bound, min_words, max_repeat_percent)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
+def pass_rules(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...], bound: int = 20_000, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """The ``columns`` of the rows of ``docs`` that ``quality_rules`` keeps, each judged by itself, in the same pass."""
+    held = docs.select(*(F.col(c).alias(f"_kept_{c}") for c in columns), "doc_id", "text")
+    judged = _judged(held, labels, bound, min_words, max_repeat_percent).where("kept")
+    return judged.select(*(F.col(f"_kept_{c}").alias(c) for c in columns))

@@ -32,12 +32,14 @@ def with_text_stats(df: DataFrame, text_col: str = "text", repeats: bool = True)
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     names = ("n_chars_all", "n_words", "word_chars", "n_symbols", "n_upper", "n_digits", "n_bangs", "n_stops", "n_lines", "n_dup_lines", "n_distinct_words", "n_repeat_words")
     own = [c for c in df.columns if c != text_col and c not in names]
-    a = df.select(
+    # One pass leaves the few characters that are counted by kind; the counts read those.
+    marks = df.select(*own, F.col(text_col), F.regexp_replace(text, "[^A-Z0-9#*$%&|<>!.,;:?]+", "").alias("_marks"))
+    a = marks.select(
         *own,
         F.length(text).cast("bigint").alias("n_chars_all"),
         words(F.col(text_col)).alias("_words"),
         lines.alias("_lines"),
-        *(F.regexp_count(text, F.lit(p)).cast("bigint").alias(n) for n, p in (("n_symbols", SYMBOLS), ("n_upper", "[A-Z]"), ("n_digits", "[0-9]"), ("n_bangs", "!"), ("n_stops", "[.,;:?]"))),
+        *(F.regexp_count("_marks", F.lit(p)).cast("bigint").alias(n) for n, p in (("n_symbols", SYMBOLS), ("n_upper", "[A-Z]"), ("n_digits", "[0-9]"), ("n_bangs", "!"), ("n_stops", "[.,;:?]"))),
     )
     n = F.size("_words")
     b = a.select(

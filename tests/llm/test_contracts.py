@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from fenbrook.llm import langid, packing, quality_qda, suffix_dedup, toxicity, wordpiece
+from fenbrook.llm import decontam, langid, packing, quality_qda, suffix_dedup, toxicity, wordpiece
 from fenbrook.llm.decontam import decontaminate, find_contamination
 from fenbrook.llm.graph import components
 from fenbrook.llm.langid import identify_languages
@@ -275,11 +275,11 @@ def test_sql_twin(spark, name):
 # --- near duplicates ---
 
 
-def brute_near(rows):
+def brute_near(rows, k=4):
     sets = {}
     for i, t, *_ in rows:
         w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in words(t)]
-        sets[i] = frozenset([tuple(w)] if 0 < len(w) < 4 else [tuple(w[k : k + 4]) for k in range(len(w) - 3)])
+        sets[i] = frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[j : j + k]) for j in range(len(w) - k + 1)])
     top = {i: i for i in sets}
 
     def find(x):
@@ -353,7 +353,6 @@ def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     rows = pack(docs, VOCABULARY).collect()
     whole = {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x, *_ in documents()}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -386,14 +385,42 @@ def test_packing_uses_up_histograms():
         assert used == h
         n = sum(m for _, m in plan)
         plain = sum(m for _, m in best_fit(dict(h), 100))
-        assert math.ceil(sum(s * k for s, k in h.items()) / 100) <= n <= 1.02 * plain + 1
+        assert math.ceil(sum(s * k for s, k in h.items()) / 100) <= n <= plain
+
+
+def test_most_sequences_come_from_the_program():
+    rng = np.random.default_rng(3)
+    for times in (1, 10):
+        h = defaultdict(int)
+        for n in np.minimum(2048, rng.lognormal(5.5, 1.0, 1000).astype(int) + 1).tolist():
+            h[n] += times
+        plan, left = packing.program_plan(h, 2048)
+        multi = lambda p: sum(m for c, m in p if sum(n for _, n in c) > 1)
+        out = pack_histogram(h, 2048)
+        total = lambda p: sum(m for _, m in p)
+        assert multi(plan) >= 0.9 * multi(out) and total(out) <= total(best_fit(dict(h), 2048))
+        assert total(out) <= 1.002 * sum(s * n for s, n in h.items()) / 2048 + 1 and sum(left.values()) < 0.05 * sum(h.values())
+        masses, bound = packing.configuration_masses(dict(h), 2048)
+        assert 0.99 * total(out) - 1 <= bound <= total(out) + 1e-6
+        for s in h:
+            assert sum(x * dict(c).get(s, 0) for c, x in masses.items()) >= h[s] - 1e-6
+
+
+def test_packing_repeated_rows_null_ids_and_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "a b"), (1, "a b"), (None, "c <|endoftext|> d"), (2, None), (3, "x<|startoftext|>y Z<|endoftext|>")]
+    t = Tokenizer.from_file(VOCABULARY)
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY, capacity=8).collect()
+    want = sorted((i or 0, zlib.crc32(np.array((t.encode(x or "", add_special_tokens=False).ids + [0])[k : k + 8], "<u4").tobytes())) for i, x in rows for k in range(0, len(t.encode(x or "", add_special_tokens=False).ids) + 1, 8))
+    assert sorted((r["doc_id"] or 0, r["ids_crc32"]) for r in got) == want
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
 
 
 def test_chunk_tokenizer_is_exact():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     texts = [x or "" for _, x, *_ in documents()] + ["Straße «œuvre» naïve don't été, İstanbul ÀÉÎ. µm ª ΣΑΣ <|endoftext|> a b c"]
     assert packing.ChunkTokenizer(VOCABULARY).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
@@ -489,6 +516,108 @@ def test_dense_items_and_names_that_open_sentences(spark):
     assert all(r["coverage"] == (15 / 16 if k == (1, 1) else 1.0) and r["changed"] for k, r in found.items())
 
 
+def brute_items(rows, items, k=5, least=0.8):
+    """Every window of every item against every window of every document, values along alignments, by plain loops."""
+
+    def parsed(text):
+        out, after = [], True
+        raws = (text or "").split()
+        for raw in raws:
+            bare = "".join(c for c in raw if c.isalnum())
+            opens, after = after, raw[-1] in ".!?:\"'"
+            if bare:
+                out.append((bare, opens))
+        kinds = []
+        for j, (w, opens) in enumerate(out):
+            number = w[0].isdigit()
+            unit = j > 0 and out[j - 1][0][0].isdigit() and w.lower() in decontam.UNITS
+            name = not number and w.lower() not in decontam.UNITS and w[0].isupper() and not (len(w) > 1 and w.isupper())
+            kinds.append("N" if number else "U" if unit else "C" if name and not opens else "O" if name else "")
+        return [w.lower() for w, _ in out], kinds
+
+    def windows(text, sizes):
+        w, kinds = parsed(text)
+        out = {(p, m): ("as is", tuple(w[p : p + m]), None, False) for m in sizes for p in range(len(w) - m + 1)}
+        found = [(p, m, v) for (p, m), v in out.items()]
+        for loose in (False, True):
+            kk = [("C" if x == "O" else x) if loose else ("" if x == "O" else x) for x in kinds]
+            spans = set()
+            for m in sizes:
+                for p in range(len(w) - m + 1):
+                    plain = sum(not x for x in kk[p : p + m])
+                    if plain == m:
+                        continue
+                    if plain >= k // 2 + 1:
+                        spans.add((p, m))
+                    elif m == k:
+                        at = [j for j in range(p, len(w)) if not kk[j]]
+                        if len(at) >= k // 2 + 1:
+                            spans.add((p, at[k // 2] + 1 - p))
+                        at = [j for j in range(p + m) if not kk[j]]
+                        if len(at) >= k // 2 + 1:
+                            spans.add((at[-(k // 2 + 1)], p + m - at[-(k // 2 + 1)]))
+            for p, m in spans:
+                if loose and "O" not in kinds[p : p + m]:
+                    continue
+                found.append((p, m, ("template", tuple(x or y for x, y in zip(kk[p : p + m], w[p : p + m], strict=True)), tuple(y for x, y in zip(kk[p : p + m], w[p : p + m], strict=True) if x), loose)))
+        return found, len(w)
+
+    out = set()
+    shorts = {n for _, t in items if 0 < (n := windows(t, [])[1]) < k}
+    for i, t in items:
+        n = windows(t, [])[1]
+        own, _ = windows(t, [min(n, k)] if n else [])
+        for d, x in rows:
+            theirs, _ = windows(x, [*shorts, k])
+            if d is None:
+                continue
+            shifts = defaultdict(list)
+            for q, m, (kind, pattern, said, loose) in own:
+                for p, m2, (kind2, pattern2, said2, loose2) in theirs:
+                    if m == m2 and kind == kind2 and pattern == pattern2:
+                        shifts[p - q].append((q, m, said, said2, loose or loose2))
+            covered = set()
+            for hits in shifts.values():
+                strict_, all_ = defaultdict(set), defaultdict(set)
+                for _, _, said, said2, loose in hits:
+                    for a, b in zip(said or (), said2 or (), strict=True):
+                        all_[a].add(b)
+                        if not loose:
+                            strict_[a].add(b)
+                fine = {True: all(len(v) == 1 for v in all_.values()), False: all(len(v) == 1 for v in strict_.values())}
+                for q, m, said, _, loose in hits:
+                    if said is None or fine[loose]:
+                        covered |= set(range(q, q + m))
+            if n and len(covered) >= least * n:
+                out.add((d, i))
+    return out
+
+
+def test_contamination_by_brute_force(spark, monkeypatch):
+    """Random items and documents with pieces of them, values changed, in part also where all windows are common ones."""
+    rng = random.Random(21)
+    vocabulary = ["the", "train", "sold", "market", "river", "near", "old", "fast", "Anna", "Bob", "12", "7", "km", "kg", "and", "of", "then.", "has"]
+    say = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(i, say(rng.choice((1, 3, 4, 4, 6, 9, 14)))) for i in range(14)] + [(20, None), (21, ""), (22, "the old market has"), (22 + 1, "the old market has")]
+    change = lambda t: t.replace("12", rng.choice(("12", "99"))).replace("Anna", rng.choice(("Anna", "Zoe"))).replace("km", rng.choice(("km", "kg")))
+    rows = [(100 + j, f"{say(6)} {change(rng.choice(items[:14])[1])} {say(rng.choice((0, 5)))}") for j in range(60)] + [(None, items[0][1]), (300, None), (301, items[5][1]), (301, items[5][1])]
+    want = brute_items(rows, items)
+    assert len(want) > 20
+    for common in (64, 1):
+        monkeypatch.setattr(decontam, "COMMON", common)
+        docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id long")
+        found = find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+        assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
+def test_decontaminate_repeated_rows_ties_and_clashing_columns(spark):
+    item = "the quick brown fox jumps over the lazy dog again"
+    bench = spark.createDataFrame([(1, item, 5), (2, item, 6), (2, item, 6)], "item_id long, text string, doc_id long")
+    rows = [(1, item, True), (1, item, False), (2, "nothing of that", None), (None, item, None)]
+    got = [tuple(r)[:4] for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string, contaminated boolean"), bench).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(1, True, 2, [1, 2]), (1, True, 2, [1, 2]), (2, False, 0, []), (None, False, 0, [])]))
+
+
 def test_decontaminate_without_rows(spark, empty, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(empty, none).count() == 0
