@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become classes: insult, threat, target, negation, reported speech, other. Four small
-transducers read a clause: one follows negation scopes, one reported speech, one targets,
-and one turns insults and threats into events. Their composition is one automaton whose
-state is the tuple of theirs and whose outputs are events such as "insult, aimed, not
+Words become classes: insult, threat, target, negation, reported speech, other. Small
+transducers read a clause: one follows negation scopes, one reported speech, one targets
+that have been named, one, from the right, targets that are still to come, and one turns insults and threats into events. Their
+composition is one automaton whose state is the tuple of theirs and whose outputs are events such as "insult, aimed, not
 negated, not reported". A document's score is a logistic function of the weighted
 events of its clauses. Insults are a short fixed list and word stems learnt from a bounded sample
 of labelled rows; event weights are learnt there too, pulled towards their prior.
@@ -23,12 +23,23 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, fold, ship, stage
 
-# Word lists.
-INSULTS = ("idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "trash", "scum", "clown", "dumb", "jerk", "vermin", "filth", "imbecile", "coward")
-THREATS = ("kill", "hurt", "destroy", "crush", "stab", "shoot", "strangle", "beat", "burn")
-TARGETS = ("you", "your", "yours", "yourself", "u", "he", "she", "him", "her", "they", "them", "these", "those", "people")
-NEGATIONS = ("not", "no", "never", "neither", "nor", "without", "hardly", "don't", "isn't", "aren't", "wasn't", "won't", "cannot", "nicht", "kein", "ne", "pas", "jamais", "nunca")
-REPORTS = ("said", "says", "called", "calls", "wrote", "claimed", "claims", "quoted", "quote", "alleged", "sagte", "disait", "dijo")
+# Word lists in English, German, French and Spanish.
+INSULTS = (
+    "idiot", "moron", "stupid", "loser", "pathetic", "worthless", "disgusting", "trash", "scum", "clown", "dumb", "jerk", "vermin", "filth", "imbecile", "coward",
+    "dummkopf", "trottel", "vollidiot", "abschaum", "dreckskerl", "versager", "feigling", "widerlich", "wertlos",
+    "crétin", "abruti", "minable", "ordure", "salaud", "lâche", "imbécile", "débile", "dégoûtant",
+    "idiota", "imbécil", "estúpido", "estúpida", "basura", "escoria", "cobarde", "asqueroso", "inútil", "patético",
+)
+THREATS = (
+    "kill", "hurt", "destroy", "crush", "stab", "shoot", "strangle", "beat", "burn",
+    "töten", "umbringen", "vernichten", "verprügeln", "tuer", "frapper", "détruire", "écraser", "matar", "golpear", "destruir", "quemar",
+)
+TARGETS = (
+    "you", "your", "yours", "yourself", "u", "he", "she", "him", "her", "they", "them", "these", "those", "people",
+    "du", "dich", "dir", "dein", "deine", "ihr", "euch", "sie", "ihn", "tu", "toi", "te", "vous", "votre", "elle", "eux", "ils", "ella", "tú", "ti", "usted", "ustedes", "ellos", "ellas",
+)
+NEGATIONS = ("not", "no", "never", "neither", "nor", "without", "hardly", "don't", "isn't", "aren't", "wasn't", "won't", "cannot", "nicht", "kein", "keine", "nie", "ohne", "ne", "pas", "jamais", "sans", "nunca", "sin")
+REPORTS = ("said", "says", "called", "calls", "wrote", "claimed", "claims", "quoted", "quote", "alleged", "sagte", "schrieb", "behauptet", "disait", "dit", "écrit", "dijo", "dice", "escribió")
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 KINDS = ("insult", "threat")
@@ -55,24 +66,25 @@ def _target(state: int, c: int) -> tuple[int, bool]:
 
 
 @lru_cache(maxsize=4096)
-def step(state: tuple[int, int, int], c: int) -> tuple[tuple[int, int, int], int]:
-    """The composed transducer: next state and the event put out (-1: none)."""
-    (n, negated), (r, reported), (t, aimed) = _negation(state[0], c), _report(state[1], c), _target(state[2], c)
-    event = _NUMBER[KINDS[c == THREAT], aimed, negated, reported] if c in (INSULT, THREAT) else -1
+def step(state: tuple[int, int, int], c: int, ahead: bool) -> tuple[tuple[int, int, int], int]:
+    """The composed transducer, of a word's class and what the one from the right says of it: next state and the event put out (-1: none)."""
+    (n, negated), (r, reported), (t, before) = _negation(state[0], c), _report(state[1], c), _target(state[2], c)
+    aimed = before or ahead
+    event = _NUMBER[KINDS[c == THREAT], aimed, negated, reported] if c == INSULT or c == THREAT and aimed else -1
     return (n, r, t), event
 
 
 def clause_events(classes: list[int]) -> list[int]:
-    """Events of a clause; a target after an insult or threat, within reach, also aims it."""
+    """Events of a clause: the target transducer reads it from the right, then the composed one from the left."""
+    coming, ahead = 0, []
+    for c in reversed(classes):
+        coming, seen = _target(coming, c)
+        ahead.append(seen)
     state, out = (0, 0, 0), []
-    for i, c in enumerate(classes):
-        state, e = step(state, c)
+    for c, a in zip(classes, reversed(ahead), strict=True):
+        state, e = step(state, c, a)
         if e >= 0:
-            kind, aimed, negated, reported = EVENTS[e]
-            if not aimed and TARGET in classes[i + 1 : i + 1 + TARGET_REACH]:
-                e = _NUMBER[kind, True, negated, reported]
-            if kind == "insult" or EVENTS[e][1]:
-                out.append(e)
+            out.append(e)
     return out
 
 

@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from fenbrook.llm import decontam, langid, packing, quality_qda, suffix_dedup, toxicity, wordpiece
 from fenbrook.llm.decontam import decontaminate, find_contamination
@@ -635,6 +636,107 @@ def test_quality_scores(spark, docs, labels, empty):
     assert {r["score"] for r in quality_scores(docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_quality_scores_by_brute_force(spark):
+    """Statistics, moments, shrinkage and densities anew, from the rows and with plain determinants and inverses."""
+    rng = random.Random(13)
+    rows = [(i, (prose(rng.randint(5, 60), rng) + rng.choice(("", "!!", " A1 B2", " ### $", "\nsame\nsame", "")) * rng.randint(0, 4)) if i % 17 else None) for i in range(160)]
+    marked = [(i, int(rng.random() < 0.6)) for i in range(150)] + [(7, 1), (7, 1), (None, 1), (8, None)]  # a label that is repeated counts each time
+    df = spark.createDataFrame([*rows, (5, rows[5][1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in quality_scores(df, spark.createDataFrame(marked, "doc_id long, quality int")).collect()}
+
+    def stats(t):
+        t = t or ""
+        w, lines = words(t), [x for x in t.split("\n") if words(x)]
+        per = lambda a, b: a / max(b, 1)
+        n = lambda p: len(re.findall(p, t))
+        return [math.log1p(len(w)), math.log1p(per(len(w), len(lines))), math.log1p(per(sum(map(len, w)), len(w))), math.sqrt(per(n(r"[#*$%&|<>]"), len(w))), math.sqrt(per(n("[A-Z]"), len(t))), math.sqrt(per(n("!"), len(w))),
+            math.sqrt(per(n("[0-9]"), len(t))), math.sqrt(per(n("[.,;:?]"), len(w))), math.log1p(len(w)) - math.log1p(len(set(w))), math.sqrt(per(len(lines) - len(set(lines)), len(lines)))]
+
+    x = {i: np.array(stats(t)) for i, t in rows}
+    train = [(x[i], y) for i, y in marked if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5]
+    train += [(x[5], y) for i, y in marked if i == 5 and zlib.crc32(b"5") % 5]
+    by = {k: np.array([v for v, y in train if y == k]) for k in (0, 1)}
+    total = len(train)
+    cov = {k: np.cov(by[k].T, bias=True) for k in by}
+    pooled = sum(len(by[k]) * cov[k] for k in by) / total
+    log = {}
+    for k in by:
+        c = 0.98 * (0.8 * cov[k] + 0.2 * pooled) + 0.02 * np.diag(np.diag(pooled)) + 1e-6 * np.eye(10)
+        inv, det, mean = np.linalg.inv(c), np.linalg.slogdet(c)[1], by[k].mean(axis=0)
+        log[k] = {i: math.log((len(by[k]) + 1) / (total + 2)) - 0.5 * (det + (v - mean) @ inv @ (v - mean)) for i, v in x.items()}
+    for i in x:
+        want = 1 / (1 + math.exp(min(500, max(-500, log[0][i] - log[1][i]))))
+        assert abs(got[i] - want) < 1e-6, i
+
+
+def test_learned_rules_by_brute_force(spark):
+    """The decision list grown anew over the rows themselves."""
+    from fenbrook.llm.common import uniform
+    from fenbrook.llm.quality_rules import learn_decision_list
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        a, b = rng.random(), rng.random()
+        rows.append((i, int((a > 0.7 and b < 0.4) or (b > 0.9) or rng.random() < 0.03), a, b))
+    df = spark.createDataFrame(rows, "doc_id long, bad int, a double, b double")
+    grow = {r["doc_id"]: r["g"] for r in df.select("doc_id", (uniform(F.lit(5), F.col("doc_id")) < 2 / 3).alias("g")).collect()}
+    cut = df.agg(*(F.percentile_approx(n, [k / 32 for k in range(1, 32)], 1000).alias(n) for n in "ab")).first()
+    holds = lambda rule, r: all((r[f] >= t) == up for f, up, t in rule)
+    left, want = [dict(zip(("i", "bad", "a", "b"), r, strict=True)) for r in rows], []
+    while len(want) < 8:
+        rule = []
+        while len(rule) < 3:
+            here = [r for r in left if grow[r["i"]] and holds(rule, r)]
+            p0, n0 = sum(r["bad"] for r in here), sum(1 - r["bad"] for r in here)
+            best, found = 1e-9, None
+            for f in "ab" if p0 and n0 else "":
+                for t in sorted(set(cut[f])):
+                    for up in (False, True):
+                        some = [r for r in here if (r[f] >= t) == up]
+                        p, n = sum(r["bad"] for r in some), sum(1 - r["bad"] for r in some)
+                        if p >= 5 and (gain := p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))) > best:
+                            best, found = gain, ((f, up, t), n == 0)
+            if not found:
+                break
+            rule.append(found[0])
+            if found[1]:
+                break
+        if not rule:
+            break
+        scored = []
+        for k in range(1, len(rule) + 1):
+            prune, grown = ([r for r in left if grow[r["i"]] == g and holds(rule[:k], r)] for g in (False, True))
+            some = prune or grown
+            p, n = sum(r["bad"] for r in some), sum(1 - r["bad"] for r in some)
+            scored.append(((p - n) / max(1, p + n), -k, p / max(1, p + n), p + n))
+        value, short, precision, covered = max(scored)
+        rule = rule[:-short]
+        if precision < 0.9 or not covered:
+            break
+        want.append(tuple(rule))
+        left = [r for r in left if not holds(rule, r)]
+    got = [tuple((c.feature, c.at_least, c.threshold) for c in rule) for rule in learn_decision_list(df, ["a", "b"])]
+    assert len(want) >= 2 and got == want
+
+
+def test_shards_are_a_uniform_shuffle(spark):
+    """Where a row comes from tells nothing of its shard, its place there, or of where its neighbour goes."""
+    n, shards = 6000, 6
+    docs = spark.range(n, numPartitions=5).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    at = {r["doc_id"]: (r["shard"], r["slot"]) for r in shuffle_into_shards(docs, shards, rows_per_block=300).collect()}
+    table = np.zeros((10, shards))
+    for i, (shard, _) in at.items():
+        table[i * 10 // n, shard] += 1
+    assert ((table - n / 10 / shards) ** 2 / (n / 10 / shards)).sum() < 85  # chi-square of 45 degrees: 85 at 3e-4
+    slot = np.array([at[i][1] for i in range(n)])
+    assert abs(np.corrcoef(np.arange(n), slot)[0, 1]) < 0.05
+    together = np.mean([at[i][0] == at[i + 1][0] for i in range(n - 1)])
+    assert abs(together - 1 / shards) < 0.025
+    near = np.mean([at[i][0] == at[i + 1][0] and abs(at[i][1] - at[i + 1][1]) <= 10 for i in range(n - 1)])
+    assert near < 0.01  # by chance: 1 / 6 * 20 / 1000
+
+
 def test_discriminant_separates():
     rng = np.random.default_rng(0)
     x0, x1 = rng.normal(0, 1, (500, 3)), rng.normal([2, 0, 0], [1, 3, 1], (500, 3))
@@ -654,6 +756,37 @@ def test_languages(spark, empty):
     assert identify_languages(empty).count() == 0
 
 
+def test_languages_by_brute_force(spark):
+    """With all learnt rows as landmarks the scores are those of kernel ridge regression on sets of n-grams."""
+    rng = random.Random(3)
+    make = lambda letters: " ".join("".join(rng.choices(letters, k=4)) for _ in range(8))
+    rows = [(i, make(("abcdef", "defghi")[i % 2]), ("xx", "yy")[i % 2]) for i in range(40)] + [(50, "abc def " * 20_000, None), (51, "abc", None), (51, "abc", None)]
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, lang string, score double")
+    got = defaultdict(set)
+    for r in identify_languages(df, n_landmarks=200).collect():
+        got[r["doc_id"]].add((r["lang_pred"], round(r["score"], 3)))
+
+    def grams(t):
+        s = "".join(c if c.isalpha() else " " for c in t)
+        return {s[k : k + n] for n in (1, 2, 3) for k in range(len(s) - n + 1) if s[k : k + n].strip()}
+
+    train = [(grams(t), "xy".index(y[0])) for i, t, y in rows if y and zlib.crc32(str(i).encode()) % 4 != 2]
+    known = set.union(*(g for g, _ in train))
+    kernel = lambda a, b: len(a & b & known) / math.sqrt(max(len(a & known), 1) * max(len(b & known), 1))
+    k = np.array([[kernel(a, b) for b, _ in train] for a, _ in train])
+    value, vector = np.linalg.eigh(k)
+    keep = value > 1e-6 * value.max()
+    white = vector[:, keep] / np.sqrt(value[keep])
+    phi = np.column_stack([k @ white, np.ones(len(train))])
+    y = np.array([b for _, b in train])
+    w = (len(y) / 2 / np.bincount(y))[y][:, None]
+    beta = np.linalg.solve(phi.T @ (phi * w) + np.eye(phi.shape[1]), phi.T @ (np.eye(2)[y] * w))
+    for i, t, _ in rows:
+        f = np.append(np.array([kernel(grams(t), b) for b, _ in train]) @ white, 1) @ beta
+        (lang, score), = got[i]
+        assert lang == "xx yy".split()[int(f.argmax())] and abs(score - min(1, max(0, f.max()))) < 2e-3, (i, f, score)
+
+
 def test_kernel_is_presence():
     s = langid.spectrum(["abab", "bcd"])
     x, letter = s.presence(["ab", "abab", "..", "ABAB"])
@@ -673,6 +806,36 @@ def test_clauses():
     assert score("you idiot") > score("an idiot there") > score("not an idiot there") > score("a fine day")
 
 
+def brute_events(text, stems):
+    """Events of each clause by looking around each word, without an automaton."""
+    out = defaultdict(int)
+    for clause in re.split(r"[.,;:!?\n]", (text or "").lower()):
+        w = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause)
+        kind = [toxicity._FIXED.get(x) or (toxicity.INSULT if any(len(x) >= len(st) and x.startswith(st) for st in stems) else toxicity.OTHER) for x in w]
+        for j, c in enumerate(kind):
+            if c in (toxicity.INSULT, toxicity.THREAT):
+                aimed = toxicity.TARGET in kind[max(0, j - 5) : j] + kind[j + 1 : j + 6]
+                if c == toxicity.INSULT or aimed:
+                    out["threat" if c == toxicity.THREAT else "insult", aimed, toxicity.NEGATION in kind[max(0, j - 3) : j], toxicity.REPORT in kind[:j]] += 1
+    return dict(out)
+
+
+def test_events_by_brute_force():
+    rng = random.Random(8)
+    g = toxicity.Grammar(frozenset({"zorb", "quix"}))
+    vocabulary = ["you", "idiot", "kill", "not", "said", "zorbing", "quixe", "tree", "walk", "du", "basura", "nicht", "ils", "trottel", "a", "b", "c", "idiots", "zor"]
+    for _ in range(400):
+        text = "".join(rng.choice(vocabulary) + rng.choice((" ", " ", " ", ", ", ". ", "\n")) for _ in range(rng.randint(0, 25)))
+        assert {toxicity.EVENTS[i]: int(n) for i, n in enumerate(g.events(text)) if n} == brute_events(text, g.stems), text
+    assert g.events("word " * 100_000 + "you idiot").sum() == 1
+
+
+def test_toxicity_of_repeated_and_long_rows(spark, labels):
+    rows = [(1, "you idiot"), (1, "you idiot"), (2, "fine " * 50_000 + "you idiot"), (None, "you idiot"), (3, "")]
+    got = sorted(((r["doc_id"] or 0), r["n_events"]) for r in toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect())
+    assert got == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 0)]
+
+
 def test_toxicity_learns_stems(spark, empty, labels):
     rng = random.Random(7)
     rows = [(i, prose(60, rng) + (f" zorb{rng.choice(WORDS)} " if i % 3 == 0 else " ") + prose(60, rng)) for i in range(300)]
