@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import uuid
 import weakref
 
@@ -46,10 +47,16 @@ def _forget(jvm, conf, folder: str) -> None:
 
 
 def release(*staged: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
+    """Delete staged tables that nothing reads any more; the driver's collection lets Spark's cleaner delete the shuffle
+    files of finished steps too, which would else lie there for half an hour."""
+    spark = None
     for df in staged:
         if path := _PATHS.pop(df, None):
-            remove(df.sparkSession, path)
+            spark = df.sparkSession
+            remove(spark, path)
+    if spark:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def spread_join(big: DataFrame, small: DataFrame, key: str, weight: str, how: str = "inner", parts: int = 2000) -> DataFrame:

@@ -8,15 +8,14 @@ runs, equal ones of a flush once, to the bucket of their gram. There all runs fo
 suffix arrays (order, common prefixes, left bytes) whose common-prefix intervals a stack
 scan reads off: an interval of at least 50 bytes is a string with all its places. Where
 its left neighbours are diverse a group begins, a repeat with all its places, which
-runs on as long as the places stay the same. The groups go back to the flushes that have the places, and a
-place loses its group's bytes if the group also starts in a document with a smaller id.
+runs on as long as the places stay the same. A place loses its group's bytes if the group also starts in a
+document with a smaller id.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, ship, stage
+from .common import ship, stage
 
 GRAM = 20
 _BLOCK = 1 << 18
@@ -241,36 +240,31 @@ def _met(table: pa.Table) -> pa.Table:
     return pa.concat_tables([other, pa.Table.from_batches([_rows(_OF_FLUSH, found)])])
 
 
-# --- second pass: bytes of those runs, to buckets; their places stay with the flush ---
+# --- second pass: bytes of those runs, to buckets ---
 
-_SENT = "flush bigint, bucket int, grams binary, sizes binary, data binary, least binary, most binary, counts binary, docs binary, doc_ids binary, starts binary, ids binary, keys binary"
+_SENT = "bucket int, grams binary, sizes binary, data binary, counts binary, docs binary, keys binary, starts binary"
+_OF_PART = "part int, docs binary, keys binary, sizes binary, data binary"
 
 
 def _send(length: int, bits: int):
-    """Distinct runs of the documents at hand by bucket, each with its number of places and their least and largest document; and
-    the places, which only the flush itself reads again, so a run with any number of places is one entry of its bucket.
+    """Distinct runs of the documents at hand, each with the places where it stands, by bucket.
 
     A run's bytes begin with the byte before it (0xFF at the start of a text)."""
 
     def flush(seen: dict[bytes, int], grams: list[int], places: list[list[tuple[int, int]]], ids: list[int], keys: list[int]) -> pa.RecordBatch:
-        number = uuid.uuid4().int >> 65
-        g, id_of = np.array(grams, np.uint64), np.array(ids, np.int64)
+        g, id_of, key_of = np.array(grams, np.uint64), np.array(ids, np.int64), np.array(keys, np.int64).astype(np.int32)
         bucket = (g >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.lexsort((g, bucket))
+        order = np.argsort(bucket, kind="stable")
         segments, rows = list(seen), []
         for a, b in _by_group(bucket[order]):
             own = order[a:b]
             where = np.array([p for i in own for p in places[i]], np.int64).reshape(-1, 2)
-            n = np.array([len(places[i]) for i in own], np.int64)
-            of = id_of[where[:, 0]]
-            first = np.cumsum(n) - n
             rows.append(
                 (
-                    number, int(bucket[own[0]]), _pack(g[own]), _pack(np.array([len(segments[i]) for i in own], np.int32)), _pack(b"".join(segments[i] for i in own)),
-                    _pack(np.minimum.reduceat(of, first)), _pack(np.maximum.reduceat(of, first)), _pack(n.astype(np.int32)), _pack(where[:, 0].astype(np.int32)), _pack(of), _pack(where[:, 1].copy()), None, None,
+                    int(bucket[own[0]]), _pack((g[own] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), _pack(_planes(np.array([len(segments[i]) for i in own]))), _pack(b"".join(segments[i] for i in own)),
+                    _pack(_planes(np.array([len(places[i]) for i in own]))), _pack(id_of[where[:, 0]]), _pack(key_of[where[:, 0]]), _pack(where[:, 1].copy()),
                 )
             )
-        rows.append((number, -1, *[None] * 9, _pack(id_of), _pack(np.array(keys, np.int64))))
         return _rows(_SENT, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +350,6 @@ def intervals(common: np.ndarray, least: int) -> list[tuple[int, int, int, bool]
     return out
 
 
-_VERDICT = "flush bigint, bucket int, frags binary, offsets binary, windows binary, least binary, counts binary, joins binary, names binary"
 _CHUNK = 400_000
 
 
@@ -369,32 +362,31 @@ class Bucket:
     after it that do not are the same places one byte further, so a group is a repeat with all its places.
     """
 
-    def __init__(self, table: pa.Table, length: int):
-        self.length = length
+    def __init__(self, table: pa.Table, length: int, named: bool):
+        self.length, self.named = length, named
         index: dict[bytes, int] = {}
-        gram, self.rows = [], []
-        least, most, counts = [], [], []
+        gram, run, doc, key, start = [], [], [], [], []
         for r in table.to_pylist():
             data = zstandard.ZstdDecompressor().decompress(r["data"])
             at, own = 0, []
-            for size, g in zip(_unpack(r["sizes"], np.int32).tolist(), _unpack(r["grams"], np.uint64).tolist(), strict=True):
+            for size, g in zip(_whole(_unpack(r["sizes"], np.uint8)).tolist(), _unpack(r["grams"], np.uint32).tolist(), strict=True):
                 i = index.setdefault(data[at : at + size], len(gram))
                 if i == len(gram):
                     gram.append(g)
                 own.append(i)
                 at += size
-            self.rows.append((r["flush"], r["bucket"], np.array(own, np.int64)))
-            least.append(_unpack(r["least"], np.int64))
-            most.append(_unpack(r["most"], np.int64))
-            counts.append(_unpack(r["counts"], np.int32))
-        run = np.concatenate([own for _, _, own in self.rows])
+            run.append(np.repeat(np.array(own, np.int64), _whole(_unpack(r["counts"], np.uint8))))
+            doc.append(_unpack(r["docs"], np.int64))
+            key.append(_unpack(r["keys"], np.int32))
+            start.append(_unpack(r["starts"], np.int64))
+        self.run, self.doc, self.key, self.start = (np.concatenate(x) for x in (run, doc, key, start))
         n = len(gram)
         self.segments = list(index)
         windows = np.array([len(s) for s in self.segments], np.int64) - length
-        low, high, count = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min), np.zeros(n, np.int64)
-        np.minimum.at(low, run, np.concatenate(least))
-        np.maximum.at(high, run, np.concatenate(most))
-        np.add.at(count, run, np.concatenate(counts))
+        low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+        np.minimum.at(low, self.run, self.doc)
+        np.maximum.at(high, self.run, self.doc)
+        count = np.bincount(self.run, minlength=n)
         self.at = np.cumsum(windows) - windows
         self.of = np.repeat(np.arange(n), windows)
         self.low, self.high, self.count = low[self.of], high[self.of], count[self.of]
@@ -439,70 +431,74 @@ class Bucket:
         least, most = np.minimum.reduceat(left, first), np.maximum.reduceat(left, first)
         self.diverse[mine] = np.repeat((least != most) | (most == _START), n)
 
-    def groups(self, named: bool) -> pa.Table:
-        """Of each run that was sent, the groups of two documents or more: where they begin and how many starts they have, their least
-        document, and, if ``named``, their number of places, whether the run before may go on here, and their name."""
+    def places(self, bits: int) -> pa.Table:
+        """Places of the groups of two documents or more, by part of the documents: the bytes that they cover in documents which
+        are not the group's first, or, if ``named``, all places with the group's number of places, whether it goes on from the
+        run before, and its name."""
         keep = self.low[self.first] < self.high[self.first]
         first, long = self.first[keep], self.long[keep]
-        own, out = self.of[first], []
+        own = self.of[first]
         offset = first - self.at[own]
         upto = np.searchsorted(own, np.arange(len(self.segments) + 1))
-        names = np.zeros((len(first), 16), np.uint8)
-        if named:
+        each = upto[self.run + 1] - upto[self.run]  # groups of each place
+        place = np.repeat(np.arange(len(each)), each)
+        group = np.repeat(upto[self.run] - np.cumsum(each) + each, each) + np.arange(len(place))
+        if not self.named:
+            hit = self.low[first[group]] < self.doc[place]
+            place, group = place[hit], group[hit]
+        a = self.start[place] + offset[group]
+        b = a + long[group]
+        item = np.column_stack([a, b + (0 if self.named else self.length - 1)]).astype(np.int64).view(np.uint8).reshape(-1, 16)
+        if self.named:
+            names = np.zeros((len(first), 16), np.uint8)
             for i, (r, o) in enumerate(zip(own.tolist(), offset.tolist(), strict=True)):
                 names[i] = np.frombuffer(hashlib.sha256(self.segments[r][o + 1 : o + 1 + self.length]).digest()[:16], np.uint8)
-        for flush, bucket, run in self.rows:
-            n = upto[run + 1] - upto[run]
-            at = np.repeat(upto[run] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            extra = (_pack(self.count[first[at]]), _pack(((offset == 0) & ~self.diverse[first])[at]), _pack(names[at])) if named else (None,) * 3
-            out.append((flush, bucket, _pack(n.astype(np.int32)), _pack(offset[at].astype(np.int32)), _pack(long[at].astype(np.int32)), _pack(self.low[first[at]]), *extra))
-        return pa.Table.from_batches([_rows(_VERDICT, out)])
+            joins = (offset == 0) & ~self.diverse[first]
+            more = np.column_stack([self.count[first][group], joins[group].astype(np.int64)]).astype(np.int64).view(np.uint8).reshape(-1, 16)
+            item = np.column_stack([item, more, names[group]])
+        doc, key = self.doc[place], self.key[place]
+        part = (_mix(doc.astype(np.uint64) * _A[1]) >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.lexsort((key, doc, part))
+        doc, key, part, item = doc[order], key[order], part[order], item[order]
+        rows = []
+        for x, y in _by_group(part):
+            cuts = np.flatnonzero(np.append(True, (doc[x + 1 : y] != doc[x : y - 1]) | (key[x + 1 : y] != key[x : y - 1])))
+            rows.append((int(part[x]), _pack(doc[x:y][cuts]), _pack(key[x:y][cuts]), _pack(np.diff(cuts, append=y - x).astype(np.int32)), _pack(item[x:y])))
+        return pa.Table.from_batches([_rows(_OF_PART, rows)])
 
 
-def _places(length: int, named: bool):
-    """Places of runs with the groups of those: spans in documents that are not the group's first, or, if ``named``, all with
-    the group's number of places, whether it goes on from before, and its name."""
+def _of_part(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    doc, key, data = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty((0, width), np.uint8)]
+    for r in table.to_pylist():
+        n = _unpack(r["sizes"], np.int32)
+        doc.append(np.repeat(_unpack(r["docs"], np.int64), n))
+        key.append(np.repeat(_unpack(r["keys"], np.int32), n))
+        data.append(_unpack(r["data"], np.uint8).reshape(-1, width))
+    return np.concatenate(doc), np.concatenate(key), np.concatenate(data)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                n, m = _unpack(r["frags"], np.int32).astype(np.int64), _unpack(r["counts"], np.int32).astype(np.int64)
-                each = np.repeat(n, m)  # groups of each place
-                place = np.repeat(np.arange(len(each)), each)
-                group = np.repeat(np.repeat(np.cumsum(n) - n, m) - np.cumsum(each) + each, each) + np.arange(len(place))
-                least = _unpack(r["least"], np.int64)
-                if not named:
-                    hit = least[group] < _unpack(r["doc_ids"], np.int64)[place]
-                    place, group = place[hit], group[hit]
-                if not len(place):
-                    continue
-                a = _unpack(r["starts"], np.int64)[place] + _unpack(r["offsets"], np.int32)[group]
-                b = a + _unpack(r["windows"], np.int32)[group]
-                item = np.column_stack([a, b + (0 if named else length - 1)]).astype(np.int64).view(np.uint8).reshape(-1, 16)
-                if named:
-                    more = np.column_stack([_unpack(r["n_places"], np.int64)[group], _unpack(r["joins"], bool)[group].astype(np.int64)]).astype(np.int64).view(np.uint8).reshape(-1, 16)
-                    item = np.column_stack([item, more, _unpack(r["names"], np.uint8).reshape(-1, 16)[group]])
-                out.append(_of_flush(r["flush"], _unpack(r["docs"], np.int32)[place], item))
-            if out:
-                yield _rows(_OF_FLUSH, out)
 
-    return run
+def _spans(table: pa.Table) -> pa.Table:
+    """Of a part of the documents: one row for each, with all its spans."""
+    doc, key, data = _of_part(table, 16)
+    order = np.lexsort((key, doc))
+    doc, key, data = doc[order], key[order], data[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(doc) else np.empty(0, np.int64)
+    return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "low_key": pa.array(key[first], pa.int32()), "_spans": pa.array([data[a:b].tobytes() for a, b in zip(first, [*first[1:], len(doc)], strict=True)], pa.binary())})
 
 
 def _chained(length: int):
-    """Of a flush: groups that follow one another in a document at the same places are one repeat."""
+    """Of a part of the documents: groups that follow one another in a document at the same places are one repeat."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, data, ids, _ = _items(table.to_pylist(), 48)
+        doc, key, data = _of_part(table, 48)
         number = np.ascontiguousarray(data[:, :32]).view(np.int64)
+        order = np.lexsort((number[:, 0], key, doc))
+        doc, key, names, number = doc[order], key[order], data[order, 32:], number[order]
         a, b, count, joins = (number[:, i] for i in range(4))
-        order = np.lexsort((a, doc))
-        doc, a, b, count, joins, names = doc[order], a[order], b[order], count[order], joins[order], data[order, 32:]
-        on = np.append(False, (doc[1:] == doc[:-1]) & (a[1:] == b[:-1]) & (count[1:] == count[:-1]) & (joins[1:] == 1)) if len(doc) else np.empty(0, bool)
+        on = np.append(False, (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (a[1:] == b[:-1]) & (count[1:] == count[:-1]) & (joins[1:] == 1)) if len(doc) else np.empty(0, bool)
         first = np.flatnonzero(~on)
         last = np.append(first[1:], len(doc)) - 1 if len(first) else first
-        return pa.table({"repeat": pa.array([names[i].tobytes().hex() for i in first], pa.string()), "length": pa.array(b[last] - a[first] + length - 1, pa.int64()), "doc_id": pa.array(ids[doc[first]], pa.int64()), "start": pa.array(a[first], pa.int64())})
+        return pa.table({"repeat": pa.array([names[i].tobytes().hex() for i in first], pa.string()), "length": pa.array(b[last] - a[first] + length - 1, pa.int64()), "doc_id": pa.array(doc[first], pa.int64()), "start": pa.array(a[first], pa.int64())})
 
     return run
 
@@ -513,24 +509,15 @@ def _bits(docs: DataFrame, text_mb: int = 6) -> int:
     return max(3, min(31, math.ceil(math.log2(max(1, total / (text_mb * 1e6))))))
 
 
-def _sent(docs: DataFrame, length: int, bits: int) -> DataFrame:
-    """The staged runs, as ``_send`` makes them, of grams that two documents have."""
+def _located(docs: DataFrame, length: int, bits: int, named: bool) -> DataFrame:
+    """Rows of ``_OF_PART``: the places that repeats have in the documents."""
     base = docs.select("doc_id", "key", "text")
     met = base.mapInArrow(_grams_of(length, bits), _GRAMS).groupBy("bucket").applyInArrow(_met, _OF_FLUSH)
     found = stage(met.groupBy("flush").applyInArrow(_by_doc(4), "doc_id bigint, key bigint, items binary"))
     # Rows that repeat both id and text have the same runs, so any of theirs will do.
     one = found.groupBy("doc_id", "key").agg(F.max("items").alias("found"))
-    sent = stage(base.join(one, ["doc_id", "key"]).mapInArrow(_send(length, bits), _SENT))
-    release(found)
-    return sent
-
-
-def _located(sent: DataFrame, length: int, named: bool) -> DataFrame:
-    """Rows of ``_OF_FLUSH``: the places that groups have in the documents of each flush, and these documents."""
-    verdicts = sent.where("bucket >= 0").select("flush", "bucket", "grams", "sizes", "data", "least", "most", "counts").groupBy("bucket").applyInArrow(lambda t: Bucket(t, length).groups(named), _VERDICT)
-    verdicts = verdicts.withColumnRenamed("counts", "n_places")
-    held = sent.where("bucket >= 0").select("flush", "bucket", "counts", "docs", "doc_ids", "starts").join(verdicts, ["flush", "bucket"]).mapInArrow(_places(length, named), _OF_FLUSH)
-    return held.union(sent.where("bucket < 0").select("flush", "docs", "sizes", F.lit(None).cast("binary").alias("data"), "ids", "keys"))
+    sent = base.join(one, ["doc_id", "key"]).mapInArrow(_send(length, bits), _SENT)
+    return sent.groupBy("bucket").applyInArrow(lambda t: Bucket(t, length, named).places(bits), _OF_PART)
 
 
 def _prepared(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -548,8 +535,7 @@ def maximal_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     short texts and rows without an id have none.
     """
     base = _prepared(docs)
-    sent = _sent(base, length, _bits(base))
-    return _located(sent, length, True).groupBy("flush").applyInArrow(_chained(length), "repeat string, length bigint, doc_id bigint, start bigint")
+    return _located(base, length, _bits(base), True).groupBy("part").applyInArrow(_chained(length), "repeat string, length bigint, doc_id bigint, start bigint")
 
 
 def cut_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -561,8 +547,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, keep
     passages. kept_text drops a character of which only part is left. Other columns are ignored.
     """
     base = _prepared(docs, keep)
-    covered = _located(_sent(base, length, _bits(base)), length, False).groupBy("flush").applyInArrow(_by_doc(16), "doc_id bigint, key bigint, items binary")
-    covered = covered.groupBy("doc_id", "key").agg(F.max("items").alias("_spans"))
+    covered = _located(base, length, _bits(base), False).groupBy("part").applyInArrow(_spans, "doc_id bigint, low_key int, _spans binary")
     own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
     kinds = dict(base.dtypes)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if keep_text else "") + "".join(f", `{c}` {kinds[c]}" for c in keep)
@@ -586,4 +571,5 @@ def cut_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, keep
                 columns = [part.column("doc_id"), *(pa.array([r[i] for r in out], pa.int64() if i < 3 else pa.string()) for i in range(len(own))), *(part.column(c) for c in keep)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *own, *keep])
 
-    return base.join(covered, ["doc_id", "key"], "left").select("doc_id", "text", "_spans", *keep).mapInArrow(cut, schema)
+    own_key = F.shiftright(F.shiftleft("key", 32), 32).cast("int")  # the low half, which tells rows of one id apart
+    return base.withColumn("low_key", own_key).join(covered, ["doc_id", "low_key"], "left").select("doc_id", "text", "_spans", *keep).mapInArrow(cut, schema)
