@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import ship
 
 GRAM = 20
 _BLOCK = 1 << 18
@@ -478,12 +478,19 @@ def _of_part(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _spans(table: pa.Table) -> pa.Table:
-    """Of a part of the documents: one row for each, with all its spans."""
+    """Of a part of the documents: one row for each, with its spans; those that touch or overlap are one."""
     doc, key, data = _of_part(table, 16)
-    order = np.lexsort((key, doc))
-    doc, key, data = doc[order], key[order], data[order]
-    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(doc) else np.empty(0, np.int64)
-    return pa.table({"doc_id": pa.array(doc[first], pa.int64()), "low_key": pa.array(key[first], pa.int32()), "_spans": pa.array([data[a:b].tobytes() for a, b in zip(first, [*first[1:], len(doc)], strict=True)], pa.binary())})
+    span = np.ascontiguousarray(data).view(np.int64)
+    order = np.lexsort((span[:, 0], key, doc))
+    doc, key, a, b = doc[order], key[order], span[order, 0], span[order, 1]
+    opens = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])) if len(doc) else np.empty(0, bool)
+    shift = (np.cumsum(opens) - 1) << 40  # keeps the ends of a document below all of the next
+    reach = np.maximum.accumulate(b + shift) if len(b) else b
+    first = np.flatnonzero(np.append(True, (a + shift)[1:] > reach[:-1])) if len(a) else np.empty(0, np.int64)
+    merged = np.column_stack([a[first], np.append(reach[first[1:] - 1], reach[-1:]) - shift[first]]) if len(a) else np.empty((0, 2), np.int64)
+    begins = np.flatnonzero(opens[first]) if len(first) else first
+    own = first[begins]
+    return pa.table({"doc_id": pa.array(doc[own], pa.int64()), "low_key": pa.array(key[own], pa.int32()), "_spans": pa.array([merged[x:y].astype(np.int64).tobytes() for x, y in zip(begins, [*begins[1:], len(merged)], strict=True)], pa.binary())})
 
 
 def _chained(length: int):
@@ -513,7 +520,7 @@ def _located(docs: DataFrame, length: int, bits: int, named: bool) -> DataFrame:
     """Rows of ``_OF_PART``: the places that repeats have in the documents."""
     base = docs.select("doc_id", "key", "text")
     met = base.mapInArrow(_grams_of(length, bits), _GRAMS).groupBy("bucket").applyInArrow(_met, _OF_FLUSH)
-    found = stage(met.groupBy("flush").applyInArrow(_by_doc(4), "doc_id bigint, key bigint, items binary"))
+    found = met.groupBy("flush").applyInArrow(_by_doc(4), "doc_id bigint, key bigint, items binary")
     # Rows that repeat both id and text have the same runs, so any of theirs will do.
     one = found.groupBy("doc_id", "key").agg(F.max("items").alias("found"))
     sent = base.join(one, ["doc_id", "key"]).mapInArrow(_send(length, bits), _SENT)
