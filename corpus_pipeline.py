@@ -14,7 +14,7 @@ from fenbrook.llm.common import stage, table
 from fenbrook.llm.decontam import decontaminate
 from fenbrook.llm.minhash import near_duplicates
 from fenbrook.llm.packing import pack
-from fenbrook.llm.quality_rules import pass_rules
+from fenbrook.llm.quality_rules import quality_rules
 from fenbrook.llm.suffix_dedup import cut_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,8 +26,9 @@ def _without(docs: DataFrame, verdicts: DataFrame, gone: str) -> DataFrame:
 
 
 def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned rules keep; each row is judged by itself."""
-    return pass_rules(docs, table(spark, sf_dir, "labels"), COLUMNS)
+    """Documents that the base rules and the learned rules keep. Rows without an id go: no verdict can name them."""
+    kept = quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
