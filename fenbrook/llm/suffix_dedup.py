@@ -149,7 +149,7 @@ def _by_doc(width: int):
         doc, data, ids, keys = _items(table.to_pylist(), width)
         cuts = list(_by_group(doc))
         at = doc[[a for a, _ in cuts]] if cuts else doc
-        return pa.table({"doc_id": pa.array(ids[at], pa.int64()), "key": pa.array(keys[at], pa.int64()), "items": pa.array([data[a:b].tobytes() for a, b in cuts], pa.binary())})
+        return pa.table({"doc_id": pa.array(ids[at], pa.int64()), "key": pa.array(keys[at], pa.int32()), "items": pa.array([data[a:b].tobytes() for a, b in cuts], pa.binary())})
 
     return run
 
@@ -490,7 +490,7 @@ def _spans(table: pa.Table) -> pa.Table:
     merged = np.column_stack([a[first], np.append(reach[first[1:] - 1], reach[-1:]) - shift[first]]) if len(a) else np.empty((0, 2), np.int64)
     begins = np.flatnonzero(opens[first]) if len(first) else first
     own = first[begins]
-    return pa.table({"doc_id": pa.array(doc[own], pa.int64()), "low_key": pa.array(key[own], pa.int32()), "_spans": pa.array([merged[x:y].astype(np.int64).tobytes() for x, y in zip(begins, [*begins[1:], len(merged)], strict=True)], pa.binary())})
+    return pa.table({"doc_id": pa.array(doc[own], pa.int64()), "key": pa.array(key[own], pa.int32()), "_spans": pa.array([merged[x:y].astype(np.int64).tobytes() for x, y in zip(begins, [*begins[1:], len(merged)], strict=True)], pa.binary())})
 
 
 def _chained(length: int):
@@ -517,20 +517,23 @@ def _bits(docs: DataFrame, text_mb: int = 6) -> int:
 
 
 def _located(docs: DataFrame, length: int, bits: int, named: bool) -> DataFrame:
-    """Rows of ``_OF_PART``: the places that repeats have in the documents."""
-    base = docs.select("doc_id", "key", "text")
-    met = base.mapInArrow(_grams_of(length, bits), _GRAMS).groupBy("bucket").applyInArrow(_met, _OF_FLUSH)
-    found = met.groupBy("flush").applyInArrow(_by_doc(4), "doc_id bigint, key bigint, items binary")
+    """Rows of ``_OF_PART``: the places that repeats have in the documents.
+
+    The join is an outer one over all columns of ``docs``: so it deals the texts just as that of ``cut_repeats`` does, and
+    one exchange serves both. ``_send`` skips documents in which nothing was found."""
+    met = docs.select("doc_id", "key", "text").mapInArrow(_grams_of(length, bits), _GRAMS).groupBy("bucket").applyInArrow(_met, _OF_FLUSH)
+    found = met.groupBy("flush").applyInArrow(_by_doc(4), "doc_id bigint, key int, items binary")
     # Rows that repeat both id and text have the same runs, so any of theirs will do.
     one = found.groupBy("doc_id", "key").agg(F.max("items").alias("found"))
-    sent = base.join(one, ["doc_id", "key"]).mapInArrow(_send(length, bits), _SENT)
+    sent = docs.join(one, ["doc_id", "key"], "left").mapInArrow(_send(length, bits), _SENT)
     return sent.groupBy("bucket").applyInArrow(lambda t: Bucket(t, length, named).places(bits), _OF_PART)
 
 
 def _prepared(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ship(docs.sparkSession)
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"), *keep)
+    key = F.shiftright(F.shiftleft(F.xxhash64(text), 32), 32).cast("int")  # the low half tells rows of one id apart
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"), text.alias("text"), *keep)
 
 
 def maximal_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -554,7 +557,7 @@ def cut_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, keep
     passages. kept_text drops a character of which only part is left. Other columns are ignored.
     """
     base = _prepared(docs, keep)
-    covered = _located(base, length, _bits(base), False).groupBy("part").applyInArrow(_spans, "doc_id bigint, low_key int, _spans binary")
+    covered = _located(base, length, _bits(base), False).groupBy("part").applyInArrow(_spans, "doc_id bigint, key int, _spans binary")
     own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept_text"] if keep_text else [])]
     kinds = dict(base.dtypes)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if keep_text else "") + "".join(f", `{c}` {kinds[c]}" for c in keep)
@@ -578,5 +581,4 @@ def cut_repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, keep
                 columns = [part.column("doc_id"), *(pa.array([r[i] for r in out], pa.int64() if i < 3 else pa.string()) for i in range(len(own))), *(part.column(c) for c in keep)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *own, *keep])
 
-    own_key = F.shiftright(F.shiftleft("key", 32), 32).cast("int")  # the low half, which tells rows of one id apart
-    return base.withColumn("low_key", own_key).join(covered, ["doc_id", "low_key"], "left").select("doc_id", "text", "_spans", *keep).mapInArrow(cut, schema)
+    return base.join(covered, ["doc_id", "key"], "left").select("doc_id", "text", "_spans", *keep).mapInArrow(cut, schema)
