@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fenbrook.operators.sweeps import in_slots, running_sums, sliding_sums
+
 FAILED = ("unavailable", "error")
 
 
@@ -46,28 +48,29 @@ def error_ratio(calls: DataFrame, *by: str) -> DataFrame:
     return calls.groupBy(*by).agg(n.alias("calls"), bad.alias("errors"), F.round(bad / F.greatest(n, F.lit(1)), 6).alias("error_ratio"), F.round(1 - bad / F.greatest(n, F.lit(1)), 6).alias("availability"))
 
 
-def burn_rate(calls: DataFrame, windows: dict[str, int], budget: float, hold: tuple[int, int] = (120, 900), look_back: int = 300) -> DataFrame:
+def burn_rate(calls: DataFrame, windows: dict[str, int], budget: float, hold: tuple[int, int] = (120, 900), look_back: int = 300, slot: int = 21_600) -> DataFrame:
     """Per second with calls: the error ratio of each window up to it, and whether the fast or the slow burn alert fires.
 
     An alert fires once its condition has held at all seconds with calls of its hold time (fast, slow), and at the last of
-    the ``look_back`` seconds before that. Time is dealt into slots as long as the longest window, each with the seconds before
-    it that its windows reach, so no window ends at a slot's edge and none holds more than a few hours of seconds.
+    the ``look_back`` seconds before that: so if the run of seconds where it holds began that long ago and there were calls around then.
+    Sums slide as signed events, and a run is known by where it began: work is linear in the seconds, whatever the windows.
     """
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000)
     bad = F.when(F.col("outcome").isin(*FAILED), 1).otherwise(0)
-    per_second = calls.groupBy(at.alias("sec")).agg(F.count("*").alias("n"), F.sum(bad).alias("bad"))
-    length = max(windows.values())
-    reach = length + max(hold) + look_back
-    slots = F.sequence(F.floor(F.col("sec") / length), F.floor((F.col("sec") + reach) / length))
-    out = per_second.withColumn("slot", F.explode(slots))
-    w = Window.partitionBy("slot").orderBy("sec")
-    for name, seconds in windows.items():
-        past = w.rangeBetween(-seconds, 0)
-        out = out.withColumn(name, F.sum("bad").over(past) / F.sum("n").over(past))
+    per_second = calls.groupBy(at.alias("sec")).agg(F.count("*").alias("n"), F.sum(bad).alias("bad"), F.lit(1).alias("here"))
+    spans = {name: (seconds, 0) for name, seconds in windows.items()} | {f"_back{h}": (h + look_back, h) for h in hold}
+    out = sliding_sums(per_second, "sec", ["n", "bad", "here"], spans, slot)
+    out = out.select("sec", "n", *((F.col(f"{w}.bad") / F.col(f"{w}.n")).alias(w) for w in windows), *((F.col(f"_back{h}.here") > 0).alias(f"_back{h}") for h in hold))
     out = out.withColumns({"_fast": (F.col("h1") > 14.4 * budget) & (F.col("m5") > 14.4 * budget), "_slow": (F.col("h6") > 6 * budget) & (F.col("m30") > 6 * budget)})
-    held = lambda c, s: F.bool_and(c).over(w.rangeBetween(-s, 0)) & F.coalesce(F.last(c).over(w.rangeBetween(-s - look_back, -s)), F.lit(False))
-    out = out.withColumns({"fast_burn": held("_fast", hold[0]), "slow_burn": held("_slow", hold[1])}).where(F.col("slot") == F.floor(F.col("sec") / length))
-    return out.select("sec", "n", *(F.round(n, 6).alias(n) for n in windows), "fast_burn", "slow_burn")
+    # A run that began before what a slot sees of the one before it began long enough ago if there were calls to show it.
+    seen = in_slots(out, "sec", slot, max(hold) + look_back)
+    w = Window.partitionBy("_slot").orderBy("sec")
+    begins = lambda c: F.when(F.col(c) & ~F.coalesce(F.lag(c).over(w), F.lit(False)), F.col("sec"))
+    seen = seen.withColumns({"_fast_from": begins("_fast"), "_slow_from": begins("_slow")})
+    since = lambda c: F.max(c).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    held = lambda c, h: F.col(c) & F.col(f"_back{h}") & F.coalesce(since(f"{c}_from") <= F.col("sec") - h, F.lit(False))
+    seen = seen.withColumns({"fast_burn": held("_fast", hold[0]), "slow_burn": held("_slow", hold[1])}).where("_own")
+    return seen.select("sec", "n", *(F.round(name, 6).alias(name) for name in windows), "fast_burn", "slow_burn")
 
 
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
@@ -90,9 +93,8 @@ def spend_daily(usage: DataFrame, prices: DataFrame, cap: float) -> DataFrame:
 
 
 def running_spend(usage: DataFrame) -> DataFrame:
-    """Adds what the uses before each one have cost on its day; ``cost`` in whole small units sums exactly."""
-    w = Window.partitionBy("day").orderBy("at", "use_id").rowsBetween(Window.unboundedPreceding, -1)
-    return usage.withColumn("spent_before", F.coalesce(F.sum("cost").over(w), F.lit(0)))
+    """Adds what the uses before each one have cost on its day; ``cost`` in whole small units sums exactly. A day is cut into ranges of time."""
+    return running_sums(usage, ["day"], ["at", "use_id"], {"spent_before": "cost"})
 
 
 def rate_by_outcome(calls: DataFrame) -> DataFrame:
@@ -152,12 +154,23 @@ def sla_seconds(tables: DataFrame, slas: DataFrame, properties: tuple[str, ...]
     return first.select("table_name", (F.col("s.value") * F.element_at(unit, F.col("s.unit"))).cast("bigint").alias("seconds"))
 
 
-def stream_alerts(batches: DataFrame, stall: int = 120, lag: float = 60, rate: float = 0.01) -> DataFrame:
-    """Per batch: stalled (no progress for ``stall`` seconds before it), lagging and failing for all batches of the last 5 or 10 minutes."""
-    w = Window.partitionBy("stream").orderBy("sec")
-    held = lambda c, t, s: (F.min(c).over(w.rangeBetween(-s, 0)) > t)
+def stream_alerts(batches: DataFrame, stall: int = 120, lag: float = 60, rate: float = 0.01, slot: int = 21_600) -> DataFrame:
+    """Per batch: stalled (no progress for ``stall`` seconds before it), lagging and failing for all batches of the last 5 or 10 minutes.
+
+    A condition has held for so long if the last batch where it did not is older than that. Streams are cut into slots that see the end
+    of the one before; a batch with none before it in sight is stalled unless it is its stream's first. Without any reading in its time a condition is null.
+    """
+    first = batches.groupBy("stream").agg(F.min("sec").alias("_first"))
+    seen = in_slots(batches.join(first, "stream"), "sec", slot, max(stall, 600))
+    w = Window.partitionBy("stream", "_slot").orderBy("sec")
+    up_to = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda c: F.max(F.when(c, F.col("sec"))).over(up_to)
+    # Null if there was no reading at all in the last s seconds.
+    held = lambda c, t, s: F.when(last(F.col(c).isNotNull()) >= F.col("sec") - s, F.coalesce(last(F.col(c) <= t) < F.col("sec") - s, F.lit(True)))
     gap = F.col("sec") - F.lag("sec").over(w)
-    return batches.select("stream", "sec", F.coalesce(gap > stall, F.lit(False)).alias("stalled"), held("lag_s", lag, 300).alias("lagging"), held("bad_rate", rate, 600).alias("failing"))
+    stalled = F.coalesce(gap > stall, F.col("sec") > F.col("_first"))
+    out = seen.select("stream", "sec", "_own", stalled.alias("stalled"), held("lag_s", lag, 300).alias("lagging"), held("bad_rate", rate, 600).alias("failing"))
+    return out.where("_own").drop("_own")
 
 
 def check_status(declared: DataFrame, results: DataFrame) -> DataFrame:
