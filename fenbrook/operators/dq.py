@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,6 +63,65 @@ def column_tests(df: DataFrame, unique: list[str] = (), not_null: list[str] = ()
     return one.select(F.inline(F.array(*(F.struct(F.lit(t).alias("test"), F.lit(c).alias("column_name"), F.col(f"_{i}").cast("bigint").alias("offenders")) for i, (t, c, _) in enumerate(tests)))))
 
 
+#: What a declared rule may ask of the number that its query gives.
+_MUST = {
+    "mustBe": lambda x, v: x == v, "mustNotBe": lambda x, v: x != v, "mustBeLessThan": lambda x, v: x < v, "mustBeLessOrEqualTo": lambda x, v: x <= v,
+    "mustBeGreaterThan": lambda x, v: x > v, "mustBeGreaterOrEqualTo": lambda x, v: x >= v, "mustBeBetween": lambda x, v: x.between(*v), "mustNotBeBetween": lambda x, v: ~x.between(*v),
+}
+_ROWWISE = re.compile(r"\s*SELECT\s+count\(\s*\*\s*\)\s+FROM\s+([\w.]+)\s+WHERE\s+(.+?)\s*;?\s*", re.I | re.S)
+#: Conditions with these are no conditions on one row of one table.
+_WIDER = re.compile(r"\b(?:SELECT|GROUP\s+BY|ORDER\s+BY|HAVING|LIMIT|UNION|JOIN|OVER)\b", re.I)
+
+
+def read_contract(text: str) -> list[dict]:
+    """The SQL rules of a declared contract, YAML or JSON: table, name, query, one of the ``must...`` conditions, severity. Rules of other
+    types, which say something in words, are none."""
+    try:
+        contract = json.loads(text)
+    except ValueError:
+        import yaml
+
+        contract = yaml.safe_load(text)
+    out = []
+    for table in contract.get("schema", []):
+        for rule in [*table.get("quality", []), *(r | {"column": p["name"]} for p in table.get("properties", []) for r in p.get("quality", []))]:
+            must = [k for k in rule if k.startswith("must")]
+            if rule.get("type", "sql") != "sql" or "query" not in rule:
+                continue
+            if len(must) != 1 or must[0] not in _MUST:
+                raise ValueError(f"{table['name']}.{rule.get('name')}: one known condition is needed, not {must}")
+            out.append({"table": table["name"], "name": rule["name"], "query": rule["query"], "must": must[0], "value": rule[must[0]], "severity": rule.get("severity", "error")})
+    return out
+
+
+def declared_checks(rules: list[dict], tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, rule, severity, observed, passed of declared rules (``read_contract``), as one plan.
+
+    ``tables`` maps the names that the queries use. Queries that count the rows of one table where a condition holds become counts of one
+    scan for each table; all others are given to Spark as they are, with the names bound to the DataFrames.
+    """
+    rowwise: dict[str, list[tuple[dict, str]]] = {}
+    frames = []
+    observed = lambda r, x: (F.lit(r["table"]).alias("table_name"), F.lit(r["name"]).alias("rule"), F.lit(r["severity"]).alias("severity"), x.cast("double").alias("observed"), F.coalesce(_MUST[r["must"]](x.cast("double"), r["value"]), F.lit(False)).alias("passed"))
+    for r in rules:
+        m = _ROWWISE.fullmatch(r["query"])
+        if m and m[1] in tables and not _WIDER.search(m[2]):
+            rowwise.setdefault(m[1], []).append((r, m[2]))
+            continue
+        names, sql = {}, r["query"].replace("{", "{{").replace("}", "}}")
+        for i, t in enumerate(sorted(tables, key=len, reverse=True)):
+            sql, n = re.subn(rf"(?<![\w.]){re.escape(t)}(?![\w.])", f"{{t{i}}}", sql)
+            names |= {f"t{i}": tables[t]} if n else {}
+        if not names:
+            raise ValueError(f"{r['table']}.{r['name']} reads none of the tables {sorted(tables)}")
+        one = next(iter(names.values())).sparkSession.sql(sql, **names)
+        frames.append(one.select(*observed(r, F.col(one.columns[0]))))
+    for table, own in rowwise.items():
+        one = tables[table].agg(*(F.count_if(F.expr(c)).alias(f"_{i}") for i, (_, c) in enumerate(own)))
+        frames.append(one.select(F.inline(F.array(*(F.struct(*observed(r, F.col(f"_{i}"))) for i, (r, _) in enumerate(own))))))
+    return union_all(frames)
+
+
 def offenders(rules: dict[str, DataFrame]) -> DataFrame:
     """rule, offenders: how many rows each query of offenders returns."""
     return union_all([df.agg(F.count("*").alias("offenders")).select(F.lit(name).alias("rule"), "offenders") for name, df in rules.items()])

@@ -78,12 +78,12 @@ def _double(df: DataFrame, *columns: str) -> DataFrame:
 
 
 @query(
-    """select event_id, user_id, event_type, 'run-1' as _run_id, 'events' as _source from events where ts > (select max(ts) from events where event_id % 3 = 0 and ts < timestamp '2024-01-20') - interval 10 minutes"""
+    f"""select event_id, user_id, event_type, timestamp '{EVENT_DAY}' as _ingested_at, 'run-1' as _run_id, 'events' as _source from events where ts > (select max(ts) from events where event_id % 3 = 0 and ts < timestamp '2024-01-20') - interval 10 minutes"""
 )
 def bronze_incremental(s, d):
     e = read(s, d, "events")
     done = e.where("event_id % 3 = 0 and ts < timestamp_ntz '2024-01-20'")
-    return feeds.incremental(e, done, "ts", "10 MINUTES", "run-1", EVENT_DAY, "events").select("event_id", "user_id", "event_type", "_run_id", "_source")
+    return feeds.incremental(e, done, "ts", "10 MINUTES", "run-1", EVENT_DAY, "events").select("event_id", "user_id", "event_type", "_ingested_at", "_run_id", "_source")
 
 
 @query("select product, ts, cast(price as double) as price, cast(size as bigint) as size from trades")
@@ -372,8 +372,8 @@ def _built_gold(s, d):
 
 
 def _gold(s, d):
-    """The published product, hash-partitioned and sorted by its key."""
-    return lake.table(s, d, "gold.customer_360", lambda s, d: gold.laid_out(_built_gold(s, d), "customer_id"))
+    """The published product, in buckets of its key: as many as its customers ask for."""
+    return lake.bucketed(s, d, "gold.customer_360", "customer_id", lambda: gold.bucket_count(customers(s, d).count()), _built_gold)
 
 
 _GOLD = f"""select c.customer_id, brand, first_name, last_name, date_of_birth, email, phone, postcode, region, segment, vulnerability_flag, customer_since,
@@ -391,7 +391,7 @@ def customer_360(s, d):
 @query()
 def gold_layout_stats(s, d):
     """Rows and key range of each file of the published product: what a lookup can skip by."""
-    laid = _gold(s, d).select("customer_id", F.regexp_extract(F.input_file_name(), r"part-0*(\d+)", 1).cast("int").alias("part"))
+    laid = _gold(s, d).select("customer_id", F.regexp_extract(F.input_file_name(), r"_0*(\d+)\.c\d+", 1).cast("int").alias("part"))
     return laid.groupBy("part").agg(F.count("*").alias("rows"), F.min("customer_id").alias("first"), F.max("customer_id").alias("last"))
 
 
@@ -400,8 +400,7 @@ def point_lookup(s, d):
     return _gold(s, d).where("customer_id = 'C0000004'").select("customer_id", "brand", "region", "open_accounts", "total_complaints")
 
 
-@query("""select (select count(*) from customers) as silver_rows, (select count(distinct c.customer_id) from customers c left join accounts a using (customer_id) left join complaints p on p.customer_id = c.customer_id) as gold_rows,
-    (select count(*) from customers) = (select count(distinct customer_id) from customers) as equal""")
+@query(f"select (select count(*) from customers) as silver_rows, count(*) as gold_rows, count(*) = (select count(*) from customers) as equal from ({_GOLD})")
 def row_count_match(s, d):
     a, b = customers(s, d).agg(F.count("*").alias("silver_rows")), _built_gold(s, d).agg(F.count("*").alias("gold_rows"))
     return a.join(F.broadcast(b)).withColumn("equal", F.col("silver_rows") == F.col("gold_rows"))  # one row each
@@ -455,9 +454,51 @@ def sanctions_hits(s, d):
     return markets.sanctions_hits(shapes.card_auths(s, d), listed)
 
 
+@query(
+    r"""with n as (select distinct merchant, trim(regexp_replace(lower(merchant), '[^a-z0-9]+', ' ', 'g')) as m from card_auths), l as (select distinct 'shob ' || (s_suppkey % 50) as listed from supplier where s_suppkey % 7 = 3),
+    best as (select merchant, arg_min(listed, (levenshtein(m, listed), listed)) as listed, min(levenshtein(m, listed)) as distance from n, l where levenshtein(m, listed) <= 1 group by 1)
+    select merchant, listed, cast(distance as int) as distance, count(*) as auths, cast(sum(amount_eur) as double) as amount_eur, max(ts) as last_auth from card_auths join best using (merchant) group by 1, 2, 3"""
+)
+def sanctions_similar(s, d):
+    """The listed names are misspelt."""
+    listed = read(s, d, "supplier").where("s_suppkey % 7 = 3").select(F.concat(F.lit(" SHOB - "), (F.col("s_suppkey") % 50).cast("string"), F.lit(".")).alias("name"))
+    return markets.screened(shapes.card_auths(s, d), listed)
+
+
 # --- data quality ---
 
 
+#: Rules as they are declared: of the bank's tables, with a limit on time as of the bank's day.
+CONTRACT = f"""
+schema:
+  - name: transactions
+    quality:
+      - {{ name: currency_known, type: sql, severity: error, query: "SELECT count(*) FROM silver.transactions WHERE currency NOT IN ('GBP','EUR','USD')", mustBe: 0 }}
+      - {{ name: timestamp_not_in_future, type: sql, severity: error, query: "SELECT count(*) FROM silver.transactions WHERE txn_ts > timestamp_ntz '{BANK_DAY}' + INTERVAL '1' HOUR", mustBe: 0 }}
+      - {{ name: brand_resolved, type: sql, severity: error, query: "SELECT count(*) FROM silver.transactions WHERE brand IS NULL", mustBe: 0 }}
+      - {{ name: few_large, type: sql, severity: warning, query: "SELECT count(*) FROM silver.transactions WHERE amount < -90000", mustBeLessThan: 10 }}
+      - {{ name: quarantine_rate, type: text, severity: error, description: "Over one per cent halts the batch" }}
+  - name: customer_360
+    quality:
+      - {{ name: row_count_matches_customers, type: sql, severity: error, query: "SELECT (SELECT count(*) FROM gold.customer_360) - (SELECT count(*) FROM silver.customers)", mustBe: 0 }}
+      - {{ name: no_negative_counts, type: sql, severity: error, query: "SELECT count(*) FROM gold.customer_360 WHERE open_accounts < 0 OR open_complaints < 0", mustBe: 0 }}
+      - {{ name: brands, type: sql, severity: warning, query: "SELECT count(DISTINCT brand) FROM gold.customer_360", mustBeBetween: [2, 3] }}
+"""
+
+
+@query(
+    f"""select 'transactions' as table_name, 'currency_known' as rule, 'error' as severity, count(*)::double as observed, count(*) = 0 as passed from txns where currency not in ('GBP', 'EUR', 'USD')
+    union all select 'transactions', 'timestamp_not_in_future', 'error', count(*)::double, count(*) = 0 from txns where txn_ts > timestamp '{BANK_DAY}' + interval 1 hour
+    union all select 'transactions', 'brand_resolved', 'error', count(*)::double, count(*) = 0 from txns where brand is null
+    union all select 'transactions', 'few_large', 'warning', count(*)::double, count(*) < 10 from txns where amount < -90000
+    union all select 'customer_360', 'row_count_matches_customers', 'error', ((select count(*) from ({_GOLD})) - count(*))::double, (select count(*) from ({_GOLD})) = count(*) from customers
+    union all select 'customer_360', 'no_negative_counts', 'error', count(*)::double, count(*) = 0 from ({_GOLD}) where open_accounts < 0 or open_complaints < 0
+    union all select 'customer_360', 'brands', 'warning', count(distinct brand)::double, count(distinct brand) between 2 and 3 from ({_GOLD})"""
+)
+def declared_rules(s, d):
+    return dq.declared_checks(dq.read_contract(CONTRACT), {"silver.transactions": txns(s, d), "silver.customers": customers(s, d), "gold.customer_360": _gold(s, d)})
+
+
 @query(
     """select 'pk_unique' as check_name, cast(count(txn_id) - count(distinct txn_id) as double) as observed, count(txn_id) = count(distinct txn_id) as passed from txns
     union all select 'pk_not_null', cast(count(*) filter (where txn_id is null) as double), count(*) filter (where txn_id is null) = 0 from txns
@@ -722,19 +763,43 @@ def signals(s, d):
     return _signals(s, d).select("call_id", "seq", "full_name", "postcode", "customer_id", F.array_join(F.transform("amounts", lambda a: a.cast("string")), ",").alias("amounts"), joined("intents"), joined("vulnerabilities"), joined("risks"))
 
 
+_FIRST_NAME, _LAST_NAME = f"{shapes._list(shapes.FIRST)}[call_id % 8 + 1]", f"{shapes._list(shapes.LAST)}[call_id % 11 + 1]"
+
+
+def _called(s, d):
+    """Lines with the names of their call: of its caller, whole and in parts, and a letter, which is none."""
+    first, last = shapes.pick(shapes.FIRST, F.col("call_id") % 8), shapes.pick(shapes.LAST, F.col("call_id") % 11)
+    return shapes.transcripts(s, d).withColumn("names", F.array(first, F.lit("I"), last, F.concat(first, F.lit(" "), last), F.lit(None)))
+
+
+@query(
+    rf"""with n as (select *, {_FIRST_NAME} as a, {_LAST_NAME} as b from transcripts), o as (select *, case when length(a) > length(b) or length(a) = length(b) and a < b then a else b end as long, case when length(a) > length(b) or length(a) = length(b) and a < b then b else a end as short from n)
+    select call_id, seq, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b' || a || ' ' || b || '\b', '[name]', 'g'), '(?i)\b' || long || '\b', '[name]', 'g'), '(?i)\b' || short || '\b', '[name]', 'g') as text from o"""
+)
+def redact_names(s, d):
+    return text.redact_names(_called(s, d), "text", "names").select("call_id", "seq", "text")
+
+
 @query()
 def redact(s, d):
-    return text.redact(shapes.transcripts(s, d), "text", shapes.FIRST + shapes.LAST)
+    return text.redact(_called(s, d), "text", "names").drop("names")
 
 
 @query(
-    r"""select conv_id, turn, case when (conv_id + turn) % 3 = 0 then '£12.50' else '' end || case when turn % 2 = 1 then case when (conv_id + turn) % 3 = 0 then ',' else '' end || 'C0000099' else '' end as missing from conversations"""
+    rf"""with t as (select *, lag(text) over (partition by call_id order by seq) as heard, call_id * 7 + seq as k from transcripts),
+    c as (select call_id, seq, text || ' ref T' || lpad(cast(k as varchar), 10, '0') as text, concat_ws(' ', 'C0000042 12.99 300', case when k % 2 = 0 then 'T' || lpad(cast(k as varchar), 10, '0') else '-' end, heard) as proof from t),
+    m as (select *, list_filter(list_transform(regexp_extract_all(text, {_rx(text.MONEY)}, 1), lambda x: try_cast(replace(x, ',', '') as decimal(18,2))), lambda x: x is not null) as said,
+        list_transform(regexp_extract_all(replace(proof, ',', ''), '(\d+(?:\.\d+)?)', 1), lambda x: try_cast(x as decimal(18,2))) as known,
+        list_concat(regexp_extract_all(text, '\b(\d{{4}}-\d{{2}}-\d{{2}})\b', 1), regexp_extract_all(text, '\b(C\d{{7}}|A\d{{8}}|CMP\d{{7}}|T[0-9A-Za-z]{{10,24}})\b', 1)) as other from c)
+    select call_id, seq, array_to_string(list_sort(list_distinct(list_concat(list_transform(list_filter(said, lambda x: not list_contains(known, x)), lambda x: '£' || x), list_filter(other, lambda x: not contains(proof, x))))), ',') as missing from m"""
 )
 def ungrounded(s, d):
-    claim = F.concat(F.lit("You paid £12.50 and £1,300 on 2024-01-05, "), F.when(F.col("turn") % 2 == 1, "C0000099").otherwise("C0000042"))
-    known = F.concat(F.lit("1300.00 2024-01-05 C0000042 "), F.when((F.col("conv_id") + F.col("turn")) % 3 != 0, "12.5").otherwise("13"))
-    rows = read(s, d, "conversations").select("conv_id", "turn", claim.alias("text"), known.alias("evidence"))
-    return text.ungrounded(rows, "text", "evidence").select("conv_id", "turn", F.array_join("missing", ",").alias("missing"))
+    """Lines with a reference each, against what was looked up and the line before."""
+    k = F.col("call_id") * 7 + F.col("seq")
+    ref = F.concat(F.lit("T"), F.lpad(k.cast("string"), 10, "0"))
+    heard = F.lag("text").over(Window.partitionBy("call_id").orderBy("seq"))
+    lines = shapes.transcripts(s, d).select("call_id", "seq", F.concat("text", F.lit(" ref "), ref).alias("text"), heard.alias("heard"), F.concat_ws(" ", F.lit("C0000042 12.99 300"), F.when(k % 2 == 0, ref).otherwise("-")).alias("evidence"))
+    return text.ungrounded(lines, "text", "evidence", "heard").select("call_id", "seq", F.array_join(F.array_sort(F.array_distinct("missing")), ",").alias("missing"))
 
 
 def _stop_sql() -> str:

@@ -8,9 +8,12 @@ from pyspark.sql.types import StructType
 
 
 def incremental(source: DataFrame, target: DataFrame, ts: str, overlap: str, run_id: str, as_of: str, name: str) -> DataFrame:
-    """Rows of ``source`` newer than what ``target`` has, less an overlap; with lineage columns."""
-    mark = target.agg(F.coalesce(F.max(ts).cast("timestamp_ntz"), F.lit("1970-01-01").cast("timestamp_ntz")).alias("_mark"))  # one row
-    new = source.join(F.broadcast(mark), F.col(ts) > F.col("_mark") - F.expr(f"INTERVAL {overlap}")).drop("_mark")
+    """Rows of ``source`` newer than what ``target`` has, less an overlap; with lineage columns.
+
+    The mark is one number, read first: as a literal it goes down into the scan, where files and row groups that are older are not read.
+    """
+    mark = target.agg(F.date_format(F.max(ts).cast("timestamp_ntz") - F.expr(f"INTERVAL {overlap}"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0] or "1970-01-01 00:00:00"
+    new = source.where(F.col(ts) > F.lit(mark).cast(dict(source.dtypes)[ts]))
     return new.withColumns({"_ingested_at": F.lit(as_of).cast("timestamp_ntz"), "_run_id": F.lit(run_id), "_source": F.lit(name)})
 
 

@@ -37,6 +37,7 @@ class PublishResult:
 class VersionStore:
     def __init__(self, spark: SparkSession, root: str, log_files: int = 64):
         self.spark, self.root, self.log_files = spark, root.rstrip("/"), log_files
+        self._views: dict[str, tuple] = {}
 
     # --- files ---
 
@@ -194,6 +195,9 @@ class VersionStore:
             if facts:
                 version = facts["version"] if "/" in facts["version"] else f"{source}/{facts['version']}"
                 self.record(target, version, "publish", run_id, facts["rows"], {"swapped_from": source})
+        for name, (of, select, where) in list(self._views.items()):
+            if of in (table, f"{table}_before"):
+                self.view(of, name, select, where)  # views follow the table to its new version
         return PublishResult(self.current(table), True, [])
 
     def view(self, table: str, name: str, select: list[str | Column] | None = None, where: Column | None = None) -> None:
@@ -201,6 +205,7 @@ class VersionStore:
         df = self.read(table)
         df = df.where(where) if where is not None else df
         (df.select(*select) if select else df).createOrReplaceTempView(name)
+        self._views[name] = (table, select, where)
 
     # --- appended tables ---
 
@@ -221,7 +226,10 @@ class VersionStore:
         return self.spark.read.parquet(f"{self.root}/{table}").withColumn("batch", F.col("batch").cast("string")).join(named, "batch", "left_semi")
 
     def compact(self, table: str, run_id: str, files: int, at_least: int = 5) -> bool:
-        """Rewrite the current version into ``files`` files if it has at least ``at_least``."""
+        """Rewrite the current version into ``files`` files if it has at least ``at_least``. Tables that change by key are left as
+        they are: a merge writes one file a bucket, and needs the buckets."""
+        if (version := self.current(table)) and self._buckets(table, version)[0]:
+            return False
         df = self.read(table)
         if df is None or len(df.inputFiles()) < at_least:
             return False

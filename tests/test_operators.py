@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -132,7 +133,7 @@ def test_deadline_counts_business_days(spark):
 
 def test_redaction(spark):
     df = spark.createDataFrame([("I am Ann, AB1 2CD, C0000042, born 4th of March 1985, card 4929 1234 5678, paid £1,200.50 on 12/03/2001",)], "t string")
-    assert text.redact(df, "t", ("Ann",)).first()["t"] == "I am [name], [postcode], [customer id], born [date], card [number], paid £1,200.50 on [date]"
+    assert text.redact(df.withColumn("n", F.array(F.lit("Ann"))), "t", "n").first()["t"] == "I am [name], [postcode], [customer id], born [date], card [number], paid £1,200.50 on [date]"
 
 
 def test_signals_read_customers_only(spark):
@@ -343,3 +344,142 @@ def test_ungrounded_transaction_ids_and_transcript(spark):
     got = {r["i"]: r["missing"] for r in text.ungrounded(df, "text", "evidence", "transcript").collect()}
     assert got == {1: ["T0123456789AB"], 2: []}
     assert text.ungrounded(df.where("i = 1"), "text", "evidence").first()["missing"] == ["T0123456789AB", "C0000001"]
+
+
+def test_bounded_search_is_the_full_join_over_fewer_rows(spark):
+    """Scores by brute force; frequent terms are looked up for few documents, and their postings are salted."""
+    rng = random.Random(9)
+    rare = [f"rare{i}" for i in range(400)]
+    docs = [(i, " ".join(["common"] * rng.randint(0, 3) + ["usual"] * rng.randint(0, 2) + rng.choices(["often", "plain", "daily"], k=rng.randint(1, 9)) + rng.choices(rare, k=rng.randint(0, 6)))) for i in range(1500)]
+    asked = [(i, " ".join(["common", "usual", "often"] + rng.choices(rare, k=rng.randint(0, 3)) + (["often"] if i % 4 == 0 else []))) for i in range(25)] + [(90, "common"), (91, "nowhere"), (92, None), (93, rare[0] + " " + rare[0])]
+    k = 3
+    steps = text.bm25_steps(spark.createDataFrame(asked, "query_id int, text string"), spark.createDataFrame(docs, "doc_id int, text string"), k, per_salt=100)
+    counts = {i: {w: t.split().count(w) for w in set(t.split())} for i, t in docs}
+    sizes = {i: sum(c.values()) for i, c in counts.items()}
+    average = sum(sizes.values()) / len(docs)
+    df = {w: sum(w in c for c in counts.values()) for w in {w for c in counts.values() for w in c}}
+    want, met = set(), 0
+    for q, t in asked:
+        found = []
+        for i, c in counts.items():
+            both = [w for w in (t or "").split() if w in c]
+            met += len(set(both))
+            s = sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.4 / (c[w] + 1.4 * (0.25 + 0.75 * sizes[i] / average)) for w in both)
+            if both:
+                found.append((-round(s, 6), i))
+        want |= {(q, i, n + 1) for n, (_, i) in enumerate(sorted(found)[:k])}
+    got = text.bm25(spark.createDataFrame(asked, "query_id int, text string"), spark.createDataFrame(docs, "doc_id int, text string"), k).collect()
+    assert {(r["query_id"], r["doc_id"], r["rank"]) for r in got} == want
+    # Rows that the essential terms join, and the looked-up ones, against all pairs of a query and a document by term.
+    joined = steps.essential.count() + steps.lookups.count()
+    assert joined < 0.6 * met, (joined, met)
+    assert steps.postings.where("t = 'common'").agg(F.count_distinct("salt")).first()[0] > 1
+
+
+def test_names_of_each_row_are_redacted(spark):
+    rows = [
+        ("Ann Lee and ann, not Annie or Lee-Ann; I am A", ["Ann", "Ann Lee", "A", None]),
+        ("Ann Lee", ["Bob"]), ("Ann Lee", None), (None, ["Ann"]), ("O'Neil met Zoë Müller, ZOË MÜLLER", ["O'Neil", "zoë müller"]), (r"a\Eb stays, x.y goes, xzy stays", ["x.y", r"q\E.*"]), ("Bell Carter Ann Bell", ["Ann Bell", "Bell Carter"]),
+    ]
+    many = [f"Person{i}" for i in range(3000)]
+    rows += [("met Person17 and person2999, not Person3001", many)]
+    got = [r["t"] for r in text.redact_names(spark.createDataFrame(rows, "t string, n array<string>"), "t", "n").collect()]
+    assert got == ["[name] and [name], not Annie or Lee-[name]; I am A", "Ann Lee", "Ann Lee", None, "[name] met [name], [name]", r"a\Eb stays, [name] goes, xzy stays", "[name] [name]", "met [name] and [name], not Person3001"]
+
+
+def test_declared_rules_are_one_scan_a_table(spark):
+    import json
+
+    from fenbrook.operators import dq
+
+    spark.createDataFrame([(1, "GBP", 5.0), (2, "XXX", None), (3, "EUR", -1.0)], "k int, currency string, amount double").createOrReplaceTempView("_declared")
+    t = spark.table("_declared").repartition(2)
+    rule = lambda n, q, **m: {"name": n, "query": q, **m}
+    schema = [
+        {"name": "pay", "quality": [rule("known", "select COUNT(*) from silver.pay where currency NOT IN ('GBP', 'EUR');", mustBe=0), rule("amount", "SELECT count(*) FROM silver.pay WHERE amount IS NULL", mustBeLessThan=2), {"name": "words", "type": "text", "description": "x"}], "properties": [{"name": "k", "quality": [rule("key", "SELECT count(*) - count(DISTINCT k) FROM silver.pay", mustBe=0)]}]},
+        {"name": "other", "quality": [rule("same", "SELECT (SELECT count(*) FROM silver.pay) - (SELECT count(*) FROM silver.pay_old)", mustBeBetween=[1, 1], severity="warning"), rule("inner", "SELECT count(*) FROM silver.pay WHERE k IN (SELECT k FROM silver.pay_old)", mustBeGreaterOrEqualTo=3)]},
+    ]
+    rules = dq.read_contract(json.dumps({"schema": schema}))
+    old = t.where("k < 3")
+    got = {(r["table_name"], r["rule"]): (r["observed"], r["passed"], r["severity"]) for r in dq.declared_checks(rules, {"silver.pay": t, "silver.pay_old": old}).collect()}
+    assert got == {("pay", "known"): (1.0, False, "error"), ("pay", "amount"): (1.0, True, "error"), ("pay", "key"): (0.0, True, "error"), ("other", "same"): (1.0, True, "warning"), ("other", "inner"): (2.0, False, "error")}
+    plan = dq.declared_checks(rules[:2], {"silver.pay": t})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1 and plan.count("Aggregate") == 1
+    with pytest.raises(ValueError):
+        dq.read_contract(json.dumps({"schema": [{"name": "x", "quality": [rule("bad", "SELECT 1", mustSing=1)]}]}))
+
+
+def test_names_at_most_some_edits_apart(spark):
+    """All pairs by brute force, also of names so short that they share no gram."""
+    from fenbrook.operators.markets import similar_names
+
+    rng = random.Random(6)
+    make = lambda n: sorted({"".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(n)} | {"aaaa", "aaaaa", "ab", "ba", "a"})
+    a, b = make(120), make(120)
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x):
+            row, last = [i + 1], row
+            for j, d in enumerate(y):
+                row.append(min(last[j] + (c != d), last[j + 1] + 1, row[j] + 1))
+        return row[-1]
+
+    for edits in (1, 2):
+        got = {tuple(r) for r in similar_names(spark.createDataFrame([(x,) for x in a], "name string"), spark.createDataFrame([(y,) for y in b], "name string"), edits).collect()}
+        assert got == {(x, y, n) for x in a for y in b if (n := distance(x, y)) <= edits}
+
+
+def test_bucketed_tables_join_without_exchange(spark, tmp_path):
+    from fenbrook.operators.gold import bucket_count, save_bucketed
+
+    assert [bucket_count(n, 100) for n in (0, 100, 101, 1000)] == [1, 1, 2, 16]
+    rows = spark.range(1000).select(F.format_string("C%07d", "id").alias("customer_id"), (F.col("id") % 7).alias("v"))
+    a = save_bucketed(rows, "a_bucketed", "customer_id", f"file://{tmp_path}/a", 8)
+    b = save_bucketed(rows.withColumnRenamed("v", "w"), "b_bucketed", "customer_id", f"file://{tmp_path}/b", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = a.join(b, "customer_id").groupBy("customer_id").count()
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 1000 and len(a.inputFiles()) == 8
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+        one = a.where("customer_id = 'C0000004'")
+        assert "SelectedBucketsCount: 1 out of 8" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        spark.sql("drop table a_bucketed")
+        spark.sql("drop table b_bucketed")
+
+
+def test_pull_goes_down_into_the_scan(spark, tmp_path):
+    from fenbrook.sources import feeds
+
+    t = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(i, t + dt.timedelta(minutes=i)) for i in range(100)], "k int, ts timestamp_ntz").write.parquet(f"file://{tmp_path}/s")
+    source = spark.read.parquet(f"file://{tmp_path}/s")
+    new = feeds.incremental(source, source.where("k < 50"), "ts", "5 MINUTES", "r", "2024-01-02", "s")
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(ts,2024-01-01T00:44)" in plan and "Join" not in plan
+    assert sorted(r["k"] for r in new.collect()) == list(range(45, 100)) and {r["_run_id"] for r in new.collect()} == {"r"}
+    assert feeds.incremental(source, source.limit(0), "ts", "5 MINUTES", "r", "2024-01-02", "s").count() == 100
+
+
+def test_traced_payments_by_brute_force(spark):
+    """One hot customer, repeated amounts, claims with no payment of their amount and with none at all."""
+    from decimal import Decimal
+
+    from fenbrook.operators.lookups import trace_payment
+
+    rng = random.Random(3)
+    now = dt.datetime(2024, 1, 10)
+    txns = [(f"T{i:04}", rng.choice(["hot"] * 5 + ["a", "b"]), now - dt.timedelta(hours=rng.randrange(200)), Decimal(-rng.randrange(1, 6)), rng.choice(["online", "card"]), rng.choice(["posted", "pending", "reversed"])) for i in range(400)]
+    claims = [(f"L{i}", rng.choice(["hot", "a", "b", "none"]), [Decimal(rng.randrange(1, 9)) for _ in range(rng.randint(0, 2))]) for i in range(60)]
+    got = {r["claim_id"]: (r["txn_id"], r["exact"]) for r in trace_payment(spark.createDataFrame(claims, "claim_id string, customer_id string, amounts array<decimal(18,2)>"), spark.createDataFrame(txns, "txn_id string, customer_id string, txn_ts timestamp_ntz, amount decimal(18,2), channel string, status string"), "2024-01-10").collect()}
+    want = {}
+    for c, who, amounts in claims:
+        mine = [(t[3] * -1 in amounts, t) for t in txns if t[1] == who and t[4] == "online" and t[2] >= now - dt.timedelta(days=7)]
+        if mine:
+            exact, t = min(mine, key=lambda m: (not m[0], -m[1][2].timestamp(), m[1][0]))
+            want[c] = (t[0], exact)
+    assert got == want
