@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 CARDS = "call_id bigint, seq bigint, label string"
@@ -60,6 +61,28 @@ def call_events(cards: DataFrame, topic: str = "assist.events") -> DataFrame:
     return cards.select(F.lit(topic).alias("topic"), F.col("call_id").cast("string").alias("key"), F.to_json(F.struct(*cards.columns)).alias("value"))
 
 
+def publish_events(cards: DataFrame, folder: str, checkpoint: str, topic: str = "assist.events", every: str | None = None) -> StreamingQuery:
+    """A stream of cards as messages in ``folder``: of one call in one file of a batch and in order, no message twice.
+
+    Each batch is a folder of its own that a replay of the batch writes anew, so a batch that was written but not committed
+    leaves no doubles; ``read_events`` gives all batches. ``place`` orders the messages of a call inside a batch.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        # A call's cards come from one task, in order; the number of the row keeps that over the exchange.
+        events = call_events(batch.withColumn("place", F.monotonically_increasing_id()), topic)
+        placed = events.withColumn("place", F.get_json_object("value", "$.place").cast("bigint"))
+        placed.repartition("key").sortWithinPartitions("key", "place").write.mode("overwrite").json(f"{folder}/batch={batch_id}")
+
+    out = cards.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def read_events(spark: SparkSession, folder: str) -> DataFrame:
+    """batch, place, topic, key, value of all messages; (batch, place) orders those of a key."""
+    return spark.read.schema("topic string, key string, value string, place bigint, batch bigint").json(folder)
+
+
 def late_payment_matches(claims: DataFrame, payments: DataFrame, wait: str = "12 seconds") -> DataFrame:
     """(claim_id, txn_id, c_ts, ts): claims with the payments of the 3 days before or of up to ``wait`` later; both have ``ts``.
 

@@ -21,6 +21,8 @@ from fenbrook.operators.cdc import parse_changes, type_changes, union_all
 from fenbrook.operators.contract import Rules, latest_per_key, with_violations
 from fenbrook.sources.shared import ship
 
+from .progress import counted
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _CHANGE = "entity string, record_key string, op string, payload string, source_lsn bigint, offset bigint, version bigint, parent_key string, hands string, resolved string, reasons array<string>, seq bigint"
 _COLUMNS = [c.split()[0] for c in _CHANGE.split(", ")]
@@ -206,7 +208,7 @@ def start(raw: DataFrame, tables: list[Table], folder: str, checkpoint: str, gra
     conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     # With timers there is always one more batch without rows; a run over what is there now must end without them.
     idle, name = conf.get("spark.sql.streaming.noDataMicroBatches.enabled"), "spark.sql.streaming.noDataMicroBatches.enabled"
-    out = accepted_changes(raw, tables, grace_ms).writeStream.format("parquet").partitionBy("entity").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint)
+    out = counted(accepted_changes(raw, tables, grace_ms), [t.name for t in tables]).writeStream.format("parquet").partitionBy("entity").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint)
     try:
         conf.set(name, "true" if every else "false")
         return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
