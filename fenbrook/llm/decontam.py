@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a question asked again with other
 values has the same template. Windows of five words, as templates and as they stand, are
 hash-joined between benchmark items and documents. A template window with too few plain
-words is widened to either side until it has enough; an item of fewer words is one window. A capital word that opens a
+words is widened to either side until it has enough; an item of fewer words is one window, and so is one of four words or more that has
+fewer plain words, but one at least. A capital word that opens a
 sentence may be a name or not, so windows over it are templates in both ways. Matches are gathered
 along each alignment of a document with an item; windows with slots count only if each
 value of the item always became the same value of the document. A document is contaminated
@@ -37,6 +38,7 @@ _SLOT = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC13FA9A902A6328F]
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 _CACHE_WORDS = 300_000
 MAP_BITS = 27  # of the bit map that windows of documents must pass: 16 MB at most, whatever the benchmark's size
+LEAST_SPARSE = 4  # words of an item with fewer plain words than a window needs, to be found with other values
 COMMON = 64  # items that share a window which names no candidates
 
 
@@ -160,6 +162,20 @@ def _whole_templates(t: np.ndarray, slot: np.ndarray, m: int, k: int) -> tuple[n
     return first, np.full(len(first), m), _combine(t, m, 2 + 4 * m)[first]
 
 
+def _sparse_templates(t: np.ndarray, slot: np.ndarray, m: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of windows as long as a whole item that has a plain word, but fewer than ``k // 2 + 1``."""
+    if len(t) < m:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    before = np.append(0, np.cumsum(slot > 0))
+    plain = m - (before[m:] - before[:-m])
+    first = np.flatnonzero((plain > 0) & (plain < k // 2 + 1))
+    up, down = _POWERS.of(len(t))
+    sums = np.append(np.uint64(0), np.cumsum(t * up))
+    h = (sums[first + m] - sums[first]) * down[first] + np.full(1, m, np.uint64) * _A[7]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return first, np.full(len(first), m), h ^ (h >> np.uint64(29))
+
+
 def bit_map(hashes: DataFrame) -> tuple[bytes, int]:
     """Which leading bits the hashes (h) have, eight to a byte: built in tasks, and never over 2**MAP_BITS bits."""
     bits = min(MAP_BITS, max(16, int(np.ceil(np.log2(max(1, hashes.count())))) + 8))
@@ -171,9 +187,10 @@ def bit_map(hashes: DataFrame) -> tuple[bytes, int]:
     return bytes(out), bits
 
 
-def _windows(key: str, k: int, short: list[int] | None = None, shared=None, bits: int = 0):
+def _windows(key: str, k: int, short: list[int] | None = None, shared=None, bits: int = 0, sparse: list[int] = ()):
     """Rows (key, pos, size, h, slots, loose) of windows as they stand (no slots) and as templates: of all items, whose
-    text is one window if it is shorter, or of documents, those of ``k`` and of ``short`` words that pass the shared bit map.
+    text is one window if it is shorter or has few plain words, or of documents, those of ``k`` and of ``short`` words, and templates
+    of ``sparse`` words, that pass the shared bit map.
     Loose windows take a capital word that opens a sentence for a name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +230,9 @@ def _windows(key: str, k: int, short: list[int] | None = None, shared=None, bits
                         elif names or not slot.any():
                             continue
                         before = np.append(0, np.cumsum(opener))
-                        for m in widths:
-                            first, size, own = _templates(t, slot, k) if m == k else _whole_templates(t, slot, m, k)
+                        whole = ([len(h)] if len(h) >= LEAST_SPARSE else []) if short is None else sparse
+                        for m, make in [*((m, _templates if m == k else _whole_templates) for m in widths), *((m, _sparse_templates) for m in whole)]:
+                            first, size, own = _templates(t, slot, k) if make is _templates else make(t, slot, m, k)
                             at = pick(own)
                             if names:
                                 at = at[before[first[at] + size[at]] > before[first[at]]]
@@ -235,18 +253,26 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, least:
     """(doc_id, item_id, coverage, changed): pairs of a document and an item of which it has at least ``least``.
 
     coverage: the share of the item's words in matched windows; changed: whether a slot has another value. An item of fewer
-    than ``k`` words must be there whole, and has other values only if ``k // 2 + 1`` of its words are plain.
-    Rows without an id and null texts match nothing. Items with equal ids are one.
+    than ``k`` words, or with fewer plain ones than ``k // 2 + 1``, must be there whole; with other values it is found if it has that many plain words, or at least
+    one and four words in all. Rows without an id and null texts match nothing. Items with equal ids are one; items of equal text are
+    looked for once, whatever their number, and told apart in the result.
     """
     spark = docs.sparkSession
     ship(spark)
     schema = "{} bigint, pos int, size int, h bigint, slots array<string>, loose boolean"
-    items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
+    given = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
+    # An id with several texts stays as it is.
+    single = given.groupBy("item_id").agg(F.count("*").alias("n"), F.min("text").alias("text"))
+    leads = single.where("n = 1").groupBy("text").agg(F.min("item_id").alias("lead"))
+    members = stage(single.where("n = 1").join(leads, "text").select("item_id", "lead").union(single.where("n > 1").select("item_id", F.col("item_id").alias("lead"))))
+    items = given.join(members.where("item_id = lead"), "item_id", "left_semi")
     items = stage(items.mapInArrow(_windows("item_id", k), schema.format("item_id")))
     n_items = stage(items.groupBy("item_id").agg(F.max(F.col("pos") + F.col("size")).alias("n_item")))
     short = sorted(r["n_item"] for r in n_items.where(F.col("n_item") < k).select("n_item").distinct().collect())  # fewer than k numbers
+    few = F.col("size") - F.size("slots") < k // 2 + 1
+    sparse = sorted(r["size"] for r in items.where((F.size("slots") > 0) & few).select("size").distinct().collect())  # lengths of items with few plain words
     found, bits = bit_map(items.select("h").distinct())
-    seen = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_windows("doc_id", k, short, spark.sparkContext.broadcast(found), bits), schema.format("doc_id"))
+    seen = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_windows("doc_id", k, short, spark.sparkContext.broadcast(found), bits, sparse), schema.format("doc_id"))
     seen = stage(seen.join(items.select("h").distinct(), "h", "left_semi"))
     shared = items.groupBy("h").agg((F.count_distinct("item_id") > COMMON).alias("common"))
     theirs = items.join(shared, "h").select("item_id", F.col("pos").alias("item_pos"), F.col("size").alias("item_size"), "h", F.col("slots").alias("item_slots"), F.col("loose").alias("item_loose"), "common")
@@ -273,7 +299,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, least:
     words = F.array_distinct(F.flatten(F.collect_set(F.sequence("item_pos", F.col("item_pos") + F.col("size") - 1))))
     covered = kept.groupBy("doc_id", "item_id").agg(F.size(words).alias("n"), F.coalesce(F.max(changed), F.lit(False)).alias("changed"))
     share = F.col("n") / F.col("n_item")
-    return covered.join(n_items, "item_id").where(share >= least).select("doc_id", "item_id", share.alias("coverage"), "changed")
+    pairs = covered.join(n_items, "item_id").where(share >= least).select("doc_id", F.col("item_id").alias("lead"), share.alias("coverage"), "changed")
+    return pairs.join(members, "lead").select("doc_id", "item_id", "coverage", "changed")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:

@@ -66,7 +66,8 @@ def _grams(s: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def spectrum(landmarks: list[str]) -> Spectrum:
-    """The alphabet is the most frequent letters of the landmarks, lower-cased."""
+    """The alphabet is the 126 most frequent letters of the landmarks, lower-cased; all other letters are one symbol, so that
+    languages of large scripts are told apart by what they share with the landmarks and by where such letters stand."""
     letters = Counter(c for t in landmarks for c in t.lower() if c.isalpha() and ord(c) < 0x10000)
     number = {c: k for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: (1 << SYMBOL_BITS) - 2], 2)}
     symbol = np.array([number.get(chr(p).lower()[:1], _OTHER) if chr(p).isalpha() else 0 for p in range(0x10000)], np.uint8)
@@ -105,7 +106,7 @@ def identify_languages(docs: DataFrame, n_landmarks: int = 96, train_bound: int
     """One row per document: doc_id, held_out, lang_pred, score.
 
     Learns from text and lang of rows outside the fold crc32(doc_id) mod 4 = 2, at most about
-    ``train_bound`` of them in equal parts by language. ``und`` with score 0 for null text, text without a letter,
+    ``train_bound`` of them in equal parts by language. Letters beyond the 126 most frequent ones of the landmarks are one symbol. ``und`` with score 0 for null text, text without a letter,
     and where nothing could be learnt. Rows without a lang are scored but not learnt from. Equal scores go to the
     language that sorts first. Repeated rows each give a row. Other columns are ignored.
     """

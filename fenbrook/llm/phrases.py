@@ -24,8 +24,6 @@ from .common import release, ship, stage
 
 #: Whatever ends a piece becomes a full stop, which no word holds; A to Z become a to z.
 _PIECES = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CHUNK = 4 << 20
-_HELD = 3_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -71,8 +69,8 @@ class Chunk:
         return _mix(x + np.uint64(n))
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-    """All texts by language in chunks of about ``_CHUNK`` bytes; they end where a piece ends."""
+def chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[Chunk]:
+    """All texts by language in chunks of about ``chunk_bytes``; they end where a piece ends."""
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
 
@@ -80,7 +78,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         text, at = b".".join(held.pop(lang)), 0
         del size[lang]
         while at < len(text):
-            end = text.find(b".", at + _CHUNK)
+            end = text.find(b".", at + chunk_bytes)
             end = len(text) if end < 0 else end
             yield Chunk(text[at:end], lang)
             at = end
@@ -91,9 +89,9 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             raw = text.as_py().translate(_PIECES)
             held.setdefault(lang, []).append(raw)
             size[lang] = size.get(lang, 0) + len(raw)
-            if size[lang] >= _CHUNK:
+            if size[lang] >= chunk_bytes:
                 yield from cut(lang)
-            elif sum(size.values()) >= 2 * _CHUNK:
+            elif sum(size.values()) >= 2 * chunk_bytes:
                 for x in list(held):
                     yield from cut(x)
     for x in list(held):
@@ -140,7 +138,7 @@ class BitMap:
         return (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def surviving(docs: DataFrame, lengths: tuple[int, ...], least: int, n_buckets: int, bits: int, pairs=None) -> bytes:
+def surviving(docs: DataFrame, lengths: tuple[int, ...], least: int, n_buckets: int, bits: int, chunk_bytes: int, held_sums: int, pairs=None) -> bytes:
     """The bit map of all n-grams of these lengths that occur ``least`` times or more in a language, and some others.
 
     ``docs`` has text (binary) and lang, neither null. ``pairs``: a broadcast map; only n-grams with all their pairs in it count.
@@ -160,7 +158,7 @@ def surviving(docs: DataFrame, lengths: tuple[int, ...], least: int, n_buckets:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = BitMap(pairs.value, bits) if pairs else None
         keys, counts, held = [], [], 0
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, chunk_bytes):
             two = known.has(chunk.grams(2)) if known else None
             for n in lengths:
                 ok = chunk.inside(n)
@@ -170,7 +168,7 @@ def surviving(docs: DataFrame, lengths: tuple[int, ...], least: int, n_buckets:
                 keys.append(k)
                 counts.append(c)
                 held += len(k)
-            if held >= _HELD:
+            if held >= held_sums:
                 yield flush(keys, counts)
                 keys, counts, held = [], [], 0
         if held:
@@ -207,12 +205,12 @@ def surviving(docs: DataFrame, lengths: tuple[int, ...], least: int, n_buckets:
     return bytes(out)
 
 
-def count_frequent(docs: DataFrame, longest: int, least: int, maps: list, bits: int) -> DataFrame:
+def count_frequent(docs: DataFrame, longest: int, least: int, maps: list, bits: int, chunk_bytes: int) -> DataFrame:
     """(lang, size, phrase, f) exactly, of every phrase up to ``longest`` words with f >= least, and (lang, 0, '', words of the language)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short, long = (BitMap(m.value, bits) for m in maps)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, chunk_bytes):
             ids, words = chunk.ids, chunk.words
             out: list[tuple[int, str, int]] = [(0, "", int(chunk.run.sum()))]
             for n in range(1, longest + 1):
@@ -234,14 +232,15 @@ def _score(a: str, l: str, r: str) -> str:  # noqa: E741
     return f"(cast(2000000 as decimal(7,0)) * cast({a} as decimal(19,0))) div (cast({l} as decimal(19,0)) + cast({r} as decimal(19,0)))"
 
 
-def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, bits: int = 27, bucket_bytes: int = 4 << 20) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int = 2000, bits: int = 27, bucket_bytes: int = 4 << 20, chunk_bytes: int = 4 << 20, held_sums: int = 3_000_000) -> DataFrame:
     """Each language's first ``top`` phrases of 2 to ``longest`` words: lang, rank (from 1), phrase, a, l, r, n, score.
 
     a is how often the phrase occurs, l and r how often the two parts do at the cut of the lowest score floor(2000000 a / (l + r)), ties
     to the shortest first part, n the words of the language. Phrases that lie inside a longer one that occurs ``least`` times
     and at least 0.8 times as often go. The order is score and a descending, phrase ascending by UTF-8 bytes.
 
-    ``bits`` sets the size of the two bit maps sent to the workers (2^bits bits each, 16 MB), ``bucket_bytes`` the text a hash partition stands for.
+    ``bits`` sets the size of the two bit maps sent to the workers (2^bits bits each, 16 MB), ``bucket_bytes`` the text a hash partition stands for;
+    a worker reads ``chunk_bytes`` of text at a time and holds about ``held_sums`` sums before it sends them.
     Null text counts as empty, a null language as 'und'. Repeated rows count each. Without a phrase that is frequent enough, and
     without documents, there are no rows. Other columns are ignored, whatever their names.
     """
@@ -252,9 +251,9 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).where(F.length("text") > 0)
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     n_buckets = 1 << min(16, max(3, math.ceil(math.log2(max(1, total / bucket_bytes)))))
-    short = sc.broadcast(surviving(texts, (1, 2), least, n_buckets, bits))
-    long = sc.broadcast(surviving(texts, tuple(range(3, longest + 1)), least, n_buckets, bits, short))
-    found = stage(count_frequent(texts, longest, least, [short, long], bits))
+    short = sc.broadcast(surviving(texts, (1, 2), least, n_buckets, bits, chunk_bytes, held_sums))
+    long = sc.broadcast(surviving(texts, tuple(range(3, longest + 1)), least, n_buckets, bits, chunk_bytes, held_sums, short))
+    found = stage(count_frequent(texts, longest, least, [short, long], bits, chunk_bytes))
     n = found.where("size = 0").select("lang", F.col("f").alias("n"))
     known = found.where("size > 0")
     candidates = known.where("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))

@@ -41,8 +41,10 @@ TARGETS = (
 NEGATIONS = ("not", "no", "never", "neither", "nor", "without", "hardly", "don't", "isn't", "aren't", "wasn't", "won't", "cannot", "nicht", "kein", "keine", "nie", "ohne", "ne", "pas", "jamais", "sans", "nunca", "sin")
 REPORTS = ("said", "says", "called", "calls", "wrote", "claimed", "claims", "quoted", "quote", "alleged", "sagte", "schrieb", "behauptet", "disait", "dit", "écrit", "dijo", "dice", "escribió")
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-KINDS = ("insult", "threat")
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, HINT, MARK, SURE = range(9)
+#: Learnt stems are kinds of their own: those that no clean row has, those that few have, and those that some have.
+KINDS = ("insult", "threat", "hint", "mark", "sure")
+_KIND = {INSULT: "insult", THREAT: "threat", HINT: "hint", MARK: "mark", SURE: "sure"}
 #: (kind, aimed, negated, reported); the number of an event is its place here.
 EVENTS = [(k, a, n, r) for k in KINDS for a in (False, True) for n in (False, True) for r in (False, True)]
 _NUMBER = {e: i for i, e in enumerate(EVENTS)}
@@ -70,7 +72,7 @@ def step(state: tuple[int, int, int], c: int, ahead: bool) -> tuple[tuple[int, i
     """The composed transducer, of a word's class and what the one from the right says of it: next state and the event put out (-1: none)."""
     (n, negated), (r, reported), (t, before) = _negation(state[0], c), _report(state[1], c), _target(state[2], c)
     aimed = before or ahead
-    event = _NUMBER[KINDS[c == THREAT], aimed, negated, reported] if c == INSULT or c == THREAT and aimed else -1
+    event = _NUMBER[_KIND[c], aimed, negated, reported] if c in _KIND and (c != THREAT or aimed) else -1
     return (n, r, t), event
 
 
@@ -90,7 +92,7 @@ def clause_events(classes: list[int]) -> list[int]:
 
 @dataclass
 class Grammar:
-    stems: frozenset[str] = frozenset()
+    stems: dict[str, int] = field(default_factory=dict)  # HINT, MARK or SURE
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
     def __post_init__(self) -> None:
@@ -105,8 +107,8 @@ class Grammar:
 
     def word_class(self, word: str) -> int:
         c = _FIXED.get(word, OTHER)
-        if c == OTHER and any(word[:n] in self.stems for n in STEMS):
-            return INSULT
+        if c == OTHER:
+            return max((self.stems[word[:n]] for n in STEMS if word[:n] in self.stems), default=OTHER)
         return c
 
     def events(self, text: str | None) -> np.ndarray:
@@ -132,7 +134,7 @@ class Grammar:
 
 def _prior(e: tuple) -> float:
     kind, aimed, negated, reported = e
-    return (4.0 if kind == "insult" else 3.0) * (1.2 if aimed else 1.0) * (0.3 if negated else 1.0) * (0.4 if reported else 1.0)
+    return {"insult": 4.0, "threat": 3.0, "hint": 1.5, "mark": 3.0, "sure": 5.0}[kind] * (1.2 if aimed else 1.0) * (0.3 if negated else 1.0) * (0.4 if reported else 1.0)
 
 
 PRIOR = np.array([-3.0, *map(_prior, EVENTS)])
@@ -159,12 +161,12 @@ def fit_weights(counts: np.ndarray, y: np.ndarray, pull: float = 0.5, steps: int
     return w
 
 
-def learn_stems(sample: DataFrame, min_docs: int = 5, min_share: float = 0.02, min_odds: float = 30.0) -> frozenset[str]:
-    """Word beginnings of 4 to 8 letters that mark toxic rows of ``sample`` (text, y) and hardly any other.
+def learn_stems(sample: DataFrame, min_docs: int = 5, min_share: float = 0.02, hint_odds: float = 8.0, mark_odds: float = 30.0) -> dict[str, int]:
+    """Word beginnings of 4 to 8 letters that mark toxic rows of ``sample`` (text, y) and hardly any other: SURE if no other has it, MARK or HINT by its odds.
 
     Copies and near copies count once: rows with equal minima of three hashes of their long words are one.
     Spark counts, for each beginning, the rows of either class that have it; the driver sees those in
-    ``min_docs`` toxic rows and ``min_share`` of them at least. A longer one is left out if a shorter one is in.
+    ``min_docs`` toxic rows and ``min_share`` of them at least. A longer one is left out if a shorter one says as much.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     least = lambda k: F.array_min(F.transform(F.filter("words", lambda w: F.length(w) >= 7), lambda w: F.xxhash64(F.lit(k), w)))
@@ -172,16 +174,17 @@ def learn_stems(sample: DataFrame, min_docs: int = 5, min_share: float = 0.02, m
     alone = stage(alone.where(F.size("words") > 0).dropDuplicates(["y", "sketch"]).select("y", "words"))
     n = {r["y"]: r["n"] for r in alone.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
-        return frozenset()
+        return {}
     stems = F.array_distinct(F.flatten(F.transform("words", lambda w: F.transform(F.filter(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[-1])), lambda n: n <= F.length(w)), lambda n: F.substring(w, F.lit(1), n)))))
     odds = ((F.col("a") + 0.5) / (n[1] + 1)) / ((F.col("b") + 0.5) / (n[0] + 1))
     counted = alone.select("y", F.explode(stems).alias("s")).groupBy("s").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    rows = counted.where((F.col("a") >= max(min_docs, min_share * n[1])) & (odds >= min_odds)).collect()
-    best: set[str] = set()
+    rows = counted.where((F.col("a") >= max(min_docs, min_share * n[1])) & (odds >= hint_odds)).select("s", "b", (odds >= mark_odds).alias("marks")).collect()
+    best: dict[str, int] = {}
     for r in sorted(rows, key=lambda r: (len(r["s"]), r["s"])):
-        if not any(r["s"][:k] in best for k in range(STEMS[0], len(r["s"]))):
-            best.add(r["s"])
-    return frozenset(best)
+        own = SURE if not r["b"] else MARK if r["marks"] else HINT
+        if all(best.get(r["s"][:k], OTHER) < own for k in range(STEMS[0], len(r["s"]))):
+            best[r["s"]] = own
+    return best
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, bound: int = 10_000) -> DataFrame:

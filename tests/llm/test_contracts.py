@@ -536,7 +536,7 @@ def brute_items(rows, items, k=5, least=0.8):
             kinds.append("N" if number else "U" if unit else "C" if name and not opens else "O" if name else "")
         return [w.lower() for w, _ in out], kinds
 
-    def windows(text, sizes):
+    def windows(text, sizes, sparse=()):
         w, kinds = parsed(text)
         out = {(p, m): ("as is", tuple(w[p : p + m]), None, False) for m in sizes for p in range(len(w) - m + 1)}
         found = [(p, m, v) for (p, m), v in out.items()]
@@ -557,19 +557,21 @@ def brute_items(rows, items, k=5, least=0.8):
                         at = [j for j in range(p + m) if not kk[j]]
                         if len(at) >= k // 2 + 1:
                             spans.add((at[-(k // 2 + 1)], p + m - at[-(k // 2 + 1)]))
-            for p, m in spans:
+            whole = {(p, m) for m in sparse for p in range(len(w) - m + 1) if 0 < sum(not x for x in kk[p : p + m]) < k // 2 + 1}
+            for p, m, name in [(*x, "template") for x in spans] + [(*x, "sparse") for x in whole]:
                 if loose and "O" not in kinds[p : p + m]:
                     continue
-                found.append((p, m, ("template", tuple(x or y for x, y in zip(kk[p : p + m], w[p : p + m], strict=True)), tuple(y for x, y in zip(kk[p : p + m], w[p : p + m], strict=True) if x), loose)))
+                found.append((p, m, (name, tuple(x or y for x, y in zip(kk[p : p + m], w[p : p + m], strict=True)), tuple(y for x, y in zip(kk[p : p + m], w[p : p + m], strict=True) if x), loose)))
         return found, len(w)
 
     out = set()
     shorts = {n for _, t in items if 0 < (n := windows(t, [])[1]) < k}
+    whole = {n for _, t in items if (n := windows(t, [])[1]) >= decontam.LEAST_SPARSE and any(x[2][0] == "sparse" for x in windows(t, [], [n])[0])}
     for i, t in items:
         n = windows(t, [])[1]
-        own, _ = windows(t, [min(n, k)] if n else [])
+        own, _ = windows(t, [min(n, k)] if n else [], [n] if n in whole else [])
         for d, x in rows:
-            theirs, _ = windows(x, [*shorts, k])
+            theirs, _ = windows(x, [*shorts, k], whole)
             if d is None:
                 continue
             shifts = defaultdict(list)
@@ -811,18 +813,18 @@ def brute_events(text, stems):
     out = defaultdict(int)
     for clause in re.split(r"[.,;:!?\n]", (text or "").lower()):
         w = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause)
-        kind = [toxicity._FIXED.get(x) or (toxicity.INSULT if any(len(x) >= len(st) and x.startswith(st) for st in stems) else toxicity.OTHER) for x in w]
+        kind = [toxicity._FIXED.get(x) or max((c for st, c in stems.items() if x.startswith(st)), default=toxicity.OTHER) for x in w]
         for j, c in enumerate(kind):
-            if c in (toxicity.INSULT, toxicity.THREAT):
+            if c in toxicity._KIND:
                 aimed = toxicity.TARGET in kind[max(0, j - 5) : j] + kind[j + 1 : j + 6]
-                if c == toxicity.INSULT or aimed:
-                    out["threat" if c == toxicity.THREAT else "insult", aimed, toxicity.NEGATION in kind[max(0, j - 3) : j], toxicity.REPORT in kind[:j]] += 1
+                if c != toxicity.THREAT or aimed:
+                    out[toxicity._KIND[c], aimed, toxicity.NEGATION in kind[max(0, j - 3) : j], toxicity.REPORT in kind[:j]] += 1
     return dict(out)
 
 
 def test_events_by_brute_force():
     rng = random.Random(8)
-    g = toxicity.Grammar(frozenset({"zorb", "quix"}))
+    g = toxicity.Grammar({"zorb": toxicity.SURE, "quix": toxicity.HINT, "quixo": toxicity.MARK})
     vocabulary = ["you", "idiot", "kill", "not", "said", "zorbing", "quixe", "tree", "walk", "du", "basura", "nicht", "ils", "trottel", "a", "b", "c", "idiots", "zor"]
     for _ in range(400):
         text = "".join(rng.choice(vocabulary) + rng.choice((" ", " ", " ", ", ", ". ", "\n")) for _ in range(rng.randint(0, 25)))
@@ -844,3 +846,33 @@ def test_toxicity_learns_stems(spark, empty, labels):
     held = [i for i, r in got.items() if r["held_out"]]
     assert held and all(got[i]["predicted"] == int(i % 3 == 0) for i in held if i < 300) and got[999]["predicted"] == 0
     assert toxicity_scores(empty, labels).count() == 0
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """At least nine tenths of the toxic rows of the held-out fold, and next to no clean one; seven have no word that marks them."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = toxicity_scores(spark.read.parquet(f"{sf}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in out if r["toxic"] is not None}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.9 and n.get((0, 1), 0) <= 0.005 * n[0, 0]
+
+
+def test_items_with_few_plain_words_are_found_with_other_values(spark):
+    """An item with one or two plain words is one template; without a plain word, or under four words, it is found as it stands only."""
+    items = [(1, "Compute 12 plus 7 km"), (2, "12 km 7 km"), (3, "Add 5 kg"), (4, "Convert 3 km 5 km 9 km 12 km 44 km 8 kg")]
+    texts = {
+        10: "please compute 31 plus 9 km and stop", 11: "please compute 31 minus 9 km", 12: "we saw 30 km 8 km there", 13: "we saw 12 km 7 km there", 14: "now add 6 kg of it", 15: "now add 5 kg of it",
+        16: "now convert 1 km 2 km 3 km 4 km 6 km 7 kg today", 17: "now convert 1 km 2 km 3 km 4 km 6 mile 7 kg today", 18: None, 19: "compute 12 plus 7 km",
+    }
+    found = find_contamination(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["changed"]) for r in found.collect()} == {(10, 1, True), (13, 2, False), (15, 3, False), (16, 4, True), (19, 1, False)}
+
+
+def test_a_thousand_items_of_equal_text_are_one(spark):
+    """They are looked for once: rows with their windows do not grow with their number, and each id is in the result."""
+    rng = random.Random(12)
+    text = prose(25, rng)
+    docs_ = spark.createDataFrame([(i, f"{prose(10, rng)} {text} {prose(10, rng)}" if i % 3 == 0 else prose(40, rng)) for i in range(30)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, text) for i in range(1000)] + [(5000, prose(25, rng)), (7, "another text of this very id here"), (None, text)], "item_id long, text string")
+    got = {r["doc_id"]: r["n_items"] for r in decontaminate(docs_, items).collect()}
+    assert got == {i: 1000 if i % 3 == 0 else 0 for i in range(30)}

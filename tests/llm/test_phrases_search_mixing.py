@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from fenbrook.llm import lexical, phrases
+from fenbrook.llm import lexical
 from fenbrook.llm.lexical import ranked_search
 from fenbrook.llm.mixing import mix_sources, source_targets
 from fenbrook.llm.phrases import Summary, collocations
@@ -93,14 +93,12 @@ def brute_phrases(rows, least, longest=4, top=2000):
 
 
 @pytest.mark.parametrize(("chunk", "held"), [(4 << 20, 3_000_000), (600, 400)])
-def test_phrases_are_those_of_brute_force(docs, monkeypatch, chunk, held):
+def test_phrases_are_those_of_brute_force(docs, chunk, held):
     """Also with chunks of a few hundred bytes, so that summaries are merged many times and texts are cut at piece ends."""
-    monkeypatch.setattr(phrases, "_CHUNK", chunk)
-    monkeypatch.setattr(phrases, "_HELD", held)
-    got = sorted(tuple(r) for r in collocations(docs, least=30).collect())
-    assert got == brute_phrases(awkward(), 30) and len({r[0] for r in got}) >= 3
-    few = sorted(tuple(r) for r in collocations(docs, least=7, top=5, bits=16, bucket_bytes=500).collect())
-    assert few == brute_phrases(awkward(), 7, top=5)  # a crowded bit map changes nothing
+    got = sorted(tuple(r) for r in collocations(docs, least=30, chunk_bytes=chunk, held_sums=held).collect())
+    assert got == brute_phrases(awkward(), 30) and len({r[0] for r in got}) >= 2
+    few = sorted(tuple(r) for r in collocations(docs, least=7, top=5, bits=16, bucket_bytes=500, chunk_bytes=chunk, held_sums=held).collect())
+    assert few == brute_phrases(awkward(), 7, top=5) and len({r[0] for r in few}) == 4  # a crowded bit map changes nothing
 
 
 def test_every_frequent_key_survives_any_merge_order():

@@ -60,6 +60,22 @@ def test_stages_take_awkward_rows(spark):
         assert {r["doc_id"] or 0 for r in p.STAGES[-1][1](spark, docs, SF).collect()} == want
 
 
+def test_rows_without_an_id_of_their_own_stay(spark):
+    """Unrelated texts under one id, and texts without an id: each has its own verdict in every stage."""
+    import corpus_pipeline as p
+    from .test_contracts import prose, random
+
+    rng = random.Random(2)
+    texts = [prose(90, rng) for _ in range(6)]
+    item = " ".join(spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"].split())
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (1, "too short"), (None, "short too"), (7, texts[4]), (None, texts[4]), (1, f"{texts[5]} {item}"), (None, f"{item} {texts[5]}")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, step in p.STAGES[:-1]:
+        docs = step(spark, docs, SF).persist()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in docs.collect()) == sorted([(1, texts[0]), (1, texts[1]), (0, texts[2]), (0, texts[3]), (7, texts[4])])
+    assert p.STAGES[-1][1](spark, docs, SF).count() == 5
+
+
 def test_entry_works_without_this_part(tmp_path):
     for f in ROOT.rglob("*.py"):
         rel = f.relative_to(ROOT)
