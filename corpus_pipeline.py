@@ -20,27 +20,46 @@ from fenbrook.llm.suffix_dedup import cut_repeats
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, verdicts: DataFrame, gone: str) -> DataFrame:
-    """Rows whose id no verdict names; Spark picks the join by size. Rows without an id stay."""
-    return docs.join(verdicts.where(gone).select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``doc_id`` telling rows of different id or text apart, and the id that they have as ``_id``.
+
+    An id that one row has stays. Rows without an id, and rows that share one, get a number from the hash of id and text, above those of
+    real ids, rows without an id last; rows that are equal in both keep one number: they have the same verdict.
+    """
+    odd = stage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"))
+    own = docs.select(*COLUMNS).withColumn("_id", F.col("doc_id"))
+    if not odd.take(1):
+        return own
+    made = F.when(F.col("_id").isNull(), F.lit(3 << 61)).otherwise(F.lit(1 << 62)) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 3)
+    marked = own.join(odd.where("doc_id is not null").withColumn("_odd", F.lit(True)), "doc_id", "left")
+    return marked.withColumn("doc_id", F.when(F.col("_id").isNull() | F.col("_odd"), made).otherwise(F.col("_id"))).drop("_odd")
+
+
+def _back(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("doc_id", F.col("_id")).select(*COLUMNS)
 
 
 def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the learned rules keep. Rows without an id go: no verdict can name them."""
-    kept = quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Documents that the base rules and the learned rules keep, with an id, without one or with one that others have too.
+
+    Rules are learnt from rows whose id is theirs alone.
+    """
+    keyed = _keyed(docs)
+    kept = quality_rules(keyed, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
+    return _back(keyed.join(kept, "doc_id", "left_semi"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, 0.8), that of the smallest id. Rows without an id
-    stay. Rows that repeat an id are one document: the one with the least text stays, in the order of texts."""
-    verdicts = stage(near_duplicates(docs, k=5))
-    left = _without(docs, verdicts, "not kept")
-    twice = stage(verdicts.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    """One document of each group of near-duplicates (five-word shingles, 0.8), that of the smallest id; rows with an id of their own come
+    before rows that share one, and these before rows without one. Of rows that are equal in id and text the first in the order of the other columns stays."""
+    keyed = _keyed(docs)
+    verdicts = stage(near_duplicates(keyed, k=5))
+    left = keyed.join(verdicts.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    twice = stage(verdicts.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not twice.take(1):
-        return left
-    once = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
-    return left.join(twice, "doc_id", "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
+        return _back(left)
+    same = left.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars", "_id")).alias("r")).select("doc_id", "r.*")
+    return _back(left.join(twice, "doc_id", "left_anti").unionByName(same))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +72,9 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")), "contaminated")
+    keyed = _keyed(docs)
+    found = decontaminate(keyed, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
+    return _back(keyed.join(found, "doc_id", "left_anti"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
