@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def parse_changes(raw: DataFrame, keys: dict[str, str]) -> DataFrame:
@@ -32,7 +33,7 @@ def type_changes(changes: DataFrame, schema: str, casts: dict[str, Column]) -> D
     """Payload fields as columns, by a declared schema; values that do not convert are null."""
     opened = changes.withColumn("_p", F.from_json("payload", schema))
     own = [c for c in changes.columns if c != "payload"]
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    names = StructType.fromDDL(schema).fieldNames()
     return opened.select(*own, *(F.col(f"_p.{n}").alias(n) for n in names)).withColumns(casts)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,8 @@ from pyspark.sql.window import Window
 
 from fenbrook.operators import cdc, contract, dq, gold, lookups, markets, observe, security, text
 from fenbrook.sources import feeds, versions
-from fenbrook.streaming import calls
+from fenbrook.streaming import calls, keyed_cdc
+from fenbrook.streaming.keyed_cdc import Table
 
 from . import lake, shapes
 from .shapes import BANK_DAY, BRANDS, CURRENCIES, EVENT_DAY, STATUSES, read, twin
@@ -273,6 +276,36 @@ def cdc_end_to_end(s, d):
     return cdc.merge(_limits(s, d), _double(good, "credit_limit").select("customer_id", "credit_limit", "updated_at", "op"), "customer_id", "updated_at", inclusive=False, op="op").select("customer_id", "updated_at")
 
 
+#: The change topics of a child and its parent. Payloads carry dates as text here.
+_STREAMED = [
+    Table("customers", "customer_id", "customer_id string, brand string, email string, date_of_birth date", lambda: contract.customer_rules(BANK_DAY, BRANDS), hands=("brand",), version=lambda: F.lit(0)),
+    Table(
+        "limits", "customer_id", "customer_id string, credit_limit decimal(18,2), state string, updated_ms bigint", lambda: {"state_missing": F.col("state").isNotNull(), "limit_missing": F.col("credit_limit").isNotNull()},
+        parent="customers", parent_field="customer_id", version=lambda: F.col("updated_ms"),
+    ),
+]
+
+
+@query(
+    """with gone as (select customer_id, max(lsn) as at_ from changes where op = 'd' group by 1),
+    ok as (select c.*, k.brand from changes c join customers k using (customer_id) left join gone g using (customer_id) where op <> 'd' and state is not null and credit_limit is not null and (at_ is null or lsn > at_))
+    select customer_id, cast(credit_limit as double) as credit_limit, state, brand from (select *, row_number() over (partition by customer_id order by updated_at desc, lsn) as rn from ok) where rn = 1"""
+)
+def cdc_by_state(s, d):
+    """The change stream itself, over keyed state: changes wait for customers, the newest count, deletes always."""
+    row = F.struct("customer_id", "brand", "email", F.col("date_of_birth").cast("string").alias("date_of_birth"))
+    body = F.to_json(F.struct(F.lit("r").alias("op"), row.alias("after"), F.struct(F.lit(0).alias("lsn"), F.lit(0).alias("ts_ms")).alias("source")))
+    parents = shapes.source_customers(s, d).select(F.lit("bank.public.customers").alias("topic"), F.lit(0).cast("bigint").alias("offset"), body.alias("value"))
+    folder = f"{lake.store(s, d).root}/stream-{uuid.uuid4().hex}"
+    shapes.change_stream(s, d).select("topic", "offset", "value").union(parents).write.parquet(f"{folder}/feed")
+    raw = s.readStream.schema("topic string, offset bigint, value string").parquet(f"{folder}/feed")
+    q = keyed_cdc.start(raw, _STREAMED, f"{folder}/out", f"{folder}/checkpoint", partitions=s.sparkContext.defaultParallelism)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return _double(keyed_cdc.current(s, f"{folder}/out", _STREAMED[1], ("brand",)), "credit_limit").drop("updated_ms")
+
+
 # --- contract and quarantine ---
 
 
@@ -509,8 +542,11 @@ def dq_silver(s, d):
     return dq.run_checks(txns(s, d), dq.silver_checks("txn_id", 0.005))
 
 
-@query("""select 'row_count_matches_customers' as check_name, cast(count(*) as double) as observed, true as passed from customers
-    union all select 'no_negative_counts', 0.0, true union all select 'brand_not_null', 0.0, true""")
+@query(
+    f"""with g as ({_GOLD}) select 'row_count_matches_customers' as check_name, count(*)::double as observed, count(*) = (select count(*) from customers) as passed from g
+    union all select 'no_negative_counts', count(*)::double, count(*) = 0 from g where open_accounts < 0 or open_complaints < 0
+    union all select 'brand_not_null', count(*)::double, count(*) = 0 from g where brand is null"""
+)
 def dq_gold(s, d):
     return dq.run_checks(_gold(s, d), dq.gold_checks(customers(s, d).count()))
 
@@ -592,12 +628,21 @@ def masked_partial(s, d):
     return _view(s, d, "alice").select("customer_id", "first_name", "date_of_birth", "email", "phone", "postcode", "vulnerability_flag")
 
 
+@query("select customer_id as record_key, array_to_string(list_sort(string_split(reasons, ',')), ',') as reasons, cast(null as varchar) as payload from customers_checked where reasons <> ''")
+def masked_raw_records(s, d):
+    """Quarantined rows for someone who may read the tables of operations, but no personal data."""
+    auditor = dataclasses.replace(E_BANK, users={**E_BANK.users, "dana": ("auditor", ("*",))}, personas={**E_BANK.personas, "auditor": security.Persona(frozenset({"ops"}), "partial", False)})
+    rows = contract.quarantine_rows(contract.split(customers_checked(s, d))[1], "customers", "customer_id", "run-1", BANK_DAY)
+    seen = security.secure_view(rows, "ops.quarantine", "dana", auditor)
+    return seen.select("record_key", F.array_join(F.array_sort("reasons"), ",").alias("reasons"), "payload")
+
+
 @query("select account_id, '****' || right(iban, 4) as iban from accounts where brand = 'Meridian'")
 def masked_accounts(s, d):
     return security.secure_view(accounts(s, d), "silver.accounts", "alice", E_BANK).select("account_id", "iban")
 
 
-@query("select count(*) filter (where postcode = 'AB3 3CD') * 0 as exact, count(*) filter (where split_part(postcode, ' ', 1) = 'AB3') as outward from customers where brand = 'Meridian'")
+@query("with seen as (select split_part(postcode, ' ', 1) as postcode from customers where brand = 'Meridian') select count(*) filter (where postcode = 'AB3 3CD') as exact, count(*) filter (where postcode = 'AB3') as outward from seen")
 def mask_then_filter(s, d):
     v = _view(s, d, "alice")
     return v.agg(F.count_if(F.col("postcode") == "AB3 3CD").alias("exact"), F.count_if(F.col("postcode") == "AB3").alias("outward"))
@@ -728,11 +773,10 @@ def identify_caller(s, d):
 
 def _claims(s, d):
     """Claims about payments: the size of each transaction of the last weeks, and an amount that was misheard."""
-    mine = txns(s, d).where("txn_ts >= timestamp_ntz '2001-10-01'")
-    return mine.select(F.col("txn_id").alias("claim_id"), "customer_id", F.array(F.abs("amount"), F.lit(1).cast("decimal(18,2)")).alias("amounts"))
+    return txns(s, d).select(F.col("txn_id").alias("claim_id"), "customer_id", F.array(F.abs("amount"), F.lit(1).cast("decimal(18,2)")).alias("amounts"))
 
 
-_CLAIMS = "claims as (select txn_id as claim_id, customer_id, abs(amount) as size from txns where txn_ts >= timestamp '2001-10-01')"
+_CLAIMS = "claims as (select txn_id as claim_id, customer_id, abs(amount) as size from txns)"
 
 
 @query(f"with {_CLAIMS} select claim_id, txn_id, txn_ts, cast(size as double) as claimed from claims c join txns t on c.customer_id = t.customer_id and (abs(t.amount) = c.size) where txn_ts >= timestamp '{BANK_DAY}' - interval 10 days")

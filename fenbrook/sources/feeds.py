@@ -32,7 +32,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, ts: str, since: str, **
 
 def parsed_or_rejected(raw: DataFrame, value: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """JSON rows that parse, as columns, and those that do not, with the reason."""
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    names = StructType.fromDDL(schema).fieldNames()
     read = raw.withColumn("_r", F.from_json(value, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     broken = F.col("_r").isNull() | F.col("_r._corrupt").isNotNull() | F.coalesce(*(F.when(F.col(f"_r.{n}").isNotNull(), F.lit(n)) for n in names)).isNull()
     own = [c for c in raw.columns if c != value]

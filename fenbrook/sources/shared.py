@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,6 +26,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_STAGED: set[str] = set()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read from there: what several parts of a plan need is made once, and survives the loss
+    of executors. All staged tables go with the application."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/fenbrook-staged/{spark.sparkContext.applicationId}"
+    if folder not in _STAGED:
+        _STAGED.add(folder)
+        atexit.register(_forget, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the application may have ended already
+        remove(spark, folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store, if it is there."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from fenbrook.operators.cdc import parse_changes, type_changes, union_all
 from fenbrook.operators.contract import Rules, latest_per_key, with_violations
@@ -201,19 +202,22 @@ def accepted_changes(raw: DataFrame, tables: list[Table], grace_ms: int = 15 * 6
     return through.withColumn("_key", record).groupBy("_key").transformWithStateInPandas(TakeNewest(), outputStructType=_CHANGE, outputMode="Append", timeMode="None")
 
 
-def start(raw: DataFrame, tables: list[Table], folder: str, checkpoint: str, grace_ms: int = 15 * 60 * 1000, every: str | None = None) -> StreamingQuery:
+def start(raw: DataFrame, tables: list[Table], folder: str, checkpoint: str, grace_ms: int = 15 * 60 * 1000, every: str | None = None, partitions: int | None = None) -> StreamingQuery:
     """Append accepted changes to ``folder`` by table, at an interval until stopped, or all that is there now. Each restart with the
-    same checkpoint goes on where it stopped."""
+    same checkpoint goes on where it stopped. ``partitions`` of the state, which the first start settles, are Spark's shuffle partitions otherwise."""
     conf = raw.sparkSession.conf
     conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     # With timers there is always one more batch without rows; a run over what is there now must end without them.
-    idle, name = conf.get("spark.sql.streaming.noDataMicroBatches.enabled"), "spark.sql.streaming.noDataMicroBatches.enabled"
+    own = {"spark.sql.streaming.noDataMicroBatches.enabled": "true" if every else "false"} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    before = {k: conf.get(k) for k in own}
     out = counted(accepted_changes(raw, tables, grace_ms), [t.name for t in tables]).writeStream.format("parquet").partitionBy("entity").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint)
     try:
-        conf.set(name, "true" if every else "false")
+        for k, v in own.items():
+            conf.set(k, v)
         return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
     finally:
-        conf.set(name, idle)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def _written(spark: SparkSession, folder: str) -> DataFrame:
@@ -224,7 +228,7 @@ def current(spark: SparkSession, folder: str, table: Table, resolved: tuple[str,
     """The table as it stands: the last accepted change of each key that is no delete, typed, with the ``resolved`` fields of its parents."""
     rows = _written(spark, folder).where((F.col("entity") == table.name) & F.col("seq").isNotNull())
     last = latest_per_key(rows.select("record_key", "seq", "op", "payload", "resolved"), ["record_key"], ["seq"]).where("op <> 'd'")
-    names = [x.strip().split()[0] for x in table.schema.split(",")]
+    names = StructType.fromDDL(table.schema).fieldNames()
     typed = type_changes(last.select("payload", F.col("resolved").alias("_resolved")), table.schema, table.casts)
     return typed.select(*(n for n in names if n not in resolved), *(F.get_json_object("_resolved", f"$.{n}").alias(n) for n in resolved))
 
