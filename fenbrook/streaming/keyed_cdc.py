@@ -202,15 +202,15 @@ def accepted_changes(raw: DataFrame, tables: list[Table], grace_ms: int = 15 * 6
     return through.withColumn("_key", record).groupBy("_key").transformWithStateInPandas(TakeNewest(), outputStructType=_CHANGE, outputMode="Append", timeMode="None")
 
 
-def start(raw: DataFrame, tables: list[Table], folder: str, checkpoint: str, grace_ms: int = 15 * 60 * 1000, every: str | None = None, partitions: int | None = None) -> StreamingQuery:
-    """Append accepted changes to ``folder`` by table, at an interval until stopped, or all that is there now. Each restart with the
+def start(raw: DataFrame, tables: list[Table], folder: str, checkpoint: str, grace_ms: int = 15 * 60 * 1000, every: str | None = None, partitions: int | None = None, day: Column | None = None) -> StreamingQuery:
+    """Append accepted changes to ``folder`` by table and ``day`` (that of the clock), at an interval until stopped, or all that is there now. Each restart with the
     same checkpoint goes on where it stopped. ``partitions`` of the state, which the first start settles, are Spark's shuffle partitions otherwise."""
     conf = raw.sparkSession.conf
     conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     # With timers there is always one more batch without rows; a run over what is there now must end without them.
     own = {"spark.sql.streaming.noDataMicroBatches.enabled": "true" if every else "false"} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
     before = {k: conf.get(k) for k in own}
-    out = counted(accepted_changes(raw, tables, grace_ms), [t.name for t in tables]).writeStream.format("parquet").partitionBy("entity").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint)
+    out = counted(accepted_changes(raw, tables, grace_ms), [t.name for t in tables]).withColumn("day", F.to_date(F.current_timestamp()) if day is None else day).writeStream.format("parquet").partitionBy("entity", "day").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint)
     try:
         for k, v in own.items():
             conf.set(k, v)
@@ -221,13 +221,44 @@ def start(raw: DataFrame, tables: list[Table], folder: str, checkpoint: str, gra
 
 
 def _written(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(_CHANGE).parquet(folder)
+    return spark.read.schema(f"{_CHANGE}, day date").parquet(folder)
+
+
+def _snapshot(spark: SparkSession, folder: str, table: str) -> tuple[str, str] | None:
+    """The day and the path of the newest whole snapshot."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}_snapshots/{table}")
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(base)] if fs.exists(base) else []
+    whole = sorted(p.toString() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return (whole[-1].rsplit("=", 1)[-1], whole[-1]) if whole else None
+
+
+def _last(spark: SparkSession, folder: str, table: str, before: str | None = None) -> DataFrame:
+    """record_key, seq, op, payload, resolved: the last accepted change of each key, from the newest snapshot and the days that it has not folded in."""
+    rows = _written(spark, folder).where((F.col("entity") == table) & F.col("seq").isNotNull())
+    columns = ("record_key", "seq", "op", "payload", "resolved")
+    kept = _snapshot(spark, folder, table)
+    if kept:
+        rows = rows.where(F.col("day") >= F.lit(kept[0]).cast("date"))
+    if before:
+        rows = rows.where(F.col("day") < F.lit(before).cast("date"))
+    rows = rows.select(*columns)
+    if kept:
+        rows = rows.union(spark.read.schema("record_key string, seq bigint, op string, payload string, resolved string").parquet(kept[1]))
+    return latest_per_key(rows, ["record_key"], ["seq"])
+
+
+def fold_days(spark: SparkSession, folder: str, table: Table, before: str) -> None:
+    """A snapshot of what changed before the day ``before``, which must have begun: reads of the table start from it, and what it holds of the
+    change log need not be kept. Deleted keys stay in it as such, since a number of theirs may still come."""
+    if before > str(spark.sql("select current_date()").first()[0]):
+        raise ValueError(f"{before} has not begun: changes would still come under days before it")
+    _last(spark, folder, table.name, before).write.mode("overwrite").parquet(f"{folder}_snapshots/{table.name}/before={before}")
 
 
 def current(spark: SparkSession, folder: str, table: Table, resolved: tuple[str, ...] = ()) -> DataFrame:
     """The table as it stands: the last accepted change of each key that is no delete, typed, with the ``resolved`` fields of its parents."""
-    rows = _written(spark, folder).where((F.col("entity") == table.name) & F.col("seq").isNotNull())
-    last = latest_per_key(rows.select("record_key", "seq", "op", "payload", "resolved"), ["record_key"], ["seq"]).where("op <> 'd'")
+    last = _last(spark, folder, table.name).where("op <> 'd'")
     names = StructType.fromDDL(table.schema).fieldNames()
     typed = type_changes(last.select("payload", F.col("resolved").alias("_resolved")), table.schema, table.casts)
     return typed.select(*(n for n in names if n not in resolved), *(F.get_json_object("_resolved", f"$.{n}").alias(n) for n in resolved))

@@ -1,12 +1,13 @@
 """The change stream by keyed state: late parents, expiry while idle, restarts, replays."""
 
 import json
+import os
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from fenbrook.streaming.keyed_cdc import Table, current, quarantined, start
+from fenbrook.streaming.keyed_cdc import Table, current, fold_days, quarantined, start
 
 _V = lambda: F.col("updated_at")
 CUSTOMERS = Table("customers", "id", "id string, brand string, updated_at bigint", lambda: {"brand_unknown": F.col("brand").isNotNull()}, hands=("brand",), version=_V)
@@ -32,9 +33,9 @@ def feed(spark, tmp_path):
             (tmp_path / f"{name}.json").write_text("\n".join(map(json.dumps, messages)))
             (tmp_path / f"{name}.json").rename(folder / f"{name}.json")
 
-        def start(self, grace_ms=900_000, every=None):
+        def start(self, grace_ms=900_000, every=None, day=None):
             raw = spark.readStream.schema("topic string, offset bigint, value string").json(f"file://{folder}")
-            return start(raw, TABLES, self.out, f"file://{tmp_path}/ck", grace_ms, every)
+            return start(raw, TABLES, self.out, f"file://{tmp_path}/ck", grace_ms, every, day=day)
 
         def run(self, **options):
             q = self.start(**options)
@@ -94,7 +95,24 @@ def test_wait_ends_by_a_timer_on_an_idle_stream(feed):
         q.stop()
 
 
-def feed_ready(feed):
-    import os
+def test_days_are_folded_into_a_snapshot(spark, feed):
+    """Reads start from the snapshot; later changes, deletes and keys that come back go on from it."""
+    day = lambda d: F.lit(d).cast("date")
+    feed.put("a", *(_msg("customers", i, "c", {"id": f"c{i}", "brand": "b"}) for i in range(1, 6)), _msg("customers", 7, "d", {"id": "c5", "brand": "b"}))
+    feed.run(day=day("2024-01-01"))
+    fold_days(spark, feed.out, CUSTOMERS, "2024-01-02")
+    before = feed.rows(CUSTOMERS)
+    assert [r[0] for r in before] == ["c1", "c2", "c3", "c4"]
+    plan = current(spark, feed.out, CUSTOMERS)._jdf.queryExecution().executedPlan().toString()
+    assert "day" in plan and "2024-01-02" in plan  # days before are not read
+    feed.put("b", _msg("customers", 10, "u", {"id": "c1", "brand": "new"}), _msg("customers", 11, "d", {"id": "c2", "brand": "b"}), _msg("customers", 12, "c", {"id": "c5", "brand": "again"}))
+    feed.run(day=day("2024-01-02"))
+    assert feed.rows(CUSTOMERS) == [("c1", "new", 10), ("c3", "b", 3), ("c4", "b", 4), ("c5", "again", 12)]
+    fold_days(spark, feed.out, CUSTOMERS, "2024-01-03")
+    assert feed.rows(CUSTOMERS) == [("c1", "new", 10), ("c3", "b", 3), ("c4", "b", 4), ("c5", "again", 12)]
+    with pytest.raises(ValueError):
+        fold_days(spark, feed.out, CUSTOMERS, "2999-01-01")
+
 
+def feed_ready(feed):
     return os.path.isdir(feed.out.removeprefix("file://") + "/_spark_metadata")
