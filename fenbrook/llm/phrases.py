@@ -254,6 +254,8 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
     short = sc.broadcast(surviving(texts, (1, 2), least, n_buckets, bits, chunk_bytes, held_sums))
     long = sc.broadcast(surviving(texts, tuple(range(3, longest + 1)), least, n_buckets, bits, chunk_bytes, held_sums, short))
     found = stage(count_frequent(texts, longest, least, [short, long], bits, chunk_bytes))
+    short.destroy()
+    long.destroy()
     n = found.where("size = 0").select("lang", F.col("f").alias("n"))
     known = found.where("size > 0")
     candidates = known.where("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
