@@ -13,6 +13,8 @@ from fenbrook.operators.cdc import merge, parse_changes, type_changes, union_all
 from fenbrook.operators.contract import Rules, latest_per_key, only_orphan, with_violations
 from fenbrook.sources.versions import VersionStore
 
+from .topics import read_topics
+
 
 @dataclass(frozen=True)
 class Entity:
@@ -100,12 +102,14 @@ def kafka_options(servers: str, topics: str, cap: int = 100_000) -> dict[str, st
     return {"kafka.bootstrap.servers": servers, "subscribePattern": topics, "startingOffsets": "earliest", "maxOffsetsPerTrigger": str(cap), "failOnDataLoss": "true"}
 
 
-def change_source(spark: SparkSession, topics: str, servers: str | None = None, folder: str | None = None, cap: int = 100_000, files: int = 1) -> DataFrame:
-    """Streams topic, offset, value of the topics that match a pattern: from brokers, or from JSON files of messages in
-    a folder, ``files`` of them a batch."""
+def change_source(spark: SparkSession, topics: str, servers: str | None = None, folder: str | None = None, log: str | None = None, cap: int = 100_000, files: int = 1) -> DataFrame:
+    """Streams topic, offset, value of the topics that match a pattern: from brokers or from a topic log, at most ``cap`` messages a batch, or from
+    JSON files of messages in a folder, ``files`` of them a batch."""
     if servers:
         raw = spark.readStream.format("kafka").options(**kafka_options(servers, topics, cap)).load()
         return raw.select("topic", "offset", F.col("value").cast("string"))
+    if log:
+        return read_topics(spark, log, topics, cap)
     raw = spark.readStream.schema("topic string, offset bigint, value string").option("maxFilesPerTrigger", files).json(folder)
     return raw.where(F.col("topic").rlike(f"^(?:{topics})$"))
 
