@@ -34,27 +34,33 @@ class Spectrum:
     width: int
 
     def codes(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        out = self.symbol[np.minimum(points, 0xFFFF)]
-        if len(points) and points.max() > 0xFFFF:
-            far = np.flatnonzero(points > 0xFFFF)
-            out = out.copy()
-            out[far] = [_OTHER * chr(points[i]).isalpha() for i in far]
-        return out
+        return _codes(self.symbol, text)
+
+    def rows(self, grams: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+        """Unit rows of the n-grams present, given as their codes for n = 1, 2, 3."""
+        x = np.zeros((len(grams), self.width + 1), np.float32)
+        for i, each in enumerate(grams):
+            for n, g in enumerate(each):
+                x[i, self.column[n][g]] = 1
+        x = x[:, :-1]
+        x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+        return x
 
     def presence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Unit rows of present n-grams, and whether the text has a letter."""
-        x = np.zeros((len(texts), self.width + 1), np.float32)
-        letter = np.zeros(len(texts), bool)
-        for i, t in enumerate(texts):
-            s = self.codes(t)
-            letter[i] = s.any()
-            if letter[i]:
-                for n, g in enumerate(_grams(s)):
-                    x[i, self.column[n][g]] = 1
-        x = x[:, :-1]
-        x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        return x, letter
+        codes = [self.codes(t) for t in texts]
+        letter = np.array([bool(c.any()) for c in codes], bool)
+        return self.rows([tuple(_grams(c)) if ok else () for c, ok in zip(codes, letter, strict=True)]), letter
+
+
+def _codes(symbol: np.ndarray, text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = symbol[np.minimum(points, 0xFFFF)]
+    if len(points) and points.max() > 0xFFFF:
+        far = np.flatnonzero(points > 0xFFFF)
+        out = out.copy()
+        out[far] = [_OTHER * chr(points[i]).isalpha() for i in far]
+    return out
 
 
 def _grams(s: np.ndarray) -> Iterator[np.ndarray]:
@@ -65,16 +71,28 @@ def _grams(s: np.ndarray) -> Iterator[np.ndarray]:
     yield (two[:-1] << SYMBOL_BITS) | s[2:]
 
 
-def spectrum(landmarks: list[str]) -> Spectrum:
-    """The alphabet is the 126 most frequent letters of the landmarks, lower-cased; all other letters are one symbol, so that
+def letters(text: str) -> Counter:
+    return Counter(c for c in text.lower() if c.isalpha() and ord(c) < 0x10000)
+
+
+def alphabet(counts: dict[str, int]) -> np.ndarray:
+    """The symbol of each code point: the 126 most frequent letters have one each; all other letters are one, so that
     languages of large scripts are told apart by what they share with the landmarks and by where such letters stand."""
-    letters = Counter(c for t in landmarks for c in t.lower() if c.isalpha() and ord(c) < 0x10000)
-    number = {c: k for k, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: (1 << SYMBOL_BITS) - 2], 2)}
-    symbol = np.array([number.get(chr(p).lower()[:1], _OTHER) if chr(p).isalpha() else 0 for p in range(0x10000)], np.uint8)
+    number = {c: k for k, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: (1 << SYMBOL_BITS) - 2], 2)}
+    return np.array([number.get(chr(p).lower()[:1], _OTHER) if chr(p).isalpha() else 0 for p in range(0x10000)], np.uint8)
+
+
+def present(symbol: np.ndarray, text: str) -> tuple[np.ndarray, ...]:
+    """Which n-grams a text has, each once."""
+    return tuple(np.unique(g) for g in _grams(_codes(symbol, text)))
+
+
+def spectrum(symbol: np.ndarray, landmarks: list[tuple[np.ndarray, ...]]) -> Spectrum:
+    """The columns are the n-grams that the landmarks have."""
     s = Spectrum(symbol, [], 0)
     seen = [np.zeros(1 << SYMBOL_BITS * n, bool) for n in (1, 2, 3)]
-    for t in landmarks:
-        for n, g in enumerate(_grams(s.codes(t))):
+    for grams in landmarks:
+        for n, g in enumerate(grams):
             seen[n][g] = True
     for x in seen:
         x[0] = False  # blanks only
@@ -125,12 +143,30 @@ def identify_languages(docs: DataFrame, n_landmarks: int = 96, train_bound: int
         chosen = chosen | ((F.col("lang") == lang) & (u < min(1.0, share / counts[lang])))
     sample = stage(known.where(chosen).withColumn("u", u))
     first = Window.partitionBy("lang").orderBy("u", "doc_id")
-    marks = sample.withColumn("i", F.row_number().over(first)).where(F.col("i") <= max(1, n_landmarks // max(1, len(langs)))).orderBy("lang", "i").collect()
-    if not marks:
+    marks = stage(sample.withColumn("i", F.row_number().over(first)).where(F.col("i") <= max(1, n_landmarks // max(1, len(langs)))).select("lang", "i", "text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = Counter()
+            for t in batch.column("text").to_pylist():
+                n.update(letters(t))
+            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["c", "n"])
+
+    # However long the landmarks are, the driver sees letters and n-grams, of which there are few: at most 2^21 a landmark.
+    counts_of = {r["c"]: r["n"] for r in marks.mapInArrow(count, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    symbol = alphabet(counts_of)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [present(symbol, t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("i"), *(pa.array([e[n].astype(np.int32).tobytes() for e in each], pa.binary()) for n in range(3))], ["lang", "i", "g1", "g2", "g3"])
+
+    rows = marks.mapInArrow(grams, "lang string, i int, g1 binary, g2 binary, g3 binary").collect()
+    if not rows:
         return base.select("doc_id", held.alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    texts = [r["text"] for r in marks]
-    s = spectrum(texts)
-    own, _ = s.presence(texts)
+    found = [tuple(np.frombuffer(r[g], np.int32) for g in ("g1", "g2", "g3")) for r in sorted(rows, key=lambda r: (r["lang"], r["i"]))]
+    s = spectrum(symbol, found)
+    own = s.rows(found)
     white = whiten((own @ own.T).astype(float))
 
     def kernels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

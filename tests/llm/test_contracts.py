@@ -790,7 +790,8 @@ def test_languages_by_brute_force(spark):
 
 
 def test_kernel_is_presence():
-    s = langid.spectrum(["abab", "bcd"])
+    symbol = langid.alphabet(langid.letters("abab") + langid.letters("bcd"))
+    s = langid.spectrum(symbol, [langid.present(symbol, t) for t in ("abab", "bcd")])
     x, letter = s.presence(["ab", "abab", "..", "ABAB"])
     assert list(letter) == [True, True, False, True]
     assert np.allclose(x[1], x[3]) and 0 < x[0] @ x[1] < 1 and not x[2].any()
