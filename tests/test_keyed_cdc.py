@@ -95,6 +95,28 @@ def test_wait_ends_by_a_timer_on_an_idle_stream(feed):
         q.stop()
 
 
+def test_a_batch_touches_its_keys_only_and_may_run_twice(spark, feed, tmp_path):
+    """State that a batch updates follows the batch, not the table; a batch that was written but not committed leaves no doubles."""
+    feed.put("a", *(_msg("customers", i, "c", {"id": f"c{i}", "brand": "b"}) for i in range(1, 2001)))
+    feed.run()
+    feed.put("b", _msg("customers", 3000, "u", {"id": "c7", "brand": "new"}), _msg("accounts", 3001, "c", {"id": "a1", "customer_id": "c8"}))
+    q = feed.start()
+    assert q.awaitTermination(180) and q.exception() is None
+    updated = [o["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"] for o in p["stateOperators"]]
+    assert updated and max(updated) <= 10, updated
+    log = spark.read.parquet(feed.out)
+    rows = log.count()
+    assert rows == 2002 and feed.rows(ACCOUNTS, "brand") == [("a1", "c8", 3001, "b")]
+    commits = f"{tmp_path}/ck/commits"
+    last = max((x for x in os.listdir(commits) if x.isdigit()), key=int)
+    for x in (f"{commits}/{last}", f"{commits}/.{last}.crc"):
+        if os.path.exists(x):
+            os.remove(x)
+    feed.run()
+    assert spark.read.parquet(feed.out).count() == rows
+    assert [r for r in feed.rows(CUSTOMERS) if r[0] == "c7"] == [("c7", "new", 3000)]
+
+
 def test_days_are_folded_into_a_snapshot(spark, feed):
     """Reads start from the snapshot; later changes, deletes and keys that come back go on from it."""
     day = lambda d: F.lit(d).cast("date")
