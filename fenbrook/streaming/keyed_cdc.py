@@ -206,9 +206,8 @@ def start(raw: DataFrame, tables: list[Table], folder: str, checkpoint: str, gra
     """Append accepted changes to ``folder`` by table and ``day`` (that of the clock), at an interval until stopped, or all that is there now. Each restart with the
     same checkpoint goes on where it stopped. ``partitions`` of the state, which the first start settles, are Spark's shuffle partitions otherwise."""
     conf = raw.sparkSession.conf
-    conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     # With timers there is always one more batch without rows; a run over what is there now must end without them.
-    own = {"spark.sql.streaming.noDataMicroBatches.enabled": "true" if every else "false"} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
+    own = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.noDataMicroBatches.enabled": "true" if every else "false"} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
     before = {k: conf.get(k) for k in own}
     out = counted(accepted_changes(raw, tables, grace_ms), [t.name for t in tables]).withColumn("day", F.to_date(F.current_timestamp()) if day is None else day).writeStream.format("parquet").partitionBy("entity", "day").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint)
     try:

@@ -483,3 +483,17 @@ def test_traced_payments_by_brute_force(spark):
             exact, t = min(mine, key=lambda m: (not m[0], -m[1][2].timestamp(), m[1][0]))
             want[c] = (t[0], exact)
     assert got == want
+
+
+def test_keyed_tables_are_not_compacted_and_views_follow_a_swap(spark, tmp_path):
+    store = VersionStore(spark, f"file://{tmp_path}/store")
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v string, at int")
+    store.publish_merge(rows(*((i, "a", 1) for i in range(40))), "t", "k", "at", ["k", "v", "at"], "r1", buckets=8)
+    assert not store.compact("t", "maintenance", 1, at_least=2)
+    store.publish_merge(rows((3, "b", 2)), "t", "k", "at", ["k", "v", "at"], "r2", buckets=8)  # its stream goes on
+    assert store.read("t").count() == 40 and store.read("t").where("k = 3").first()["v"] == "b"
+    store.publish(rows((1, "live", 1)).repartition(6), "w", "r1")
+    store.view("w", "w_now", ["k", "v"], F.col("k") > 0)
+    store.publish(rows((1, "replayed", 1), (0, "hidden", 1)), "w_replay", "r2")
+    store.swap("w", "w_replay", "r3")
+    assert [tuple(r) for r in spark.table("w_now").collect()] == [(1, "replayed")]
