@@ -177,7 +177,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
                         a, b, s = [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.binary())], ["a", "b", "s"])
 
-    blobs = texts.join(need, "doc_id").select("doc_id", "text", "partners", "first").mapInArrow(sets, "a bigint, b bigint, s binary")
+    # Ids have no bound: texts are never joined by a copy of all of them, whatever the size.
+    blobs = texts.join(need.hint("merge"), "doc_id").select("doc_id", "text", "partners", "first").mapInArrow(sets, "a bigint, b bigint, s binary")
     # Each set goes once to each first member that it is compared with; that one's own set has a = b.
     blobs = stage(blobs)
     fan = pairs.groupBy("a").agg(F.count("*").alias("w"))
@@ -278,7 +279,7 @@ def _across(met: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFr
             mark[ids[x]] = False
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    held = texts.join(need, "doc_id").select("doc_id", "text", "cells").mapInArrow(sets, _CELL)
+    held = texts.join(need.hint("merge"), "doc_id").select("doc_id", "text", "cells").mapInArrow(sets, _CELL)
     return held.groupBy("a", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
@@ -306,7 +307,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 4) -> DataFrame
     met = stage(spread_join(ranked, centres, "key", "w").where("a <> b").select("a", "b").distinct())
     pairs = stage(_worth_testing(met, classes, percent))
     near = ranked.select(F.col("b").alias("doc_id")).distinct()
-    texts = stage(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(near, "doc_id", "left_semi"))
+    texts = stage(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(near.hint("merge"), "doc_id", "left_semi"))
     release(ranked, centres)
     edges = _verified(pairs, texts, percent, k)
     labels = stage(components(edges))

@@ -130,8 +130,8 @@ def apply_decision_list(rules: list[Rule]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, bound: int = 20_000, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """One row per document: doc_id, the base counts, base_failed, rule (0: none), kept.
+def quality_rules(docs: DataFrame, labels: DataFrame, bound: int = 20_000, min_words: int = 50, max_repeat_percent: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, the base counts, base_failed, rule (0: none), kept, and the columns ``keep``, which may hold the text.
 
     base_failed: fewer than ``min_words`` words, or over ``max_repeat_percent`` of the words in
     repeated 3-word windows. Of the others, those that a rule covers are not kept. Rules are learned
@@ -139,7 +139,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, bound: int = 20_000, min_w
     counts of 0 and fail the base rule; without labels nothing but the base rule rejects. Repeated
     rows each give a row. Other columns are ignored.
     """
-    stats = stage(with_text_stats(docs.select("doc_id", "text")))
+    # What is kept goes with the statistics, so that a verdict needs no join.
+    stats = stage(with_text_stats(docs.select("doc_id", "text", *(F.col(c).alias(f"_keep_{c}") for c in keep))))
     own = features()
     seen = stats.select("*", *(c.alias(n) for n, c in own.items()), ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))).alias("base_failed"))
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).select("doc_id", (1 - F.col("quality")).alias("bad"))
@@ -148,5 +149,5 @@ def quality_rules(docs: DataFrame, labels: DataFrame, bound: int = 20_000, min_w
     rule = apply_decision_list(rules)
     return seen.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        rule.alias("rule"), (~F.col("base_failed") & (rule == 0)).alias("kept"),
+        rule.alias("rule"), (~F.col("base_failed") & (rule == 0)).alias("kept"), *(F.col(f"_keep_{c}").alias(c) for c in keep),
     )
