@@ -42,11 +42,9 @@ def _back(docs: DataFrame) -> DataFrame:
 def pass_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned rules keep, with an id, without one or with one that others have too.
 
-    Rules are learnt from rows whose id is theirs alone.
+    The texts go along with their statistics, so no verdict is looked up by its id.
     """
-    keyed = _keyed(docs)
-    kept = quality_rules(keyed, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return _back(keyed.join(kept, "doc_id", "left_semi"))
+    return quality_rules(docs, table(spark, sf_dir, "labels"), keep=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
