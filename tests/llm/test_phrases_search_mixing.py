@@ -147,7 +147,7 @@ def prose():
     return rows, items
 
 
-@pytest.mark.parametrize(("focus", "bucket", "block"), [(0.95, 64, 4 << 20), (0.3, 16, 300), (1.0, 1000, 4 << 20)])
+@pytest.mark.parametrize(("focus", "bucket", "block"), [(0.95, 64, 4 << 20), (0.3, 16, 2000), (1.0, 1000, 4 << 20)])
 def test_search_is_the_full_product(spark, prose, focus, bucket, block):
     rows, items = prose
     q = spark.createDataFrame([(i, t, "x", 1) for i, t in items], "item_id long, text string, q string, score int")
