@@ -52,11 +52,11 @@ def test_stream_alerts_over_slots(spark):
 
 
 def test_burn_rate_grows_with_the_seconds_not_the_windows(spark):
-    """A million seconds of one service with windows of six hours."""
-    calls = spark.range(1_000_000).select(F.timestamp_seconds(F.col("id")).alias("ts"), F.when(F.col("id") % 97 == 0, "error").otherwise("ok").alias("outcome"))
+    """400,000 seconds of one service with windows of six hours."""
+    n = 400_000
+    calls = spark.range(n).select(F.timestamp_seconds(F.col("id")).alias("ts"), F.when(F.col("id") % 97 == 0, "error").otherwise("ok").alias("outcome"))
     began = time.time()
     out = observe.burn_rate(calls, {"m5": 300, "m30": 1800, "h1": 3600, "h6": 21600}, 0.001)
-    assert out.where("sec >= 21600 and abs(h6 - 1 / 97) > 0.0005").count() == 0
-    assert time.time() - began < 150  # the sliding frames took some 10 s for each 40,000
-    r = out.agg(F.count("*"), F.count_if("slow_burn")).first()
-    assert r[0] == 1_000_000 and r[1] > 900_000
+    r = out.agg(F.count("*"), F.count_if("slow_burn"), F.count_if((F.col("sec") >= 21600) & (F.abs(F.col("h6") - 1 / 97) > 0.0005))).first()
+    assert r[0] == n and r[1] > 0.99 * n and r[2] == 0
+    assert time.time() - began < 60  # the sliding frames took some 10 s for each 40,000
