@@ -501,7 +501,7 @@ def sanctions_similar(s, d):
 # --- data quality ---
 
 
-#: Rules as they are declared: of the bank's tables, with a limit on time as of the bank's day.
+# Rules as they are declared of the bank's tables, with a limit on time as of the bank's day, and two of our own.
 CONTRACT = f"""
 schema:
   - name: transactions
