@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import math
 import random
 
@@ -196,6 +197,25 @@ def test_burn_rate_does_not_restart_at_midnight(spark):
     assert fired[0] and fired[1]
 
 
+def test_a_chain_is_whole_where_a_join_turns_to_broadcast(spark):
+    """Heads that turn out small are broadcast, and the join's other side is then read by map task: each segment still is one chain."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "8k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    log = spark.range(0, 6000, 1, 6).select(F.col("id"), F.concat(F.lit("d"), F.col("id") % 2).alias("day"), F.concat(F.lit("e"), "id").alias("what"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = security.append_chain(log, "day", "id", ["id", "what"]).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    last = {}
+    for r in sorted(found, key=lambda r: r["id"]):
+        assert r["prev_hash"] == last.get(r["day"], security.GENESIS), r["id"]
+        last[r["day"]] = hashlib.sha256(f"{r['prev_hash']}|{r['id']}|{r['what']}".encode()).hexdigest()
+        assert r["row_hash"] == last[r["day"]]
+    assert len(found) == 6000
+
+
 def test_a_chain_of_a_million_rows_of_one_key(spark):
     log = spark.range(1_000_000).select(F.lit("d").alias("day"), F.col("id").alias("seq"), (F.col("id") % 7).alias("what"))
     chained = security.append_chain(log, "day", "seq", ["seq", "what"])
