@@ -366,6 +366,12 @@ def test_ungrounded_transaction_ids_and_transcript(spark):
     assert text.ungrounded(df.where("i = 1"), "text", "evidence").first()["missing"] == ["T0123456789AB", "C0000001"]
 
 
+def test_ungrounded_ids_end_at_accented_letters(spark):
+    df = spark.createDataFrame([(1, "Tretiontioné éC0000007"), (2, "xC0000007 C0000007x 2001-01-01é")], "i int, text string").withColumn("evidence", F.lit("-"))
+    got = {r["i"]: r["missing"] for r in text.ungrounded(df, "text", "evidence").collect()}
+    assert got == {1: ["Tretiontion", "C0000007"], 2: ["2001-01-01"]}
+
+
 def test_bounded_search_is_the_full_join_over_fewer_rows(spark):
     """Scores by brute force; frequent terms are looked up for few documents, and their postings are salted."""
     rng = random.Random(9)
