@@ -7,9 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from fenbrook.operators import cdc, contract, dq, observe, security, text
+from fenbrook.plans import queries
 from fenbrook.sources.feeds import parsed_or_rejected, read_seed
 from fenbrook.sources.versions import DataQualityHalt, VersionStore, halt_on
 
+from .conftest import SF
+
 
 def rows(df):
     return sorted(tuple(r) for r in df.collect())
@@ -523,3 +526,17 @@ def test_keyed_tables_are_not_compacted_and_views_follow_a_swap(spark, tmp_path)
     store.publish(rows((1, "replayed", 1), (0, "hidden", 1)), "w_replay", "r2")
     store.swap("w", "w_replay", "r3")
     assert [tuple(r) for r in spark.table("w_now").collect()] == [(1, "replayed")]
+
+
+def test_transactions_move_once_for_their_newest_and_their_account(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.transactions_checked(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # lines, and accounts
+
+
+def test_the_newest_within_is_that_of_each_key(spark):
+    df = spark.createDataFrame([(i % 7, i % 21, i * 13 % 11, i) for i in range(500)] + [(0, 0, None, 501)], "w int, k int, v int, tie int")
+    assert rows(contract.latest_within(df.repartition("w"), "w", ["k"], ["v", "tie"])) == rows(contract.latest_per_key(df, ["k"], ["v", "tie"]))
