@@ -93,19 +93,20 @@ def trace_payment(claims: DataFrame, txns: DataFrame, as_of: str, days: int = 7,
     """For each claim the outgoing transfer of its amount, or else the newest, and what state it is in.
 
     The newest transfer of each customer, and of each customer and amount, is found first: a claim meets one row for each of its amounts and
-    one more, however many transfers its customer has.
+    one more, however many transfers its customer has. Claims of customers without any transfer go first, before their amounts are looked at.
     """
     now = F.lit(as_of).cast("timestamp_ntz")
     out = txns.where((F.col("txn_ts") >= now - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col("amount") < 0) & F.col("channel").isin(*channels))
     row = F.struct("txn_ts", "txn_id", "status")
     # The newest, and of those the least id: sizes and times of ids do not matter for a minimum of their order.
-    newest = lambda *by: latest_of(out.withColumn("size", -F.col("amount")), by)
-    asked = claims.select("claim_id", "customer_id", F.explode(F.array_distinct("amounts")).alias("size"))
-    exact = asked.join(newest("customer_id", "size"), ["customer_id", "size"]).select("claim_id", F.lit(True).alias("exact"), row.alias("t"))
+    newest = lambda name, *by: latest_of(out.withColumn("size", -F.col("amount")), by).select(*by, row.alias(name))
+    met = claims.select("claim_id", "customer_id", "amounts").join(newest("any", "customer_id"), "customer_id")
+    asked = met.select("claim_id", "customer_id", "any", F.explode_outer(F.array_distinct("amounts")).alias("size"))
+    found = asked.join(newest("same", "customer_id", "size"), ["customer_id", "size"], "left")
     # Of a customer's newest transfer it matters only where no amount is met.
-    other = claims.select("claim_id", "customer_id").distinct().join(newest("customer_id"), "customer_id").select("claim_id", F.lit(False).alias("exact"), row.alias("t"))
+    each = found.select("claim_id", F.col("same").isNotNull().alias("exact"), F.coalesce("same", "any").alias("t"))
     w = Window.partitionBy("claim_id").orderBy(F.col("exact").desc(), F.col("t.txn_ts").desc(), "t.txn_id")
-    best = exact.union(other).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("claim_id", "exact", "t.*")
+    best = each.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("claim_id", "exact", "t.*")
     old = F.col("txn_ts") < now - F.expr("INTERVAL 1 DAY")
     state = F.when(F.col("status") == "reversed", "returned").when(F.col("status") == "posted", "sent").when(old, "delayed").otherwise("in_progress")
     return best.select("claim_id", "txn_id", "exact", state.alias("state"))

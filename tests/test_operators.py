@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fenbrook.operators import cdc, contract, dq, observe, security, text
+from fenbrook.operators import cdc, contract, dq, lookups, observe, security, text
 from fenbrook.plans import queries
 from fenbrook.sources.feeds import parsed_or_rejected, read_seed
 from fenbrook.sources.versions import DataQualityHalt, VersionStore, halt_on
@@ -504,7 +504,7 @@ def test_traced_payments_by_brute_force(spark):
     now = dt.datetime(2024, 1, 10)
     txns = [(f"T{i:04}", rng.choice(["hot"] * 5 + ["a", "b"]), now - dt.timedelta(hours=rng.randrange(200)), Decimal(-rng.randrange(1, 6)), rng.choice(["online", "card"]), rng.choice(["posted", "pending", "reversed"])) for i in range(400)]
     claims = [(f"L{i}", rng.choice(["hot", "a", "b", "none"]), [Decimal(rng.randrange(1, 9)) for _ in range(rng.randint(0, 2))]) for i in range(60)]
-    got = {r["claim_id"]: (r["txn_id"], r["exact"]) for r in trace_payment(spark.createDataFrame(claims, "claim_id string, customer_id string, amounts array<decimal(18,2)>"), spark.createDataFrame(txns, "txn_id string, customer_id string, txn_ts timestamp_ntz, amount decimal(18,2), channel string, status string"), "2024-01-10").collect()}
+    got = {r["claim_id"]: (r["txn_id"], r["exact"]) for r in trace_payment(spark.createDataFrame(claims, "claim_id string, customer_id string, amounts array<int>").withColumn("amounts", F.col("amounts").cast("array<decimal(18,2)>")), spark.createDataFrame(txns, "txn_id string, customer_id string, txn_ts timestamp_ntz, amount int, channel string, status string").withColumn("amount", F.col("amount").cast("decimal(18,2)")), "2024-01-10").collect()}
     want = {}
     for c, who, amounts in claims:
         mine = [(t[3] * -1 in amounts, t) for t in txns if t[1] == who and t[4] == "online" and t[2] >= now - dt.timedelta(days=7)]
@@ -540,3 +540,17 @@ def test_transactions_move_once_for_their_newest_and_their_account(spark):
 def test_the_newest_within_is_that_of_each_key(spark):
     df = spark.createDataFrame([(i % 7, i % 21, i * 13 % 11, i) for i in range(500)] + [(0, 0, None, 501)], "w int, k int, v int, tie int")
     assert rows(contract.latest_within(df.repartition("w"), "w", ["k"], ["v", "tie"])) == rows(contract.latest_per_key(df, ["k"], ["v", "tie"]))
+
+
+def test_claims_move_once_to_their_customers_and_once_to_be_ranked(spark):
+    day = dt.datetime(2001, 11, 4)
+    txns = spark.createDataFrame([("t1", "c1", day, -5, "online", "posted"), ("t2", "c1", day, -7, "online", "reversed"), ("t0", "c1", day, -7, "card", "posted"), ("t3", "c2", day, 5, "online", "posted")], "txn_id string, customer_id string, txn_ts timestamp_ntz, amount int, channel string, status string").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    claims = spark.createDataFrame([(1, "c1", [7, 1]), (2, "c1", [9]), (3, "c1", []), (4, "c1", None), (5, "c2", [5]), (6, None, [5]), (1, "c2", [7])], "claim_id int, customer_id string, amounts array<int>").withColumn("amounts", F.col("amounts").cast("array<decimal(18,2)>"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = lookups.trace_payment(claims, txns, "2001-11-05")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert rows(df) == [(1, "t2", True, "returned"), (2, "t1", False, "sent"), (3, "t1", False, "sent"), (4, "t1", False, "sent")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(claim_id") == 1, plan
