@@ -12,8 +12,7 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import StructType
@@ -27,6 +26,7 @@ from .progress import counted
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _CHANGE = "entity string, record_key string, op string, payload string, source_lsn bigint, offset bigint, version bigint, parent_key string, hands string, resolved string, reasons array<string>, seq bigint"
 _COLUMNS = [c.split()[0] for c in _CHANGE.split(", ")]
+_NAMED = Row(*_COLUMNS)
 
 
 @dataclass(frozen=True)
@@ -77,50 +77,46 @@ class MeetParent(StatefulProcessor):
         self.known = handle.getValueState("known", "hands string, lsn bigint, offset bigint")
         self.waiting = handle.getMapState("waiting", "entity string, record_key string, lsn bigint, offset bigint", f"{_CHANGE}, until bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now, out, until = timerValues.getCurrentProcessingTimeInMs(), [], None
-        found = [r for df in rows for r in df.to_dict("records")]
-        found.sort(key=lambda r: (r["entity"] != self.parent, r["source_lsn"], r["offset"]))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        now, until = timerValues.getCurrentProcessingTimeInMs(), None
+        found = sorted((_change(r) for r in rows), key=lambda r: (r["entity"] != self.parent, *_at(r)))
+        state = self.known.get()  # asked once a key, and put back once
+        hands, at, changed = (state[0], tuple(state[1:3]), False) if state else (None, None, False)
         for r in found:
             if r["entity"] == self.parent:
-                out.append(r)
-                if not len(r["reasons"]):
-                    self._parent(r)
+                yield _row(r)
+                own = (r["source_lsn"] or 0, r["offset"] or 0)
+                if not r["reasons"] and (at is None or own >= at):
+                    hands = None if r["op"] == "d" else json.dumps(json.loads(r["resolved"] or "{}") | json.loads(r["hands"] or "{}"))
+                    at, changed = own, True
             elif r["entity"] not in self.children or r["op"] == "d":
-                out.append(r)
-            elif self.known.exists() and self.known.get()[0] is not None:
-                out.append(self._met(r, self.known.get()[0]))
-            elif len(r["reasons"]):
-                out.append({**r, "reasons": [*r["reasons"], f"orphan_{self.parent}"]})
+                yield _row(r)
+            elif hands is not None:
+                yield self._met(r, hands)
+            elif r["reasons"]:
+                yield _row({**r, "reasons": [*r["reasons"], f"orphan_{self.parent}"]})
             else:
                 until = now + self.grace_ms
-                self.waiting.updateValue((r["entity"], r["record_key"], _int(r["source_lsn"]), _int(r["offset"])), (*_row(r), until))
-        if self.known.exists() and self.known.get()[0] is not None:
-            for k, v in list(self.waiting.iterator()):
-                out.append(self._met(dict(zip(_COLUMNS, v, strict=False)), self.known.get()[0]))
-                self.waiting.removeKey(k)
+                self.waiting.updateValue((r["entity"], r["record_key"], r["source_lsn"], r["offset"]), (*_row(r), until))
+        if changed:
+            self.known.update((hands, *at))
+        if hands is not None:
+            if changed:  # else nothing can wait here
+                for k, v in list(self.waiting.iterator()):
+                    yield self._met(_change(v), hands)
+                    self.waiting.removeKey(k)
         elif until is not None:
             self.handle.registerTimer(until)  # one timer for all that began to wait in this batch
-        if out:
-            yield _frame(out)
 
-    def _parent(self, r: dict) -> None:
-        at = (_int(r["source_lsn"]) or 0, _int(r["offset"]) or 0)
-        if not self.known.exists() or at >= tuple(self.known.get()[1:3]):
-            hands = None if r["op"] == "d" else json.dumps(json.loads(r["resolved"] or "{}") | json.loads(r["hands"] or "{}"))
-            self.known.update((hands, *at))
+    def _met(self, r: dict, hands: str) -> Row:
+        return _row({**r, "resolved": json.dumps(json.loads(r["resolved"] or "{}") | json.loads(hands))})
 
-    def _met(self, r: dict, hands: str) -> dict:
-        return {**r, "resolved": json.dumps(json.loads(r["resolved"] or "{}") | json.loads(hands))}
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due, out = expiredTimerInfo.getExpiryTimeInMs(), []
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        due = expiredTimerInfo.getExpiryTimeInMs()
         for k, v in list(self.waiting.iterator()):
             if v[-1] <= due:
-                out.append({**dict(zip(_COLUMNS, v, strict=False)), "reasons": [f"orphan_{self.parent}"]})
+                yield _row({**_change(v), "reasons": [f"orphan_{self.parent}"]})
                 self.waiting.removeKey(k)
-        if out:
-            yield _frame(out)
 
     def close(self) -> None:
         pass
@@ -133,16 +129,15 @@ class TakeNewest(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.row = handle.getValueState("row", "seq bigint, version bigint, there boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = [r for df in rows for r in df.to_dict("records")]
-        found.sort(key=lambda r: (r["source_lsn"], r["offset"]))
-        seq, version, there = self.row.get() if self.row.exists() else (0, None, False)
-        out = []
-        for r in found:
-            if len(r["reasons"]):
-                out.append(r)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state = self.row.get()
+        before = tuple(state) if state else (0, None, False)
+        seq, version, there = before
+        for r in sorted((_change(r) for r in rows), key=_at):
+            if r["reasons"]:
+                yield _row(r)
                 continue
-            own = _int(r["version"])
+            own = r["version"]
             if r["op"] == "d":
                 if not there:
                     continue
@@ -152,27 +147,25 @@ class TakeNewest(StatefulProcessor):
             else:
                 there, version = True, own
             seq += 1
-            out.append({**r, "seq": seq})
-        self.row.update((seq, version, there))
-        if out:
-            yield _frame(out)
+            yield _row({**r, "seq": seq})
+        if (seq, version, there) != before:
+            self.row.update((seq, version, there))
 
     def close(self) -> None:
         pass
 
 
-def _int(x) -> int | None:
-    return None if x is None or pd.isna(x) else int(x)
+def _at(r: dict) -> tuple:
+    """Where a change stands in its source; null, which no source should give, is first."""
+    return tuple((x is not None, x or 0) for x in (r["source_lsn"], r["offset"]))
 
 
-def _row(r: dict) -> tuple:
-    numbers = {"source_lsn", "offset", "version", "seq"}
-    return tuple(_int(r[c]) if c in numbers else list(r[c]) if c == "reasons" else None if r[c] is None or isinstance(r[c], float) else r[c] for c in _COLUMNS)
+def _change(r: Row) -> dict:
+    return dict(zip(_COLUMNS, r, strict=False))  # by place: what follows is the key, or the end of a wait
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    df = pd.DataFrame([_row(r) for r in rows], columns=_COLUMNS)
-    return df.astype({c: "Int64" for c in ("source_lsn", "offset", "version", "seq")})
+def _row(r: dict) -> Row:
+    return _NAMED(*(r[c] for c in _COLUMNS))
 
 
 def accepted_changes(raw: DataFrame, tables: list[Table], grace_ms: int = 15 * 60 * 1000) -> DataFrame:
@@ -193,13 +186,13 @@ def accepted_changes(raw: DataFrame, tables: list[Table], grace_ms: int = 15 * 6
         own = F.when(F.col("entity") == p.name, F.col("record_key")).when(F.col("entity").isin(*children), F.col("parent_key"))
         # Rows of other tables only pass: they go by their own key.
         key = F.coalesce(F.concat(F.lit("p"), own), F.concat_ws("|", F.lit("o"), "entity", F.coalesce("record_key", F.col("offset").cast("string"))))
-        through = rows.withColumn("_key", key).groupBy("_key").transformWithStateInPandas(MeetParent(p.name, children, grace_ms), outputStructType=_CHANGE, outputMode="Append", timeMode="ProcessingTime")
+        through = rows.withColumn("_key", key).groupBy("_key").transformWithState(MeetParent(p.name, children, grace_ms), outputStructType=_CHANGE, outputMode="Append", timeMode="ProcessingTime")
     rest = [t.name for t in tables if t.name not in seen]
     if rest:
         alone = changes.where(F.col("entity").isin(*rest))
         through = alone if through is None else through.unionByName(alone)
     record = F.concat_ws("|", "entity", F.coalesce("record_key", F.concat(F.lit("?"), F.col("offset").cast("string"))))
-    return through.withColumn("_key", record).groupBy("_key").transformWithStateInPandas(TakeNewest(), outputStructType=_CHANGE, outputMode="Append", timeMode="None")
+    return through.withColumn("_key", record).groupBy("_key").transformWithState(TakeNewest(), outputStructType=_CHANGE, outputMode="Append", timeMode="None")
 
 
 def start(raw: DataFrame, tables: list[Table], folder: str, checkpoint: str, grace_ms: int = 15 * 60 * 1000, every: str | None = None, partitions: int | None = None, day: Column | None = None) -> StreamingQuery:

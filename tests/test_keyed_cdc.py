@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from fenbrook.streaming.keyed_cdc import Table, current, fold_days, quarantined, start
+from fenbrook.streaming.keyed_cdc import _COLUMNS, MeetParent, Table, current, fold_days, quarantined, start
 
 _V = lambda: F.col("updated_at")
 CUSTOMERS = Table("customers", "id", "id string, brand string, updated_at bigint", lambda: {"brand_unknown": F.col("brand").isNotNull()}, hands=("brand",), version=_V)
@@ -136,5 +136,33 @@ def test_days_are_folded_into_a_snapshot(spark, feed):
         fold_days(spark, feed.out, CUSTOMERS, "2999-01-01")
 
 
+def test_state_is_asked_once_for_a_key():
+    """However many children a parent has in a batch, its state costs one read, and no write where nothing changes."""
+    calls = []
+
+    class Known:
+        def get(self):
+            calls.append("get")
+            return '{"brand": "b"}', 1, 1
+
+        def update(self, value):
+            calls.append("update")
+
+        def exists(self):
+            calls.append("exists")
+            return True
+
+    class Clock:
+        def getCurrentProcessingTimeInMs(self):
+            return 0
+
+    step = MeetParent("customers", ("accounts",), 1000)
+    step.known = Known()
+    changes = [tuple({"entity": "accounts", "record_key": f"a{i}", "op": "c", "source_lsn": 200 - i, "offset": i, "parent_key": "c1", "reasons": []}.get(c) for c in _COLUMNS) for i in range(100)]
+    out = list(step.handleInputRows(("pc1",), iter(changes), Clock()))
+    assert [r["record_key"] for r in out] == [f"a{i}" for i in reversed(range(100))] and {r["resolved"] for r in out} == {'{"brand": "b"}'}
+    assert calls == ["get"]
+
+
 def feed_ready(feed):
     return os.path.isdir(feed.out.removeprefix("file://") + "/_spark_metadata")
