@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fenbrook.operators.contract import Rules, quarantine_rows, split, with_violations
-from fenbrook.operators.dq import Check, run_checks
+from fenbrook.operators.dq import Check, accept_quarantine, run_checks
 
 from .versions import DataQualityHalt, PublishResult, VersionStore, halt_on
 
@@ -38,7 +38,7 @@ def silver_run(
         except DataQualityHalt as e:
             store.record_run(**log, status="halted", version=store.current(table), detail=str(e))
             raise
-        result = store.publish_merge(good, table, key, version, good.columns, run_id, buckets, inclusive=True, checks=checks(0.0 if accept else rate))
+        result = store.publish_merge(good, table, key, version, good.columns, run_id, buckets, inclusive=True, checks=accept_quarantine(checks(rate)) if accept else checks(rate))
         log["rows_published"] = counts["n"] - counts["bad"] if result.published else 0
         store.record_run(**log, status="ok" if result.published else "halted", version=result.version, detail="; ".join(result.failed_checks) or "all checks passed")
         if not result.published:

@@ -554,3 +554,32 @@ def test_claims_move_once_to_their_customers_and_once_to_be_ranked(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning(claim_id") == 1, plan
+
+
+def test_the_rate_of_the_quarantine_is_measured(spark):
+    seen = {r["check_name"]: (r["observed"], r["passed"]) for r in queries.dq_silver(spark, SF).collect()}
+    counts = queries.quarantine_rate(spark, SF).first()
+    assert counts["bad"] and seen["quarantine_rate"] == (counts["bad"] / counts["rows"], False)
+    plan = queries.dq_silver(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1, plan  # one pass
+
+
+def test_silver_checks_of_a_batch_look_at_its_good_rows(spark):
+    make = lambda rows_: spark.createDataFrame(rows_, "k string, brand string, _violations array<string>")
+    run = lambda rows_, **o: {r["check_name"]: (r["observed"], r["passed"]) for r in dq.run_checks(make(rows_), dq.silver_checks("k", **o)).collect()}
+    good, bad = [(f"k{i}", "A", []) for i in range(99)], [("k1", None, ["orphan"])]
+    assert run(good + bad) == {"pk_unique": (0, True), "pk_not_null": (0, True), "brand_not_null": (0, True), "quarantine_rate": (0.01, True)}
+    seen = run([*good, *bad, *bad, (None, "A", []), (None, "A", []), ("k2", None, []), (None, None, ["x"])])
+    assert seen == {"pk_unique": (1, False), "pk_not_null": (2, False), "brand_not_null": (1, False), "quarantine_rate": (3 / 105, False)}
+    assert run(bad)["quarantine_rate"] == (1, False) and run([])["quarantine_rate"] == (0, True)
+    assert run([], rate=0.5)["quarantine_rate"] == (0.5, False)  # nothing could be staged
+    assert run([], rate=0.0)["quarantine_rate"] == (0, True)
+
+
+def test_an_accepted_rate_is_logged_as_it_is(spark, tmp_path):
+    from fenbrook.sources.jobs import silver_run
+
+    store = VersionStore(spark, f"file://{tmp_path}/store")
+    pending = spark.createDataFrame([("k1", "A", 1), ("k2", None, 1), ("k3", "A", 1), ("k4", "A", 1)], "k string, brand string, updated_at int")
+    assert silver_run(store, pending, "silver.t", "k", {"brand_known": F.col("brand").isNotNull()}, lambda rate: dq.silver_checks("k", rate), "r1", "2024-01-01", buckets=4, accept=True).published
+    assert [(r["observed"], r["passed"]) for r in store.check_log().where("check_name = 'quarantine_rate'").collect()] == [(0.25, True)]
